@@ -116,6 +116,13 @@ def ctr_anomaly(clicks, impressions) -> Column:
     return F.coalesce(ratio(clicks, impressions) > 1.0, F.lit(False))
 
 
+def pround(c, d: int) -> Column:
+    """Round like pandas/numpy ``.round(d)``: half-to-even on the binary value of
+    ``x * 10**d`` (``rint``), then divided back; ``+ 0.0`` turns -0.0 into 0.0."""
+    scale = float(10 ** d)
+    return F.rint(col(c) * F.lit(scale)) / F.lit(scale) + F.lit(0.0)
+
+
 def humanize(name) -> Column:
     """'total_clicks' -> 'Total Clicks' (A4)."""
     return F.initcap(F.regexp_replace(col(name), "_", " "))

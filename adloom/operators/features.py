@@ -92,7 +92,7 @@ def add_zscores(cols: Columns, zstats: dict) -> list[str]:
     names = []
     for c, (mean, std) in zstats.items():
         z = f"z_{c}"
-        cols[z] = F.round((F.col(c).cast("double") - F.lit(mean)) / F.lit(std), 4)
+        cols[z] = X.pround((F.col(c).cast("double") - F.lit(mean)) / F.lit(std), 4)
         names.append(z)
     if names:
         absz = [F.abs(F.col(n)) for n in names]
@@ -127,7 +127,7 @@ def add_engagement(cols: Columns, minmax: dict) -> None:
     total = terms[0]
     for t in terms[1:]:
         total = total + t
-    cols["engagement_score"] = F.round(total / F.lit(float(len(parts))) * F.lit(100.0), 2)
+    cols["engagement_score"] = X.pround(total / F.lit(float(len(parts))) * F.lit(100.0), 2)
 
 
 def add_campaign(cols: Columns, camp: str | None) -> None:
@@ -146,4 +146,4 @@ def add_quality_score(cols: Columns) -> None:
     total = present[0]
     for p in present[1:]:
         total = total + p
-    cols["data_quality_score"] = F.round(total / F.lit(float(len(names))) * F.lit(100.0), 1)
+    cols["data_quality_score"] = X.pround(total / F.lit(float(len(names))) * F.lit(100.0), 1)

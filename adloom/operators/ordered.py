@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adloom.functions.exprs import exact_sum_type
+from adloom.functions.exprs import exact_sum_type, pround
 from adloom.session import materialize
 
 BUCKET = "_seq_b"
@@ -227,7 +227,7 @@ def attach_percentile(df: DataFrame, vr: ValueRanks, out_col: str) -> DataFrame:
     if vr.n == 0:
         return df.withColumn(out_col, F.lit(None).cast("double"))
     pct = ((F.col("_before") + (F.col("_cnt") + F.lit(1)) / F.lit(2.0)) / F.lit(float(vr.n)))
-    ranks = vr.table.select(vr.value_col, (F.round(pct, 4) * F.lit(100.0)).alias(out_col))
+    ranks = vr.table.select(vr.value_col, (pround(pct, 4) * F.lit(100.0)).alias(out_col))
     ranks = F.broadcast(ranks) if vr.small else ranks
     return df.join(ranks, on=vr.value_col, how="left").select(*df.columns, out_col)
 

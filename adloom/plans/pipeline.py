@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adloom.functions.exprs import is_datetime_type, is_numeric_type, nan_to_null
+from adloom.functions.exprs import is_datetime_type, is_numeric_type, nan_to_null, pround
 from adloom.operators import clean as C
 from adloom.operators import features as FE
 from adloom.operators.ordered import (OrderConfig, attach_percentile, exact_quantiles,
@@ -189,7 +189,7 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
                                  partition_by=opt.partition_by, cfg=opt.order)
             ma_names = [f"{c}_ma{k}" for c in roll for k in (3, 7)]
             if ma_names:
-                frame = frame.select(*[F.round(F.col(c), 4).alias(c) if c in ma_names else F.col(c)
+                frame = frame.select(*[pround(F.col(c), 4).alias(c) if c in ma_names else F.col(c)
                                        for c in frame.columns])
 
     # ---- remaining narrow features -------------------------------------------
