@@ -10,9 +10,10 @@ partition.  The operators here keep the same results but split the work:
   sees the same buckets.
 * **Prefix sums (W3).**  Per-bucket totals (one row per bucket) give each
   bucket an offset; a window *partitioned by bucket* adds the offset to the
-  running sum.  Sums of doubles are carried in fixed point
+  running sum.  Running sums of doubles are carried in fixed point
   (``decimal(38,9)``), so the distributed result does not depend on the
-  association order of partial sums.
+  association order of partial sums (trailing means over <= 7 rows use
+  doubles).
 * **Rolling rows (W2).**  The last ``k-1`` rows before each bucket (its *halo*)
   are found with a per-bucket top-k (partial ``WindowGroupLimit``, tiny
   shuffle) and unioned into that bucket; the sliding frame then sees its true
@@ -48,7 +49,7 @@ class OrderConfig:
     rows_per_bucket: int = 50_000      # target rows handled by one window task
     min_rows_to_split: int = 10_000    # below this a single window task is fine
     max_buckets: int = 200_000         # bound on the per-bucket offset table
-    small_distinct: int = 200_000      # distinct-value tables up to this are broadcast
+    small_distinct: int = 1_000_000    # distinct-value tables up to this (~16 MB) are broadcast
 
 
 def n_buckets(spark, n_rows: int, cfg: OrderConfig) -> int:
@@ -95,15 +96,14 @@ def sequence_ops(df: DataFrame, order_cols: list[str], *, n_rows: int,
     dec = exact_sum_type()
 
     def roll_exprs(w_base, halo_mask: Column | None):
+        # Trailing means over at most k values: plain double averages (a
+        # sliding frame re-aggregates its rows for every output row, so the
+        # cheap type matters; k <= 7 values cannot drift).
         out = []
         for c in roll_cols:
-            v = F.col(c).cast(dec)
             for k in windows:
                 wk = w_base.rowsBetween(-(k - 1), Window.currentRow)
-                s = F.sum(v).over(wk)
-                n = F.count(F.col(c)).over(wk)
-                out.append(F.when(n > 0, s.cast("double") / n.cast("double"))
-                           .alias(f"{c}_ma{k}"))
+                out.append(F.avg(F.col(c).cast("double")).over(wk).alias(f"{c}_ma{k}"))
         return out
 
     if partition_by:

@@ -161,22 +161,20 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
 
     frame = cols.frame(typed)
 
-    # ---- percentile ranks (W1) and quartile edges (F25) ----------------------
+    # ---- distinct-value rank tables (W1 percentiles, F25 quartile edges) -----
     ranks = {}
-    rank_targets = [c for c in RANK_TARGETS if c in cols and
-                    (("percentile" in blocks) or (c == "roas" and "tier" in blocks))]
-    for c in rank_targets:
-        ctype = dict((f.name, f.dataType) for f in frame.schema.fields)[c]
-        if not is_numeric_type(ctype):
-            continue
-        ranks[c] = value_ranks(frame, c, opt.order)
-    if "percentile" in blocks:
-        for c in RANK_TARGETS:
-            if c in ranks:
-                frame = attach_percentile(frame, ranks[c], f"{c}_percentile")
+    ftypes = {f.name: f.dataType for f in frame.schema.fields}
+    for c in RANK_TARGETS:
+        wanted = "percentile" in blocks or (c == "roas" and "tier" in blocks)
+        if wanted and c in ftypes and is_numeric_type(ftypes[c]):
+            ranks[c] = value_ranks(frame, c, opt.order)
+    pct_cols = [f"{c}_percentile" for c in RANK_TARGETS if c in ranks and "percentile" in blocks]
 
     # ---- date-ordered windows (W2, W3) ---------------------------------------
+    # Sequenced on the narrow feature frame (recomputed cheaply from the
+    # checkpointed base); the percentile joins are attached afterwards.
     order_cols: list[str] = []
+    seq_cols: list[str] = []
     if date_col:
         keys = opt.order_keys if opt.order_keys is not None else [c for c in raw_columns if c != date_col]
         order_cols = [date_col] + [k for k in keys if k != date_col]
@@ -185,12 +183,22 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
         if spend and "cumulative" in blocks:
             cum.append(spend)
         if roll or cum:
+            before = frame.columns
             frame = sequence_ops(frame, order_cols, n_rows=n, cum_cols=cum, roll_cols=roll,
                                  partition_by=opt.partition_by, cfg=opt.order)
             ma_names = [f"{c}_ma{k}" for c in roll for k in (3, 7)]
             if ma_names:
                 frame = frame.select(*[pround(F.col(c), 4).alias(c) if c in ma_names else F.col(c)
                                        for c in frame.columns])
+            # reference order: moving averages (per column, 3 then 7) before cumulative sums
+            seq_cols = ma_names + [c for c in frame.columns if c not in before and c not in ma_names]
+            frame = frame.select(*before, *seq_cols)
+    if "percentile" in blocks:
+        for c in RANK_TARGETS:
+            if c in ranks:
+                frame = attach_percentile(frame, ranks[c], f"{c}_percentile")
+    ordered = [c for c in frame.columns if c not in pct_cols and c not in seq_cols] + pct_cols + seq_cols
+    frame = frame.select(*ordered)
 
     # ---- remaining narrow features -------------------------------------------
     cols = FE.base_columns(frame)

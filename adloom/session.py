@@ -58,12 +58,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and cut its lineage.
+def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared checkpoint folder and read
+    it back: lineage is cut and the rows (including any partition ids taken
+    before the write) are fixed for every later job, even if executors are
+    lost.  Unlike ``Dataset.checkpoint`` (Java-serialised rows, no pruning),
+    later scans read only the columns they need, vectorised.
 
-    Used where a later step must see exactly the same rows and partition ids
-    as an earlier one (e.g. range-partition bucket ids), and to avoid
-    recomputing an expensive shuffle (dedup) for several stats passes.
+    Used where a later step must see exactly the same rows and bucket ids as an
+    earlier one (range-partition buckets), and to avoid recomputing an
+    expensive shuffle (dedup, joins) for several statistics passes.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    root = checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/adloom-tables/{label}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
