@@ -75,15 +75,18 @@ def engagement_cte(src: str = "f") -> str:
         parts.append(f"CASE WHEN MAX({p}) OVER () - MIN({p}) OVER () = 0 THEN 0.5 "
                      f"ELSE ({p} - MIN({p}) OVER ()) / (MAX({p}) OVER () - MIN({p}) OVER ()) END")
     return f"""
+q AS (
+  SELECT quantile_cont(roas, 0.0) AS e0, quantile_cont(roas, 0.25) AS e1, quantile_cont(roas, 0.5) AS e2,
+         quantile_cont(roas, 0.75) AS e3, MAX(roas) AS e4, COUNT(*) AS n FROM {src}),
 e AS (
-  SELECT *,
+  SELECT {src}.*,
     {pr(f"({' + '.join(parts)}) / 3.0 * 100.0", 2)} AS engagement_score,
-    CASE WHEN roas IS NULL THEN NULL
-         WHEN roas <= (SELECT quantile_cont(roas, 0.25) FROM {src}) THEN 'Poor'
-         WHEN roas <= (SELECT quantile_cont(roas, 0.5) FROM {src}) THEN 'Below Avg'
-         WHEN roas <= (SELECT quantile_cont(roas, 0.75) FROM {src}) THEN 'Above Avg'
-         WHEN roas <= (SELECT MAX(roas) FROM {src}) THEN 'Excellent' END AS spend_efficiency_tier
-  FROM {src})"""
+    CASE WHEN roas IS NULL OR q.n < 4 OR NOT (q.e0 < q.e1 AND q.e1 < q.e2 AND q.e2 < q.e3 AND q.e3 < q.e4) THEN NULL
+         WHEN roas <= q.e1 THEN 'Poor'
+         WHEN roas <= q.e2 THEN 'Below Avg'
+         WHEN roas <= q.e3 THEN 'Above Avg'
+         WHEN roas <= q.e4 THEN 'Excellent' END AS spend_efficiency_tier
+  FROM {src}, q)"""
 
 
 def pct_rank(c: str) -> str:
