@@ -277,6 +277,15 @@ def trend(df: DataFrame, value_cols: list[Column], drop_null: list[str], roles:
     return keep.select(_day(d).alias("date_label"), *value_cols)
 
 
+def position_series(df: DataFrame, order_cols: list[str], value_cols: list[str], n_rows: int) -> DataFrame:
+    """Values labelled 0..n-1 by position in the declared order (the
+    global row number comes from the distributed sequencing, not one task)."""
+    from adloom.operators.ordered import sequence_ops
+    seq = sequence_ops(df.select(*dict.fromkeys(order_cols + value_cols)), order_cols, n_rows=n_rows,
+                       row_number_col="_rn")
+    return seq.select((F.col("_rn") - 1).alias("row_index"), *value_cols)
+
+
 def flagged_rows(df: DataFrame, order_cols: list[str], limit: int = 50) -> tuple[DataFrame, DataFrame]:
     """rows with any flag, first ``limit`` in the declared order, display columns only."""
     flags = [c for c in FLAG_COLUMNS if c in df.columns]

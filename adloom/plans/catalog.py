@@ -128,6 +128,16 @@ def q_suspicious_by_channel(spark, sf):
                  F.count_if("is_retargeting").alias("retargeting")))
 
 
+def q_revenue_trend(spark, sf):
+    return R.trend(_sales(spark, sf), [pround("revenue", 2).alias("revenue")], [])
+
+
+def q_clicks_impressions_series(spark, sf):
+    """T3 + W4: per-row series labelled by 0-based position in the declared order."""
+    res = cleaned(spark, sf, "sales_facts")
+    return R.position_series(res.df, res.order_cols, ["clicks", "impressions"], res.report["rows"])
+
+
 def q_page(spark, sf):
     res = cleaned(spark, sf, "sales_facts")
     pg = R.page(res.df, "revenue", False, 3, res.order_cols)
@@ -206,6 +216,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "suspicious_by_channel": q_suspicious_by_channel,
     "page_by_revenue": q_page,
     "page_count": q_page_count,
+    "revenue_trend": q_revenue_trend,
+    "clicks_impressions_series": q_clicks_impressions_series,
+    "dataset_summary": lambda s, sf: P.dataset_summary(_dirty(s, sf)),
+    "null_columns": lambda s, sf: P.null_columns(_dirty(s, sf)),
     "dedup": q_dedup,
     "duplicate_rate": lambda s, sf: P.duplicate_rate(_dirty(s, sf)),
     "fill_zero_mode": q_fill("zero", "mode"),

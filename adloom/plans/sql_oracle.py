@@ -256,6 +256,9 @@ def oracle_queries() -> dict[str, str]:
     q["page_by_revenue"] = with_sales(
         f"SELECT l_orderkey, l_linenumber, l_partkey, {pr('revenue', 2)} AS revenue FROM f "
         f"ORDER BY revenue DESC NULLS LAST, {SALES_ORDER} LIMIT 50 OFFSET 100")
+    q["revenue_trend"] = with_sales(f"SELECT {DAY} AS date_label, {pr('revenue', 2)} AS revenue FROM f WHERE date IS NOT NULL")
+    q["clicks_impressions_series"] = with_sales(
+        f"SELECT CAST(ROW_NUMBER() OVER (ORDER BY {SALES_ORDER}) - 1 AS BIGINT) AS row_index, clicks, impressions FROM f")
     q["page_count"] = with_sales("SELECT COUNT(*) AS rows, CAST(GREATEST(CEIL(COUNT(*) / 50), 1) AS BIGINT) AS pages FROM f")
 
     # ---- dirty_orders: validation, profiling, cleaning ----------------------
@@ -310,6 +313,15 @@ def oracle_queries() -> dict[str, str]:
         "CAST((SELECT COUNT(*) FROM raw) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM raw)) AS BIGINT) AS rows_removed, "
         "CAST((SELECT COUNT(*) FROM raw) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM raw)) AS BIGINT) AS duplicates_removed, "
         "CAST((SELECT " + " + ".join(f"COUNT(*) - COUNT({c})" for c in DIRTY_COLS) + " FROM (SELECT DISTINCT * FROM raw)) AS BIGINT) AS nulls_filled")
+    q["dataset_summary"] = raw + (
+        "SELECT COUNT(*) AS total_rows, CAST(6 AS BIGINT) AS total_columns, CAST(3 AS BIGINT) AS numeric_columns, "
+        "CAST(2 AS BIGINT) AS categorical_columns, CAST(" + " + ".join(f"COUNT(*) - COUNT({c})" for c in DIRTY_COLS)
+        + " AS BIGINT) AS total_nulls, CAST(COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM raw)) AS BIGINT) "
+        "AS total_duplicates FROM raw")
+    q["null_columns"] = raw + " UNION ALL ".join(
+        f"(SELECT '{c}' AS column, CAST(COUNT(*) - COUNT({c}) AS BIGINT) AS null_count, "
+        f"ROUND((COUNT(*) - COUNT({c})) * 100.0::DOUBLE / COUNT(*), 1) AS null_pct, COUNT({c}) = 0 AS all_null, "
+        f"(COUNT(*) - COUNT({c})) * 100.0::DOUBLE / COUNT(*) >= 50 AS high_null FROM raw)" for c in DIRTY_COLS)
     q["search_urgent"] = raw + (
         "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority "
         "FROM raw WHERE " + " OR ".join(f"COALESCE(contains(lower(CAST({c} AS VARCHAR)), 'urgent'), false)" for c in DIRTY_COLS))
