@@ -138,7 +138,7 @@ def sequence_ops(df: DataFrame, order_cols: list[str], *, n_rows: int,
 
     # 1. Range-partition on the total order and pin bucket ids.
     staged = materialize(df.repartitionByRange(nb, *order)
-                         .withColumn(BUCKET, F.spark_partition_id()))
+                         .withColumn(BUCKET, F.spark_partition_id()), "sequenced")
 
     # 2. Per-bucket totals -> offsets (one row per bucket; nb is bounded).
     tot = [F.count(F.lit(1)).alias("_cnt")]
@@ -204,18 +204,29 @@ class ValueRanks:
     value_col: str
 
 
-def value_ranks(df: DataFrame, value_col: str, cfg: OrderConfig | None = None) -> ValueRanks:
+def value_ranks(df: DataFrame, value_col: str, cfg: OrderConfig | None = None,
+                n: int | None = None, m_estimate: int | None = None) -> ValueRanks:
+    """Distinct-value table with the number of smaller rows per value.
+
+    ``n`` (non-null rows) and ``m_estimate`` (an HLL estimate of distinct
+    values) may come from an earlier statistics pass; the estimate only picks
+    the plan, with a 25 % margin below the broadcast bound."""
     cfg = cfg or OrderConfig()
     vc = (df.select(value_col).where(F.col(value_col).isNotNull())
           .groupBy(value_col).agg(F.count(F.lit(1)).alias("_cnt")))
-    agg = vc.agg(F.count(F.lit(1)).alias("m"), F.sum("_cnt").alias("n")).first()
-    m, n = int(agg["m"] or 0), int(agg["n"] or 0)
-    if m <= cfg.small_distinct:
+    if n is None or m_estimate is None:
+        agg = vc.agg(F.count(F.lit(1)).alias("m"), F.sum("_cnt").alias("n")).first()
+        m, n = int(agg["m"] or 0), int(agg["n"] or 0)
+        small = m <= cfg.small_distinct
+    else:
+        m = int(m_estimate)
+        small = m <= 0.75 * cfg.small_distinct
+    if small:
         w = Window.orderBy(F.col(value_col).asc()).rowsBetween(Window.unboundedPreceding, -1)
         table = vc.select(value_col, "_cnt",
                           F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_before"))
         return ValueRanks(table, n, m, True, value_col)
-    vc = materialize(vc)
+    vc = materialize(vc, "distinct")
     seq = sequence_ops(vc, [value_col], n_rows=m, cum_cols=["_cnt"], cfg=cfg,
                        cum_names={"_cnt": "_upto"})
     table = seq.select(value_col, "_cnt", (F.col("_upto") - F.col("_cnt")).alias("_before"))

@@ -71,7 +71,7 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
     df = df.select(*[nan_to_null(f.name, f.dataType).alias(f.name) for f in df.schema.fields])
     base = df.dropDuplicates()
     if opt.checkpoint_base:
-        base = materialize(base)
+        base = materialize(base, "base")
 
     numeric = C.numeric_of(base.schema)
     categorical = [f.name for f in base.schema.fields if isinstance(f.dataType, T.StringType)]
@@ -85,6 +85,7 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
     aggs = [F.count(F.lit(1)).alias("__n")]
     aggs += [F.count(F.col(c)).alias(f"nn__{c}") for c in base.columns]
     aggs += [F.avg(F.col(c)).alias(f"mean__{c}") for c in numeric]
+    aggs += [x for c in numeric for x in (F.min(c).alias(f"lo__{c}"), F.max(c).alias(f"hi__{c}"))]
     aggs += [F.count(C.parse_datetime(F.col(c))).alias(f"dt__{c}") for c in date_text]
     s1 = base.agg(*aggs).first().asDict()
     n = int(s1["__n"])
@@ -131,12 +132,22 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
     planned = cols.frame(typed)
     st = [F.count(F.lit(1)).alias("__n")]
     zcand = [c for c in numeric_final if "zscore" in blocks]
+    inv_name = {v: k for k, v in final_name.items()}
     for c in zcand:
-        st += [F.avg(c).alias(f"m__{c}"), F.stddev_samp(c).alias(f"s__{c}"),
-               F.min(c).alias(f"lo__{c}"), F.max(c).alias(f"hi__{c}")]
+        st += [F.avg(c).alias(f"m__{c}"), F.stddev_samp(c).alias(f"s__{c}")]
+        # ">= 3 distinct values" <=> some value strictly between min and max; the
+        # filled min / max follow from the raw ones (zero fill adds 0, a mean
+        # fill stays inside), so this needs no extra pass
+        lo, hi = _filled_range(s1, inv_name[c], null_counts[inv_name[c]], strat_num)
+        if lo is not None and hi is not None and lo < hi:
+            st.append(F.count_if((F.col(c) > F.lit(lo)) & (F.col(c) < F.lit(hi))).alias(f"mid__{c}"))
     eng = [p for p in FE.ENGAGEMENT_PARTS if p in cols] if "engagement" in blocks else []
     for p in eng:
         st += [F.min(p).alias(f"elo__{p}"), F.max(p).alias(f"ehi__{p}")]
+    rank_cols = [c for c in RANK_TARGETS if c in cols and is_numeric_type(planned.schema[c].dataType)
+                 and ("percentile" in blocks or (c == "roas" and "tier" in blocks))]
+    for c in rank_cols:
+        st += [F.count(c).alias(f"rn__{c}"), F.approx_count_distinct(c, 0.02).alias(f"rm__{c}")]
     from adloom.functions.exprs import epoch_micros
     if date_col and "temporal" in blocks:
         st.append(F.min(epoch_micros(date_col, types[date_col])).alias("__dmin"))
@@ -148,26 +159,16 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
         _move_after(cols, ["day_of_week", "is_weekend", "month", "quarter", "week_number",
                            "days_since_start"], anchor=_last_of(cols, ["conversion_rate", "ctr", "revenue"]))
 
-    # z-scores: >= 3 distinct values (some value strictly between min and max) and std != 0
-    zstats = {}
-    if zcand:
-        live = [c for c in zcand if s2[f"s__{c}"] not in (None, 0.0) and s2[f"lo__{c}"] is not None
-                and s2[f"hi__{c}"] is not None and s2[f"lo__{c}"] != s2[f"hi__{c}"]]
-        if live:
-            mids = planned.agg(*[F.count_if((F.col(c) > F.lit(s2[f"lo__{c}"])) &
-                                            (F.col(c) < F.lit(s2[f"hi__{c}"]))).alias(c) for c in live]).first()
-            zstats = {c: (float(s2[f"m__{c}"]), float(s2[f"s__{c}"])) for c in live if mids[c] > 0}
+    # z-scores: >= 3 distinct values and std != 0
+    zstats = {c: (float(s2[f"m__{c}"]), float(s2[f"s__{c}"])) for c in zcand
+              if s2[f"s__{c}"] not in (None, 0.0) and (s2.get(f"mid__{c}") or 0) > 0}
     FE.add_zscores(cols, zstats)
 
     frame = cols.frame(typed)
 
     # ---- distinct-value rank tables (W1 percentiles, F25 quartile edges) -----
-    ranks = {}
-    ftypes = {f.name: f.dataType for f in frame.schema.fields}
-    for c in RANK_TARGETS:
-        wanted = "percentile" in blocks or (c == "roas" and "tier" in blocks)
-        if wanted and c in ftypes and is_numeric_type(ftypes[c]):
-            ranks[c] = value_ranks(frame, c, opt.order)
+    ranks = {c: value_ranks(frame, c, opt.order, n=int(s2[f"rn__{c}"]), m_estimate=int(s2[f"rm__{c}"]))
+             for c in rank_cols}
     pct_cols = [f"{c}_percentile" for c in RANK_TARGETS if c in ranks and "percentile" in blocks]
 
     # ---- date-ordered windows (W2, W3) ---------------------------------------
@@ -183,16 +184,19 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
         if spend and "cumulative" in blocks:
             cum.append(spend)
         if roll or cum:
-            before = frame.columns
-            frame = sequence_ops(frame, order_cols, n_rows=n, cum_cols=cum, roll_cols=roll,
-                                 partition_by=opt.partition_by, cfg=opt.order)
+            # Sequence only the raw columns (they are the order keys) plus the
+            # derived measures the windows need; every other feature is a narrow
+            # expression over raw columns and is applied after the window pass,
+            # so the range shuffle, sort and stage table stay narrow.
+            need = [c for c in dict.fromkeys(roll + cum) if c not in raw_columns]
+            seq_in = typed.select(*raw_columns, *[cols[c].alias(c) for c in need])
+            seq = sequence_ops(seq_in, order_cols, n_rows=n, cum_cols=cum, roll_cols=roll,
+                               partition_by=opt.partition_by, cfg=opt.order)
             ma_names = [f"{c}_ma{k}" for c in roll for k in (3, 7)]
-            if ma_names:
-                frame = frame.select(*[pround(F.col(c), 4).alias(c) if c in ma_names else F.col(c)
-                                       for c in frame.columns])
             # reference order: moving averages (per column, 3 then 7) before cumulative sums
-            seq_cols = ma_names + [c for c in frame.columns if c not in before and c not in ma_names]
-            frame = frame.select(*before, *seq_cols)
+            seq_cols = ma_names + [c for c in seq.columns if c not in seq_in.columns and c not in ma_names]
+            frame = seq.select(*[F.col(nm) if nm in seq_in.columns else e.alias(nm) for nm, e in cols.items()],
+                               *[pround(F.col(c), 4).alias(c) if c in ma_names else F.col(c) for c in seq_cols])
     if "percentile" in blocks:
         for c in RANK_TARGETS:
             if c in ranks:
@@ -220,6 +224,18 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
     return CleanResult(out, report, raw_columns, date_col, order_cols)
 
 
+def _filled_range(s1: dict, c: str, nulls: int, strategy: str):
+    """Min / max of column ``c`` after imputation, from the raw statistics."""
+    lo, hi = s1.get(f"lo__{c}"), s1.get(f"hi__{c}")
+    if nulls == 0:
+        return lo, hi
+    if lo is None:  # all null -> filled with 0
+        return 0, 0
+    if strategy == "mean":
+        return lo, hi
+    return min(lo, 0), max(hi, 0)
+
+
 def _last_of(cols, names):
     present = [n for n in names if n in cols]
     if not present:
