@@ -147,7 +147,7 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
     rank_cols = [c for c in RANK_TARGETS if c in cols and is_numeric_type(planned.schema[c].dataType)
                  and ("percentile" in blocks or (c == "roas" and "tier" in blocks))]
     for c in rank_cols:
-        st += [F.count(c).alias(f"rn__{c}"), F.approx_count_distinct(c, 0.02).alias(f"rm__{c}")]
+        st += [F.count(c).alias(f"rn__{c}"), F.approx_count_distinct(c, 0.05).alias(f"rm__{c}")]
     from adloom.functions.exprs import epoch_micros
     if date_col and "temporal" in blocks:
         st.append(F.min(epoch_micros(date_col, types[date_col])).alias("__dmin"))
