@@ -40,22 +40,31 @@ def duplicate_rate(df: DataFrame) -> DataFrame:
                       F.round(F.col("duplicates") * 100.0 / F.col("rows"), 1).alias("dup_pct"))
 
 
-def column_profile(df: DataFrame) -> DataFrame:
-    """V7 + V8: per column dtype, nulls, distinct counts; numeric min/max/mean/median/std."""
+def column_profile(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
+    """V7 + V8: per column dtype, nulls, distinct counts; numeric min/max/mean/median/std.
+
+    ``exact_distinct=False`` (opt-in for very wide / huge tables) takes distinct
+    counts from HLL sketches in the wide aggregate instead of the unpivoted
+    value-count shuffle."""
     spark = df.sparkSession
     numeric = _numeric(df)
     aggs = [F.count(F.lit(1)).alias("__n")] + [F.count(F.col(c)).alias(f"nn__{c}") for c in df.columns]
     for c in numeric:
         aggs += [F.min(c).cast("double").alias(f"lo__{c}"), F.max(c).cast("double").alias(f"hi__{c}"),
                  F.avg(c).alias(f"m__{c}"), F.stddev_samp(c).alias(f"s__{c}")]
+    if not exact_distinct:
+        aggs += [F.approx_count_distinct(c).alias(f"ad__{c}") for c in df.columns]
     wide = df.agg(*aggs).first().asDict()
     n = int(wide["__n"])
     medians = {}
     for c in numeric:
         q = exact_quantiles(value_ranks(df, c), [0.5])
         medians[c] = q[0] if q else None
-    distinct = {r["column"]: int(r["d"]) for r in
-                value_counts(df, df.columns).groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
+    if exact_distinct:
+        distinct = {r["column"]: int(r["d"]) for r in
+                    value_counts(df, df.columns).groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
+    else:
+        distinct = {c: int(wide[f"ad__{c}"]) for c in df.columns}
     rows = []
     for f in df.schema.fields:
         c = f.name

@@ -74,3 +74,16 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     path = f"{root}/adloom-tables/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def drop_stage_tables(spark: SparkSession) -> None:
+    """Delete the stage tables this engine wrote under the checkpoint folder.
+
+    Call when no DataFrame derived from them is used any more (e.g. after the
+    cleaned table has been written to its final place)."""
+    root = checkpoint_dir(spark).rstrip("/") + "/adloom-tables"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        fs.delete(path, True)
