@@ -149,7 +149,8 @@ def sequence_ops(df: DataFrame, order_cols: list[str], *, n_rows: int,
                 F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off")]
     off_cols += [F.coalesce(F.sum(f"_tot{i}").over(before), F.lit(0)).alias(f"_ooff{i}")
                  for i in range(len(cum_cols))]
-    offsets = stats.select(*off_cols)
+    # one row per bucket (<= max_buckets): written once, read by the three joins below
+    offsets = materialize(stats.select(*off_cols), "offsets")
 
     body = staged.withColumn(HALO, F.lit(False))
     h = max(windows) - 1 if roll_cols else 0
