@@ -180,6 +180,14 @@ def q_fill(numeric: str, categorical: str):
     return run
 
 
+def q_typed_orders(spark, sf):
+    """C7 + C8 + F4-F6: a text date column is parsed, 'amount' becomes 'price'."""
+    res = clean_dataset(view(spark, sf, "orders_text"),
+                        CleanOptions(blocks=frozenset({"temporal"}), checkpoint_base=False))
+    return res.df.select("o_orderkey", F.date_format("order_date", "yyyy-MM-dd").alias("order_day"),
+                         "price", "day_of_week", "month", "is_weekend")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ad_channel_revenue": lambda s, sf: R.channel_revenue(_ads(s, sf)),
     "ad_kpi_totals": lambda s, sf: R.kpi_totals(_ads(s, sf)),
@@ -220,6 +228,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clicks_impressions_series": q_clicks_impressions_series,
     "dataset_summary": lambda s, sf: P.dataset_summary(_dirty(s, sf)),
     "null_columns": lambda s, sf: P.null_columns(_dirty(s, sf)),
+    "typed_orders": q_typed_orders,
     "dedup": q_dedup,
     "duplicate_rate": lambda s, sf: P.duplicate_rate(_dirty(s, sf)),
     "fill_zero_mode": q_fill("zero", "mode"),

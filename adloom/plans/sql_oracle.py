@@ -322,6 +322,11 @@ def oracle_queries() -> dict[str, str]:
         f"(SELECT '{c}' AS column, CAST(COUNT(*) - COUNT({c}) AS BIGINT) AS null_count, "
         f"ROUND((COUNT(*) - COUNT({c})) * 100.0::DOUBLE / COUNT(*), 1) AS null_pct, COUNT({c}) = 0 AS all_null, "
         f"(COUNT(*) - COUNT({c})) * 100.0::DOUBLE / COUNT(*) >= 50 AS high_null FROM raw)" for c in DIRTY_COLS)
+    q["typed_orders"] = (
+        f"WITH t AS ({view_sql('orders_text')}), p AS (SELECT DISTINCT * FROM t) "
+        "SELECT o_orderkey, strftime(CAST(order_date AS TIMESTAMP), '%Y-%m-%d') AS order_day, amount AS price, "
+        "dayname(CAST(order_date AS TIMESTAMP)) AS day_of_week, strftime(CAST(order_date AS TIMESTAMP), '%Y-%m') AS month, "
+        "dayofweek(CAST(order_date AS TIMESTAMP)) IN (0, 6) AS is_weekend FROM p")
     q["search_urgent"] = raw + (
         "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority "
         "FROM raw WHERE " + " OR ".join(f"COALESCE(contains(lower(CAST({c} AS VARCHAR)), 'urgent'), false)" for c in DIRTY_COLS))

@@ -73,10 +73,17 @@ FROM {orders}
 WHERE o_orderpriority = '1-URGENT'
 """
 
+# Orders as a text export: the date arrives as text and the amount under an alias.
+ORDERS_TEXT_SQL = """
+SELECT o_orderkey, CAST(o_orderdate AS STRING) AS order_date, o_totalprice AS amount, o_orderstatus
+FROM {orders}
+"""
+
 VIEWS = {
     "ad_facts": (AD_FACTS_SQL, ("events",)),
     "sales_facts": (SALES_FACTS_SQL, ("lineitem", "part")),
     "dirty_orders": (DIRTY_ORDERS_SQL, ("orders",)),
+    "orders_text": (ORDERS_TEXT_SQL, ("orders",)),
 }
 
 # Declared total order after the date, per view (all raw columns).
