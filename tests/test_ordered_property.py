@@ -19,6 +19,10 @@ def _s(v):
     return (v is None, 0.0 if v is None else v)
 
 
+def _key(t):
+    return (t[0], _s(t[1]), _s(t[2]))
+
+
 @settings(max_examples=8, deadline=None, phases=[Phase.explicit, Phase.reuse, Phase.generate],
           suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(rows=st.lists(row, min_size=1, max_size=40))
@@ -27,16 +31,16 @@ def test_distributed_equals_pandas(spark, rows):
     df = spark.createDataFrame(data, "day int, k int, v double")
     out = sequence_ops(df, ["day", "k", "v"], n_rows=len(data), cum_cols=["v"], roll_cols=["v"],
                        windows=(3,), cfg=OrderConfig(rows_per_bucket=3, min_rows_to_split=1))
-    got = sorted(((r["day"] if r["day"] is not None else 99, r["k"], _s(r["v"])), r["v_cumulative"], r["v_ma3"])
-                 for r in out.collect())
+    got = sorted((((r["day"] if r["day"] is not None else 99, r["k"], _s(r["v"])), r["v_cumulative"], r["v_ma3"])
+                  for r in out.collect()), key=_key)
     pdf = pd.DataFrame(data, columns=["day", "k", "v"]).astype({"day": "float64", "v": "float64"})
     pdf["dd"] = pdf["day"].fillna(99).astype(int)
     pdf["vv"] = pdf["v"].fillna(math.inf)  # nulls last inside ties, as the declared order
     pdf = pdf.sort_values(["dd", "k", "vv"], kind="stable")
     pdf["cum"] = pdf["v"].cumsum()
     pdf["ma3"] = pdf["v"].rolling(3, min_periods=1).mean()
-    exp = sorted(((int(r.dd), r.k, _s(None if pd.isna(r.v) else r.v)), None if pd.isna(r.cum) else r.cum,
-                  None if pd.isna(r.ma3) else r.ma3) for r in pdf.itertuples())
+    exp = sorted((((int(r.dd), r.k, _s(None if pd.isna(r.v) else r.v)), None if pd.isna(r.cum) else r.cum,
+                  None if pd.isna(r.ma3) else r.ma3) for r in pdf.itertuples()), key=_key)
     assert len(got) == len(exp)
     for a, b in zip(got, exp):
         assert a[0] == b[0]
