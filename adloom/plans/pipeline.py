@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adloom.functions.exprs import is_datetime_type, is_numeric_type, nan_to_null, pround
+from adloom.functions.exprs import epoch_micros, is_datetime_type, is_numeric_type, nan_to_null, pround
 from adloom.operators import clean as C
 from adloom.operators import features as FE
 from adloom.operators.ordered import (OrderConfig, attach_percentile, exact_quantiles,
                                       sequence_ops, value_ranks)
-from adloom.operators.roles import (CUMULATIVE_TARGETS, RANK_TARGETS,
+from adloom.operators.roles import (CUMULATIVE_TARGETS, RANK_TARGETS, has_date_keyword,
                                     metric_keyword_columns)
 from adloom.session import materialize
 
@@ -54,10 +54,6 @@ class CleanResult:
     order_cols: list[str]
 
 
-def _needs(blocks, *names) -> bool:
-    return any(n in blocks for n in names)
-
-
 def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanResult:
     opt = options or CleanOptions()
     blocks = opt.blocks
@@ -78,8 +74,7 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
     rename, warn = C.alias_plan(base.columns)
     report["warnings"] += warn
     final_name = {c: rename.get(c, c) for c in base.columns}
-    date_text = [c for c in categorical if any(k in final_name[c] for k in
-                                               ("date", "time", "timestamp", "datetime", "created", "updated"))]
+    date_text = [c for c in categorical if has_date_keyword(final_name[c])]
 
     # ---- job: null counts, means, date parse counts ------------------------
     aggs = [F.count(F.lit(1)).alias("__n")]
@@ -148,7 +143,6 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
                  and ("percentile" in blocks or (c == "roas" and "tier" in blocks))]
     for c in rank_cols:
         st += [F.count(c).alias(f"rn__{c}"), F.approx_count_distinct(c, 0.05).alias(f"rm__{c}")]
-    from adloom.functions.exprs import epoch_micros
     if date_col and "temporal" in blocks:
         st.append(F.min(epoch_micros(date_col, types[date_col])).alias("__dmin"))
     s2 = planned.agg(*st).first().asDict()
