@@ -257,6 +257,11 @@ def digest_text(df: DataFrame, roles: dict | None = None) -> DataFrame:
     return df.agg(F.concat_ws("; ", *parts).alias("digest"))
 
 
+def digest_sample(df: DataFrame, order_cols: list[str], k: int = 5) -> DataFrame:
+    """The first ``k`` rows in the declared order (per-task top-k, no global sort)."""
+    return df.orderBy(*[F.col(c).asc_nulls_last() for c in order_cols]).limit(k)
+
+
 # ---- T1-T10 ----------------------------------------------------------------
 def top_days(df: DataFrame, k: int, roles: dict | None = None) -> DataFrame:
     """K best days by revenue, ties keep the earliest date; pct of the best."""

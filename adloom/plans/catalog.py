@@ -138,6 +138,13 @@ def q_clicks_impressions_series(spark, sf):
     return R.position_series(res.df, res.order_cols, ["clicks", "impressions"], res.report["rows"])
 
 
+def q_digest_sample(spark, sf):
+    res = cleaned(spark, sf, "sales_facts")
+    return R.digest_sample(res.df, res.order_cols).select(
+        _day().alias("date_label"), "campaign_name", pround("revenue", 2).alias("revenue"),
+        "clicks", "impressions", "conversions")
+
+
 def q_page(spark, sf):
     res = cleaned(spark, sf, "sales_facts")
     pg = R.page(res.df, "revenue", False, 3, res.order_cols)
@@ -206,6 +213,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gauge": lambda s, sf: R.gauge(_sales(s, sf)),
     "anomaly_total": lambda s, sf: R.anomaly_total(_sales(s, sf)),
     "digest": lambda s, sf: R.digest(_sales(s, sf), SALES_NUMERIC),
+    "digest_sample": q_digest_sample,
     "top10_days": q_top_days(10),
     "top5_days": q_top_days(5),
     "roas_trend": q_roas_trend,

@@ -208,6 +208,9 @@ def oracle_queries() -> dict[str, str]:
     q["digest"] = with_sales(" UNION ALL ".join(
         f"SELECT '{c}' AS column, ROUND(CAST(MIN({c}) AS DOUBLE), 2) AS min, ROUND(CAST(MAX({c}) AS DOUBLE), 2) AS max, "
         f"ROUND(AVG({c}), 2) AS mean, ROUND(STDDEV_SAMP({c}), 2) AS std FROM f" for c in SALES_NUMERIC))
+    q["digest_sample"] = with_sales(
+        f"SELECT {DAY} AS date_label, campaign_name, {pr('revenue', 2)} AS revenue, clicks, impressions, conversions "
+        f"FROM f ORDER BY {SALES_ORDER} LIMIT 5")
     q["top10_days"] = with_sales(
         f"SELECT {DAY} AS date_label, ROUND(SUM(revenue), 2) AS revenue FROM f WHERE date IS NOT NULL GROUP BY 1 "
         "ORDER BY SUM(revenue) DESC, 1 ASC LIMIT 10")
