@@ -69,3 +69,17 @@ def test_audit_log(spark, tmpdir_path):
     audit.record_upload("u2", "z_cleaned", "z.csv", 1, 2)
     assert [r["table_name"] for r in audit.uploads("u1").collect()] == ["t_cleaned"]
     assert audit.runs().where(F.col("status") == "ok").count() == 2
+
+
+def test_validate_batch_by_file(spark, tmpdir_path):
+    from adloom.operators.profile import validate_by_file
+    from adloom.sources.csv import CsvOptions
+    folder = f"{tmpdir_path}/batch"
+    _write(f"{folder}/one.csv", "a,b,c\n1,x,\n1,x,\n2,y,\n")
+    _write(f"{folder}/two.csv", "a,b,c\n3,z,q\n4,,r\n")
+    df, _ = read_csv(spark, folder, CsvOptions(with_file_name=True))
+    got = {r["file"]: r for r in validate_by_file(df).collect()}
+    assert (got["one.csv"]["rows"], got["one.csv"]["duplicates"], got["one.csv"]["nulls"]) == (3, 1, 3)
+    assert got["one.csv"]["all_null_columns"] == ["c"] and got["two.csv"]["all_null_columns"] == []
+    assert (got["two.csv"]["rows"], got["two.csv"]["duplicates"], got["two.csv"]["nulls"]) == (2, 0, 1)
+    assert got["one.csv"]["valid"] and got["two.csv"]["valid"]
