@@ -9,7 +9,8 @@ from adloom.plans.pipeline import clean_dataset
 from adloom.sources.csv import read_csv
 from conftest import GOLDEN
 
-pytestmark = pytest.mark.skipif(not os.path.exists(GOLDEN), reason="sample file not available")
+pytestmark = pytest.mark.skipif(not GOLDEN or not os.path.exists(GOLDEN),
+                                reason="set ADLOOM_SAMPLE_CSV to the sample marketing file")
 
 
 @pytest.fixture(scope="module")
