@@ -1,9 +1,11 @@
 """clean_dataset: load -> validate -> clean -> features -> ordered features.
 
 Spark jobs, in order (everything else is lazy):
-  1. dedup + checkpoint of the base table (one shuffle, hash aggregate with
-     map-side combine, so a group of identical copies collapses early);
-  2. one wide aggregate for null counts, means, parse counts of date text;
+  1. dedup + stage table of the base (one shuffle, hash aggregate with
+     map-side combine, so a group of identical copies collapses early); null
+     counts, means, min / max and date parse counts are Observation metrics of
+     that same write;
+  2. (no separate pass for those statistics);
   3. one wide aggregate for the feature statistics (+ one cheap pass deciding
      which columns have >= 3 distinct values);
   4. per rank target: a distinct-value table (see operators/ordered.py);
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,9 +68,6 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
     df = C.normalize_headers(df)
     df = df.select(*[nan_to_null(f.name, f.dataType).alias(f.name) for f in df.schema.fields])
     base = df.dropDuplicates()
-    if opt.checkpoint_base:
-        base = materialize(base, "base")
-
     numeric = C.numeric_of(base.schema)
     categorical = [f.name for f in base.schema.fields if isinstance(f.dataType, T.StringType)]
     rename, warn = C.alias_plan(base.columns)
@@ -76,13 +75,20 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
     final_name = {c: rename.get(c, c) for c in base.columns}
     date_text = [c for c in categorical if has_date_keyword(final_name[c])]
 
-    # ---- job: null counts, means, date parse counts ------------------------
+    # ---- null counts, means, min / max, date parse counts -------------------
+    # Computed as Observation metrics while the deduplicated base is written to
+    # its stage table, so they cost no extra pass over the data.
     aggs = [F.count(F.lit(1)).alias("__n")]
     aggs += [F.count(F.col(c)).alias(f"nn__{c}") for c in base.columns]
     aggs += [F.avg(F.col(c)).alias(f"mean__{c}") for c in numeric]
     aggs += [x for c in numeric for x in (F.min(c).alias(f"lo__{c}"), F.max(c).alias(f"hi__{c}"))]
     aggs += [F.count(C.parse_datetime(F.col(c))).alias(f"dt__{c}") for c in date_text]
-    s1 = base.agg(*aggs).first().asDict()
+    if opt.checkpoint_base:
+        obs = Observation("adloom_base_stats")
+        base = materialize(base.observe(obs, *aggs), "base")
+        s1 = dict(obs.get)
+    else:
+        s1 = base.agg(*aggs).first().asDict()
     n = int(s1["__n"])
     null_counts = {c: n - int(s1[f"nn__{c}"]) for c in base.columns}
     means = {c: s1[f"mean__{c}"] for c in numeric}
