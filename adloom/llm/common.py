@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,3 +73,47 @@ def small_slices(batches, rows: int = 500):
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null: empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+
+
+#: A blank after any white space: only there may a cut before a blank split a match.
+_WHITE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+          "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+_UNSAFE = tuple(c + " " for c in _WHITE)
+_ANY_PIECE = regex.compile(r"\s*\S+|\s+")
+
+
+def space_pieces(text: str) -> list[str]:
+    """Cut a text between a non-space and the space after it, where no match of a
+    byte-level pre-tokenizer pattern can lie; joined, the pieces give the text."""
+    if not text:
+        return []
+    if any(x in text for x in _UNSAFE):
+        return _ANY_PIECE.findall(text)
+    first, *rest = text.split(" ")
+    pieces = [" " + p for p in rest]
+    return [first, *pieces] if first else pieces
+
+
+class PieceMemory(dict):
+    """piece -> value, made by ``make`` when missing; holds at most ``limit`` pieces.
+
+    Two generations: a full young one becomes the old one, and what is used again moves
+    over.  Long pieces are not kept."""
+
+    def __init__(self, make, limit: int, longest: int = 64):
+        super().__init__()
+        self.make, self.half, self.longest, self.old = make, max(1, limit // 2), longest, {}
+
+    def __missing__(self, piece):
+        value = self.old.get(piece)
+        if value is None:
+            value = self.make(piece)
+        if len(piece) <= self.longest:
+            self.add(piece, value)
+        return value
+
+    def add(self, piece, value) -> None:
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = value

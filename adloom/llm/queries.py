@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from adloom.llm.bpe import bpe_round_trip
 from adloom.llm.mixing import mix_sources
 from adloom.llm.quality_rules import quality_rules
+from adloom.llm.secrets import KINDS, secret_scan, span_text
+from adloom.llm.token_store import read_store, store_folder, write_store
+from adloom.llm.toxicity import held_out, score_texts, train_toxicity
 from adloom.llm.url_filter import url_filter
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"),
@@ -29,4 +35,33 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_url_filter, op5_mixing)}
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.col("found")
+    count = lambda k: F.size(F.filter(found, lambda x: x["kind"] == k)).cast("long")
+    base = F.filter(found, lambda x: x["kind"] < len(KINDS))
+    return secret_scan(_table(spark, sf_dir, "documents")).select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(span_text(base), 256).alias("base_sha256"), span_text(found).alias("spans"))
+
+
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = store_folder(spark, "token-store")
+    write_store(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_store(spark, folder)
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                          public_tokenizers.PATTERN)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = train_toxicity(docs, _table(spark, sf_dir, "labels"))
+    return score_texts(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op3_url_filter, op4_token_store, op5_mixing, op6_byte_bpe, op8_secret_scan, op10_toxicity)}
