@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+import adloom
 from adloom.session import materialize
 
 #: Word separators of every word-based operator: space and the six ASCII controls 9 to 13.
@@ -15,6 +20,20 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the executors' Python this package, once per session, however Spark was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_adloom_shipped", None) is None:
+        root = Path(adloom.__file__).parent
+        path = Path(tempfile.mkdtemp(prefix="adloom-")) / "adloom.zip"   # the driver's own; Spark hands it out
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(path))
+        sc._adloom_shipped = str(path)
+    return spark
+
+
 def words_of(text: Column) -> Column:
     """Array of the maximal runs of non-separator characters (null or empty text: no word)."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
@@ -63,6 +82,12 @@ def _null_safe(pairs: list[tuple[str, str]]) -> Column:
     return cond
 
 
+def join_few(big: DataFrame, few: DataFrame, on, how: str = "inner", most: int = 500_000) -> DataFrame:
+    """Join with a table that is usually small: broadcast if it has at most ``most`` (narrow)
+    rows, which is counted, else a shuffle join."""
+    return big.join(F.broadcast(few) if few.count() <= most else few, on, how)
+
+
 def small_slices(batches, rows: int = 500):
     """Cut Arrow batches into slices of at most ``rows`` rows, to bound a worker's memory."""
     for batch in batches:

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adloom.llm.bpe import bpe_round_trip
+from adloom.llm.common import ship
+from adloom.llm.jaccard_join import jaccard_classes
 from adloom.llm.mixing import mix_sources
 from adloom.llm.quality_rules import quality_rules
 from adloom.llm.secrets import KINDS, secret_scan, span_text
@@ -19,7 +21,7 @@ URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"),
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +57,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           public_tokenizers.PATTERN)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = train_toxicity(docs, _table(spark, sf_dir, "labels"))
@@ -64,4 +70,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op3_url_filter, op4_token_store, op5_mixing, op6_byte_bpe, op8_secret_scan, op10_toxicity)}
+    op1_quality_rules, op3_url_filter, op4_token_store, op5_mixing, op6_byte_bpe, op8_secret_scan, op9_jaccard_join, op10_toxicity)}
