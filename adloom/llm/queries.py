@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adloom.llm.ann import build_index, search_index, usable
 from adloom.llm.bpe import bpe_round_trip
 from adloom.llm.common import ship
 from adloom.llm.jaccard_join import jaccard_classes
@@ -37,6 +38,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    index = build_index(vectors)
+    queries = usable(vectors, "vec_id", "embedding").filter("id % 50 = 0").distinct()
+    return search_index(index, queries)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.col("found")
     count = lambda k: F.size(F.filter(found, lambda x: x["kind"] == k)).cast("long")
@@ -70,4 +78,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op3_url_filter, op4_token_store, op5_mixing, op6_byte_bpe, op8_secret_scan, op9_jaccard_join, op10_toxicity)}
+    op1_quality_rules, op3_url_filter, op4_token_store, op5_mixing, op6_byte_bpe, op7_nearest, op8_secret_scan, op9_jaccard_join, op10_toxicity)}
