@@ -6,6 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -142,3 +143,40 @@ class PieceMemory(dict):
             self.old = dict(self)
             self.clear()
         self[piece] = value
+
+
+#: An odd base of polynomial hashes modulo 2^64, and its inverse.
+_BASE = 0x5851F42D4C957F2D
+_BASE_INVERSE = pow(_BASE, -1, 2**64)
+_powers: dict[str, np.ndarray] = {}
+
+
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """B^0..B^n and its inverses modulo 2^64, kept for the next call."""
+    if len(_powers.get("up", ())) <= n:
+        size = max(n + 1, 1 << 16)
+        for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
+            p = np.empty(size, np.uint64)
+            p[0], p[1:] = 1, np.uint64(base)
+            _powers[name] = np.multiply.accumulate(p)
+    return _powers["up"], _powers["down"]
+
+
+def mix64(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(32))
+
+
+def bounded_texts(batches, limit: int = 1 << 20):
+    """Batches cut so that a slice holds about ``limit`` bytes of text, one text at least."""
+    for b in small_slices(batches, 2000):
+        sizes = [0 if t is None else len(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
+        at, held = 0, 0
+        for i, s in enumerate(sizes):
+            if held and held + s > limit:
+                yield b.slice(at, i - at)
+                at, held = i, 0
+            held += s
+        if at < len(sizes):
+            yield b.slice(at)

@@ -3,25 +3,24 @@
 Documents are sets of hashed w-word shingles.  Equal sets become one class first, so
 copies cost nothing further.  Let o(x) = ceil(t |x|) and order every set by token hash.
 Two linked sets share at least k tokens among the first |x| - o(x) + k of each ("prefix
-extended by k"); this holds for any order of tokens that is the same for all sets.
+extended by k"; k grows with |x|, the smaller k of a pair counts); this holds for any order of tokens that is the same for all sets.
 
 * Index 1, single rare tokens.  The extended prefixes in hash order are posted; tokens of
   one class only can't match, tokens of more than ``frequent`` classes are "frequent".  A
-  pair with at least one set without frequent tokens in its prefix meets in a rare list.
-* Index 2, for sets that do have frequent tokens.  Their tokens are ordered anew, rare
+  pair with a set that has no frequent token in its prefix shares k rare ones there.
+* Index 2, for pairs of sets that both have frequent tokens.  Tokens are ordered anew, rare
   ones first, frequent ones last, so that shared passages drop out of the prefixes of all
   sets with enough tokens of their own.  Rare tokens are indexed one by one; a pair that
-  shares none must share k = 2 frequent tokens, so these are indexed as 2-combinations.
+  shares none shares two frequent tokens, so these are indexed as 2-combinations.
 
-Lists are not expanded into all pairs.  In rounds, the smallest member of each open list
-is compared with the other members that are not yet in its component; then it leaves the
-list.  A list whose members lie in one component is closed.  A group of n near copies so
-costs about n comparisons.  Lists that stay open after ``star_rounds`` are expanded (pairs
-in different components only), which keeps the result exact.
+Lists are not expanded into all pairs.  In a round, one member of each open list is
+compared with the others that are not in its component; then it leaves the list.  A list
+whose members lie in one component is closed: a group of n near copies costs about n
+comparisons.  In lists that stay open after ``star_rounds``, pairs in different components
+are counted (k common rare tokens are needed) and the rest compared; the result is exact.
 
-A pair is first bounded by the prefixes alone (the tokens below the smaller prefix end
-are known for both sets; the rest can at most all be shared), then verified on the sets,
-which are recomputed from the texts of the classes still in question.
+A pair is first bounded by 16-bit marks of all its tokens (equal tokens have equal marks),
+then verified on the sets.  Sets are recomputed from the texts of the classes in question.
 
 Components come from the star algorithm on edges in Spark; nothing but frequent tokens
 (at most ``max_frequent``, else the limit is raised, which moves work but no result) passes
@@ -42,36 +41,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adloom.llm.common import join_few, small_slices, texts_of
+from adloom.llm.common import bounded_texts, join_few, mix64, power_tables, small_slices, texts_of
 from adloom.session import materialize
 
-K = 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x5851F42D4C957F2D
-_BASE_INVERSE = pow(_BASE, -1, 2**64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B^0..B^n and its inverses modulo 2^64, kept for the next call."""
-    if len(_powers.get("up", ())) <= n:
-        size = max(n + 1, 1 << 16)
-        for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            p = np.empty(size, np.uint64)
-            p[0], p[1:] = 1, np.uint64(base)
-            _powers[name] = np.multiply.accumulate(p)
-    return _powers["up"], _powers["down"]
-
-
-def mix64(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(32))
 
 
 def word_hashes(texts: list[bytes], long_word: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +58,7 @@ def word_hashes(texts: list[bytes], long_word: int = 256) -> tuple[np.ndarray, n
     space = _SPACE[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).astype(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
-    up, down = _power_tables(len(data))
+    up, down = power_tables(len(data))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * up[:len(data)], dtype=np.uint64)))
     h = mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD)
     for i in np.flatnonzero(ends - starts > long_word):
@@ -109,22 +87,13 @@ def shingle_sets(texts: list[bytes], w: int) -> list[np.ndarray]:
     return out
 
 
-def _bounded(batches, limit: int = 4 << 20):
-    """Batches cut so that a slice holds about ``limit`` bytes of text, one text at least."""
-    for b in small_slices(batches, 2000):
-        sizes = [0 if t is None else len(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
-        at, held = 0, 0
-        for i, s in enumerate(sizes):
-            if held and held + s > limit:
-                yield b.slice(at, i - at)
-                at, held = i, 0
-            held += s
-        if at < len(sizes):
-            yield b.slice(at)
+def extension(n: int) -> int:
+    """k: tokens that linked sets share in their extended prefixes (the smaller k counts)."""
+    return 2 + n // 16
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return min(n, n - -(-percent * n // 100) + K)
+def prefix_length(n: int, percent: int, k: int) -> int:
+    return min(n, n - -(-percent * n // 100) + k)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -135,25 +104,36 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 def document_sets(docs: DataFrame, w: int, percent: int) -> DataFrame:
     """doc_id, th (hash of the text), n, key (128-bit hash of the set), prefix."""
     def run(batches):
-        for b in _bounded(batches):
+        for b in bounded_texts(batches):
             sets = shingle_sets(texts_of(b.column("text")), w)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column("doc_id"), "th": b.column("th"), "n": pa.array([len(s) for s in sets], pa.int64()),
                 "key": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                "prefix": _lists([s[:prefix_length(len(s), percent)] for s in sets])})
+                "prefix": _lists([s[:prefix_length(len(s), percent, extension(len(s)))] for s in sets])})
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")) \
         .mapInArrow(run, "doc_id long, th long, n long, key binary, prefix array<long>")
 
 
-def fetch_sets(docs: DataFrame, wanted: DataFrame, w: int) -> DataFrame:
-    """(c, tokens) of the classes in ``wanted`` (c, rep_doc, rep_th), from their texts."""
+def fetch_sets(docs: DataFrame, wanted: DataFrame, w: int, marks: bool = False) -> DataFrame:
+    """(c, tokens), or (c, n, marks), of the classes in ``wanted`` (c, rep_doc, rep_th), from
+    their texts.  ``marks``: 16 bits of each token, 32 for large sets, sorted."""
     def run(batches):
-        for b in _bounded(batches):
-            yield pa.RecordBatch.from_arrays([b.column("c"), _lists(shingle_sets(texts_of(b.column("text")), w))],
-                                             names=["c", "tokens"])
+        for b in bounded_texts(batches):
+            sets = shingle_sets(texts_of(b.column("text")), w)
+            if marks:
+                columns = {"n": pa.array([len(s) for s in sets], pa.int64()),
+                           "marks": pa.array([_marks(s).tobytes() for s in sets], pa.binary())}
+            else:
+                columns = {"tokens": _lists(sets)}
+            yield pa.RecordBatch.from_pydict({"c": b.column("c"), **columns})
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     found = join_few(texts, wanted, (F.col("th") == F.col("rep_th")) & F.col("doc_id").eqNullSafe(F.col("rep_doc")))
-    return found.select("c", "text").mapInArrow(run, "c long, tokens array<long>")
+    return found.select("c", "text").mapInArrow(run, "c long, n long, marks binary" if marks else "c long, tokens array<long>")
+
+
+def _marks(tokens: np.ndarray, small: int = 1500) -> np.ndarray:
+    wide = tokens.view(np.uint64)
+    return np.sort(wide.astype(np.uint16) if len(tokens) <= small else wide.astype(np.uint32))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -187,19 +167,24 @@ def _needed(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
+def _overlap_at_most(x: bytes, n: int, y: bytes, m: int) -> int:
+    """A bound on the shared tokens from the marks: equal tokens have equal marks."""
+    a = np.frombuffer(x, np.uint16 if len(x) == 2 * n else np.uint32)
+    b = np.frombuffer(y, np.uint16 if len(y) == 2 * m else np.uint32)
+    if a.dtype != b.dtype:
+        a, b = np.sort(a.astype(np.uint16)), np.sort(b.astype(np.uint16))
+    # tokens of x whose mark occurs in y, and the other way round
+    at = b[np.minimum(np.searchsorted(b, a), m - 1)] == a
+    back = a[np.minimum(np.searchsorted(a, b), n - 1)] == b
+    return int(min(at.sum(), back.sum()))
+
+
 def _possible(percent: int):
-    """Keeps the pairs whose prefixes allow the overlap."""
+    """Keeps the pairs whose marks allow the overlap."""
     def run(batches):
-        for b in small_slices(batches, 2000):
-            n, m = b.column("an").to_pylist(), b.column("bn").to_pylist()
-            p, q = b.column("ap"), b.column("bp")
-            keep = []
-            for i in range(b.num_rows):
-                x, y = p[i].values.to_numpy(), q[i].values.to_numpy()
-                top = min(x[-1], y[-1])
-                cx, cy = np.searchsorted(x, top, "right"), np.searchsorted(y, top, "right")
-                shared = len(np.intersect1d(x[:cx], y[:cy], assume_unique=True))
-                keep.append(shared + min(n[i] - cx, m[i] - cy) >= _needed(n[i], m[i], percent))
+        for b in small_slices(batches, 1000):
+            cols = (b.column(c).to_pylist() for c in ("am", "an", "bm", "bn"))
+            keep = [_overlap_at_most(x, n, y, m) >= _needed(n, m, percent) for x, n, y, m in zip(*cols)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
 
@@ -219,45 +204,46 @@ def _linked(percent: int):
 
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, w: int, percent: int) -> DataFrame:
     """The linked pairs among the candidate pairs (a, b)."""
-    def side(name, table, cols):
-        return table.select(F.col("c").alias(name), *[F.col(c).alias(name + x) for c, x in cols])
+    def sides(found, marks):
+        nodes = found.select(F.col("a").alias("c")).union(found.select(F.col("b").alias("c"))).distinct()
+        wanted = materialize(classes.select("c", "rep_doc", "rep_th").join(nodes, "c", "left_semi"), "wanted")
+        sets = materialize(fetch_sets(docs, wanted, w, marks), "sets")
+        both = found
+        for x in "ab":
+            both = both.join(sets.toDF(x, *[x + c[0] for c in sets.columns[1:]]), x)
+        return both
 
-    heads = [("n", "n"), ("prefix", "p")]
-    possible = materialize(
-        pairs.join(side("a", classes, heads), "a").join(side("b", classes, heads), "b")
-        .select("a", "b", "an", "bn", "ap", "bp").mapInArrow(_possible(percent), "a long, b long"), "possible")
-    nodes = possible.select(F.col("a").alias("c")).union(possible.select(F.col("b").alias("c"))).distinct()
-    wanted = materialize(classes.select("c", "rep_doc", "rep_th").join(nodes, "c", "left_semi"), "wanted")
-    sets = materialize(fetch_sets(docs, wanted, w), "sets")
-    return possible.join(side("a", sets, [("tokens", "t")]), "a").join(side("b", sets, [("tokens", "t")]), "b") \
-        .select("a", "b", "at", "bt").mapInArrow(_linked(percent), "a long, b long")
+    possible = materialize(sides(pairs, True).select("a", "b", "an", "bn", "am", "bm")
+                           .mapInArrow(_possible(percent), "a long, b long"), "possible")
+    return sides(possible, False).select("a", "b", "at", "bt").mapInArrow(_linked(percent), "a long, b long")
 
 
-def _reordered(frequent: np.ndarray, percent: int):
+def _reordered(frequent: np.ndarray, percent: int, most: int = 200_000):
     """Index 2 keys of each set: its prefix with frequent tokens last."""
+    def keys_of(x: np.ndarray):
+        often = np.zeros(len(x), bool)
+        if len(frequent):
+            often = frequent[np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)] == x
+        size = prefix_length(len(x), percent, 2)
+        rare = x[~often][:size]
+        usual = x[often][:size - len(rare)].view(np.uint64)
+        yield mix64(rare.view(np.uint64) ^ _ODD)
+        for i in range(len(usual) - 1):                  # 2-combinations of frequent tokens
+            yield mix64(mix64(usual[i:i + 1]) + usual[i + 1:])
+
     def run(batches):
+        keys, owners, held = [], [], 0
         for b in small_slices(batches, 500):
-            owners, keys = [], []
             for c, tokens in zip(b.column("c").to_pylist(), b.column("tokens")):
-                x = tokens.values.to_numpy()
-                often = np.zeros(len(x), bool)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, x), len(frequent) - 1)
-                    often = frequent[at] == x
-                size = prefix_length(len(x), percent)
-                rare = x[~often][:size]
-                usual = x[often][:size - len(rare)].view(np.uint64)
-                found = [mix64(rare.view(np.uint64) ^ _ODD)]
-                for i in range(len(usual) - 1):      # 2-combinations of frequent tokens
-                    found.append(mix64(mix64(usual[i:i + 1]) + usual[i + 1:]))
-                found = np.concatenate(found).view(np.int64)
-                keys.append(found)
-                owners.append(np.full(len(found), c, np.int64))
-                if sum(map(len, keys)) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], names=["key", "c"])
-                    owners, keys = [], []
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], names=["key", "c"])
+                for found in keys_of(tokens.values.to_numpy()):
+                    keys.append(found.view(np.int64))
+                    owners.append(np.full(len(found), c, np.int64))
+                    held += len(found)
+                    if held >= most:
+                        yield pa.RecordBatch.from_arrays([np.concatenate(keys), np.concatenate(owners)], names=["key", "c"])
+                        keys, owners, held = [], [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([np.concatenate(keys), np.concatenate(owners)], names=["key", "c"])
     return run
 
 
@@ -270,7 +256,10 @@ def _shared_keys(posted: DataFrame) -> DataFrame:
 
 
 def candidate_lists(docs: DataFrame, classes: DataFrame, w: int, percent: int, frequent: int, max_frequent: int) -> DataFrame:
-    """(key, c): members of every list that has two or more."""
+    """(key, c, turn): members of every list that has two or more, for index 1 and 2.
+
+    ``turn`` is 1 for a set without frequent tokens in its prefix, 2 for another one, and 3
+    for the members of index 2: pairs of index 1 need a member with turn 1."""
     shared = materialize(_shared_keys(classes.select(F.explode("prefix").alias("key"), "c")), "shared")
     often = shared.filter(F.col("df") > frequent).select("key", "df").distinct()
     limit = frequent
@@ -279,45 +268,49 @@ def candidate_lists(docs: DataFrame, classes: DataFrame, w: int, percent: int, f
     tokens = np.sort(np.array([r["key"] for r in often.filter(F.col("df") > limit).select("key").collect()], np.int64))
     first = shared.filter(F.col("df") <= limit).select("key", "c")
     if not len(tokens):
-        return first
-    touched = shared.filter(F.col("df") > limit).select("c").distinct()
-    wanted = materialize(classes.select("c", "rep_doc", "rep_th").join(touched, "c", "left_semi"), "touched")
-    sets = fetch_sets(docs, wanted, w)
-    second = materialize(sets.mapInArrow(_reordered(tokens, percent), "key long, c long"), "reordered")
-    return first.unionByName(_shared_keys(second).select("key", "c"))
+        return first.withColumn("turn", F.lit(1))
+    touched = materialize(shared.filter(F.col("df") > limit).select("c").distinct(), "touched")
+    wanted = materialize(classes.select("c", "rep_doc", "rep_th").join(touched, "c", "left_semi"), "wanted")
+    second = materialize(fetch_sets(docs, wanted, w)
+                         .mapInArrow(_reordered(tokens, percent), "key long, c long"), "reordered")
+    marked = touched.select(F.col("c").alias("__c"), F.lit(2).alias("turn"))
+    first = first.join(marked, F.col("c") == F.col("__c"), "left").select("key", "c", F.coalesce("turn", F.lit(1)).alias("turn"))
+    return first.unionByName(_shared_keys(second).select("key", "c", F.lit(3).alias("turn")))
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, w: int, percent: int, frequent: int, max_frequent: int,
                  star_rounds: int) -> DataFrame | None:
     """(c, root) for the classes that are linked with another, None if there is none."""
     sizes = classes.select("c", "n")
-    lists = materialize(candidate_lists(docs, classes, w, percent, frequent, max_frequent)
-                        .join(sizes, "c").select("key", "c", "n"), "lists")
+    lists = materialize(candidate_lists(docs, classes, w, percent, frequent, max_frequent), "lists")
     roots, edges = None, None
     for turn in range(star_rounds + 1):
         labelled = lists.withColumn("root", F.col("c"))
         if roots is not None:
-            labelled = lists.join(roots, "c", "left").select(
-                "key", "c", "n", F.coalesce("root", "c").alias("root"))
-        heads = labelled.groupBy("key").agg(F.min(F.struct("n", "c", "root")).alias("h"), F.min("root").alias("lo"),
-                                            F.max("root").alias("hi")).filter("lo <> hi").select("key", "h")
-        opened = materialize(labelled.join(heads, "key").select(
-            "key", "c", "n", "root", F.col("h.c").alias("hc"), F.col("h.n").alias("hn"), F.col("h.root").alias("hr")), "open")
-        if turn < star_rounds:      # the smallest member against the others
-            pairs = opened.filter((F.col("c") != F.col("hc")) & (F.col("root") != F.col("hr"))
-                                  & (100 * F.col("hn") >= percent * F.col("n"))).select("hc", "c")
-            lists = opened.filter("c <> hc").select("key", "c", "n")
+            labelled = lists.join(roots, "c", "left").select("key", "c", "turn", F.coalesce("root", "c").alias("root"))
+        # a list is open if it holds two components and, in index 1, a set without frequent tokens
+        heads = labelled.groupBy("key").agg(
+            F.min(F.struct("turn", "c", "root")).alias("h"), F.min("root").alias("lo"), F.max("root").alias("hi")) \
+            .filter("lo <> hi AND h.turn <> 2").select("key", "h")
+        opened = materialize(labelled.join(heads, "key").select("key", "c", "turn", "root", "h"), "open")
+        if opened.isEmpty():
+            break
+        if turn < star_rounds:      # one member against the others
+            pairs = opened.filter("c <> h.c AND root <> h.root").select("c", "h.c").toDF("x", "y").distinct()
+            lists = opened.filter("c <> h.c").select("key", "c", "turn")
         else:                       # what is still open: every pair in different components
-            x, y = (opened.select(F.col("key").alias(s + "k"), F.col("c").alias(s), F.col("n").alias(s + "n"),
-                                  F.col("root").alias(s + "r")) for s in "xy")
-            pairs = x.join(y, (F.col("xk") == F.col("yk")) & (F.col("x") < F.col("y")) & (F.col("xr") != F.col("yr"))
-                           & (100 * F.col("xn") >= percent * F.col("yn"))
-                           & (100 * F.col("yn") >= percent * F.col("xn"))).select("x", "y")
-        a, b = pairs.columns
-        pairs = materialize(pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "pairs")
+            x, y = (opened.select(F.col("key").alias(s + "k"), F.col("c").alias(s), F.col("root").alias(s + "r"),
+                                  F.col("turn").alias(s + "t")) for s in "xy")
+            met = x.join(y, (F.col("xk") == F.col("yk")) & (F.col("x") < F.col("y")) & (F.col("xr") != F.col("yr"))
+                         & ((F.col("xt") != 2) | (F.col("yt") != 2)))
+            pairs = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("met"), F.max("xt").alias("mt"))
+        known = pairs.join(sizes.toDF("x", "xn"), "x").join(sizes.toDF("y", "yn"), "y") \
+            .filter((100 * F.col("xn") >= percent * F.col("yn")) & (100 * F.col("yn") >= percent * F.col("xn")))
+        if "met" in pairs.columns:  # linked sets share k prefix tokens, all rare if one has no frequent ones
+            least = F.lit(2) + F.floor(F.least("xn", "yn") / 16)
+            known = known.filter((F.col("mt") == 3) | (F.col("met") >= least))
+        pairs = materialize(known.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
         if pairs.isEmpty():
-            if opened.isEmpty():
-                break
             continue
         found = materialize(verify(pairs, docs, classes, w, percent), "links")
         if not found.isEmpty():
@@ -326,8 +319,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, w: int, percent: int, freq
     return roots
 
 
-def jaccard_classes(docs: DataFrame, w: int = 5, percent: int = 75, frequent: int = 48,
-                    max_frequent: int = 500_000, star_rounds: int = 3) -> DataFrame:
+def jaccard_classes(docs: DataFrame, w: int = 5, percent: int = 75, frequent: int = 64,
+                    max_frequent: int = 500_000, star_rounds: int = 1) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs``."""
     staged = materialize(document_sets(docs, w, percent), "sets-by-doc")
     rep = F.any_value(F.struct("doc_id", "th", "n", "prefix"))

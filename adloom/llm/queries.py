@@ -13,6 +13,7 @@ from adloom.llm.jaccard_join import jaccard_classes
 from adloom.llm.mixing import mix_sources
 from adloom.llm.quality_rules import quality_rules
 from adloom.llm.secrets import KINDS, secret_scan, span_text
+from adloom.llm.suffix_dedup import suffix_dedup
 from adloom.llm.token_store import read_store, store_folder, write_store
 from adloom.llm.toxicity import held_out, score_texts, train_toxicity
 from adloom.llm.url_filter import url_filter
@@ -30,6 +31,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -78,4 +83,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op3_url_filter, op4_token_store, op5_mixing, op6_byte_bpe, op7_nearest, op8_secret_scan, op9_jaccard_join, op10_toxicity)}
+    op1_quality_rules, op2_suffix_dedup, op3_url_filter, op4_token_store, op5_mixing, op6_byte_bpe, op7_nearest, op8_secret_scan, op9_jaccard_join, op10_toxicity)}
