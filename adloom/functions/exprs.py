@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 # ---- fixed values (must equal the behaviour being matched) -----------------
 # Channel words, in match-priority order of a leftmost regex search.
 CHANNEL_PATTERN = "(search|display|social|email|video)"
-RETARGETING_PATTERN = "retargeting|rmkt|rtg"
 RETARGETING_WORDS = ["retargeting", "rmkt", "rtg"]
 # Tokens a CSV reader treats as missing (pandas read_csv defaults).
 NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -148,14 +147,3 @@ def pround(c, d: int) -> Column:
     ``x * 10**d`` (``rint``), then divided back; ``+ 0.0`` turns -0.0 into 0.0."""
     scale = float(10 ** d)
     return F.rint(col(c) * F.lit(scale)) / F.lit(scale) + F.lit(0.0)
-
-
-def humanize(name) -> Column:
-    """'total_clicks' -> 'Total Clicks' (A4)."""
-    return F.initcap(F.regexp_replace(col(name), "_", " "))
-
-
-def exact_sum_type() -> str:
-    """Fixed-point type used for prefix sums: exact, so distributed partial
-    sums equal a sequential running sum regardless of association order."""
-    return "decimal(38,9)"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,24 +27,24 @@ def normalize_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[normalize_name(c) for c in df.columns])
 
 
+#: File endings that are not part of a table's name.
+TABLE_ENDINGS = (".csv", ".xlsx", ".xls")
+_NAME_RULES = ((r"[^a-z0-9]+", "_"), (r"^_+|_+$", ""), (r"^(?=[0-9])", "t_"))
+
+
 def sanitize_table_name(filename: str) -> str:
     """File name -> safe table name ('Sales Data (2024).csv' -> 'sales_data_2024')."""
-    name = filename.lower()
-    for ext in (".csv", ".xlsx", ".xls"):
-        name = name.replace(ext, "")
-    name = re.sub(r"[^a-z0-9]+", "_", name).strip("_")
-    if not name:
-        raise ValueError("empty table name")
-    return "t_" + name if name[0].isdigit() else name
+    out = reduce(lambda n, ending: n.replace(ending, ""), TABLE_ENDINGS, filename.lower())
+    out = reduce(lambda n, rule: re.sub(rule[0], rule[1], n), _NAME_RULES, out)
+    if out == "":
+        raise ValueError(f"{filename!r} leaves no table name")
+    return out
 
 
 def sanitize_table_name_col(file_name: Column) -> Column:
-    """S17 as a column expression (per file inside one batch)."""
-    n = F.lower(file_name)
-    for ext in (".csv", ".xlsx", ".xls"):
-        n = F.replace(n, F.lit(ext), F.lit(""))
-    n = F.regexp_replace(F.regexp_replace(n, "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    return F.when(n.rlike("^[0-9]"), F.concat(F.lit("t_"), n)).otherwise(n)
+    """S17 as a column expression (per file inside one batch); no name left: empty text."""
+    out = reduce(lambda n, ending: F.replace(n, F.lit(ending), F.lit("")), TABLE_ENDINGS, F.lower(file_name))
+    return reduce(lambda n, rule: F.regexp_replace(n, rule[0], rule[1]), _NAME_RULES, out)
 
 
 def alias_plan(columns: list[str]) -> tuple[dict, list[str]]:
@@ -71,11 +72,14 @@ def effective_strategies(fill_strategy: str | None, strategy_numeric: str | None
     return ("mean" if num == "mean" else "zero"), ("constant" if cat == "constant" else "mode")
 
 
-def parse_datetime(c: Column) -> Column:
-    """C8 parser: ISO text first, then the fixed layouts; failures become null."""
-    parsed = [c.try_cast("timestamp_ntz")]
-    parsed += [F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz") for fmt in DATE_FORMATS]
-    return F.coalesce(*parsed)
+#: ISO text first, then the fixed layouts.
+N_LAYOUTS = 1 + len(DATE_FORMATS)
+
+
+def date_layouts(c: Column) -> list[Column]:
+    """The column read by each layout in turn; failures become null."""
+    return [c.try_cast("timestamp_ntz")] + [F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
+                                            for fmt in DATE_FORMATS]
 
 
 def column_modes(df: DataFrame, cols: list[str]) -> dict:
@@ -132,13 +136,14 @@ def fill_missing(df: DataFrame, *, numeric: list[str], categorical: list[str],
     return df.select(*exprs), filled
 
 
-def type_dates(df: DataFrame, convert: list[str]) -> DataFrame:
-    """Parse the chosen text columns; date columns become timestamp_ntz."""
+def type_dates(df: DataFrame, convert: dict[str, int]) -> DataFrame:
+    """Parse the chosen text columns, each by one layout (the one that reads most of
+    its values; cells in another layout become null); date columns become timestamp_ntz."""
     out = []
     for f in df.schema.fields:
         c = f.name
         if c in convert:
-            out.append(parse_datetime(F.col(c)).alias(c))
+            out.append(date_layouts(F.col(c))[convert[c]].alias(c))
         elif isinstance(f.dataType, T.DateType):
             out.append(F.col(c).cast("timestamp_ntz").alias(c))
         else:
@@ -146,11 +151,5 @@ def type_dates(df: DataFrame, convert: list[str]) -> DataFrame:
     return df.select(*out)
 
 
-def date_candidates(schema: T.StructType) -> list[str]:
-    """Text columns whose name carries a date keyword (numeric ones stay numeric)."""
-    return [f.name for f in schema.fields
-            if isinstance(f.dataType, T.StringType) and has_date_keyword(f.name)]
-
-
 def numeric_of(schema: T.StructType) -> list[str]:
     return [f.name for f in schema.fields if is_numeric_type(f.dataType)]

@@ -14,11 +14,21 @@ from adloom.functions import exprs as X
 from adloom.operators.roles import (CAMPAIGN_COLUMNS, SPEND_COLUMNS,
                                     first_in_column_order)
 
+TEMPORAL_NAMES = ["day_of_week", "is_weekend", "month", "quarter", "week_number", "days_since_start"]
 ENGAGEMENT_PARTS = ["ctr", "conversion_rate", "roas"]
 
 
 class Columns(OrderedDict):
-    """name -> Column, replacing in place like ``withColumn``."""
+    """name -> Column, replacing in place like ``withColumn``; ``replaced`` remembers what was."""
+
+    def __init__(self, items=()):
+        self.replaced: set[str] = set()
+        super().__init__(items)
+
+    def __setitem__(self, name, value):
+        if name in self:
+            self.replaced.add(name)
+        super().__setitem__(name, value)
 
     def frame(self, df: DataFrame) -> DataFrame:
         return df.select(*[e.alias(n) for n, e in self.items()])

@@ -10,21 +10,20 @@ partition.  The operators here keep the same results but split the work:
   sees the same buckets.
 * **Prefix sums (W3).**  Per-bucket totals (one row per bucket) give each
   bucket an offset; a window *partitioned by bucket* adds the offset to the
-  running sum.  Running sums of doubles are carried in fixed point
-  (``decimal(38,9)``), so the distributed result does not depend on the
-  association order of partial sums (trailing means over <= 7 rows use
-  doubles).
+  running sum.  Integers add up in 64 bits, other numbers as doubles, whatever
+  their magnitude; infinities stay.
 * **Rolling rows (W2).**  The last ``k-1`` rows before each bucket (its *halo*)
   are found with a per-bucket top-k (partial ``WindowGroupLimit``, tiny
   shuffle) and unioned into that bucket; the sliding frame then sees its true
   predecessors and the halo rows are dropped afterwards.
-* **Average rank (W1) and quantile edges (F25/W5).**  Ranks are computed on
-  the distinct-value table (``groupBy(value).count()``, which collapses hot
-  values map-side), then joined back on the value: broadcast when the distinct
-  table is proven small, otherwise a shuffle join that AQE can split on skew.
-
-Small inputs (below ``min_rows_to_split``) take the plain single-window path;
-the size is checked, not assumed.
+* **Average rank (W1) and quantiles (F25/W5, medians).**  One table of
+  (column, value, count, rows below) serves all columns: ``groupBy`` collapses
+  hot values map-side and running totals come from range partitions.  A
+  percentile is rounded to four digits, so it takes at most 10,001 values and
+  grows with the value: the least value of each step is all a row needs, looked
+  up by binary search in the row's own task.  The wide frame is not shuffled.
+
+There is one code path for every size; a small table is one bucket.
 """
 
 from __future__ import annotations
@@ -32,11 +31,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adloom.functions.exprs import exact_sum_type, pround
+from adloom.functions.exprs import pround
 from adloom.session import materialize
 
 BUCKET = "_seq_b"
@@ -47,17 +47,10 @@ HALO = "_seq_halo"
 class OrderConfig:
     """Sizing of the distributed ordered operators."""
     rows_per_bucket: int = 50_000      # target rows handled by one window task
-    min_rows_to_split: int = 10_000    # below this a single window task is fine
-    max_buckets: int = 200_000         # bound on the per-bucket offset table
-    small_distinct: int = 1_000_000    # distinct-value tables up to this (~16 MB) are broadcast
 
 
-def n_buckets(spark, n_rows: int, cfg: OrderConfig) -> int:
-    if n_rows <= cfg.min_rows_to_split:
-        return 1
-    par = spark.sparkContext.defaultParallelism
-    want = max(par, math.ceil(n_rows / cfg.rows_per_bucket))
-    return int(min(want, cfg.max_buckets))
+def n_buckets(n_rows: int, cfg: OrderConfig) -> int:
+    return max(1, math.ceil(n_rows / cfg.rows_per_bucket))
 
 
 def sort_orders(order_cols: list[str]) -> list[Column]:
@@ -69,7 +62,7 @@ def _is_integral(dt: T.DataType) -> bool:
 
 
 def _sum_expr(c: str, dt: T.DataType) -> Column:
-    return F.col(c).cast("long") if _is_integral(dt) else F.col(c).cast(exact_sum_type())
+    return F.col(c).cast("long" if _is_integral(dt) else "double")
 
 
 def _finish_sum(e: Column, dt: T.DataType) -> Column:
@@ -79,8 +72,7 @@ def _finish_sum(e: Column, dt: T.DataType) -> Column:
 def sequence_ops(df: DataFrame, order_cols: list[str], *, n_rows: int,
                  cum_cols: list[str] = (), roll_cols: list[str] = (),
                  windows: tuple[int, ...] = (3, 7), row_number_col: str | None = None,
-                 partition_by: list[str] | None = None, cfg: OrderConfig | None = None,
-                 cum_names: dict | None = None) -> DataFrame:
+                 cfg: OrderConfig | None = None, cum_names: dict | None = None) -> DataFrame:
     """Add running sums (``<c>_cumulative``), trailing row averages
     (``<c>_ma<k>``) and optionally a global 1-based row number, all in the
     declared order ``order_cols`` (ascending, nulls last).
@@ -93,9 +85,8 @@ def sequence_ops(df: DataFrame, order_cols: list[str], *, n_rows: int,
     types = {f.name: f.dataType for f in df.schema.fields}
     cum_names = cum_names or {}
     order = sort_orders(order_cols)
-    dec = exact_sum_type()
 
-    def roll_exprs(w_base, halo_mask: Column | None):
+    def roll_exprs(w_base):
         # Trailing means over at most k values: plain double averages (a
         # sliding frame re-aggregates its rows for every output row, so the
         # cheap type matters; k <= 7 values cannot drift).
@@ -106,41 +97,13 @@ def sequence_ops(df: DataFrame, order_cols: list[str], *, n_rows: int,
                 out.append(F.avg(F.col(c).cast("double")).over(wk).alias(f"{c}_ma{k}"))
         return out
 
-    if partition_by:
-        # An explicit partition key (e.g. channel) is the natural way to scale:
-        # ordinary partitioned windows, one shuffle on the key.
-        w = Window.partitionBy(*partition_by).orderBy(*order)
-        run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cols = [F.col(c) for c in df.columns]
-        for c in cum_cols:
-            cols.append(F.when(F.col(c).isNotNull(),
-                               _finish_sum(F.sum(_sum_expr(c, types[c])).over(run), types[c]))
-                        .alias(cum_names.get(c, f"{c}_cumulative")))
-        cols += roll_exprs(w, None)
-        if row_number_col:
-            cols.append(F.row_number().over(w).cast("long").alias(row_number_col))
-        return df.select(*cols)
-
-    nb = n_buckets(spark, n_rows, cfg)
-    if nb == 1:
-        # Proven small (n_rows <= min_rows_to_split): one ordered window task.
-        w = Window.orderBy(*order)
-        run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cols = [F.col(c) for c in df.columns]
-        for c in cum_cols:
-            cols.append(F.when(F.col(c).isNotNull(),
-                               _finish_sum(F.sum(_sum_expr(c, types[c])).over(run), types[c]))
-                        .alias(cum_names.get(c, f"{c}_cumulative")))
-        cols += roll_exprs(w, None)
-        if row_number_col:
-            cols.append(F.row_number().over(w).cast("long").alias(row_number_col))
-        return df.select(*cols)
+    nb = n_buckets(n_rows, cfg)
 
     # 1. Range-partition on the total order and pin bucket ids.
     staged = materialize(df.repartitionByRange(nb, *order)
                          .withColumn(BUCKET, F.spark_partition_id()), "sequenced")
 
-    # 2. Per-bucket totals -> offsets (one row per bucket; nb is bounded).
+    # 2. Per-bucket totals -> offsets (one row per bucket).
     tot = [F.count(F.lit(1)).alias("_cnt")]
     tot += [F.sum(_sum_expr(c, types[c])).alias(f"_tot{i}") for i, c in enumerate(cum_cols)]
     stats = staged.groupBy(BUCKET).agg(*tot)
@@ -149,7 +112,7 @@ def sequence_ops(df: DataFrame, order_cols: list[str], *, n_rows: int,
                 F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off")]
     off_cols += [F.coalesce(F.sum(f"_tot{i}").over(before), F.lit(0)).alias(f"_ooff{i}")
                  for i in range(len(cum_cols))]
-    # one row per bucket (<= max_buckets): written once, read by the three joins below
+    # one row per bucket: written once, read by the three joins below
     offsets = materialize(stats.select(*off_cols), "offsets")
 
     body = staged.withColumn(HALO, F.lit(False))
@@ -163,18 +126,18 @@ def sequence_ops(df: DataFrame, order_cols: list[str], *, n_rows: int,
         tails = (staged.select(BUCKET, *keep)
                  .withColumn("_r", F.row_number().over(Window.partitionBy(BUCKET).orderBy(*desc)))
                  .filter(F.col("_r") <= h))
-        tails = (tails.join(F.broadcast(offsets.select(BUCKET, "_cnt", "_off")), BUCKET)
+        tails = (tails.join(offsets.select(BUCKET, "_cnt", "_off"), BUCKET)
                  .withColumn("_pos", F.col("_off") + F.col("_cnt") - F.col("_r") + 1))
         starts = (offsets.filter(F.col("_cnt") > 0)
                   .select(F.col(BUCKET).alias("_tb"), (F.col("_off") + 1).alias("_start")))
         halo = (tails.withColumn("_q", F.explode(F.sequence(F.col("_pos") + 1, F.col("_pos") + h)))
-                .join(F.broadcast(starts), F.col("_q") == F.col("_start"))
+                .join(starts, F.col("_q") == F.col("_start"))
                 .select(F.col("_tb").alias(BUCKET), *[F.col(c) for c in keep])
                 .withColumn(HALO, F.lit(True)))
         body = body.unionByName(halo, allowMissingColumns=True)
 
     # 4. One window pass per bucket.
-    body = body.join(F.broadcast(offsets.drop("_cnt")), BUCKET)
+    body = body.join(offsets.drop("_cnt"), BUCKET)
     w = Window.partitionBy(BUCKET).orderBy(*order)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     real = ~F.col(HALO)
@@ -184,7 +147,7 @@ def sequence_ops(df: DataFrame, order_cols: list[str], *, n_rows: int,
         cols.append(F.when(F.col(c).isNotNull(),
                            _finish_sum(F.col(f"_ooff{i}") + F.coalesce(part, F.lit(0)), types[c]))
                     .alias(cum_names.get(c, f"{c}_cumulative")))
-    cols += roll_exprs(w, real)
+    cols += roll_exprs(w)
     if row_number_col:
         rn = F.col("_off") + F.sum(F.when(real, F.lit(1)).otherwise(F.lit(0))).over(run)
         cols.append(rn.cast("long").alias(row_number_col))
@@ -192,56 +155,79 @@ def sequence_ops(df: DataFrame, order_cols: list[str], *, n_rows: int,
     return body.select(*cols).filter(~F.col(HALO)).drop(HALO)
 
 
-# ---------------------------------------------------------------------------
-# Distinct-value ranks: average rank percentile (W1) and exact quantiles
-# ---------------------------------------------------------------------------
+def running_total(df: DataFrame, groups: list[str], order: list[str], value: str,
+                  out: str, partitions: int | None = None) -> DataFrame:
+    """``out`` = sum of ``value`` over the earlier rows of the group (exclusive).
 
-@dataclass
-class ValueRanks:
-    table: DataFrame      # columns: <value>, _cnt, _before  (rows with a smaller value)
-    n: int                # non-null rows
-    m: int                # distinct values
-    small: bool           # proven small enough to broadcast
-    value_col: str
+    Rows are range-partitioned by (groups, order), so that a group with a third of all
+    rows spreads over a third of the partitions, and written once, which freezes the
+    partition ids.  Each partition's total for a group is then one row; offsets come from
+    a window over those few rows, local sums from a window inside (partition, group).
+    ``order`` should determine the order of rows within a group.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    staged = materialize(df.repartitionByRange(n, *groups, *order)
+                         .withColumn("__part", F.spark_partition_id()), "ranged")
+    sums = staged.groupBy("__part", *groups).agg(F.sum(value).alias("__sum"))
+    before = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col("__part").alias("__p"), *[F.col(g).alias(f"__g_{g}") for g in groups],
+                          F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    same = F.col("__part") == F.col("__p")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+    local = Window.partitionBy("__part", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return staged.join(offsets, same) \
+        .withColumn(out, F.col("__before") + F.coalesce(F.sum(value).over(local), F.lit(0))) \
+        .drop("__part", "__p", "__before", *[f"__g_{g}" for g in groups])
 
 
-def value_ranks(df: DataFrame, value_col: str, cfg: OrderConfig | None = None,
-                n: int | None = None, m_estimate: int | None = None) -> ValueRanks:
-    """Distinct-value table with the number of smaller rows per value.
+# ---------------------------------------------------------------------------
+# Ranks of values: average rank percentile (W1), exact quantiles (F25), medians
+# ---------------------------------------------------------------------------
 
-    ``n`` (non-null rows) and ``m_estimate`` (an HLL estimate of distinct
-    values) may come from an earlier statistics pass; the estimate only picks
-    the plan, with a 25 % margin below the broadcast bound."""
-    cfg = cfg or OrderConfig()
-    vc = (df.select(value_col).where(F.col(value_col).isNotNull())
-          .groupBy(value_col).agg(F.count(F.lit(1)).alias("_cnt")))
-    if n is None or m_estimate is None:
-        agg = vc.agg(F.count(F.lit(1)).alias("m"), F.sum("_cnt").alias("n")).first()
-        m, n = int(agg["m"] or 0), int(agg["n"] or 0)
-        small = m <= cfg.small_distinct
-    else:
-        m = int(m_estimate)
-        small = m <= 0.75 * cfg.small_distinct
-    if small:
-        w = Window.orderBy(F.col(value_col).asc()).rowsBetween(Window.unboundedPreceding, -1)
-        table = vc.select(value_col, "_cnt",
-                          F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_before"))
-        return ValueRanks(table, n, m, True, value_col)
-    vc = materialize(vc, "distinct")
-    seq = sequence_ops(vc, [value_col], n_rows=m, cum_cols=["_cnt"], cfg=cfg,
-                       cum_names={"_cnt": "_upto"})
-    table = seq.select(value_col, "_cnt", (F.col("_upto") - F.col("_cnt")).alias("_before"))
-    return ValueRanks(table, n, m, False, value_col)
-
-
-def attach_percentile(df: DataFrame, vr: ValueRanks, out_col: str) -> DataFrame:
-    """``rank(pct=True)`` with average ties, rounded to 4 places, times 100."""
-    if vr.n == 0:
-        return df.withColumn(out_col, F.lit(None).cast("double"))
-    pct = ((F.col("_before") + (F.col("_cnt") + F.lit(1)) / F.lit(2.0)) / F.lit(float(vr.n)))
-    ranks = vr.table.select(vr.value_col, (pround(pct, 4) * F.lit(100.0)).alias(out_col))
-    ranks = F.broadcast(ranks) if vr.small else ranks
-    return df.join(ranks, on=vr.value_col, how="left").select(*df.columns, out_col)
+def rank_table(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(target, value, cnt, before) for the distinct non-null values of numeric columns:
+    how often a value occurs and how many smaller ones there are.  Written once."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("target"), F.col(c).cast("double").alias("value"))
+                                for c in cols])).alias("cell")
+    counts = df.select(cells).select("cell.target", "cell.value").where(F.col("value").isNotNull()) \
+        .groupBy("target", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    return materialize(running_total(counts, ["target"], ["value"], "cnt", "before"), "ranks")
+
+
+def percentile_steps(table: DataFrame, sizes: dict[str, int]) -> dict[str, list[tuple[float, float]]]:
+    """Per column the steps (least value, percentile), ascending; at most 10,001 each.
+
+    ``rank(pct=True)`` with average ties, rounded to 4 places, times 100."""
+    n = F.create_map(*[F.lit(x) for c, k in sizes.items() for x in (c, float(k))]) if sizes else F.lit(None)
+    pct = pround((F.col("before") + (F.col("cnt") + F.lit(1)) / F.lit(2.0)) / n[F.col("target")], 4) * F.lit(100.0)
+    steps: dict[str, list[tuple[float, float]]] = {c: [] for c in sizes}
+    if sizes:
+        rows = table.where(F.col("target").isin(list(sizes))).groupBy("target", pct.alias("pct")) \
+            .agg(F.min("value").alias("least")).collect()
+        for r in rows:
+            steps[r["target"]].append((r["least"], r["pct"]))
+    return {c: sorted(s) for c, s in steps.items()}
+
+
+def attach_percentiles(df: DataFrame, steps: dict[str, list[tuple[float, float]]], names: dict[str, str]) -> DataFrame:
+    """Add ``names[c]``: the percentile of each value of column ``c``, null for null."""
+    plain = list(df.columns)
+    searched = {c: s for c, s in steps.items() if len([e for e, _ in s if e != math.inf]) > 1}
+    if searched:
+        splits = [[-math.inf, *[e for e, _ in s[1:] if e != math.inf], math.inf] for s in searched.values()]
+        df = Bucketizer(splitsArray=splits, inputCols=list(searched), outputCols=[f"__b_{c}" for c in searched],
+                        handleInvalid="keep").transform(df)
+    out = []
+    for c, s in steps.items():
+        e = F.lit(None).cast("double")
+        if s:
+            finite = [p for least, p in s if least != math.inf] or [s[-1][1]]
+            e = F.element_at(F.array(*[F.lit(p) for p in finite]), F.col(f"__b_{c}").cast("int") + 1) \
+                if c in searched else F.lit(finite[0])
+            e = F.when(F.col(c).cast("double") == math.inf, F.lit(s[-1][1])).when(F.col(c).isNotNull(), e)
+        out.append(e.alias(names[c]))
+    return df.select(*plain, *out)
 
 
 def _lerp(a: float, b: float, t: float) -> float:
@@ -250,25 +236,19 @@ def _lerp(a: float, b: float, t: float) -> float:
     return b - d * (1 - t) if t >= 0.5 else a + d * t
 
 
-def exact_quantiles(vr: ValueRanks, qs: list[float]) -> list[float] | None:
-    """Linear-interpolated quantiles (numpy 'linear') read from the rank table.
-
-    Only the <= 2 * len(qs) order statistics needed are fetched.
-    """
-    if vr.n == 0:
-        return None
-    pos = []
-    for q in qs:
-        vi = (vr.n - 1) * q
-        lo = math.floor(vi)
-        pos.append((lo, min(lo + 1, vr.n - 1), vi - lo))
-    wanted = sorted({p for lo, hi, _ in pos for p in (lo, hi)})
-    arr = F.array(*[F.lit(p).cast("long") for p in wanted])
-    hit = F.exists(arr, lambda p: (p >= F.col("_before")) & (p < F.col("_before") + F.col("_cnt")))
-    rows = vr.table.where(hit).select(vr.value_col, "_before", "_cnt").collect()
-    at = {}
-    for r in rows:
-        for p in wanted:
-            if r["_before"] <= p < r["_before"] + r["_cnt"]:
-                at[p] = float(r[vr.value_col])
-    return [_lerp(at[lo], at[hi], g) for lo, hi, g in pos]
+def exact_quantiles(table: DataFrame, sizes: dict[str, int], qs: list[float]) -> dict[str, list[float]]:
+    """Linear-interpolated quantiles (numpy 'linear') of columns in a rank table.
+
+    One job; only the <= 2 * len(qs) order statistics of each column are fetched."""
+    places = {c: [(math.floor((n - 1) * q), min(math.floor((n - 1) * q) + 1, n - 1), (n - 1) * q - math.floor((n - 1) * q))
+                  for q in qs] for c, n in sizes.items() if n > 0}
+    if not places:
+        return {}
+    wanted = {c: sorted({p for lo, hi, _ in ps for p in (lo, hi)}) for c, ps in places.items()}
+    arrays = F.create_map(*[x for c, ps in wanted.items()
+                            for x in (F.lit(c), F.array(*[F.lit(p).cast("long") for p in ps]))])
+    hit = F.exists(arrays[F.col("target")], lambda p: (p >= F.col("before")) & (p < F.col("before") + F.col("cnt")))
+    rows = table.where(F.col("target").isin(list(wanted)) & hit).collect()
+    at = {(r["target"], p): r["value"] for r in rows for p in wanted[r["target"]]
+          if r["before"] <= p < r["before"] + r["cnt"]}
+    return {c: [_lerp(at[c, lo], at[c, hi], g) for lo, hi, g in ps] for c, ps in places.items()}

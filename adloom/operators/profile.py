@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adloom.functions.exprs import is_numeric_type
-from adloom.operators.ordered import exact_quantiles, value_ranks
+from adloom.operators.ordered import exact_quantiles, rank_table
 
 
 def _numeric(df: DataFrame) -> list[str]:
@@ -56,10 +56,12 @@ def column_profile(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
         aggs += [F.approx_count_distinct(c).alias(f"ad__{c}") for c in df.columns]
     wide = df.agg(*aggs).first().asDict()
     n = int(wide["__n"])
+    # one rank table for the medians of all numeric columns: the number of jobs does not
+    # depend on the number of columns
     medians = {}
-    for c in numeric:
-        q = exact_quantiles(value_ranks(df, c), [0.5])
-        medians[c] = q[0] if q else None
+    if numeric and n:
+        found = exact_quantiles(rank_table(df, numeric), {c: int(wide[f"nn__{c}"]) for c in numeric}, [0.5])
+        medians = {c: q[0] for c, q in found.items()}
     if exact_distinct:
         distinct = {r["column"]: int(r["d"]) for r in
                     value_counts(df, df.columns).groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
@@ -83,9 +85,10 @@ def column_profile(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
 
 
 def top_values(df: DataFrame, k: int = 3) -> DataFrame:
-    """V9: top-k values of each non-numeric column, by count desc then value asc."""
-    cols = [f.name for f in df.schema.fields if not is_numeric_type(f.dataType)
-            and not isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType, T.BooleanType))]
+    """V9: top-k values of each column that is not a number, by count desc then value asc."""
+    cols = [f.name for f in df.schema.fields if not is_numeric_type(f.dataType)]
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, value string, count long, rank int")
     vc = value_counts(df, cols)
     w = Window.partitionBy("column").orderBy(F.desc("count"), F.asc("value"))
     return (vc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -123,7 +126,9 @@ def snapshot_totals(df: DataFrame) -> dict:
             "duplicates": int(dups or 0), "total_nulls": total_nulls,
             "null_percentage": round(total_nulls / cells * 100, 2) if cells else 0,
             "null_per_column": {k: int(v) for k, v in r.items()},
-            "dtypes": {f.name: f.dataType.simpleString() for f in df.schema.fields}}
+            "dtypes": {f.name: f.dataType.simpleString() for f in df.schema.fields},
+            "numeric_summary": {r["column"]: {k: r[k] for k in ("min", "max", "mean", "std")}
+                                for r in quality_snapshot(df).collect() if r["min"] is not None}}
 
 
 def outlier_summary(df: DataFrame, threshold: float = 3.0, min_rows: int = 10) -> DataFrame:
@@ -150,21 +155,24 @@ def outlier_summary(df: DataFrame, threshold: float = 3.0, min_rows: int = 10) -
 
 
 def change_report(raw: DataFrame, options=None) -> DataFrame:
-    """Rows before/after, duplicates removed, nulls filled (before - after on
-    the original columns), columns before / after / added / dropped by name."""
+    """Rows before / after, duplicates removed, nulls filled, strategies, and the
+    columns before / after / added / dropped by name.
+
+    Cleaning observes its own figures while it writes; only the rows before are counted."""
     from adloom.plans.pipeline import CleanOptions, clean_dataset
     spark = raw.sparkSession
-    before = raw.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    opts = options or CleanOptions(blocks=frozenset(), checkpoint_base=False)
-    res = clean_dataset(raw, opts)
-    dedup = raw.dropDuplicates()
-    nulls_expr = sum(((F.count(F.lit(1)) - F.count(F.col(c))) for c in dedup.columns), F.lit(0))
-    d = dedup.agg(F.count(F.lit(1)).alias("n"), nulls_expr.alias("nulls")).first()
-    after_nulls = res.df.select(*res.raw_columns).agg(
-        sum(((F.count(F.lit(1)) - F.count(F.col(c))) for c in res.raw_columns), F.lit(0)).alias("x")).first()["x"]
-    row = (int(before), int(d["n"]), int(before - d["n"]), int(before - d["n"]), int(d["nulls"] - after_nulls))
-    return spark.createDataFrame([row], "rows_before long, rows_after long, rows_removed long, "
-                                        "duplicates_removed long, nulls_filled long")
+    before = raw.count()
+    res = clean_dataset(raw, options or CleanOptions(blocks=frozenset()))
+    rep, after = res.report, res.df.columns
+    old = [rep.get("renamed", {}).get(c, c) for c in rep["columns_before"]]
+    filled = sum(rep["null_counts"][c] for c in rep["filled"])
+    row = (before, rep["rows"], before - rep["rows"], before - rep["rows"], filled, rep["strategy_numeric"],
+           rep["strategy_categorical"], len(old), len(after), ",".join(c for c in after if c not in old),
+           ",".join(c for c in old if c not in after))
+    return spark.createDataFrame([row], (
+        "rows_before long, rows_after long, rows_removed long, duplicates_removed long, nulls_filled long, "
+        "strategy_numeric string, strategy_categorical string, columns_before int, columns_after int, "
+        "columns_added string, columns_dropped string"))
 
 
 def dataset_summary(df: DataFrame) -> DataFrame:
@@ -219,31 +227,40 @@ def validate_by_file(df: DataFrame, file_col: str = "_file_name") -> DataFrame:
                       ((F.col("rows") > 0) & F.lit(len(cols) >= 2)).alias("valid"))
 
 
+def validation_report(df: DataFrame) -> DataFrame:
+    """V3-V6 as rows (rule, column, measure): empty columns (null %), columns at least half
+    empty (null %), a duplicate rate above 30 % (%), outliers by column (count)."""
+    nulls = null_columns(df)
+    parts = [
+        nulls.where("all_null").select(F.lit("empty_column").alias("rule"), "column", F.col("null_pct").alias("measure")),
+        nulls.where("high_null AND NOT all_null").select(F.lit("half_empty"), "column", "null_pct"),
+        duplicate_rate(df).where("duplicates * 100.0 / rows > 30").select(F.lit("duplicates"), F.lit("*"), "dup_pct"),
+        outlier_summary(df).select(F.lit("outliers"), "column", F.col("count").cast("double"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 def validate(df: DataFrame) -> dict:
-    """Fatal checks, all-null / high-null warnings, summary."""
-    rep = {"valid": True, "errors": [], "warnings": []}
-    if len(df.columns) < 2:
-        rep["valid"] = False
-        rep["errors"].append(f"File has only {len(df.columns)} column(s). Minimum 2 required for meaningful analysis.")
-        return rep
-    snap = snapshot_totals(df)
-    n = snap["rows"]
-    if n == 0:
-        rep["valid"] = False
-        rep["errors"].append("File is empty (0 rows)")
-        return rep
-    all_null = [c for c, k in snap["null_per_column"].items() if k == n]
-    if all_null:
-        rep["warnings"].append(f"{len(all_null)} column(s) are entirely null: {', '.join(all_null[:5])}")
-    high = [f"{c} ({k / n * 100:.0f}%)" for c, k in snap["null_per_column"].items() if 50 <= k / n * 100 < 100]
-    if high:
-        rep["warnings"].append(f"{len(high)} column(s) have >50% nulls: {', '.join(high[:5])}")
-    dup_pct = snap["duplicates"] / n * 100
-    if dup_pct > 30:
-        rep["warnings"].append(f"High duplicate rate: {snap['duplicates']} rows ({dup_pct:.1f}%) are duplicates")
-    numeric = _numeric(df)
-    rep["summary"] = {"total_rows": n, "total_columns": len(df.columns), "numeric_columns": len(numeric),
-                      "categorical_columns": len([f for f in df.schema.fields if isinstance(f.dataType, T.StringType)]),
-                      "total_nulls": snap["total_nulls"], "total_duplicates": snap["duplicates"]}
-    rep["snapshot"] = snap
-    return rep
+    """Is the table usable, what is odd about it, and its profile.
+
+    Fatal: no rows, or fewer than two columns (rows are looked at first)."""
+    report: dict = {"valid": False, "errors": [], "warnings": [], "summary": {}, "outliers": [], "profile": [], "top_values": []}
+    if df.isEmpty():
+        report["errors"].append("no rows")
+    elif len(df.columns) < 2:
+        report["errors"].append(f"{len(df.columns)} column(s); at least 2 are needed")
+    if report["errors"]:
+        return report
+    report["valid"] = True
+    wording = {"empty_column": "{0}: no value at all", "half_empty": "{0}: {1:.1f} % of the cells are empty",
+               "duplicates": "{1:.1f} % of the rows repeat an earlier row", "outliers": "{0}: {1:.0f} outlier(s), |z| > 3"}
+    found = validation_report(df).collect()
+    report["warnings"] = [wording[r["rule"]].format(r["column"], r["measure"]) for r in found]
+    report["summary"] = dataset_summary(df).first().asDict()
+    report["snapshot"] = snapshot_totals(df)
+    report["outliers"] = [r.asDict() for r in outlier_summary(df).collect()]
+    report["profile"] = [r.asDict() for r in column_profile(df).collect()]
+    report["top_values"] = [r.asDict() for r in top_values(df).collect()]
+    return report

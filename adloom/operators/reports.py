@@ -8,12 +8,17 @@ paging / top-k reports carry a limit, and the limit is the feature.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adloom.functions import exprs as X
+from adloom.operators.clean import date_layouts
+from adloom.operators.ordered import sequence_ops
 from adloom.operators.roles import detect_roles
 
+# ---- fixed values: columns hidden from the flagged-row table, flag columns ------
 DISPLAY_SKIP_PREFIXES = ("z_",)
 DISPLAY_SKIP_SUFFIXES = ("_cumulative", "_ma3", "_ma7", "_percentile")
 FLAG_COLUMNS = ["is_suspicious_traffic", "is_ctr_anomaly", "is_outlier"]
@@ -23,6 +28,25 @@ def _roles(df: DataFrame, roles: dict | None) -> dict:
     return roles if roles is not None else detect_roles(df.schema)
 
 
+def _empty(df: DataFrame, schema: str) -> DataFrame:
+    """What a report on a table without its roles gives: no rows, the usual columns."""
+    return df.sparkSession.createDataFrame([], schema)
+
+
+def _dated(df: DataFrame, d: str) -> DataFrame:
+    """``df`` with a date column that is text read by the layout that fits most cells."""
+    if not isinstance(df.schema[d].dataType, T.StringType):
+        return df
+    layouts = date_layouts(F.col(d))
+    found = df.agg(*[F.count(e).alias(f"n{i}") for i, e in enumerate(layouts)]).first()
+    return df.withColumn(d, layouts[max(range(len(layouts)), key=lambda i: (found[i], -i))])
+
+
+def _ranked(df: DataFrame, name: str, *order) -> DataFrame:
+    """``df`` (a small aggregate) in a declared order, with its 1-based place."""
+    return df.withColumn(name, F.row_number().over(Window.orderBy(*order))).orderBy(name)
+
+
 def _day(c: str) -> Column:
     return F.date_format(F.col(c), "yyyy-MM-dd")
 
@@ -53,23 +77,26 @@ def kpi_totals(df: DataFrame, roles: dict | None = None) -> DataFrame:
     return df.agg(*aggs)
 
 
-def kpi_labels(spark: SparkSession, df: DataFrame) -> DataFrame:
-    from adloom.operators.roles import roles_frame
-    return roles_frame(spark, df)
-
-
 # ---- A5-A8 ----------------------------------------------------------------
 def revenue_by_date(df: DataFrame, roles: dict | None = None) -> DataFrame:
+    """A5: revenue per day, in date order."""
     r = _roles(df, roles)
-    d, v = r["date"], r["revenue"]
-    return (df.where(F.col(d).isNotNull()).groupBy(_day(d).alias("date_label"))
-            .agg(F.round(F.sum(v), 2).alias("revenue")))
+    d, v = r.get("date"), r.get("revenue")
+    if not d or not v:
+        return _empty(df, "date_label string, revenue double, day_rank int")
+    df = _dated(df, d)
+    daily = (df.where(F.col(d).isNotNull()).groupBy(_day(d).alias("date_label"))
+             .agg(F.round(F.sum(v), 2).alias("revenue")))
+    return _ranked(daily, "day_rank", "date_label")
 
 
 def revenue_by_weekday(df: DataFrame, roles: dict | None = None) -> DataFrame:
     """Fixed Monday..Sunday domain (7-row broadcast table), missing -> 0."""
     r = _roles(df, roles)
-    d, v = r["date"], r["revenue"]
+    d, v = r.get("date"), r.get("revenue")
+    if not d or not v:
+        return _empty(df, "weekday_order int, weekday string, revenue double")
+    df = _dated(df, d)
     spark = df.sparkSession
     domain = spark.createDataFrame(list(enumerate(X.WEEKDAYS, start=1)), "weekday_order int, weekday string")
     sums = (df.where(F.col(d).isNotNull()).groupBy(X.day_name(d).alias("weekday"))
@@ -82,13 +109,19 @@ def funnel(df: DataFrame, roles: dict | None = None) -> DataFrame:
     """Stage totals as rows."""
     r = _roles(df, roles)
     stages = [s for s in ("impressions", "clicks", "conversions") if s in r]
+    if not stages:
+        return _empty(df, "stage string, value long")
     one = df.agg(*[F.sum(r[s]).cast("long").alias(s) for s in stages])
     return one.unpivot([], stages, "stage", "value")
 
 
 def monthly_revenue(df: DataFrame, roles: dict | None = None) -> DataFrame:
+    """Revenue (and clicks) per month, in time order."""
     r = _roles(df, roles)
-    d, v = r["date"], r["revenue"]
+    d, v = r.get("date"), r.get("revenue")
+    if not d or not v:
+        return _empty(df, "month_label string, month_start string, revenue double, month_rank int")
+    df = _dated(df, d)
     aggs = [F.round(F.sum(v), 2).alias("revenue")]
     if "clicks" in r:
         aggs.append(F.sum(r["clicks"]).cast("long").alias("clicks"))
@@ -96,70 +129,67 @@ def monthly_revenue(df: DataFrame, roles: dict | None = None) -> DataFrame:
          .groupBy(F.date_format(F.date_trunc("month", F.col(d)), "yyyy-MM").alias("month_start"))
          .agg(*aggs))
     label = F.date_format(F.to_date(F.concat(F.col("month_start"), F.lit("-01"))), "MMM yyyy")
-    return g.select(label.alias("month_label"), "month_start", *[a for a in g.columns if a not in ("month_start",)])
+    return _ranked(g.select(label.alias("month_label"), *g.columns), "month_rank", "month_start")
 
 
 # ---- A9, A10 histograms ----------------------------------------------------
-def _hist(df: DataFrame, value: Column, lo: float, hi: float, bins: int,
-          label_fmt: str, include_outside: bool) -> DataFrame:
-    """Equal-width bins on [lo, hi], last bin closed, bin table left-joined."""
-    spark = df.sparkSession
-    if hi == lo:
-        lo, hi = lo - 0.5, hi + 0.5
-    width = (hi - lo) / bins
-    edges = [lo + i * width for i in range(bins)] + [hi]
-    b = F.least(F.floor((value - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(bins - 1))
-    inside = (value >= F.lit(lo)) & (value <= F.lit(hi))
-    counts = (df.select(b.alias("bin"), inside.alias("_in")).where("_in")
-              .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
-    labels = [(i, label_fmt.format(edges[i], edges[i + 1])) for i in range(bins)]
-    dom = spark.createDataFrame(labels, "bin int, label string")
-    return (F.broadcast(dom).join(counts, "bin", "left")
-            .select("bin", "label", F.coalesce("count", F.lit(0)).cast("long").alias("count")))
-
-
 def ctr_histogram(df: DataFrame, roles: dict | None = None, bins: int = 20) -> DataFrame:
+    """Equal-width bins between the least and the greatest rate, the last one closed.
+
+    A value belongs to the bin whose edges hold it, as they are in floating point."""
     r = _roles(df, roles)
-    c = r["ctr"]
-    mm = df.agg(F.min(c).alias("lo"), F.max(c).alias("hi")).first()
-    if mm["lo"] is None:
-        return df.sparkSession.createDataFrame([], "bin int, label string, count long")
+    c = r.get("ctr")
+    mm = df.agg(F.min(c).alias("lo"), F.max(c).alias("hi")).first() if c else None
+    if mm is None or mm["lo"] is None:
+        return _empty(df, "bin int, label string, count long")
     scale = 100.0 if mm["hi"] < 1 else 1.0
-    v = F.col(c) * F.lit(scale)
-    return _hist(df.where(F.col(c).isNotNull()), v, mm["lo"] * scale, mm["hi"] * scale, bins,
-                 "{:.1f}-{:.1f}", False)
+    lo, hi = float(mm["lo"]) * scale, float(mm["hi"]) * scale
+    if lo == hi:
+        lo, hi = lo - 0.5, hi + 0.5
+    edges = np.linspace(lo, hi, bins + 1).tolist()
+    value = F.col(c) * F.lit(scale)
+    inner = sum(((value >= F.lit(e)).cast("int") for e in edges[1:-1]), F.lit(0))
+    counts = df.where(F.col(c).isNotNull()).groupBy(inner.alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
+    labels = [(i, f"{edges[i]:.1f}-{edges[i + 1]:.1f}") for i in range(bins)]
+    dom = df.sparkSession.createDataFrame(labels, "bin int, label string")
+    return (F.broadcast(dom).join(counts, "bin", "left")
+            .select("bin", "label", F.coalesce("_n", F.lit(0)).cast("long").alias("count")))
 
 
 def engagement_histogram(df: DataFrame) -> DataFrame:
-    def fmt_int(a, b):
-        return f"{int(a)}-{int(b)}"
+    if "engagement_score" not in df.columns:
+        return _empty(df, "bin int, label string, count long")
     spark = df.sparkSession
     width = 10.0
     v = F.col("engagement_score")
     b = F.least(F.floor(v / F.lit(width)).cast("int"), F.lit(9))
     counts = (df.where(v.isNotNull() & (v >= 0) & (v <= 100)).groupBy(b.alias("bin"))
               .agg(F.count(F.lit(1)).alias("count")))
-    dom = spark.createDataFrame([(i, fmt_int(i * 10, i * 10 + 10)) for i in range(10)], "bin int, label string")
+    dom = spark.createDataFrame([(i, f"{i * 10}-{i * 10 + 10}") for i in range(10)], "bin int, label string")
     return (F.broadcast(dom).join(counts, "bin", "left")
             .select("bin", "label", F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 
 
 # ---- A11-A20 ---------------------------------------------------------------
 def channel_revenue(df: DataFrame) -> DataFrame:
-    return df.groupBy("channel").agg(F.round(F.sum("revenue"), 2).alias("revenue"))
+    """Revenue per channel, greatest first (ties by name)."""
+    if not {"channel", "revenue"} <= set(df.columns):
+        return _empty(df, "channel string, revenue double, channel_rank int")
+    sums = df.groupBy("channel").agg(F.round(F.sum("revenue"), 2).alias("revenue"))
+    return _ranked(sums, "channel_rank", F.desc("revenue"), "channel")
 
 
 def tier_distribution(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    dom = spark.createDataFrame(list(enumerate(X.TIER_LABELS, start=1)), "tier_order int, tier string")
     if "spend_efficiency_tier" not in df.columns:
-        return dom.select("tier_order", "tier", F.lit(0).cast("long").alias("count"))
+        return _empty(df, "tier_order int, tier string, count long")
+    dom = df.sparkSession.createDataFrame(list(enumerate(X.TIER_LABELS, start=1)), "tier_order int, tier string")
     counts = (df.where(F.col("spend_efficiency_tier").isNotNull())
               .groupBy(F.col("spend_efficiency_tier").alias("tier")).agg(F.count(F.lit(1)).alias("_n")))
     return (F.broadcast(dom).join(counts, "tier", "left")
             .select("tier_order", "tier", F.coalesce("_n", F.lit(0)).cast("long").alias("count")))
 
 
+# ---- fixed values: columns that make a table an "advanced" one ------------------
 ADVANCED_COLUMNS = ["roas", "cpa", "cpc", "cpm", "profit_margin", "engagement_score",
                     "is_suspicious_traffic", "is_outlier", "is_retargeting", "channel",
                     "spend_efficiency_tier", "day_of_week"]
@@ -210,15 +240,15 @@ def summary(df: DataFrame, roles: dict | None = None) -> DataFrame:
 
 
 def gauge(df: DataFrame, roles: dict | None = None) -> DataFrame:
-    """rate = avg conversion rate %, else avg ctr, else 0."""
+    """Average conversion rate in %, else (none or 0) average ctr, else 0."""
     r = _roles(df, roles)
+    rates = []
     if "conversion_rate" in df.columns:
-        rate = F.round(F.avg("conversion_rate") * 100, 2)
-    elif "ctr" in r:
-        rate = _scaled_mean(r["ctr"])
-    else:
-        rate = F.lit(0.0)
-    g = df.agg(rate.cast("double").alias("rate"))
+        rates.append(F.round(F.avg("conversion_rate") * 100, 2))
+    if "ctr" in r:
+        rates.append(_scaled_mean(r["ctr"]))
+    rate = F.coalesce(*[F.nullif(x.cast("double"), F.lit(0.0)) for x in rates], F.lit(0.0))
+    g = df.agg(rate.alias("rate"))
     return g.select("rate", F.greatest(F.lit(100.0) - F.col("rate"), F.lit(0.0)).alias("remaining"))
 
 
@@ -246,15 +276,32 @@ def digest(df: DataFrame, numeric: list[str]) -> DataFrame:
     return wide.select(stack.alias("s")).select("s.*")
 
 
-def digest_text(df: DataFrame, roles: dict | None = None) -> DataFrame:
-    """One text column summarising the table (the input a report writer gets)."""
+def digest_text(df: DataFrame, name: str = "table", roles: dict | None = None) -> DataFrame:
+    """One text column with the facts a report writer gets, in one aggregate: size,
+    columns, statistics of each numeric column, key totals and averages, date range.
+    (The sample rows are :func:`digest_sample`.)"""
     r = _roles(df, roles)
-    parts = [F.format_string("rows=%d", F.count(F.lit(1)))]
-    if "revenue" in r:
-        parts.append(F.format_string("revenue_total=%.2f revenue_avg=%.2f", F.sum(r["revenue"]), F.avg(r["revenue"])))
-    if "date" in r:
-        parts.append(F.format_string("date_range=%s..%s", F.min(_day(r["date"])), F.max(_day(r["date"]))))
-    return df.agg(F.concat_ws("; ", *parts).alias("digest"))
+    fixed = lambda x: F.format_string("%.2f", x.cast("double"))
+    whole = lambda x: F.format_number(x.cast("long"), 0)
+    lines = [F.lit(f"Dataset: {name}"), F.concat(F.lit("Total Records: "), F.count(F.lit(1)).cast("string")),
+             F.lit("Columns: " + ", ".join(df.columns))]
+    for f in df.schema.fields:
+        if X.is_numeric_type(f.dataType):
+            c = F.col(f.name)
+            lines.append(F.concat(F.lit(f"{f.name}: min="), fixed(F.min(c)), F.lit(", max="), fixed(F.max(c)), F.lit(", mean="),
+                                  fixed(F.avg(c)), F.lit(", std="), F.coalesce(fixed(F.stddev_samp(c)), F.lit("nan"))))
+    for c, label in (("clicks", "Total Clicks"), ("impressions", "Total Impressions"), ("conversions", "Total Conversions")):
+        if c in df.columns:
+            lines.append(F.concat(F.lit(f"{label}: "), whole(F.sum(c))))
+    if "revenue" in df.columns:
+        lines += [F.concat(F.lit("Total Revenue: $"), F.format_number(F.sum("revenue"), 2)),
+                  F.concat(F.lit("Avg Revenue per Record: $"), F.format_number(F.avg("revenue"), 2))]
+    for c, label in (("ctr", "Average CTR"), ("conversion_rate", "Avg Conversion Rate")):
+        if c in df.columns:
+            lines.append(F.concat(F.lit(f"{label}: "), fixed(F.avg(c) * 100), F.lit("%")))
+    if "date" in r and not isinstance(df.schema[r["date"]].dataType, T.StringType):
+        lines.append(F.concat(F.lit("Date Range: "), F.min(_day(r["date"])), F.lit(" to "), F.max(_day(r["date"]))))
+    return df.agg(F.concat_ws("\n", *lines).alias("digest"))
 
 
 def digest_sample(df: DataFrame, order_cols: list[str], k: int = 5) -> DataFrame:
@@ -263,29 +310,48 @@ def digest_sample(df: DataFrame, order_cols: list[str], k: int = 5) -> DataFrame
 
 
 # ---- T1-T10 ----------------------------------------------------------------
-def top_days(df: DataFrame, k: int, roles: dict | None = None) -> DataFrame:
-    """K best days by revenue, ties keep the earliest date; pct of the best."""
+def top_days(df: DataFrame, k: int, roles: dict | None = None, ascending: bool = False) -> DataFrame:
+    """K best days by revenue, ties keep the earliest date; pct of the best.
+
+    ``row_index`` is the place in the output: best day last (``ascending``) or first."""
     r = _roles(df, roles)
-    daily = (df.where(F.col(r["date"]).isNotNull()).groupBy(_day(r["date"]).alias("date_label"))
-             .agg(F.sum(r["revenue"]).alias("_v")))
+    d, v = r.get("date"), r.get("revenue")
+    if not d or not v:
+        return _empty(df, "date_label string, revenue double, pct_of_best double, row_index int")
+    df = _dated(df, d)
+    daily = (df.where(F.col(d).isNotNull()).groupBy(_day(d).alias("date_label")).agg(F.sum(v).alias("_v")))
     top = daily.orderBy(F.desc("_v"), F.asc("date_label")).limit(k)
     best = F.max("_v").over(Window.partitionBy())  # over <= k rows
+    place = Window.orderBy(F.asc("_v") if ascending else F.desc("_v"), F.desc("date_label") if ascending else F.asc("date_label"))
     return top.select("date_label", F.round("_v", 2).alias("revenue"),
-                      F.round(F.col("_v") / F.nullif(best, F.lit(0.0)) * 100, 1).alias("pct_of_best"))
-
-
-def trend(df: DataFrame, value_cols: list[Column], drop_null: list[str], roles: dict | None = None) -> DataFrame:
-    """Per-row series in date order (null dates dropped)."""
-    r = _roles(df, roles)
-    d = r["date"]
-    keep = df.na.drop(subset=[d] + drop_null)
-    return keep.select(_day(d).alias("date_label"), *value_cols)
+                      F.round(F.col("_v") / F.nullif(best, F.lit(0.0)) * 100, 1).alias("pct_of_best"),
+                      (F.row_number().over(place) - 1).alias("row_index")).orderBy("row_index")
+
+
+def trend(df: DataFrame, value_cols: list[Column], drop_null: list[str], roles: dict | None = None,
+          order_cols: list[str] | None = None, n_rows: int | None = None) -> DataFrame:
+    """Per-row series in date order (null dates dropped), with ``row_index``.
+
+    Rows of one date follow ``order_cols`` (default: all other columns).  Places come from
+    range partitions (operators/ordered.py), not from one task.  Without a date column
+    the series is labelled by position, in the order of ``order_cols``."""
+    d = _roles(df, roles).get("date")
+    if d:
+        df = _dated(df, d)
+        drop_null = [d, *drop_null]
+    keep = df.na.drop(subset=drop_null) if drop_null else df
+    order = [c for c in ([d] if d else []) + list(order_cols or df.columns)]
+    keys = [F.col(c).alias(f"__o{i}") for i, c in enumerate(dict.fromkeys(order))]
+    label = [_day(d).alias("date_label")] if d else []
+    narrow = keep.select(*keys, *label, *value_cols)
+    seq = sequence_ops(narrow, [f"__o{i}" for i in range(len(keys))], n_rows=n_rows or keep.count(), row_number_col="__rn")
+    return seq.select((F.col("__rn") - 1).alias("row_index"), *[c for c in narrow.columns if not c.startswith("__o")]) \
+        .orderBy("row_index")
 
 
 def position_series(df: DataFrame, order_cols: list[str], value_cols: list[str], n_rows: int) -> DataFrame:
     """Values labelled 0..n-1 by position in the declared order (the
     global row number comes from the distributed sequencing, not one task)."""
-    from adloom.operators.ordered import sequence_ops
     seq = sequence_ops(df.select(*dict.fromkeys(order_cols + value_cols)), order_cols, n_rows=n_rows,
                        row_number_col="_rn")
     return seq.select((F.col("_rn") - 1).alias("row_index"), *value_cols)
@@ -305,10 +371,20 @@ def flagged_rows(df: DataFrame, order_cols: list[str], limit: int = 50) -> tuple
     return page, total
 
 
+def _cell_text(c: str, dt: T.DataType) -> Column:
+    """A cell as a reader sees it: numbers of usual size without an exponent."""
+    text = F.col(c).cast("string")
+    if isinstance(dt, (T.DoubleType, T.FloatType)):
+        size = F.abs(F.col(c).cast("double"))
+        plain = F.regexp_replace(text.cast("decimal(38,18)").cast("string"), r"(\.\d+?)0+$", "$1")
+        text = F.when(text.contains("E") & (size >= 1e-4) & (size < 1e16), plain).otherwise(text)
+    return text
+
+
 def search(df: DataFrame, query: str) -> DataFrame:
     """case-insensitive substring over all cells as text (nulls never match)."""
     q = query.lower()
-    cells = [F.coalesce(F.lower(F.col(c).cast("string")).contains(q), F.lit(False)) for c in df.columns]
+    cells = [F.coalesce(F.lower(_cell_text(f.name, f.dataType)).contains(q), F.lit(False)) for f in df.schema.fields]
     cond = cells[0]
     for c in cells[1:]:
         cond = cond | c

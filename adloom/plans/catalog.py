@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from adloom.operators import profile as P
 from adloom.operators import reports as R
+from adloom.operators.roles import (CAMPAIGN_COLUMNS, SPEND_COLUMNS, first_in_column_order,
+                                    metric_keyword_columns, roles_frame)
 from adloom.plans.pipeline import CleanOptions, CleanResult, clean_dataset
-from adloom.plans.views import AD_ORDER, SALES_ORDER, view
+from adloom.plans.views import AD_ORDER, SALES_ORDER, source_state, view
 from adloom.functions.exprs import pround
 from adloom.session import materialize
 
@@ -27,12 +29,11 @@ SALES_NUMERIC = ["impressions", "clicks", "conversions", "spend", "price", "quan
 
 
 def cleaned(spark: SparkSession, sf_dir: str, name: str) -> CleanResult:
-    """The cleaned table for a view, built once per session and sf."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """The cleaned table for a view, built once per session and state of the source files."""
+    key = (spark.sparkContext.applicationId, name, source_state(spark, sf_dir, name))
     if key not in _CACHE:
-        order = {"sales_facts": SALES_ORDER, "ad_facts": AD_ORDER}.get(name)
-        opts = CleanOptions(order_keys=[c for c in order if c != "date"] if order else None)
-        res = clean_dataset(view(spark, sf_dir, name), opts)
+        order = {"ad_facts": AD_ORDER}.get(name, SALES_ORDER)
+        res = clean_dataset(view(spark, sf_dir, name), CleanOptions(order_keys=[c for c in order if c != "date"]))
         res.df = materialize(res.df)
         _CACHE[key] = res
     return _CACHE[key]
@@ -54,17 +55,12 @@ def _r(c, n):
     return pround(F.col(c), n).alias(c)
 
 
-def q_roas_trend(spark, sf):
-    df = _sales(spark, sf)
-    return R.trend(df, [pround("roas", 4).alias("roas"), F.col("roas_ma3")], ["roas"])
-
-
-def q_profit_trend(spark, sf):
-    return R.trend(_sales(spark, sf), [pround(F.col("profit_margin") * 100, 2).alias("profit_margin_pct")], [])
-
-
-def q_cumulative_revenue(spark, sf):
-    return R.trend(_sales(spark, sf), [pround("revenue_cumulative", 2).alias("revenue_cumulative")], [])
+def _trend(values, drop_null=()):
+    """A sales series in date order, rows of a day in the declared order."""
+    def run(spark, sf):
+        res = cleaned(spark, sf, "sales_facts")
+        return R.trend(res.df, values(), list(drop_null), order_cols=res.order_cols, n_rows=res.report["rows"])
+    return run
 
 
 def q_cumulative_totals(spark, sf):
@@ -128,10 +124,6 @@ def q_suspicious_by_channel(spark, sf):
                  F.count_if("is_retargeting").alias("retargeting")))
 
 
-def q_revenue_trend(spark, sf):
-    return R.trend(_sales(spark, sf), [pround("revenue", 2).alias("revenue")], [])
-
-
 def q_clicks_impressions_series(spark, sf):
     """T3 + W4: per-row series labelled by 0-based position in the declared order."""
     res = cleaned(spark, sf, "sales_facts")
@@ -157,7 +149,7 @@ def q_page_count(spark, sf):
 
 def q_top_days(k: int):
     def run(spark, sf):
-        t = R.top_days(_sales(spark, sf), k)
+        t = R.top_days(_sales(spark, sf), k, ascending=k == 10)
         return t if k == 5 else t.drop("pct_of_best")
     return run
 
@@ -195,6 +187,78 @@ def q_typed_orders(spark, sf):
                          "price", "day_of_week", "month", "is_weekend")
 
 
+def q_dayfirst_orders(spark, sf):
+    """A column of day-first dates is read day first throughout."""
+    res = clean_dataset(view(spark, sf, "orders_dayfirst"),
+                        CleanOptions(blocks=frozenset({"temporal"}), checkpoint_base=False))
+    return res.df.select("o_orderkey", F.date_format("order_date", "yyyy-MM-dd").alias("order_day"), "month")
+
+
+def q_overwrite_features(spark, sf):
+    """Derived columns replace input columns of the same name."""
+    df = cleaned(spark, sf, "sales_overwrite").df
+    return df.select(*ROW_KEYS, _r("revenue", 4), _r("ctr", 6), "month", "quarter", _r("roas", 6), _r("profit", 4), "z_revenue", "z_ctr")
+
+
+def q_overwrite_windows(spark, sf):
+    """W1-W3 over replaced columns."""
+    df = cleaned(spark, sf, "sales_overwrite").df
+    return df.select(*ROW_KEYS, "revenue_percentile", "revenue_ma3", "revenue_ma7",
+                     pround("revenue_cumulative", 2).alias("revenue_cumulative"))
+
+
+def q_tiny_prices(spark, sf):
+    """W3 on values far below one: digits are kept whatever the magnitude."""
+    df = cleaned(spark, sf, "sales_tiny").df
+    scaled = pround(F.col("revenue_cumulative") * F.lit(1e6), 2)
+    return df.select("l_orderkey", "l_linenumber", "l_partkey", scaled.alias("revenue_cumulative_e6"))
+
+
+def q_rate_histogram(spark, sf):
+    """A9 on rates of small denominators, where many values lie on bin edges."""
+    return R.ctr_histogram(view(spark, sf, "small_rates"), {"ctr": "rate"})
+
+
+def q_zero_gauge(spark, sf):
+    """A conversion rate of 0 falls through to the ctr."""
+    return R.gauge(view(spark, sf, "zero_rates"))
+
+
+def q_long_search(spark, sf):
+    """large doubles are searched by their digits."""
+    return R.search(view(spark, sf, "large_numbers"), "00000.0").select("o_orderkey", "scaled")
+
+
+def q_quality_score(spark, sf):
+    """F23 over cells that stay empty after cleaning (dates are not invented)."""
+    res = clean_dataset(view(spark, sf, "sparse_orders"), CleanOptions(blocks=frozenset({"quality"}), checkpoint_base=False))
+    return res.df.select("o_orderkey", "data_quality_score")
+
+
+def q_empty_column(spark, sf):
+    """A column without any value is filled with 0 or Unknown."""
+    res = clean_dataset(view(spark, sf, "empty_columns"), CleanOptions(blocks=frozenset(), checkpoint_base=False))
+    return res.df.select("o_orderkey", "nothing", "no_text")
+
+
+def q_keyword_columns(spark, sf):
+    """C9 and C11 on the columns of the sales view."""
+    df = view(spark, sf, "sales_facts")
+    metrics, revenue = metric_keyword_columns(df.columns)
+    found = [("metric", c) for c in metrics] + [("revenue", c) for c in revenue]
+    found += [("spend", first_in_column_order(df.columns, SPEND_COLUMNS)),
+              ("campaign", first_in_column_order(df.columns, CAMPAIGN_COLUMNS))]
+    rows = spark.createDataFrame(found, "kind string, column string")
+    return rows.crossJoin(df.agg(F.count(F.lit(1)).alias("rows")))
+
+
+def q_roles(spark, sf):
+    """Roles, their columns and labels, and how many cells each column holds."""
+    df = _sales(spark, sf)
+    held = df.agg(*[F.count(F.col(c)).alias(c) for c in df.columns]).unpivot([], df.columns, "column", "cells")
+    return roles_frame(spark, df).join(held, "column", "left")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ad_channel_revenue": lambda s, sf: R.channel_revenue(_ads(s, sf)),
     "ad_kpi_totals": lambda s, sf: R.kpi_totals(_ads(s, sf)),
@@ -216,9 +280,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "digest_sample": q_digest_sample,
     "top10_days": q_top_days(10),
     "top5_days": q_top_days(5),
-    "roas_trend": q_roas_trend,
-    "profit_trend": q_profit_trend,
-    "cumulative_revenue": q_cumulative_revenue,
+    "roas_trend": _trend(lambda: [pround("roas", 4).alias("roas"), F.col("roas_ma3")], ["roas"]),
+    "profit_trend": _trend(lambda: [pround(F.col("profit_margin") * 100, 2).alias("profit_margin_pct")]),
+    "cumulative_revenue": _trend(lambda: [pround("revenue_cumulative", 2).alias("revenue_cumulative")]),
     "cumulative_totals": q_cumulative_totals,
     "moving_averages": q_moving_averages,
     "percentile_ranks": q_percentile_ranks,
@@ -232,7 +296,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "suspicious_by_channel": q_suspicious_by_channel,
     "page_by_revenue": q_page,
     "page_count": q_page_count,
-    "revenue_trend": q_revenue_trend,
+    "revenue_trend": _trend(lambda: [pround("revenue", 2).alias("revenue")]),
     "clicks_impressions_series": q_clicks_impressions_series,
     "dataset_summary": lambda s, sf: P.dataset_summary(_dirty(s, sf)),
     "null_columns": lambda s, sf: P.null_columns(_dirty(s, sf)),
@@ -246,5 +310,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quality_snapshot": lambda s, sf: P.quality_snapshot(_dirty(s, sf)),
     "outliers": lambda s, sf: P.outlier_summary(view(s, sf, "sales_facts")),
     "change_report": lambda s, sf: P.change_report(_dirty(s, sf)),
+    "dayfirst_orders": q_dayfirst_orders,
+    "overwrite_features": q_overwrite_features,
+    "overwrite_windows": q_overwrite_windows,
+    "tiny_prices": q_tiny_prices,
+    "rate_histogram": q_rate_histogram,
+    "zero_gauge": q_zero_gauge,
+    "large_number_search": q_long_search,
+    "quality_score": q_quality_score,
+    "empty_columns": q_empty_column,
+    "keyword_columns": q_keyword_columns,
+    "roles": q_roles,
+    "validation_report": lambda s, sf: P.validation_report(view(s, sf, "odd_orders")),
     "search_urgent": lambda s, sf: _date_str(R.search(_dirty(s, sf), "urgent")),
 }

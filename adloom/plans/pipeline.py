@@ -8,7 +8,8 @@ Spark jobs, in order (everything else is lazy):
   2. (no separate pass for those statistics);
   3. one wide aggregate for the feature statistics (+ one cheap pass deciding
      which columns have >= 3 distinct values);
-  4. per rank target: a distinct-value table (see operators/ordered.py);
+  4. one table of distinct values and their ranks for all rank targets (see
+     operators/ordered.py); percentiles are then looked up, not joined;
   5. range partition + checkpoint for the date-ordered windows.
 The result is a lazy DataFrame; nothing is collected except one-row stats.
 """
@@ -24,8 +25,8 @@ from pyspark.sql import types as T
 from adloom.functions.exprs import epoch_micros, is_datetime_type, is_numeric_type, nan_to_null, pround
 from adloom.operators import clean as C
 from adloom.operators import features as FE
-from adloom.operators.ordered import (OrderConfig, attach_percentile, exact_quantiles,
-                                      sequence_ops, value_ranks)
+from adloom.operators.ordered import (OrderConfig, attach_percentiles, exact_quantiles,
+                                      percentile_steps, rank_table, sequence_ops)
 from adloom.operators.roles import (CUMULATIVE_TARGETS, RANK_TARGETS, has_date_keyword,
                                     metric_keyword_columns)
 from adloom.session import materialize
@@ -41,7 +42,6 @@ class CleanOptions:
     strategy_categorical: str | None = "mode"
     impute_dates: bool = False          # Q5: do not invent dates by default
     order_keys: list[str] | None = None  # tie-breakers after the date; default: all raw columns
-    partition_by: list[str] | None = None
     blocks: frozenset = ALL_BLOCKS      # feature blocks to compute
     order: OrderConfig = field(default_factory=OrderConfig)
     checkpoint_base: bool = True
@@ -82,7 +82,7 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
     aggs += [F.count(F.col(c)).alias(f"nn__{c}") for c in base.columns]
     aggs += [F.avg(F.col(c)).alias(f"mean__{c}") for c in numeric]
     aggs += [x for c in numeric for x in (F.min(c).alias(f"lo__{c}"), F.max(c).alias(f"hi__{c}"))]
-    aggs += [F.count(C.parse_datetime(F.col(c))).alias(f"dt__{c}") for c in date_text]
+    aggs += [F.count(e).alias(f"dt__{c}__{i}") for c in date_text for i, e in enumerate(C.date_layouts(F.col(c)))]
     if opt.checkpoint_base:
         obs = Observation("adloom_base_stats")
         base = materialize(base.observe(obs, *aggs), "base")
@@ -93,6 +93,7 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
     null_counts = {c: n - int(s1[f"nn__{c}"]) for c in base.columns}
     means = {c: s1[f"mean__{c}"] for c in numeric}
     report["rows"] = n
+    report["columns_before"], report["null_counts"] = list(base.columns), null_counts
 
     filled, fills = C.fill_missing(base, numeric=numeric, categorical=categorical,
                                    null_counts=null_counts, means=means, n_rows=n,
@@ -102,13 +103,13 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
     if rename:
         filled = filled.withColumnsRenamed(rename)
         report["renamed"] = rename
-    convert = []
+    convert = {}
     for c in date_text:
-        nonnull = n - null_counts[c]
-        if s1[f"dt__{c}"] == 0 and nonnull > 0:
-            report["warnings"].append(f"'{final_name[c]}' failed datetime parse completely; kept as text")
+        parsed = [int(s1[f"dt__{c}__{i}"]) for i in range(C.N_LAYOUTS)]
+        if max(parsed) == 0 and n > null_counts[c]:
+            report["warnings"].append(f"'{final_name[c]}' holds no date in any known layout; kept as text")
         else:
-            convert.append(final_name[c])
+            convert[final_name[c]] = parsed.index(max(parsed))   # fullest; ties: month first
     typed = C.type_dates(filled, convert)
     numeric_final = [final_name[c] for c in numeric]
     report["numeric_columns"] = numeric_final
@@ -129,17 +130,26 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
     if "flags" in blocks:
         FE.add_flags(cols)
 
+    # columns of the input that a feature overwrites: from here on everything
+    # (statistics, ranks, sequencing, z-scores) reads the overwritten values
+    typed, types = _overwrite(cols, typed)
+
     # ---- job: feature statistics --------------------------------------------
     planned = cols.frame(typed)
     st = [F.count(F.lit(1)).alias("__n")]
-    zcand = [c for c in numeric_final if "zscore" in blocks]
+    later = set(FE.TEMPORAL_NAMES) if date_col and "temporal" in blocks else set()
+    zcand = [c for c in numeric_final if "zscore" in blocks and c not in later]
     inv_name = {v: k for k, v in final_name.items()}
+    fresh = [c for c in zcand if c in cols.replaced]   # their range is not known yet
+    spans = planned.agg(*[x for c in fresh for x in (F.min(c).alias(f"lo__{c}"), F.max(c).alias(f"hi__{c}"))]) \
+        .first().asDict() if fresh else {}
     for c in zcand:
         st += [F.avg(c).alias(f"m__{c}"), F.stddev_samp(c).alias(f"s__{c}")]
         # ">= 3 distinct values" <=> some value strictly between min and max; the
         # filled min / max follow from the raw ones (zero fill adds 0, a mean
         # fill stays inside), so this needs no extra pass
-        lo, hi = _filled_range(s1, inv_name[c], null_counts[inv_name[c]], strat_num)
+        lo, hi = (spans[f"lo__{c}"], spans[f"hi__{c}"]) if c in fresh else \
+            _filled_range(s1, inv_name[c], null_counts[inv_name[c]], strat_num)
         if lo is not None and hi is not None and lo < hi:
             st.append(F.count_if((F.col(c) > F.lit(lo)) & (F.col(c) < F.lit(hi))).alias(f"mid__{c}"))
     eng = [p for p in FE.ENGAGEMENT_PARTS if p in cols] if "engagement" in blocks else []
@@ -148,7 +158,7 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
     rank_cols = [c for c in RANK_TARGETS if c in cols and is_numeric_type(planned.schema[c].dataType)
                  and ("percentile" in blocks or (c == "roas" and "tier" in blocks))]
     for c in rank_cols:
-        st += [F.count(c).alias(f"rn__{c}"), F.approx_count_distinct(c, 0.05).alias(f"rm__{c}")]
+        st.append(F.count(c).alias(f"rn__{c}"))
     if date_col and "temporal" in blocks:
         st.append(F.min(epoch_micros(date_col, types[date_col])).alias("__dmin"))
     s2 = planned.agg(*st).first().asDict()
@@ -157,7 +167,9 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
         FE.add_temporal(cols, date_col, types[date_col], s2.get("__dmin"))
         # temporal columns are inserted after the funnel basics in the reference
         _move_after(cols, ["day_of_week", "is_weekend", "month", "quarter", "week_number",
-                           "days_since_start"], anchor=_last_of(cols, ["conversion_rate", "ctr", "revenue"]))
+                           "days_since_start"], anchor=_last_of(cols, ["conversion_rate", "ctr", "revenue"]),
+                    keep=raw_columns)
+        typed, types = _overwrite(cols, typed)
 
     # z-scores: >= 3 distinct values and std != 0
     zstats = {c: (float(s2[f"m__{c}"]), float(s2[f"s__{c}"])) for c in zcand
@@ -166,10 +178,11 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
 
     frame = cols.frame(typed)
 
-    # ---- distinct-value rank tables (W1 percentiles, F25 quartile edges) -----
-    ranks = {c: value_ranks(frame, c, opt.order, n=int(s2[f"rn__{c}"]), m_estimate=int(s2[f"rm__{c}"]))
-             for c in rank_cols}
-    pct_cols = [f"{c}_percentile" for c in RANK_TARGETS if c in ranks and "percentile" in blocks]
+    # ---- ranks of values (W1 percentiles, F25 quartile edges) ------------------
+    sizes = {c: int(s2[f"rn__{c}"]) for c in rank_cols}
+    ranks = rank_table(frame, rank_cols) if rank_cols else None
+    ranked = [c for c in RANK_TARGETS if c in sizes and "percentile" in blocks]
+    pct_cols = [f"{c}_percentile" for c in ranked]
 
     # ---- date-ordered windows (W2, W3) ---------------------------------------
     # Sequenced on the narrow feature frame (recomputed cheaply from the
@@ -191,23 +204,23 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
             need = [c for c in dict.fromkeys(roll + cum) if c not in raw_columns]
             seq_in = typed.select(*raw_columns, *[cols[c].alias(c) for c in need])
             seq = sequence_ops(seq_in, order_cols, n_rows=n, cum_cols=cum, roll_cols=roll,
-                               partition_by=opt.partition_by, cfg=opt.order)
+                               cfg=opt.order)
             ma_names = [f"{c}_ma{k}" for c in roll for k in (3, 7)]
             # reference order: moving averages (per column, 3 then 7) before cumulative sums
             seq_cols = ma_names + [c for c in seq.columns if c not in seq_in.columns and c not in ma_names]
-            frame = seq.select(*[F.col(nm) if nm in seq_in.columns else e.alias(nm) for nm, e in cols.items()],
+            frame = seq.select(*[F.col(nm) if nm in seq_in.columns else e.alias(nm) for nm, e in cols.items()
+                                 if nm not in seq_cols],
                                *[pround(F.col(c), 4).alias(c) if c in ma_names else F.col(c) for c in seq_cols])
-    if "percentile" in blocks:
-        for c in RANK_TARGETS:
-            if c in ranks:
-                frame = attach_percentile(frame, ranks[c], f"{c}_percentile")
+    if ranked:
+        steps = percentile_steps(ranks, {c: sizes[c] for c in ranked})
+        frame = attach_percentiles(frame.drop(*pct_cols), steps, {c: f"{c}_percentile" for c in ranked})
     ordered = [c for c in frame.columns if c not in pct_cols and c not in seq_cols] + pct_cols + seq_cols
     frame = frame.select(*ordered)
 
     # ---- remaining narrow features -------------------------------------------
     cols = FE.base_columns(frame)
-    if "tier" in blocks and "roas" in ranks and n >= 4:
-        edges = exact_quantiles(ranks["roas"], [0.0, 0.25, 0.5, 0.75, 1.0])
+    if "tier" in blocks and "roas" in sizes and n >= 4:
+        edges = exact_quantiles(ranks, {"roas": sizes["roas"]}, [0.0, 0.25, 0.5, 0.75, 1.0]).get("roas")
         if edges is not None and len(set(edges)) == 5:
             cols["spend_efficiency_tier"] = FE.tier_expr(F.col("roas"), edges)
             report["tier_edges"] = edges
@@ -224,6 +237,16 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
     return CleanResult(out, report, raw_columns, date_col, order_cols)
 
 
+def _overwrite(cols: FE.Columns, typed: DataFrame):
+    """``typed`` with the overwritten input columns in place; ``cols`` then refers to them."""
+    names = [c for c in typed.columns if c in cols.replaced]
+    if names:
+        typed = typed.select(*[cols[c].alias(c) for c in typed.columns])
+        for c in names:
+            cols[c] = F.col(c)
+    return typed, {f.name: f.dataType for f in typed.schema.fields}
+
+
 def _filled_range(s1: dict, c: str, nulls: int, strategy: str):
     """Min / max of column ``c`` after imputation, from the raw statistics."""
     lo, hi = s1.get(f"lo__{c}"), s1.get(f"hi__{c}")
@@ -244,8 +267,11 @@ def _last_of(cols, names):
     return max(present, key=keys.index)
 
 
-def _move_after(cols: FE.Columns, names: list[str], anchor: str | None) -> None:
-    """Place ``names`` right after ``anchor`` (or after the raw columns)."""
+def _move_after(cols: FE.Columns, names: list[str], anchor: str | None, keep: list[str]) -> None:
+    """Place ``names`` right after ``anchor`` (or after the raw columns); those in ``keep`` stay."""
+    names = [n for n in names if n not in keep]
+    if anchor in keep:
+        anchor = keep[-1]
     items = list(cols.items())
     moving = [(k, v) for k, v in items if k in names]
     rest = [(k, v) for k, v in items if k not in names]

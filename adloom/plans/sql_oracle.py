@@ -1,8 +1,8 @@
 """DuckDB SQL for the query catalogue: independent re-statements of each
 operator over the same views, used as the correctness oracle.
 
-Floats are rounded on both sides (sums may associate differently); prefix sums
-use ``DECIMAL(38,9)`` on both sides, as the engine does.
+Each query states the rule of the operator, not the engine's way to it.  Floats are
+rounded on both sides, as sums may associate differently.
 """
 
 from __future__ import annotations
@@ -102,7 +102,7 @@ def roll(c: str, k: int, order: str) -> str:
 
 def cum_double(c: str, order: str) -> str:
     w = f"OVER (ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    return f"CAST(SUM(CAST({c} AS DECIMAL(38,9))) {w} AS DOUBLE)"
+    return f"SUM(CAST({c} AS DOUBLE)) {w}"
 
 
 def cum_long(c: str, order: str) -> str:
@@ -140,6 +140,16 @@ def _mode_sql(c: str, src: str) -> str:
             f"ORDER BY n DESC, {c} ASC LIMIT 1)")
 
 
+def histogram(table: str, c: str, bins: int = 20) -> str:
+    """Bins by their edges: a value belongs where lower edge <= value < upper edge (last: <=)."""
+    return (f"SELECT CAST(i AS INTEGER) AS bin, printf('%.1f-%.1f', lower, upper) AS label, CAST(COUNT(v) AS BIGINT) AS count FROM ("
+            f"  SELECT i, lo + i * ((hi - lo) / {bins}) AS lower, CASE WHEN i = {bins - 1} THEN hi ELSE lo + (i + 1) * ((hi - lo) / {bins}) END AS upper "
+            f"  FROM range({bins}) r(i), (SELECT MIN({c}) * (CASE WHEN MAX({c}) < 1 THEN 100 ELSE 1 END) AS lo, "
+            f"                              MAX({c}) * (CASE WHEN MAX({c}) < 1 THEN 100 ELSE 1 END) AS hi FROM {table}) m) e "
+            f"LEFT JOIN (SELECT {c} * (SELECT CASE WHEN MAX({c}) < 1 THEN 100.0 ELSE 1.0 END FROM {table}) AS v FROM {table}) x "
+            f"ON v >= lower AND (v < upper OR i = {bins - 1}) GROUP BY i, lower, upper")
+
+
 KPI_SELECT = (
     "SELECT COUNT(*) AS total_rows, ROUND(SUM(revenue), 2) AS total_revenue, ROUND(AVG(revenue), 2) AS avg_revenue, "
     "CAST(SUM(clicks) AS BIGINT) AS total_clicks, CAST(SUM(impressions) AS BIGINT) AS total_impressions, "
@@ -153,13 +163,17 @@ TIER_SELECT = (
 
 def oracle_queries() -> dict[str, str]:
     q: dict[str, str] = {}
-    q["ad_channel_revenue"] = with_ads("SELECT channel, ROUND(SUM(revenue), 2) AS revenue FROM f GROUP BY channel")
+    by_channel = ("SELECT channel, revenue, CAST(ROW_NUMBER() OVER (ORDER BY revenue DESC, channel) AS INTEGER) AS channel_rank "
+                  "FROM (SELECT channel, ROUND(SUM(revenue), 2) AS revenue FROM f GROUP BY channel)")
+    q["ad_channel_revenue"] = with_ads(by_channel)
     q["ad_kpi_totals"] = with_ads(KPI_SELECT)
     q["kpi_totals"] = with_sales(KPI_SELECT)
     q["ad_tier_distribution"] = with_ads(TIER_SELECT, engagement=True)
     q["tier_distribution"] = with_sales(TIER_SELECT, engagement=True)
 
-    q["revenue_by_date"] = with_sales(f"SELECT {DAY} AS date_label, ROUND(SUM(revenue), 2) AS revenue FROM f WHERE date IS NOT NULL GROUP BY 1")
+    q["revenue_by_date"] = with_sales(
+        "SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY date_label) AS INTEGER) AS day_rank FROM ("
+        f"SELECT {DAY} AS date_label, ROUND(SUM(revenue), 2) AS revenue FROM f WHERE date IS NOT NULL GROUP BY 1)")
     q["revenue_by_weekday"] = with_sales(
         f"SELECT d.weekday_order, d.weekday, ROUND(COALESCE(s.r, 0.0), 2) AS revenue FROM {WEEKDAYS_VALUES} "
         "LEFT JOIN (SELECT dayname(date) AS weekday, SUM(revenue) AS r FROM f WHERE date IS NOT NULL GROUP BY 1) s "
@@ -169,24 +183,15 @@ def oracle_queries() -> dict[str, str]:
         "SELECT 'clicks', CAST(SUM(clicks) AS BIGINT) FROM f UNION ALL "
         "SELECT 'conversions', CAST(SUM(conversions) AS BIGINT) FROM f")
     q["monthly_revenue"] = with_sales(
-        "SELECT strftime(date_trunc('month', date), '%b %Y') AS month_label, strftime(date, '%Y-%m') AS month_start, "
-        "ROUND(SUM(revenue), 2) AS revenue, CAST(SUM(clicks) AS BIGINT) AS clicks FROM f WHERE date IS NOT NULL GROUP BY 1, 2")
-    q["ctr_histogram"] = with_sales(
-        "SELECT b.bin, b.label, CAST(COALESCE(c.n, 0) AS BIGINT) AS count FROM ("
-        "  SELECT CAST(i AS INTEGER) AS bin, "
-        "    printf('%.1f-%.1f', m.lo + i * (m.hi - m.lo) / 20, CASE WHEN i = 19 THEN m.hi ELSE m.lo + (i + 1) * (m.hi - m.lo) / 20 END) AS label "
-        "  FROM range(20) r(i), (SELECT MIN(ctr) * (CASE WHEN MAX(ctr) < 1 THEN 100 ELSE 1 END) AS lo, "
-        "                              MAX(ctr) * (CASE WHEN MAX(ctr) < 1 THEN 100 ELSE 1 END) AS hi FROM f) m) b "
-        "LEFT JOIN (SELECT CAST(LEAST(FLOOR((ctr * s.k - s.lo) / ((s.hi - s.lo) / 20)), 19) AS INTEGER) AS bin, COUNT(*) AS n "
-        "  FROM f, (SELECT MIN(ctr) * (CASE WHEN MAX(ctr) < 1 THEN 100 ELSE 1 END) AS lo, MAX(ctr) * (CASE WHEN MAX(ctr) < 1 THEN 100 ELSE 1 END) AS hi, "
-        "                  CASE WHEN MAX(ctr) < 1 THEN 100 ELSE 1 END AS k FROM f) s WHERE ctr IS NOT NULL GROUP BY 1) c "
-        "ON b.bin = c.bin")
+        "SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY month_start) AS INTEGER) AS month_rank FROM (SELECT strftime(date_trunc('month', date), '%b %Y') AS month_label, strftime(date, '%Y-%m') AS month_start, "
+        "ROUND(SUM(revenue), 2) AS revenue, CAST(SUM(clicks) AS BIGINT) AS clicks FROM f WHERE date IS NOT NULL GROUP BY 1, 2)")
+    q["ctr_histogram"] = with_sales(histogram("f", "ctr"))
     q["engagement_histogram"] = with_sales(
         "SELECT CAST(i AS INTEGER) AS bin, CAST(i * 10 AS VARCHAR) || '-' || CAST(i * 10 + 10 AS VARCHAR) AS label, "
         "CAST(COALESCE(c.n, 0) AS BIGINT) AS count FROM range(10) r(i) "
         "LEFT JOIN (SELECT CAST(LEAST(FLOOR(engagement_score / 10), 9) AS INTEGER) AS bin, COUNT(*) AS n FROM e "
         "  WHERE engagement_score BETWEEN 0 AND 100 GROUP BY 1) c ON r.i = c.bin", engagement=True)
-    q["channel_revenue"] = with_sales("SELECT channel, ROUND(SUM(revenue), 2) AS revenue FROM f GROUP BY channel")
+    q["channel_revenue"] = with_sales(by_channel)
     q["advanced_kpis"] = with_sales(
         "SELECT ROUND(AVG(roas), 4) AS avg_roas, ROUND(AVG(cpa), 4) AS avg_cpa, ROUND(AVG(cpc), 4) AS avg_cpc, "
         "ROUND(AVG(cpm), 4) AS avg_cpm, ROUND(AVG(profit_margin) * 100, 2) AS avg_profit_margin, "
@@ -201,8 +206,11 @@ def oracle_queries() -> dict[str, str]:
         "ROUND(SUM(revenue) / GREATEST(FLOOR((MAX(epoch_us(date)) - MIN(epoch_us(date))) / 86400000000), 1), 2) AS avg_daily_revenue, "
         "ROUND(CASE WHEN AVG(ctr) < 1 THEN AVG(ctr) * 100 ELSE AVG(ctr) END, 2) AS click_through_rate, "
         "ROUND(SUM(conversions) / GREATEST(SUM(clicks), 1) * 100, 2) AS avg_conversion_rate FROM f")
-    q["gauge"] = with_sales(
-        "SELECT ROUND(AVG(conversion_rate) * 100, 2) AS rate, GREATEST(100.0 - ROUND(AVG(conversion_rate) * 100, 2), 0.0) AS remaining FROM f")
+    gauge = ("SELECT rate, GREATEST(100.0 - rate, 0.0) AS remaining FROM (SELECT CASE WHEN conv <> 0 THEN conv WHEN ctr <> 0 THEN ctr ELSE 0.0 END AS rate "
+             "FROM (SELECT ROUND(AVG(conversion_rate) * 100, 2) AS conv, ROUND(AVG(ctr) * (CASE WHEN AVG(ctr) < 1 THEN 100 ELSE 1 END), 2) AS ctr FROM f))")
+    q["gauge"] = with_sales(gauge)
+    q["zero_gauge"] = f"WITH f AS ({view_sql('zero_rates')}) {gauge}"
+    q["rate_histogram"] = f"WITH f AS ({view_sql('small_rates')}) {histogram('f', 'rate')}"
     q["anomaly_total"] = with_sales(
         "SELECT CAST(COUNT_IF(is_suspicious_traffic) + COUNT_IF(is_ctr_anomaly) + COUNT_IF(is_outlier) AS BIGINT) AS anomaly_total FROM f")
     q["digest"] = with_sales(" UNION ALL ".join(
@@ -212,19 +220,20 @@ def oracle_queries() -> dict[str, str]:
         f"SELECT {DAY} AS date_label, campaign_name, {pr('revenue', 2)} AS revenue, clicks, impressions, conversions "
         f"FROM f ORDER BY {SALES_ORDER} LIMIT 5")
     q["top10_days"] = with_sales(
-        f"SELECT {DAY} AS date_label, ROUND(SUM(revenue), 2) AS revenue FROM f WHERE date IS NOT NULL GROUP BY 1 "
-        "ORDER BY SUM(revenue) DESC, 1 ASC LIMIT 10")
+        "SELECT date_label, ROUND(v, 2) AS revenue, CAST(ROW_NUMBER() OVER (ORDER BY v ASC, date_label DESC) - 1 AS INTEGER) AS row_index FROM ("
+        f"SELECT {DAY} AS date_label, SUM(revenue) AS v FROM f WHERE date IS NOT NULL GROUP BY 1 ORDER BY v DESC, 1 ASC LIMIT 10)")
     q["top5_days"] = with_sales(
-        f"SELECT date_label, ROUND(v, 2) AS revenue, ROUND(v / NULLIF(MAX(v) OVER (), 0) * 100, 1) AS pct_of_best FROM ("
+        f"SELECT date_label, ROUND(v, 2) AS revenue, ROUND(v / NULLIF(MAX(v) OVER (), 0) * 100, 1) AS pct_of_best, "
+        f"CAST(ROW_NUMBER() OVER (ORDER BY v DESC, date_label) - 1 AS INTEGER) AS row_index FROM ("
         f"SELECT {DAY} AS date_label, SUM(revenue) AS v FROM f WHERE date IS NOT NULL GROUP BY 1 ORDER BY v DESC, 1 ASC LIMIT 5)")
     q["roas_trend"] = with_sales(
-        f"SELECT {DAY} AS date_label, {pr('roas', 4)} AS roas, {roll('roas', 3, SALES_ORDER)} AS roas_ma3 FROM f "
-        "QUALIFY date IS NOT NULL AND roas IS NOT NULL")
+        f"SELECT CAST(ROW_NUMBER() OVER (ORDER BY {SALES_ORDER}) - 1 AS BIGINT) AS row_index, {DAY} AS date_label, {pr('roas', 4)} AS roas, roas_ma3 "
+        f"FROM (SELECT *, {roll('roas', 3, SALES_ORDER)} AS roas_ma3 FROM f) WHERE date IS NOT NULL AND roas IS NOT NULL")
     q["profit_trend"] = with_sales(
-        f"SELECT {DAY} AS date_label, {pr('profit_margin * 100', 2)} AS profit_margin_pct FROM f WHERE date IS NOT NULL")
+        f"SELECT CAST(ROW_NUMBER() OVER (ORDER BY {SALES_ORDER}) - 1 AS BIGINT) AS row_index, {DAY} AS date_label, {pr('profit_margin * 100', 2)} AS profit_margin_pct FROM f WHERE date IS NOT NULL")
     q["cumulative_revenue"] = with_sales(
-        f"SELECT {DAY} AS date_label, {pr(cum_double('revenue', SALES_ORDER), 2)} AS revenue_cumulative FROM f "
-        "QUALIFY date IS NOT NULL")
+        f"SELECT CAST(ROW_NUMBER() OVER (ORDER BY {SALES_ORDER}) - 1 AS BIGINT) AS row_index, {DAY} AS date_label, {pr('c', 2)} AS revenue_cumulative "
+        f"FROM (SELECT *, {cum_double('revenue', SALES_ORDER)} AS c FROM f) WHERE date IS NOT NULL")
     q["cumulative_totals"] = with_sales(
         f"SELECT l_orderkey, l_linenumber, l_partkey, {cum_long('clicks', SALES_ORDER)} AS clicks_cumulative, "
         f"{cum_long('conversions', SALES_ORDER)} AS conversions_cumulative, "
@@ -259,7 +268,7 @@ def oracle_queries() -> dict[str, str]:
     q["page_by_revenue"] = with_sales(
         f"SELECT l_orderkey, l_linenumber, l_partkey, {pr('revenue', 2)} AS revenue FROM f "
         f"ORDER BY revenue DESC NULLS LAST, {SALES_ORDER} LIMIT 50 OFFSET 100")
-    q["revenue_trend"] = with_sales(f"SELECT {DAY} AS date_label, {pr('revenue', 2)} AS revenue FROM f WHERE date IS NOT NULL")
+    q["revenue_trend"] = with_sales(f"SELECT CAST(ROW_NUMBER() OVER (ORDER BY {SALES_ORDER}) - 1 AS BIGINT) AS row_index, {DAY} AS date_label, {pr('revenue', 2)} AS revenue FROM f WHERE date IS NOT NULL")
     q["clicks_impressions_series"] = with_sales(
         f"SELECT CAST(ROW_NUMBER() OVER (ORDER BY {SALES_ORDER}) - 1 AS BIGINT) AS row_index, clicks, impressions FROM f")
     q["page_count"] = with_sales("SELECT COUNT(*) AS rows, CAST(GREATEST(CEIL(COUNT(*) / 50), 1) AS BIGINT) AS pages FROM f")
@@ -296,7 +305,7 @@ def oracle_queries() -> dict[str, str]:
     q["top_values"] = raw + " UNION ALL ".join(
         f"(SELECT '{c}' AS column, v AS value, n AS count, CAST(rn AS INTEGER) AS rank FROM ("
         f"SELECT CAST({c} AS VARCHAR) AS v, COUNT(*) AS n, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, CAST({c} AS VARCHAR) ASC) AS rn "
-        f"FROM raw WHERE {c} IS NOT NULL GROUP BY 1) WHERE rn <= 3)" for c in DIRTY_TEXT)
+        f"FROM raw WHERE {c} IS NOT NULL GROUP BY 1) WHERE rn <= 3)" for c in DIRTY_COLS if c not in DIRTY_NUMERIC)
     q["quality_snapshot"] = raw + " UNION ALL ".join(
         f"(SELECT '{c}' AS column, CAST(COUNT(*) - COUNT({c}) AS BIGINT) AS nulls, "
         + (f"COALESCE(ROUND(CAST(MIN({c}) AS DOUBLE), 4), 0) AS min, COALESCE(ROUND(CAST(MAX({c}) AS DOUBLE), 4), 0) AS max, "
@@ -315,7 +324,9 @@ def oracle_queries() -> dict[str, str]:
         "CAST((SELECT COUNT(*) FROM (SELECT DISTINCT * FROM raw)) AS BIGINT) AS rows_after, "
         "CAST((SELECT COUNT(*) FROM raw) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM raw)) AS BIGINT) AS rows_removed, "
         "CAST((SELECT COUNT(*) FROM raw) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM raw)) AS BIGINT) AS duplicates_removed, "
-        "CAST((SELECT " + " + ".join(f"COUNT(*) - COUNT({c})" for c in DIRTY_COLS) + " FROM (SELECT DISTINCT * FROM raw)) AS BIGINT) AS nulls_filled")
+        "CAST((SELECT " + " + ".join(f"COUNT(*) - COUNT({c})" for c in DIRTY_COLS) + " FROM (SELECT DISTINCT * FROM raw)) AS BIGINT) AS nulls_filled, "
+        "'zero' AS strategy_numeric, 'mode' AS strategy_categorical, CAST(6 AS INTEGER) AS columns_before, "
+        "CAST(6 AS INTEGER) AS columns_after, '' AS columns_added, '' AS columns_dropped")
     q["dataset_summary"] = raw + (
         "SELECT COUNT(*) AS total_rows, CAST(6 AS BIGINT) AS total_columns, CAST(3 AS BIGINT) AS numeric_columns, "
         "CAST(2 AS BIGINT) AS categorical_columns, CAST(" + " + ".join(f"COUNT(*) - COUNT({c})" for c in DIRTY_COLS)
@@ -330,6 +341,38 @@ def oracle_queries() -> dict[str, str]:
         "SELECT o_orderkey, strftime(CAST(order_date AS TIMESTAMP), '%Y-%m-%d') AS order_day, amount AS price, "
         "dayname(CAST(order_date AS TIMESTAMP)) AS day_of_week, strftime(CAST(order_date AS TIMESTAMP), '%Y-%m') AS month, "
         "dayofweek(CAST(order_date AS TIMESTAMP)) IN (0, 6) AS is_weekend FROM p")
+    q["dayfirst_orders"] = ("SELECT DISTINCT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS order_day, strftime(o_orderdate, '%Y-%m') AS month FROM orders")
+    q["large_number_search"] = "SELECT o_orderkey, o_orderkey * 100000.0::DOUBLE AS scaled FROM orders WHERE o_orderkey > 0"
+    q["empty_columns"] = "SELECT DISTINCT o_orderkey, 0.0::DOUBLE AS nothing, 'Unknown' AS no_text FROM orders"
+    q["quality_score"] = (f"SELECT o_orderkey, {pr('((2 + (o_orderdate IS NOT NULL)::INT + (updated IS NOT NULL)::INT) / 4.0 * 100.0)', 1)} AS data_quality_score "
+                          f"FROM (SELECT DISTINCT * FROM ({view_sql('sparse_orders')}))")
+    q["keyword_columns"] = ("SELECT kind, v.column, rows FROM (VALUES ('metric', 'impressions'), ('metric', 'clicks'), ('metric', 'conversions'), "
+                            "('spend', 'spend'), ('campaign', 'campaign_name')) v(kind, \"column\"), "
+                            f"(SELECT COUNT(*) AS rows FROM ({view_sql('sales_facts')}))")
+    q["roles"] = with_sales(
+        "SELECT role, v.column, label, CAST(CASE v.column WHEN 'date' THEN COUNT(date) WHEN 'ctr' THEN COUNT(ctr) ELSE COUNT(*) END AS BIGINT) AS cells "
+        "FROM f, (VALUES ('date', 'date', 'Date'), ('revenue', 'revenue', 'Revenue'), ('clicks', 'clicks', 'Clicks'), ('impressions', 'impressions', 'Impressions'), "
+        "('ctr', 'ctr', 'Ctr'), ('conversions', 'conversions', 'Conversions')) v(role, \"column\", label) GROUP BY 1, 2, 3")
+    odd = f"WITH raw AS ({view_sql('odd_orders')})\n"
+    q["validation_report"] = odd + (
+        "SELECT 'empty_column' AS rule, 'nothing' AS column, 100.0::DOUBLE AS measure "
+        "UNION ALL SELECT 'half_empty', 'sometimes', ROUND(100.0::DOUBLE * COUNT(*) FILTER (sometimes IS NULL) / COUNT(*), 1) FROM raw "
+        "UNION ALL SELECT 'duplicates', '*', ROUND(100.0::DOUBLE * (COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM raw))) / COUNT(*), 1) FROM raw "
+        + "".join(f"UNION ALL SELECT 'outliers', '{c}', COUNT(*)::DOUBLE FROM raw, (SELECT AVG({c}) AS m, STDDEV_SAMP({c}) AS s FROM raw) "
+                  f"WHERE ABS({c} - m) / s > 3 HAVING COUNT(*) > 0 " for c in ("sometimes", "amount_paid")))
+    over = (f"WITH base AS (SELECT DISTINCT * EXCLUDE (revenue, ctr, month, quarter) FROM ({view_sql('sales_overwrite')})), "
+            f"f AS (SELECT *, price * quantity AS revenue, clicks / {_den('impressions')} AS ctr, strftime(date, '%Y-%m') AS month, "
+            "CAST(year(date) AS VARCHAR) || 'Q' || CAST(quarter(date) AS VARCHAR) AS quarter FROM base)\n")
+    z = lambda c: pr(f"({c} - AVG({c}) OVER ()) / STDDEV_SAMP({c}) OVER ()", 4)
+    q["overwrite_features"] = over + (
+        f"SELECT l_orderkey, l_linenumber, l_partkey, {pr('revenue', 4)} AS revenue, {pr('ctr', 6)} AS ctr, month, quarter, "
+        f"{pr('revenue / ' + _den('spend'), 6)} AS roas, {pr('revenue - spend', 4)} AS profit, {z('revenue')} AS z_revenue, {z('ctr')} AS z_ctr FROM f")
+    q["overwrite_windows"] = over + (
+        f"SELECT l_orderkey, l_linenumber, l_partkey, {pct_rank('revenue')} AS revenue_percentile, {roll('revenue', 3, SALES_ORDER)} AS revenue_ma3, "
+        f"{roll('revenue', 7, SALES_ORDER)} AS revenue_ma7, {pr(cum_double('revenue', SALES_ORDER), 2)} AS revenue_cumulative FROM f")
+    q["tiny_prices"] = (
+        f"WITH f AS (SELECT DISTINCT * FROM ({view_sql('sales_tiny')})) SELECT l_orderkey, l_linenumber, l_partkey, "
+        f"{pr('(' + cum_double('price * quantity', SALES_ORDER) + ') * 1e6', 2)} AS revenue_cumulative_e6 FROM f")
     q["search_urgent"] = raw + (
         "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority "
         "FROM raw WHERE " + " OR ".join(f"COALESCE(contains(lower(CAST({c} AS VARCHAR)), 'urgent'), false)" for c in DIRTY_COLS))

@@ -79,7 +79,58 @@ SELECT o_orderkey, CAST(o_orderdate AS STRING) AS order_date, o_totalprice AS am
 FROM {orders}
 """
 
+# The sales rows with columns that features overwrite: their own values are wrong on purpose.
+SALES_OVERWRITE_SQL = SALES_FACTS_SQL.replace("l.l_returnflag, l.l_linestatus", """l.l_returnflag, l.l_linestatus,
+       9999.0 + l.l_linenumber AS revenue, 0.5 AS ctr, 'raw month' AS month, 'raw quarter' AS quarter""")
+
+# The same sales with prices far below one.
+SALES_TINY_SQL = SALES_FACTS_SQL.replace("l.l_extendedprice AS price", "l.l_extendedprice * 1e-15 AS price")
+
+# Orders as a text export with day-first dates.
+ORDERS_DAYFIRST_SQL = """
+SELECT o_orderkey, concat(lpad(CAST(day(o_orderdate) AS VARCHAR(9)), 2, '0'), '/', lpad(CAST(month(o_orderdate) AS VARCHAR(9)), 2, '0'), '/',
+                          CAST(year(o_orderdate) AS VARCHAR(9))) AS order_date, o_orderstatus
+FROM {orders}
+"""
+
+SMALL_RATES_SQL = """
+SELECT CAST(l_linenumber * (l_partkey % 9) AS DOUBLE) / CAST(l_quantity AS DOUBLE) AS rate, l_orderkey FROM {lineitem}
+"""
+
+ZERO_RATES_SQL = """
+SELECT 0.0 * l_quantity AS conversion_rate, l_discount AS ctr, l_orderkey FROM {lineitem}
+"""
+
+LARGE_NUMBERS_SQL = """
+SELECT o_orderkey, CAST(o_orderkey AS DOUBLE) * 100000.0 AS scaled FROM {orders}
+"""
+
+SPARSE_ORDERS_SQL = """
+SELECT o_orderkey, o_totalprice, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderdate END AS o_orderdate,
+       CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_orderdate END AS updated FROM {orders}
+"""
+
+EMPTY_COLUMNS_SQL = """
+SELECT o_orderkey, CAST(NULL AS DOUBLE) AS nothing, CAST(NULL AS VARCHAR(9)) AS no_text FROM {orders}
+"""
+
+# Orders with an empty column, a half-empty one, many copies and a few huge amounts.
+ODD_ORDERS_SQL = """
+SELECT CAST(NULL AS DOUBLE) AS nothing, CASE WHEN o_orderkey % 4 = 0 THEN o_clerk_no END AS sometimes, o_orderstatus,
+       CASE WHEN o_clerk_no % 97 = 5 THEN 1e6 ELSE 1.0 * (o_clerk_no % 7) END AS amount_paid
+FROM (SELECT o_orderkey, o_orderstatus, o_custkey % 200 AS o_clerk_no FROM {orders}) o
+"""
+
 VIEWS = {
+    "sales_overwrite": (SALES_OVERWRITE_SQL, ("lineitem", "part")),
+    "sales_tiny": (SALES_TINY_SQL, ("lineitem", "part")),
+    "orders_dayfirst": (ORDERS_DAYFIRST_SQL, ("orders",)),
+    "small_rates": (SMALL_RATES_SQL, ("lineitem",)),
+    "zero_rates": (ZERO_RATES_SQL, ("lineitem",)),
+    "large_numbers": (LARGE_NUMBERS_SQL, ("orders",)),
+    "sparse_orders": (SPARSE_ORDERS_SQL, ("orders",)),
+    "empty_columns": (EMPTY_COLUMNS_SQL, ("orders",)),
+    "odd_orders": (ODD_ORDERS_SQL, ("orders",)),
     "ad_facts": (AD_FACTS_SQL, ("events",)),
     "sales_facts": (SALES_FACTS_SQL, ("lineitem", "part")),
     "dirty_orders": (DIRTY_ORDERS_SQL, ("orders",)),
@@ -98,6 +149,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def source_state(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """Paths, sizes and times of the files a view reads: a change of the source shows here."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    state = []
+    for source in VIEWS[name][1]:
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{source}.parquet")
+        fs = root.getFileSystem(hadoop)
+        for f in fs.listStatus(root):
+            state.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return (sf_dir, *sorted(state))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql, sources = VIEWS[name]
     return spark.sql(sql, **{s: table(spark, sf_dir, s) for s in sources})

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,7 +53,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         conf_dir = os.path.join(tempfile.gettempdir(), f"adloom-ckpt-{uuid.uuid4().hex[:8]}")
     sc.setCheckpointDir(conf_dir)
@@ -72,18 +74,27 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     root = checkpoint_dir(spark).rstrip("/")
     path = f"{root}/adloom-tables/{label}-{uuid.uuid4().hex}"
+    for scope in _SCOPES:
+        scope.append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 
 
-def drop_stage_tables(spark: SparkSession) -> None:
-    """Delete the stage tables this engine wrote under the checkpoint folder.
+_SCOPES: list[list[str]] = []
 
-    Call when no DataFrame derived from them is used any more (e.g. after the
-    cleaned table has been written to its final place)."""
-    root = checkpoint_dir(spark).rstrip("/") + "/adloom-tables"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(path):
-        fs.delete(path, True)
+
+@contextmanager
+def stage_scope(spark: SparkSession):
+    """Delete the stage tables written inside the ``with`` block when it ends.
+
+    For work whose results have been written elsewhere by then (the ingest)."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)

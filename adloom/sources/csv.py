@@ -1,23 +1,25 @@
-"""CSV / Parquet scans (S1-S3): text read, null tokens, one-pass type inference,
-encoding fallback.
+"""CSV scans (S1-S3): text read, null tokens, one-pass type inference, encoding by file.
 
 Spark's CSV reader only treats the empty string as missing and would infer
 types with a separate full pass per option.  We read every column as text,
 null the pandas-style missing tokens, and decide each column's type with a
-single aggregate of ``count(try_cast(...))`` per candidate type (plus a count
-of U+FFFD replacement characters to detect a non-UTF-8 file).
+single aggregate of counts per candidate type.  A file whose lines are not all
+valid UTF-8 is read as ISO-8859-1; the other files of the folder are not.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adloom.functions.exprs import NULL_TOKENS
 
-REPLACEMENT_CHAR = "�"
+# Text that counts as a number: no type suffixes, no hexadecimal forms.
+INTEGER = r"^\s*[+-]?[0-9]+\s*$"
+NUMBER = r"^\s*[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
 BOOL_TOKENS = ["true", "false"]
 
 
@@ -25,9 +27,9 @@ BOOL_TOKENS = ["true", "false"]
 class CsvOptions:
     header: bool = True
     sep: str = ","
-    multi_line: bool = False      # True allows quoted newlines but makes each file one task
+    multi_line: bool = True       # quoted line breaks; False splits large files, if they have none
     null_tokens: list[str] = field(default_factory=lambda: list(NULL_TOKENS))
-    encoding: str | None = None   # None: UTF-8, falling back to ISO-8859-1 (S2)
+    encoding: str | None = None   # None: UTF-8, or ISO-8859-1 for a file that is not (S2)
     with_file_name: bool = False  # keep the source file name (batch of files, V14)
 
 
@@ -41,56 +43,61 @@ def _read_text(spark: SparkSession, path, opt: CsvOptions, encoding: str) -> Dat
     return df
 
 
+def file_encodings(spark: SparkSession, path) -> dict[str, str]:
+    """file -> encoding, from the bytes of its lines (one row per file comes back)."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("ok"))
+    return {unquote(r["file"]): "UTF-8" if r["ok"] else "ISO-8859-1"
+            for r in lines.groupBy("file").agg(F.bool_and("ok").alias("ok")).collect()}
+
+
 def _nulls(c: Column, tokens: list[str]) -> Column:
     return F.when(c.isin(tokens), F.lit(None).cast("string")).otherwise(c)
 
 
-def infer_types(df: DataFrame, text_cols: list[str]) -> tuple[dict, bool]:
-    """One aggregate -> {column: spark type}; also whether replacement chars occur."""
+def _numeric(c: Column, kind: str) -> Column:
+    """The cell as a number, null for any other text."""
+    shape = INTEGER if kind == "bigint" else NUMBER
+    return F.when(c.rlike(shape), F.trim(c).try_cast(kind))
+
+
+def infer_types(df: DataFrame, text_cols: list[str]) -> dict[str, str]:
+    """One aggregate -> {column: spark type}."""
     aggs = [F.count(F.lit(1)).alias("__n")]
     for c in text_cols:
         x = F.col(c)
         aggs += [F.count(x).alias(f"nn__{c}"),
-                 F.count(x.try_cast("bigint")).alias(f"i__{c}"),
-                 F.count(x.try_cast("double")).alias(f"d__{c}"),
+                 F.count(_numeric(x, "bigint")).alias(f"i__{c}"),
+                 F.count(_numeric(x, "double")).alias(f"d__{c}"),
                  F.count_if(F.lower(F.trim(x)).isin(BOOL_TOKENS)).alias(f"b__{c}")]
-    bad = [F.coalesce(F.col(c).contains(REPLACEMENT_CHAR), F.lit(False)) for c in text_cols]
-    any_bad = bad[0]
-    for b in bad[1:]:
-        any_bad = any_bad | b
-    aggs.append(F.count_if(any_bad).alias("__bad"))
     r = df.agg(*aggs).first().asDict()
     types = {}
     for c in text_cols:
         nn = r[f"nn__{c}"]
         if nn == 0:
             types[c] = "double"  # an all-empty column reads as float in pandas (C6)
-        elif r[f"i__{c}"] == nn:
-            types[c] = "bigint"
-        elif r[f"d__{c}"] == nn:
-            types[c] = "double"
-        elif r[f"b__{c}"] == nn:
-            types[c] = "boolean"
         else:
-            types[c] = "string"
-    return types, r["__bad"] > 0
+            types[c] = next((t for t, k in (("bigint", "i"), ("double", "d"), ("boolean", "b")) if r[f"{k}__{c}"] == nn), "string")
+    return types
 
 
 def read_csv(spark: SparkSession, path, options: CsvOptions | None = None) -> tuple[DataFrame, dict]:
     """Typed DataFrame plus a small report (encoding, inferred types)."""
     opt = options or CsvOptions()
-    enc = opt.encoding or "UTF-8"
-    raw = _read_text(spark, path, opt, enc)
+    if opt.encoding:
+        raw, used = _read_text(spark, path, opt, opt.encoding), {opt.encoding}
+    else:
+        by_encoding: dict[str, list[str]] = {}
+        for file, enc in file_encodings(spark, path).items():
+            by_encoding.setdefault(enc, []).append(file)
+        parts = [_read_text(spark, sorted(files), opt, enc) for enc, files in sorted(by_encoding.items())]
+        raw = parts[0] if parts else _read_text(spark, path, opt, "UTF-8")
+        for p in parts[1:]:
+            raw = raw.unionByName(p)
+        used = set(by_encoding) or {"UTF-8"}
     data_cols = [c for c in raw.columns if c != "_file_name"]
     text = raw.select(*[_nulls(F.col(c), opt.null_tokens).alias(c) for c in data_cols],
                       *(["_file_name"] if opt.with_file_name else []))
-    types, bad = infer_types(text, data_cols)
-    if bad and opt.encoding is None:
-        enc = "ISO-8859-1"
-        raw = _read_text(spark, path, opt, enc)
-        text = raw.select(*[_nulls(F.col(c), opt.null_tokens).alias(c) for c in data_cols],
-                          *(["_file_name"] if opt.with_file_name else []))
-        types, _ = infer_types(text, data_cols)
+    types = infer_types(text, data_cols)
     cols = []
     for c in data_cols:
         t = types[c]
@@ -100,15 +107,7 @@ def read_csv(spark: SparkSession, path, options: CsvOptions | None = None) -> tu
         elif t == "string":
             cols.append(x)
         else:
-            cols.append(x.try_cast(t).alias(c))
+            cols.append(_numeric(x, t).alias(c))
     if opt.with_file_name:
         cols.append(F.col("_file_name"))
-    return text.select(*cols), {"encoding": enc, "types": types}
-
-
-def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """Parquet (or any Spark source) input; CSV goes through :func:`read_csv`."""
-    fmt = fmt or ("csv" if str(path).lower().endswith(".csv") else "parquet")
-    if fmt == "csv":
-        return read_csv(spark, path)[0]
-    return spark.read.format(fmt).load(path)
+    return text.select(*cols), {"encoding": ", ".join(sorted(used)), "types": types}

@@ -17,6 +17,8 @@ from __future__ import annotations
 import datetime as _dt
 import json
 import re
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,16 +113,16 @@ class TableStore:
 
     def list_tables(self, suffix: str = "_cleaned") -> DataFrame:
         """Tables of this namespace ending in ``suffix`` with current row counts."""
-        rows = []
+        counts = self.spark.createDataFrame([], "table string, rows long")
         for t in sorted(self._children(self.ns_path())):
-            if not t.endswith(suffix):
-                continue
-            try:
-                n = self.read(t).count()
-            except Exception:  # noqa: BLE001 - unreadable -> 0, as a listing
-                n = 0
-            rows.append((t, int(n)))
-        return self.spark.createDataFrame(rows, "table string, rows long")
+            if t.endswith(suffix):
+                rows = F.count(F.lit(1))
+                try:
+                    one = self.read(t).agg(rows.alias("rows"))
+                except Exception:  # noqa: BLE001 - unreadable -> 0, as a listing
+                    one = self.spark.range(1).select(F.lit(0).cast("long").alias("rows"))
+                counts = counts.union(one.select(F.lit(t), "rows"))
+        return counts          # one job, however many tables
 
     def purge_namespace(self) -> None:
         """Drop every table of *this* namespace only."""
@@ -160,24 +162,33 @@ class AuditLog:
             return None
 
     def record_run(self, table: str, source_file: str, before: dict, after: dict,
-                   status: str = "ok") -> None:
-        """One row per processed file."""
-        self._append("etl_metadata", [(table, source_file, _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None),
+                   status: str = "ok", run_key: str | None = None) -> None:
+        """One row per processed file.  A later row with the same ``run_key`` (a replayed
+        micro-batch) takes the place of an earlier one."""
+        self._append("etl_metadata", [(run_key or uuid.uuid4().hex, table, source_file,
+                                       _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None),
                                        json.dumps(before, default=str), json.dumps(after, default=str), status)],
-                     "table_name string, source_file string, processed_at timestamp_ntz, "
+                     "run_key string, table_name string, source_file string, processed_at timestamp_ntz, "
                      "before_stats string, after_stats string, status string")
 
     def latest_run(self, table: str) -> DataFrame:
-        """Newest metadata row for a table, stats parsed back from JSON."""
+        """The newest run of a table, its figures before and after and their differences."""
         df = self._read("etl_metadata")
         if df is None:
             return self.spark.createDataFrame([], "table_name string")
         best = (df.where(F.col("table_name") == table)
-                .agg(F.max_by(F.struct(*df.columns), F.col("processed_at")).alias("r")).select("r.*"))
-        return best.where(F.col("table_name").isNotNull())
+                .agg(F.max_by(F.struct(*df.columns), F.col("processed_at")).alias("r")).select("r.*")
+                .where(F.col("table_name").isNotNull()))
+        for k in ("rows", "columns", "duplicates", "total_nulls"):
+            before, after = (F.get_json_object(f"{side}_stats", f"$.{k}").cast("long") for side in ("before", "after"))
+            best = best.withColumns({f"{k}_before": before, f"{k}_after": after, f"{k}_diff": after - before})
+        return best
 
     def runs(self) -> DataFrame | None:
-        return self._read("etl_metadata")
+        """All runs, one row per run key (the latest)."""
+        df = self._read("etl_metadata")
+        return df if df is None else df.groupBy("run_key").agg(
+            F.max_by(F.struct(*df.columns), F.col("processed_at")).alias("r")).select("r.*")
 
     def record_upload(self, user_id: str, table: str, filename: str, rows: int, columns: int) -> None:
         """S11."""
@@ -194,6 +205,26 @@ class AuditLog:
         return df.where(F.col("user_id") == user_id).orderBy(F.desc("uploaded_at"))
 
 
-def cached(df: DataFrame) -> DataFrame:
-    """Keep a hot table in executor memory; ``df.unpersist()`` invalidates it."""
-    return df.persist()
+class TableCache:
+    """Hot tables kept on the executors for ``ttl`` seconds.
+
+    A table is read anew after that time, or as soon as the store has a newer version."""
+
+    def __init__(self, store: TableStore, ttl: float = 300.0, clock=time.monotonic):
+        self.store, self.ttl, self.clock = store, ttl, clock
+        self._held: dict[str, tuple[str, float, DataFrame]] = {}
+
+    def read(self, name: str) -> DataFrame:
+        path = self.store.current_path(name)
+        held = self._held.get(name)
+        if held and held[0] == path and self.clock() - held[1] < self.ttl:
+            return held[2]
+        self.invalidate(name)
+        df = self.store.read(name).persist()
+        self._held[name] = (path, self.clock(), df)
+        return df
+
+    def invalidate(self, name: str) -> None:
+        held = self._held.pop(name, None)
+        if held:
+            held[2].unpersist()

@@ -23,6 +23,7 @@ from adloom.operators.clean import sanitize_table_name
 from adloom.operators.profile import snapshot_totals, validate
 from adloom.plans.pipeline import CleanOptions, clean_dataset
 from adloom.sources.csv import CsvOptions, read_csv
+from adloom.session import stage_scope
 from adloom.sources.tables import AuditLog, TableStore
 
 CLEANED_SUFFIX = "_cleaned"
@@ -42,24 +43,33 @@ def new_files(spark: SparkSession, folder: str, max_files_per_trigger: int = 100
 
 
 def process_file(spark: SparkSession, path: str, file_name: str, store: TableStore, audit: AuditLog,
-                 options: CleanOptions | None = None, csv: CsvOptions | None = None) -> dict:
-    """Read -> validate -> clean -> write one file; returns its run record."""
+                 options: CleanOptions | None = None, csv: CsvOptions | None = None,
+                 run_key: str | None = None) -> dict:
+    """Read -> validate -> clean -> write one file; returns its run record.
+
+    Stage tables go as soon as the cleaned table is written."""
+    with stage_scope(spark):
+        return _process(spark, path, file_name, store, audit, options, csv, run_key)
+
+
+def _process(spark, path, file_name, store, audit, options, csv, run_key) -> dict:
     table = sanitize_table_name(file_name) + CLEANED_SUFFIX
     try:
         df, info = read_csv(spark, path, csv)
         report = validate(df)
         before = report.get("snapshot", {"rows": 0, "columns": len(df.columns)})
         if not report["valid"]:
-            audit.record_run(table, file_name, before, {}, status="invalid: " + "; ".join(report["errors"]))
+            audit.record_run(table, file_name, before, {}, status="invalid: " + "; ".join(report["errors"]),
+                             run_key=run_key)
             return {"file": file_name, "table": table, "status": "invalid", "errors": report["errors"]}
         res = clean_dataset(df, options)
         store.write(res.df, table)
         after = snapshot_totals(store.read(table))
-        audit.record_run(table, file_name, before, after, status="ok")
+        audit.record_run(table, file_name, before, after, status="ok", run_key=run_key)
         return {"file": file_name, "table": table, "status": "ok", "rows_before": before["rows"],
                 "rows_after": after["rows"], "encoding": info["encoding"], "warnings": report["warnings"]}
     except Exception as e:  # noqa: BLE001 - one bad file must not stop the batch
-        audit.record_run(table, file_name, {}, {}, status=f"failed: {type(e).__name__}: {str(e)[:500]}")
+        audit.record_run(table, file_name, {}, {}, status=f"failed: {type(e).__name__}: {e}", run_key=run_key)
         return {"file": file_name, "table": table, "status": "failed",
                 "error": traceback.format_exception_only(type(e), e)[-1].strip()}
 
@@ -76,7 +86,7 @@ def ingest_folder(spark: SparkSession, folder: str, store: TableStore, audit: Au
     def handle(batch: DataFrame, batch_id: int) -> None:
         # file metadata only (bounded by maxFilesPerTrigger), not file content
         for r in batch.select("path", "file_name").orderBy("file_name").collect():
-            process_file(spark, r["path"], r["file_name"], store, audit, options, csv)
+            process_file(spark, r["path"], r["file_name"], store, audit, options, csv, run_key=f"{batch_id}:{r['path']}")
 
     w = new_files(spark, folder).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 minute")
@@ -84,13 +94,13 @@ def ingest_folder(spark: SparkSession, folder: str, store: TableStore, audit: Au
 
 
 def run_summary(audit: AuditLog) -> DataFrame:
-    """Files per status, plus per-file rows before -> after."""
+    """Files scanned, passed by validation, succeeded, invalid and failed."""
     runs = audit.runs()
     if runs is None:
-        return audit.spark.createDataFrame([], "status string, files long")
-    status = F.when(F.col("status") == "ok", "ok").when(F.col("status").startswith("invalid"), "invalid") \
-        .otherwise("failed")
-    return runs.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("files"))
+        return audit.spark.createDataFrame([(0, 0, 0, 0, 0)], "scanned long, passed long, succeeded long, invalid long, failed long")
+    ok, invalid = F.col("status") == "ok", F.col("status").startswith("invalid")
+    return runs.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(~invalid).alias("passed"), F.count_if(ok).alias("succeeded"),
+                    F.count_if(invalid).alias("invalid"), F.count_if(~ok & ~invalid).alias("failed"))
 
 
 def file_results(audit: AuditLog) -> DataFrame:

@@ -10,7 +10,6 @@ from adloom.session import get_spark  # noqa: E402
 
 SF001 = "/root/testdata/sf0.001"
 SF01 = "/root/testdata/sf0.01"
-GOLDEN = os.environ.get("ADLOOM_SAMPLE_CSV", "")  # the 30-row sample file of FIXTURES.md
 
 
 @pytest.fixture(scope="session")

@@ -80,3 +80,58 @@ def test_mean_fill_and_constant_fill(spark):
 def test_validation_fatal(spark):
     assert not P.validate(spark.createDataFrame([(1,)], "a long"))["valid"]
     assert not P.validate(spark.createDataFrame([], "a long, b long"))["valid"]
+
+
+def test_existing_columns_are_overwritten(spark):
+    for dated in (True, False):
+        rows = [(f"2024-01-0{i}", 2.0, i, 9999.0, 0.5, "raw", "raw", 10 * i, 100, 5.0) for i in range(1, 6)]
+        df = spark.createDataFrame(rows, "date string, price double, quantity long, revenue double, ctr double, month string, quarter string, "
+                                         "clicks long, impressions long, spend double")
+        df = df if dated else df.drop("date")
+        res = clean_dataset(df)
+        out = sorted(res.df.collect(), key=lambda r: r["quantity"])
+        assert [r["revenue"] for r in out] == [2.0, 4.0, 6.0, 8.0, 10.0] and [r["profit"] for r in out] == [-3.0, -1.0, 1.0, 3.0, 5.0]
+        assert [r["ctr"] for r in out] == pytest.approx([0.1, 0.2, 0.3, 0.4, 0.5])
+        assert [r["revenue_percentile"] for r in out] == pytest.approx([20, 40, 60, 80, 100])
+        assert out[0]["z_revenue"] == pytest.approx(-1.2649) and out[0]["month"] == ("2024-01" if dated else "raw")
+        assert res.df.columns[:len(df.columns)] == df.columns
+        if dated:
+            assert [r["revenue_cumulative"] for r in out] == [2.0, 6.0, 12.0, 20.0, 30.0]
+            assert [r["revenue_ma3"] for r in out] == [2.0, 3.0, 4.0, 6.0, 8.0]
+
+
+def test_one_date_layout_per_column(spark):
+    texts = ["13/02/2024", "05/02/2024", "06/02/2024", "20/02/2024"]
+    df = spark.createDataFrame([(t, float(i)) for i, t in enumerate(texts)], "date string, x double")
+    assert [str(r["date"])[:10] for r in clean_dataset(df).df.orderBy("x").collect()] == [
+        "2024-02-13", "2024-02-05", "2024-02-06", "2024-02-20"]
+    both = spark.createDataFrame([("05/02/2024", 1.0), ("06/03/2024", 2.0)], "date string, x double")
+    assert [str(r["date"])[:10] for r in clean_dataset(both).df.orderBy("x").collect()] == ["2024-05-02", "2024-06-03"]  # ties: month first
+
+
+def test_validation_has_outliers_profile_and_order_of_checks(spark):
+    df = spark.createDataFrame([(float(i % 5), "a", i % 2 == 0) for i in range(50)] + [(1e6, "b", True)], "x double, s string, flag boolean")
+    rep = P.validate(df)
+    assert rep["valid"] and [o["column"] for o in rep["outliers"]] == ["x"] and any("outlier" in w for w in rep["warnings"])
+    assert {p["column"] for p in rep["profile"]} == {"x", "s", "flag"} and {t["column"] for t in rep["top_values"]} == {"s", "flag"}
+    empty = P.validate(spark.createDataFrame([], "a long"))
+    assert empty["errors"] == ["no rows"] and not empty["valid"]
+
+
+def test_profile_jobs_do_not_grow_with_the_columns(spark):
+    def jobs(columns):
+        df = spark.range(200).select(*[(F.col("id") * (i + 1)).alias(f"c{i}") for i in range(columns)])
+        group = f"profile-{columns}"
+        spark.sparkContext.setJobGroup(group, group)
+        P.column_profile(df)
+        found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return found
+    assert jobs(2) == jobs(12) > 0
+
+
+def test_change_report_is_complete(spark):
+    df = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (2, 3.0, None)], "views long, cost double, s string")
+    r = P.change_report(df, CleanOptions(strategy_numeric="mean")).first()
+    assert (r["rows_before"], r["rows_after"], r["duplicates_removed"], r["nulls_filled"]) == (3, 2, 1, 2)
+    assert r["strategy_numeric"] == "mean" and r["columns_dropped"] == "" and "ctr" not in r["columns_added"]

@@ -1,11 +1,15 @@
 """The distributed ordered operators equal the naive single-partition windows."""
+import math
+
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from adloom.operators.ordered import (OrderConfig, attach_percentile, exact_quantiles,
-                                      sequence_ops, value_ranks)
+from adloom.operators.ordered import (OrderConfig, attach_percentiles, exact_quantiles, percentile_steps,
+                                      rank_table, running_total, sequence_ops)
 from adloom.plans.views import view
+from adloom.session import materialize
 from conftest import SF001
 
 
@@ -28,15 +32,19 @@ def _rows(df, cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
-@pytest.mark.parametrize("rows_per_bucket", [97, 500, 2500])
-def test_prefix_and_rolling_match_naive(spark, facts, rows_per_bucket):
+@pytest.mark.parametrize("rows_per_bucket", [97, 500, 10 ** 9])
+def test_prefix_and_rolling_match_plain_windows(facts, rows_per_bucket):
     n = facts.count()
-    kw = dict(n_rows=n, cum_cols=["revenue", "clicks"], roll_cols=["revenue", "clicks"], row_number_col="rn")
-    naive = sequence_ops(facts, ORDER, cfg=OrderConfig(min_rows_to_split=10 ** 9), **kw)
-    dist = sequence_ops(facts, ORDER, cfg=OrderConfig(rows_per_bucket=rows_per_bucket, min_rows_to_split=10), **kw)
+    got = sequence_ops(facts, ORDER, n_rows=n, cum_cols=["revenue", "clicks"], roll_cols=["revenue", "clicks"],
+                       row_number_col="rn", cfg=OrderConfig(rows_per_bucket=rows_per_bucket))
+    w = Window.orderBy(*[F.col(c).asc_nulls_last() for c in ORDER])
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    plain = facts.select("*", F.row_number().over(w).alias("rn"),
+                         *[F.when(F.col(c).isNotNull(), F.sum(c).over(run)).alias(f"{c}_cumulative") for c in ("revenue", "clicks")],
+                         *[F.avg(c).over(w.rowsBetween(1 - k, 0)).alias(f"{c}_ma{k}") for c in ("revenue", "clicks") for k in (3, 7)])
     cols = ["rn", "l_orderkey", "l_linenumber", "revenue_cumulative", "clicks_cumulative",
             "revenue_ma3", "revenue_ma7", "clicks_ma3", "clicks_ma7"]
-    a, b = _rows(naive, cols), _rows(dist, cols)
+    a, b = _rows(plain, cols), _rows(got, cols)
     assert len(a) == len(b) == n
     for x, y in zip(a, b):
         assert x[:3] == y[:3] and x[4] == y[4]
@@ -44,36 +52,60 @@ def test_prefix_and_rolling_match_naive(spark, facts, rows_per_bucket):
             assert (u is None and v is None) or u == pytest.approx(v, rel=1e-12)
 
 
-def test_partitioned_form(spark, facts):
-    out = sequence_ops(facts, ORDER, n_rows=facts.count(), cum_cols=["clicks"], partition_by=["l_returnflag"])
-    top = out.groupBy("l_returnflag").agg(F.max("clicks_cumulative").alias("m"), F.sum("clicks").alias("s"))
-    assert all(r["m"] == r["s"] for r in top.collect())
+@pytest.mark.parametrize("scale", [1e-10, 1e20, 1.0])
+def test_running_sums_keep_every_magnitude(spark, scale):
+    df = spark.createDataFrame([(i, scale) for i in range(40)], "i long, x double")
+    out = sequence_ops(df, ["i"], n_rows=40, cum_cols=["x"], cfg=OrderConfig(rows_per_bucket=7)).orderBy("i").collect()
+    assert [r["x_cumulative"] for r in out] == pytest.approx([scale * (i + 1) for i in range(40)], rel=1e-12)
+
+
+def test_running_sums_keep_infinities(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, math.inf), (3, 2.0), (4, None)], "i long, x double")
+    out = sequence_ops(df, ["i"], n_rows=4, cum_cols=["x"]).orderBy("i").collect()
+    assert [r["x_cumulative"] for r in out] == [1.0, math.inf, math.inf, None]
 
 
-def test_average_rank_matches_pandas(spark, facts):
-    pdf = facts.select("revenue", "clicks").toPandas()
-    for col in ("revenue", "clicks"):
-        pct = pdf[col].rank(pct=True).round(4) * 100
-        expected = sorted(zip(pdf[col].fillna(-1).tolist(), pct.fillna(-1).tolist()))
-        for cfg in (OrderConfig(), OrderConfig(small_distinct=0, rows_per_bucket=50, min_rows_to_split=10)):
-            vr = value_ranks(facts, col, cfg)
-            got = attach_percentile(facts.select(col), vr, "p").toPandas()
-            got = sorted(zip(got[col].fillna(-1).tolist(), got["p"].astype(float).fillna(-1).tolist()))
-            assert len(got) == len(expected)
-            assert all(a[0] == b[0] and a[1] == pytest.approx(b[1], abs=1e-9) for a, b in zip(expected, got))
+def test_running_total_by_group(spark):
+    df = spark.createDataFrame([("a" if i % 3 else None, i, 1 + i % 5) for i in range(200)], "g string, i long, v long")
+    got = {r["i"]: r["t"] for r in running_total(df, ["g"], ["i"], "v", "t", partitions=7).collect()}
+    sums: dict = {}
+    for i in range(200):
+        g = "a" if i % 3 else None
+        assert got[i] == sums.get(g, 0)
+        sums[g] = sums.get(g, 0) + 1 + i % 5
+
+
+def test_average_rank_matches_pandas(facts):
+    df = facts.select("revenue", "clicks", F.when(F.col("l_linenumber") == 1, F.lit(math.inf)).otherwise(F.col("quantity")).alias("q"),
+                      F.lit(4.0).alias("same"), F.lit(None).cast("double").alias("none"))
+    df = materialize(df)
+    pdf = df.toPandas()
+    cols = list(df.columns)
+    sizes = {c: int(pdf[c].notna().sum()) for c in cols}
+    steps = percentile_steps(rank_table(df, cols), sizes)
+    assert all(len(s) <= 10_001 for s in steps.values())
+    out = attach_percentiles(df, steps, {c: f"p_{c}" for c in cols})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan          # the wide frame stays in place
+    got = out.toPandas()
+    for c in cols:
+        want = (pdf[c].rank(pct=True).round(4) * 100).fillna(-1)
+        a, b = (np.array(sorted(zip(x.fillna(-1), p))) for x, p in ((pdf[c], want), (got[c], got[f"p_{c}"].fillna(-1))))
+        assert (a[:, 0] == b[:, 0]).all() and np.allclose(a[:, 1], b[:, 1], atol=1e-9), c
 
 
-def test_exact_quantiles_match_numpy(spark, facts):
-    vals = np.array([r[0] for r in facts.select("revenue").where("revenue is not null").collect()])
+def test_exact_quantiles_match_numpy(facts):
     qs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    for cfg in (OrderConfig(), OrderConfig(small_distinct=0, rows_per_bucket=50, min_rows_to_split=10)):
-        got = exact_quantiles(value_ranks(facts, "revenue", cfg), qs)
-        assert got == pytest.approx(list(np.quantile(vals, qs)), rel=1e-12)
+    cols = ["revenue", "clicks", "quantity"]
+    vals = {c: np.array([r[0] for r in facts.select(c).where(F.col(c).isNotNull()).collect()], float) for c in cols}
+    got = exact_quantiles(rank_table(facts, cols), {c: len(v) for c, v in vals.items()}, qs)
+    for c in cols:
+        assert got[c] == pytest.approx(list(np.quantile(vals[c], qs)), rel=1e-12)
 
 
 def test_no_single_partition_exchange(spark, facts):
     out = sequence_ops(facts, ORDER, n_rows=facts.count(), cum_cols=["clicks"], roll_cols=["clicks"],
-                       cfg=OrderConfig(rows_per_bucket=500, min_rows_to_split=10))
+                       cfg=OrderConfig(rows_per_bucket=500))
     plan = out._jdf.queryExecution().executedPlan().toString()
     # the only un-keyed windows run over the per-bucket offset table (one row per bucket)
     assert "hashpartitioning(_seq_b" in plan

@@ -30,7 +30,7 @@ def test_distributed_equals_pandas(spark, rows):
     data = [(d, k, None if v is None else v / 100.0) for d, k, v in rows]
     df = spark.createDataFrame(data, "day int, k int, v double")
     out = sequence_ops(df, ["day", "k", "v"], n_rows=len(data), cum_cols=["v"], roll_cols=["v"],
-                       windows=(3,), cfg=OrderConfig(rows_per_bucket=3, min_rows_to_split=1))
+                       windows=(3,), cfg=OrderConfig(rows_per_bucket=3))
     got = sorted((((r["day"] if r["day"] is not None else 99, r["k"], _s(r["v"])), r["v_cumulative"], r["v_ma3"])
                   for r in out.collect()), key=_key)
     pdf = pd.DataFrame(data, columns=["day", "k", "v"]).astype({"day": "float64", "v": "float64"})

@@ -1,4 +1,5 @@
 """A4 labels, A20 digest text, skew handling of the ordered operators, plan shape."""
+import numpy as np
 from pyspark.sql import functions as F
 
 from adloom.operators import reports as R
@@ -27,7 +28,8 @@ def test_metric_roles_skip_text_columns(spark):
 def test_digest_text(spark):
     res = cleaned(spark, SF001, "ad_facts")
     text = R.digest_text(res.df).first()["digest"]
-    assert text.startswith("rows=") and "revenue_total=" in text and "date_range=2024-01-01.." in text
+    assert text.startswith("Dataset: table\nTotal Records: ") and "Total Revenue: $" in text and "clicks: min=" in text
+    assert "Average CTR: " in text and "Date Range: 2024-01-01 to " in text
 
 
 def test_hot_date_is_split_across_buckets(spark):
@@ -36,8 +38,8 @@ def test_hot_date_is_split_across_buckets(spark):
     hot = df.withColumn("date", F.when(F.col("l_orderkey") % 3 == 0, F.lit("1996-01-01").cast("timestamp_ntz"))
                         .otherwise(F.col("date")))
     n = hot.count()
-    cfg = OrderConfig(rows_per_bucket=300, min_rows_to_split=10)
-    nb = n_buckets(spark, n, cfg)
+    cfg = OrderConfig(rows_per_bucket=300)
+    nb = n_buckets(n, cfg)
     order = ["date", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "quantity", "price"]
     staged = materialize(hot.repartitionByRange(nb, *sort_orders(order)).withColumn(BUCKET, F.spark_partition_id()))
     sizes = [r["c"] for r in staged.groupBy(BUCKET).agg(F.count("*").alias("c")).collect()]
@@ -52,3 +54,49 @@ def test_report_scan_is_pruned(spark):
     plan = R.revenue_by_date(res.df)._jdf.queryExecution().executedPlan().toString()
     read = plan[plan.index("ReadSchema"):].split("\n")[0]
     assert "revenue" in read and "campaign_name" not in read and "z_clicks" not in read
+
+
+def test_reports_without_roles_are_empty(spark):
+    df = spark.createDataFrame([("a", 1)], "name string, n long")
+    for report in (R.revenue_by_date, R.revenue_by_weekday, R.monthly_revenue, R.funnel, R.ctr_histogram, R.channel_revenue,
+                   R.tier_distribution, R.engagement_histogram):
+        assert report(df).count() == 0
+    assert R.top_days(df, 5).count() == 0 and R.gauge(df).first()["rate"] == 0.0
+
+
+def test_series_by_position_without_a_date(spark):
+    df = spark.createDataFrame([(i, float(10 - i)) for i in range(5)], "n long, revenue double")
+    rows = R.trend(df, [F.col("revenue")], [], order_cols=["n"]).collect()
+    assert [(r["row_index"], r["revenue"]) for r in rows] == [(i, 10.0 - i) for i in range(5)]
+
+
+def test_text_dates_are_read(spark):
+    df = spark.createDataFrame([("13/02/2024", 1.0), ("05/02/2024", 2.0), ("x", 4.0), ("20/02/2024", 3.0)], "date string, revenue double")
+    rows = R.revenue_by_date(df).collect()
+    assert [(r["day_rank"], r["date_label"], r["revenue"]) for r in rows] == [
+        (1, "2024-02-05", 2.0), (2, "2024-02-13", 1.0), (3, "2024-02-20", 3.0)]
+    assert [r["date_label"] for r in R.trend(df, [F.col("revenue")], [], order_cols=["revenue"]).collect()] == [
+        "2024-02-05", "2024-02-13", "2024-02-20"]
+
+
+def test_histogram_bins_equal_numpy(spark):
+    rng = np.random.default_rng(12)
+    for _ in range(12):
+        rates = (rng.integers(0, 9, 60) / rng.integers(1, 9, 60)).tolist()
+        if rng.random() < 0.3:
+            rates = [r / 10 for r in rates]
+        got = R.ctr_histogram(spark.createDataFrame([(r,) for r in rates], "ctr double")).orderBy("bin").collect()
+        values = np.array(rates) * (100 if max(rates) < 1 else 1)
+        assert [r["count"] for r in got] == np.histogram(values, bins=20)[0].tolist()
+
+
+def test_gauge_falls_through_zero_and_null(spark):
+    df = spark.createDataFrame([(0.0, 0.15), (0.0, 0.15)], "conversion_rate double, ctr double")
+    assert R.gauge(df).first()["rate"] == 15.0
+    assert R.gauge(df.withColumn("conversion_rate", F.lit(None).cast("double"))).first()["rate"] == 15.0
+
+
+def test_search_reads_large_numbers_in_full(spark):
+    df = spark.createDataFrame([(12345678.0, "a"), (0.00052, "b"), (1.5, None)], "x double, s string")
+    assert R.search(df, "12345678").count() == 1 and R.search(df, "12345678.0").count() == 1
+    assert R.search(df, "0.00052").count() == 1 and R.search(df, "1.5").count() == 1 and R.search(df, "e").count() == 0

@@ -3,9 +3,10 @@ import os
 
 from pyspark.sql import functions as F
 
-from adloom.operators.clean import sanitize_table_name
+from adloom.operators.clean import sanitize_table_name, sanitize_table_name_col
+from adloom.operators.profile import snapshot_totals
 from adloom.sources.csv import read_csv
-from adloom.sources.tables import AuditLog, TableStore
+from adloom.sources.tables import AuditLog, TableCache, TableStore
 
 
 def _write(path, text, encoding="utf-8"):
@@ -33,12 +34,34 @@ def test_latin1_fallback(spark, tmpdir_path):
     assert df.first()["city"] == "São Paulo"
 
 
+def test_encoding_is_decided_by_file(spark, tmpdir_path):
+    _write(f"{tmpdir_path}/m/utf 8.csv", "name,city\nJosé,Zürich\n")
+    _write(f"{tmpdir_path}/m/latin.csv", "name,city\nRenée,São Paulo\n", encoding="latin-1")
+    _write(f"{tmpdir_path}/m/mark.csv", "name,city\nbad \ufffd mark é,Paris\n")
+    df, info = read_csv(spark, f"{tmpdir_path}/m")
+    assert info["encoding"] == "ISO-8859-1, UTF-8"
+    assert {r["name"] for r in df.collect()} == {"José", "Renée", "bad \ufffd mark é"}
+
+
+def test_codes_are_not_numbers_and_quoted_breaks_stay(spark, tmpdir_path):
+    _write(f"{tmpdir_path}/c.csv", 'sku,text,n,f\n1d,"x\ny",2,1e3\n2f,"a, b",+3,.5\n30D,z,-4,inf\n')
+    df, info = read_csv(spark, f"{tmpdir_path}/c.csv")
+    assert info["types"] == {"sku": "string", "text": "string", "n": "bigint", "f": "double"}
+    assert sorted(tuple(r) for r in df.collect()) == [("1d", "x\ny", 2, 1000.0), ("2f", "a, b", 3, 0.5), ("30D", "z", -4, float("inf"))]
+
+
 def test_sanitize_table_name():
     assert sanitize_table_name("Sales Data (2024).csv") == "sales_data_2024"
     assert sanitize_table_name("2024 report.CSV") == "t_2024_report"
     assert sanitize_table_name("spend.xlsx") == "spend"
 
 
+def test_sanitize_table_name_column(spark):
+    names = ["Sales Data (2024).csv", "2024 report.CSV", "__x__.xls", "spend.xlsx", "é!"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select(sanitize_table_name_col(F.col("n")).alias("t")).collect()
+    assert [r["t"] for r in rows] == [sanitize_table_name(n) if n != "é!" else "" for n in names]
+
+
 def test_versions_archive_and_listing(spark, tmpdir_path):
     store = TableStore(spark, tmpdir_path, "tenant_a")
     other = TableStore(spark, tmpdir_path, "tenant_b")
@@ -64,7 +87,11 @@ def test_audit_log(spark, tmpdir_path):
     audit.record_run("t_cleaned", "t.csv", {"rows": 3}, {"rows": 2})
     audit.record_run("t_cleaned", "t.csv", {"rows": 4}, {"rows": 4})
     latest = audit.latest_run("t_cleaned").first()
-    assert '"rows": 4' in latest["before_stats"]
+    assert (latest["rows_before"], latest["rows_after"], latest["rows_diff"]) == (4, 4, 0)
+    for _ in range(2):                       # a replayed run counts once
+        audit.record_run("r_cleaned", "r.csv", {"rows": 1}, {}, status="failed: " + "x" * 900, run_key="7:r.csv")
+    assert audit.runs().where("table_name = 'r_cleaned'").count() == 1
+    assert len(audit.latest_run("r_cleaned").first()["status"]) == 908
     audit.record_upload("u1", "t_cleaned", "t.csv", 4, 8)
     audit.record_upload("u2", "z_cleaned", "z.csv", 1, 2)
     assert [r["table_name"] for r in audit.uploads("u1").collect()] == ["t_cleaned"]
@@ -83,3 +110,23 @@ def test_validate_batch_by_file(spark, tmpdir_path):
     assert got["one.csv"]["all_null_columns"] == ["c"] and got["two.csv"]["all_null_columns"] == []
     assert (got["two.csv"]["rows"], got["two.csv"]["duplicates"], got["two.csv"]["nulls"]) == (2, 0, 1)
     assert got["one.csv"]["valid"] and got["two.csv"]["valid"]
+
+
+def test_cache_ends_with_time_and_versions(spark, tmpdir_path):
+    now = [0.0]
+    store = TableStore(spark, tmpdir_path, "c")
+    store.write(spark.range(3), "t")
+    cache = TableCache(store, ttl=10.0, clock=lambda: now[0])
+    first = cache.read("t")
+    assert cache.read("t") is first and first.count() == 3
+    store.write(spark.range(5), "t")
+    second = cache.read("t")
+    assert second.count() == 5 and not first.is_cached
+    now[0] = 11.0
+    assert cache.read("t") is not second
+    cache.invalidate("t")
+
+
+def test_snapshots_hold_the_numeric_summary(spark):
+    snap = snapshot_totals(spark.createDataFrame([(1.0, "a"), (3.0, None)], "x double, s string"))
+    assert snap["numeric_summary"] == {"x": {"min": 1.0, "max": 3.0, "mean": 2.0, "std": 1.4142}} and snap["total_nulls"] == 1
