@@ -399,6 +399,24 @@ def page(df: DataFrame, sort_col: str, ascending: bool, page_no: int, tie_cols:
     return df.orderBy(*order).offset((page_no - 1) * page_size).limit(page_size)
 
 
+def page_after(df: DataFrame, sort_col: str, ascending: bool, tie_cols: list[str], last: dict,
+               page_size: int = 50) -> DataFrame:
+    """T10 for deep pages: the rows after the last row of the page before (its values of the
+    order columns in ``last``).  No rows before it are carried, however deep the page."""
+    keys = [(sort_col, ascending)] + [(c, True) for c in tie_cols if c != sort_col]
+    beyond, same = F.lit(False), F.lit(True)
+    for c, up in keys:
+        v = last[c]
+        if v is None:                       # nulls come last: nothing is beyond
+            further = F.lit(False)
+        else:
+            further = ((F.col(c) > F.lit(v)) if up else (F.col(c) < F.lit(v))) | F.col(c).isNull()
+        beyond = beyond | (same & further)
+        same = same & F.col(c).eqNullSafe(F.lit(v))
+    order = [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in keys]
+    return df.where(beyond).orderBy(*order).limit(page_size)
+
+
 def page_count(df: DataFrame, page_size: int = 50) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"),
                   F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(page_size)), F.lit(1)).cast("long").alias("pages"))

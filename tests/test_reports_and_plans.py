@@ -100,3 +100,14 @@ def test_search_reads_large_numbers_in_full(spark):
     df = spark.createDataFrame([(12345678.0, "a"), (0.00052, "b"), (1.5, None)], "x double, s string")
     assert R.search(df, "12345678").count() == 1 and R.search(df, "12345678.0").count() == 1
     assert R.search(df, "0.00052").count() == 1 and R.search(df, "1.5").count() == 1 and R.search(df, "e").count() == 0
+
+
+def test_deep_pages_follow_the_last_row(spark):
+    rows = [(i % 7 if i % 5 else None, i % 3, i) for i in range(60)]
+    df = spark.createDataFrame(rows, "v long, t long, id long")
+    for ascending in (True, False):
+        third = R.page(df, "v", ascending, 3, ["t", "id"], page_size=8).collect()
+        last = R.page(df, "v", ascending, 2, ["t", "id"], page_size=8).collect()[-1].asDict()
+        assert R.page_after(df, "v", ascending, ["t", "id"], last, page_size=8).collect() == third
+        tail = R.page(df, "v", ascending, 7, ["t", "id"], page_size=8).collect()[-1].asDict()
+        assert len(R.page_after(df, "v", ascending, ["t", "id"], tail, page_size=8).collect()) == 4
