@@ -158,7 +158,7 @@ KPI_SELECT = (
 TIER_SELECT = (
     f"SELECT t.tier_order, t.tier, CAST(COALESCE(c.n, 0) AS BIGINT) AS count FROM {TIERS_VALUES} "
     "LEFT JOIN (SELECT spend_efficiency_tier AS tier, COUNT(*) AS n FROM e WHERE spend_efficiency_tier IS NOT NULL GROUP BY 1) c "
-    "ON t.tier = c.tier")
+    "ON t.tier = c.tier WHERE EXISTS (SELECT 1 FROM e WHERE spend_efficiency_tier IS NOT NULL)")
 
 
 def oracle_queries() -> dict[str, str]:

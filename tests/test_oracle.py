@@ -45,4 +45,4 @@ def test_query_matches_oracle(spark, con, name):
 
 def test_entry_smoke(spark):
     df = E.entry(spark)
-    assert df.columns == ["channel", "revenue"] and df.count() > 0
+    assert df.columns == ["channel", "revenue", "channel_rank"] and df.count() > 0
