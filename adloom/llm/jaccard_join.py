@@ -7,17 +7,18 @@ extended by k"; k grows with |x|, the smaller k of a pair counts); this holds fo
 
 * Index 1, single rare tokens.  The extended prefixes in hash order are posted; tokens of
   one class only can't match, tokens of more than ``frequent`` classes are "frequent".  A
-  pair with a set that has no frequent token in its prefix shares k rare ones there.
-* Index 2, for pairs of sets that both have frequent tokens.  Tokens are ordered anew, rare
-  ones first, frequent ones last, so that shared passages drop out of the prefixes of all
-  sets with enough tokens of their own.  Rare tokens are indexed one by one; a pair that
-  shares none shares two frequent tokens, so these are indexed as 2-combinations.
+  set with few frequent tokens in its prefix (a light one: fewer than k leaves room for)
+  shares two rare ones or more with every set it is linked with.
+* Index 2, for pairs of heavy sets.  Their tokens are ordered anew, rare ones first,
+  frequent ones last, so that shared passages drop out of the prefixes of all sets with
+  enough tokens of their own.  Rare tokens are indexed one by one; a pair that shares none
+  shares two frequent tokens, so these are indexed as 2-combinations.
 
 Lists are not expanded into all pairs.  In a round, one member of each open list is
 compared with the others that are not in its component; then it leaves the list.  A list
 whose members lie in one component is closed: a group of n near copies costs about n
 comparisons.  In lists that stay open after ``star_rounds``, pairs in different components
-are counted (k common rare tokens are needed) and the rest compared; the result is exact.
+are counted (k common prefix tokens are needed, less the frequent ones) and the rest compared; the result is exact.
 
 A pair is first bounded by 16-bit marks of all its tokens (equal tokens have equal marks),
 then verified on the sets.  Sets are recomputed from the texts of the classes in question.
@@ -255,12 +256,15 @@ def _shared_keys(posted: DataFrame) -> DataFrame:
     return posted.join(counts, "key")
 
 
-def candidate_lists(docs: DataFrame, classes: DataFrame, w: int, percent: int, frequent: int, max_frequent: int) -> DataFrame:
-    """(key, c, turn): members of every list that has two or more, for index 1 and 2.
+def candidate_lists(docs: DataFrame, classes: DataFrame, postings: DataFrame, w: int, percent: int, frequent: int,
+                    max_frequent: int) -> tuple[DataFrame, DataFrame]:
+    """(key, c, turn): members of every list that has two or more, for index 1 and 2, and
+    (c, n, f): size and number of frequent prefix tokens of each class.
 
-    ``turn`` is 1 for a set without frequent tokens in its prefix, 2 for another one, and 3
-    for the members of index 2: pairs of index 1 need a member with turn 1."""
-    shared = materialize(_shared_keys(classes.select(F.explode("prefix").alias("key"), "c")), "shared")
+    A set is heavy if frequent tokens may fill what its prefix has beyond that of a
+    partner.  ``turn`` is 1 for a light set, 2 for a heavy one, and 3 for the members of
+    index 2: pairs of index 1 need a member with turn 1."""
+    shared = materialize(_shared_keys(postings), "shared")
     often = shared.filter(F.col("df") > frequent).select("key", "df").distinct()
     limit = frequent
     while often.filter(F.col("df") > limit).count() > max_frequent:
@@ -268,21 +272,23 @@ def candidate_lists(docs: DataFrame, classes: DataFrame, w: int, percent: int, f
     tokens = np.sort(np.array([r["key"] for r in often.filter(F.col("df") > limit).select("key").collect()], np.int64))
     first = shared.filter(F.col("df") <= limit).select("key", "c")
     if not len(tokens):
-        return first.withColumn("turn", F.lit(1))
-    touched = materialize(shared.filter(F.col("df") > limit).select("c").distinct(), "touched")
-    wanted = materialize(classes.select("c", "rep_doc", "rep_th").join(touched, "c", "left_semi"), "wanted")
-    second = materialize(fetch_sets(docs, wanted, w)
-                         .mapInArrow(_reordered(tokens, percent), "key long, c long"), "reordered")
-    marked = touched.select(F.col("c").alias("__c"), F.lit(2).alias("turn"))
+        return first.withColumn("turn", F.lit(1)), classes.select("c", "n", F.lit(0).alias("f"))
+    counts = shared.filter(F.col("df") > limit).groupBy("c").agg(F.count(F.lit(1)).alias("f"))
+    sizes = materialize(classes.select("c", "n").join(counts, "c", "left")
+                        .select("c", "n", F.coalesce("f", F.lit(0)).cast("int").alias("f")), "sizes")
+    heavy = materialize(sizes.filter(F.col("f") > F.floor(3 * F.col("n") / 64)).select("c"), "heavy")
+    wanted = classes.select("c", "rep_doc", "rep_th").join(heavy, "c", "left_semi")
+    second = materialize(fetch_sets(docs, wanted, w).mapInArrow(_reordered(tokens, percent), "key long, c long"), "reordered")
+    marked = heavy.select(F.col("c").alias("__c"), F.lit(2).alias("turn"))
     first = first.join(marked, F.col("c") == F.col("__c"), "left").select("key", "c", F.coalesce("turn", F.lit(1)).alias("turn"))
-    return first.unionByName(_shared_keys(second).select("key", "c", F.lit(3).alias("turn")))
+    return first.unionByName(_shared_keys(second).select("key", "c", F.lit(3).alias("turn"))), sizes
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, w: int, percent: int, frequent: int, max_frequent: int,
+def link_classes(docs: DataFrame, classes: DataFrame, postings: DataFrame, w: int, percent: int, frequent: int, max_frequent: int,
                  star_rounds: int) -> DataFrame | None:
     """(c, root) for the classes that are linked with another, None if there is none."""
-    sizes = classes.select("c", "n")
-    lists = materialize(candidate_lists(docs, classes, w, percent, frequent, max_frequent), "lists")
+    lists, sizes = candidate_lists(docs, classes, postings, w, percent, frequent, max_frequent)
+    lists = materialize(lists, "lists")
     roots, edges = None, None
     for turn in range(star_rounds + 1):
         labelled = lists.withColumn("root", F.col("c"))
@@ -304,10 +310,10 @@ def link_classes(docs: DataFrame, classes: DataFrame, w: int, percent: int, freq
             met = x.join(y, (F.col("xk") == F.col("yk")) & (F.col("x") < F.col("y")) & (F.col("xr") != F.col("yr"))
                          & ((F.col("xt") != 2) | (F.col("yt") != 2)))
             pairs = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("met"), F.max("xt").alias("mt"))
-        known = pairs.join(sizes.toDF("x", "xn"), "x").join(sizes.toDF("y", "yn"), "y") \
+        known = pairs.join(sizes.toDF("x", "xn", "xf"), "x").join(sizes.toDF("y", "yn", "yf"), "y") \
             .filter((100 * F.col("xn") >= percent * F.col("yn")) & (100 * F.col("yn") >= percent * F.col("xn")))
-        if "met" in pairs.columns:  # linked sets share k prefix tokens, all rare if one has no frequent ones
-            least = F.lit(2) + F.floor(F.least("xn", "yn") / 16)
+        if "met" in pairs.columns:  # linked sets share k prefix tokens, and no more frequent ones than either has
+            least = F.lit(2) + F.floor(F.least("xn", "yn") / 16) - F.least("xf", "yf")
             known = known.filter((F.col("mt") == 3) | (F.col("met") >= least))
         pairs = materialize(known.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
         if pairs.isEmpty():
@@ -323,12 +329,18 @@ def jaccard_classes(docs: DataFrame, w: int = 5, percent: int = 75, frequent: in
                     max_frequent: int = 500_000, star_rounds: int = 1) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs``."""
     staged = materialize(document_sets(docs, w, percent), "sets-by-doc")
-    rep = F.any_value(F.struct("doc_id", "th", "n", "prefix"))
-    grouped = staged.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("low"), rep.alias("r"))
+    # the smallest (id, text hash) of a class names its representative: narrow, so that a
+    # group of copies combines before the shuffle and no prefix travels
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th"))
+    grouped = staged.filter("n > 0").groupBy("key").agg(rep.alias("r"), F.max("n").alias("n"))
     classes = materialize(grouped.select(
-        F.monotonically_increasing_id().alias("c"), "key", "low", F.col("r.doc_id").alias("rep_doc"),
-        F.col("r.th").alias("rep_th"), F.col("r.n").alias("n"), F.col("r.prefix").alias("prefix")), "classes")
-    roots = link_classes(docs, classes, w, percent, frequent, max_frequent, star_rounds)
+        F.monotonically_increasing_id().alias("c"), "key", F.col("r.doc_id").alias("low"), F.col("r.doc_id").alias("rep_doc"),
+        F.col("r.th").alias("rep_th"), "n"), "classes")
+    named = classes.select(F.col("key").alias("__key"), "c", "rep_doc", "rep_th")
+    chosen = join_few(staged.select("key", "doc_id", "th", "prefix"), named, (F.col("key") == F.col("__key"))
+                      & F.col("doc_id").eqNullSafe(F.col("rep_doc")) & (F.col("th") == F.col("rep_th")))
+    postings = chosen.select(F.explode("prefix").alias("key"), "c")
+    roots = link_classes(docs, classes, postings, w, percent, frequent, max_frequent, star_rounds)
     named = classes.select("key", "c", F.col("low").alias("component_id"))
     if roots is not None:
         lows = classes.select("c", "low").join(roots, "c").groupBy("root").agg(F.min("low").alias("least"))
