@@ -1,6 +1,7 @@
 """Operator 10: a counterfactual-regularised toxicity classifier.
 
-Features are the words (letter runs, lower-cased) that a text holds.  Spark counts them
+Features are the words (letter runs, lower-cased) that a text holds, and the first five
+letters of the longer ones, which inflected and compound forms share.  Spark counts them
 by label over the training rows and keeps the informative ones; a logistic regression is
 then fitted in numpy on at most ``max_rows`` labelled rows (the documented bound; rows
 are chosen by a hash of their id).  Besides log loss and an L2 term the loss holds a
@@ -45,14 +46,22 @@ IDENTITY_GROUPS = (
 SWAPS = {t: [x for x in g if x != t] for g in IDENTITY_GROUPS for t in g}
 
 
+def word_features(words: set[str]) -> set[str]:
+    return words | {w[:5] + "*" for w in words if len(w) > 5}
+
+
+def text_features(text: str | None) -> set[str]:
+    return word_features(set(WORD.findall((text or "").lower())))
+
+
 @dataclass
 class ToxicityModel:
     bias: float = 0.0
     weights: dict[str, float] = field(default_factory=dict)
 
     def score(self, text: str | None) -> float:
-        words = set(WORD.findall((text or "").lower()))
-        z = self.bias + sum(self.weights[w] for w in sorted(self.weights.keys() & words))
+        found = text_features(text)
+        z = self.bias + sum(self.weights[w] for w in sorted(w for w in found if w in self.weights))
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0))))
 
 
@@ -73,7 +82,7 @@ def training_words(docs: DataFrame, labels: DataFrame, max_rows: int, seed: int)
             texts = b.column("text").to_pylist()
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column("doc_id").cast(pa.int64()), "toxic": b.column("toxic"),
-                "words": pa.array([sorted(set(WORD.findall((t or "").lower()))) for t in texts], pa.list_(pa.string()))})
+                "words": pa.array([sorted(text_features(t)) for t in texts], pa.list_(pa.string()))})
 
     return rows.select("doc_id", "toxic", "text").mapInArrow(words, "doc_id long, toxic int, words array<string>")
 
@@ -88,7 +97,7 @@ def informative_words(rows: DataFrame, n_pos: int, n_neg: int, max_words: int, l
         F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     top = counts.withColumn("chi2", chi2).filter((a + b >= least_docs) & (F.col("chi2") >= least_chi2)) \
         .orderBy(F.col("chi2").desc(), "w").limit(max_words).select("w")
-    named = counts.filter(F.col("w").isin(sorted(SWAPS))).select("w")
+    named = counts.filter(F.col("w").isin(sorted(word_features(set(SWAPS))))).select("w")
     return sorted({r["w"] for r in top.collect()} | {r["w"] for r in named.collect()})
 
 
@@ -121,7 +130,7 @@ def fit_logistic(x: list[list[int]], y: np.ndarray, flips: list[tuple[list[int],
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_words: int = 4096,
-                   least_docs: int = 5, least_chi2: float = 20.0, l2: float = 1e-4, fairness: float = 1.0,
+                   least_docs: int = 3, least_chi2: float = 12.0, l2: float = 1e-4, fairness: float = 1.0,
                    seed: int = 7) -> ToxicityModel:
     from adloom.session import materialize
     rows = materialize(training_words(docs, labels, max_rows, seed), "toxicity")
@@ -143,7 +152,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, m
             others = [o for o in SWAPS.get(term, ()) if o not in r["words"]]
             if others:
                 other = others[k % len(others)]
-                flips.append(([at[term]], [at[other]] if other in at else []))
+                leave, enter = word_features({term}), word_features({other})
+                flips.append(([at[w] for w in sorted(leave) if w in at], [at[w] for w in sorted(enter) if w in at]))
     bias, w = fit_logistic(x, y, flips, len(words), l2, fairness)
     return ToxicityModel(bias, {t: float(v) for t, v in zip(words, w)})
 
