@@ -46,6 +46,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two: exact, and no square over- or underflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def beam_search(unit: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarray, beam: int, steps: int = 400,
                 block: int = 512) -> np.ndarray:
     """The ``beam`` nearest nodes met by each query (-1 where fewer), nearest first.
@@ -209,6 +214,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 5, beam: int = 1
             qid = qid[fit]
             if len(q):
                 met = beam_search(_unit(x), edges, g["entry"], _unit(q), beam)
+                x, q = _scaled(x), _scaled(q)
                 norm, qnorm = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
                 for i in range(len(q)):
                     nodes = met[i][met[i] >= 0][:4 * (k + 1)]

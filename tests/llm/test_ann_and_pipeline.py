@@ -18,8 +18,9 @@ def exact(rows, k):
     out = {}
     for i, v in fine:
         if i % 50 == 0:
-            a = np.array(v)
-            near = sorted((-float(np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b))), j) for j, b in fine if j != i)
+            unit = {j: np.array(b) / np.abs(b).max() for j, b in fine}
+            a = unit[i]
+            near = sorted((-float(np.dot(a, unit[j]) / np.sqrt(np.dot(a, a) * np.dot(unit[j], unit[j]))), j) for j, _ in fine if j != i)
             out[i] = near[:k]
     return out
 
