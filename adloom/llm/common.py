@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 import adloom
-from adloom.session import materialize
+from adloom.operators.ordered import running_total  # noqa: F401  (shared by operators here)
 
 #: Word separators of every word-based operator: space and the six ASCII controls 9 to 13.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -50,39 +49,6 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def running_total(df: DataFrame, groups: list[str], order: list[str], value: str,
-                  out: str, partitions: int | None = None) -> DataFrame:
-    """``out`` = sum of ``value`` over the earlier rows of the group (exclusive).
-
-    Rows are range-partitioned by (groups, order), so that a group with a third of all
-    rows spreads over a third of the partitions, and written once, which freezes the
-    partition ids.  Each partition's total for a group is then one row; offsets come from
-    a window over those few rows, local sums from a window inside (partition, group).
-    ``order`` should determine the order of rows within a group.
-    """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(c) for c in [*groups, *order]]
-    staged = materialize(df.repartitionByRange(n, *keys)
-                         .withColumn("__part", F.spark_partition_id()), "ranged")
-    sums = staged.groupBy("__part", *groups).agg(F.sum(value).alias("__sum"))
-    before = W.partitionBy(*groups).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select("__part", *groups, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
-    offsets = offsets.select(F.col("__part").alias("__p"), "__before",
-                             *[F.col(g).alias(f"__g_{g}") for g in groups])
-    joined = staged.join(offsets, _null_safe([("__part", "__p"), *[(g, f"__g_{g}") for g in groups]]))
-    local = W.partitionBy("__part", *groups).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return joined.withColumn(out, F.col("__before") + F.coalesce(F.sum(value).over(local), F.lit(0))) \
-                 .drop("__part", "__p", "__before", *[f"__g_{g}" for g in groups])
-
-
-def _null_safe(pairs: list[tuple[str, str]]) -> Column:
-    cond = F.lit(True)
-    for a, b in pairs:
-        cond = cond & F.col(a).eqNullSafe(F.col(b))
-    return cond
-
-
 def join_few(big: DataFrame, few: DataFrame, on, how: str = "inner", most: int = 500_000) -> DataFrame:
     """Join with a table that is usually small: broadcast if it has at most ``most`` (narrow)
     rows, which is counted, else a shuffle join."""
@@ -101,48 +67,47 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-#: A blank after any white space: only there may a cut before a blank split a match.
-_WHITE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
-          "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
-_UNSAFE = tuple(c + " " for c in _WHITE)
-_ANY_PIECE = regex.compile(r"\s*\S+|\s+")
-
+#: Fixed value: how byte-level pre-tokenizers cut a text into words.
+WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same for texts of Latin script, where the standard library's classes name the same
+#: characters (but for a few controls, superscripts and fractions): three times as fast.
+_LATIN_WORDS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+_NOT_LATIN = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]")
 
-def space_pieces(text: str) -> list[str]:
-    """Cut a text between a non-space and the space after it, where no match of a
-    byte-level pre-tokenizer pattern can lie; joined, the pieces give the text."""
-    if not text:
-        return []
-    if any(x in text for x in _UNSAFE):
-        return _ANY_PIECE.findall(text)
-    first, *rest = text.split(" ")
-    pieces = [" " + p for p in rest]
-    return [first, *pieces] if first else pieces
 
+def latin_words(text: str) -> list[str] | None:
+    """The words of ``WORD_PATTERN``, or None for a text with other characters than Latin ones."""
+    return None if _NOT_LATIN.search(text) else _LATIN_WORDS.findall(text)
 
-class PieceMemory(dict):
-    """piece -> value, made by ``make`` when missing; holds at most ``limit`` pieces.
 
-    Two generations: a full young one becomes the old one, and what is used again moves
-    over.  Long pieces are not kept."""
+class PieceMemory:
+    """Values of words of text, remembered in two generations of at most ``limit`` / 2.
 
-    def __init__(self, make, limit: int, longest: int = 64):
-        super().__init__()
-        self.make, self.half, self.longest, self.old = make, max(1, limit // 2), longest, {}
+    A full young generation becomes the old one, and what is used again moves over; long
+    pieces are not kept.  Pieces are asked for in sets, so that a batch costs few calls."""
 
-    def __missing__(self, piece):
-        value = self.old.get(piece)
-        if value is None:
-            value = self.make(piece)
-        if len(piece) <= self.longest:
-            self.add(piece, value)
-        return value
+    def __init__(self, limit: int, longest: int = 64):
+        self.half, self.longest, self.young, self.old = max(1, limit // 2), longest, {}, {}
 
-    def add(self, piece, value) -> None:
-        if len(self) >= self.half:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = value
+    def resolve(self, pieces: set[str], make_many) -> dict:
+        """piece -> value for all ``pieces``; ``make_many`` gets the unknown ones as a list."""
+        young, old, out, unknown = self.young, self.old, {}, []
+        for p in pieces:
+            value = young.get(p)
+            if value is None:
+                value = old.get(p)
+                if value is None:
+                    unknown.append(p)
+                    continue
+                young[p] = value
+            out[p] = value
+        for p, value in zip(unknown, make_many(unknown)):
+            out[p] = value
+            if len(p) <= self.longest:
+                young[p] = value
+        if len(young) > self.half:
+            self.old, self.young = young, {}
+        return out
 
 
 #: An odd base of polynomial hashes modulo 2^64, and its inverse.
@@ -168,10 +133,10 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def bounded_texts(batches, limit: int = 1 << 20):
+def bounded_texts(batches, limit: int = 1 << 20, name: str = "text"):
     """Batches cut so that a slice holds about ``limit`` bytes of text, one text at least."""
     for b in small_slices(batches, 2000):
-        sizes = [0 if t is None else len(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
+        sizes = [0 if t is None else len(t) for t in b.column(name).cast(pa.binary()).to_pylist()]
         at, held = 0, 0
         for i, s in enumerate(sizes):
             if held and held + s > limit:

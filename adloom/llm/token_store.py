@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adloom.llm.common import PieceMemory, running_total, small_slices, space_pieces
+from adloom.llm.common import PieceMemory, bounded_texts, latin_words, running_total, small_slices
 from adloom.session import checkpoint_dir, materialize
 
 BLOCKS = ("part int, seq int, doc_ids array<bigint>, offsets array<bigint>, n_tokens array<bigint>, "
@@ -52,28 +52,44 @@ BLOCKS = ("part int, seq int, doc_ids array<bigint>, offsets array<bigint>, n_to
 
 
 class LibraryEncoder:
-    """The tokenizers library behind a memory of pieces."""
+    """The tokenizers library behind a memory of words.
 
-    def __init__(self, path: str, remembered: int = 600_000):
+    A text of Latin script is cut into the tokenizer's words, and unknown words are encoded
+    many at a time with line breaks between: a line break is a token of its own there, so
+    the ids between two of them are a word's.  Other texts go to the library as they are."""
+
+    def __init__(self, path: str, remembered: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark runs one task per core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True      # their strings in a text are ordinary text
-        self.memory = PieceMemory(lambda p: self._encode([p])[0], remembered)
+        self.memory = PieceMemory(remembered)
+        self.mark = np.frombuffer(self._encode(["\n"])[0], "<u4")
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _words(self, words: list[str], together: int = 40) -> list[bytes]:
+        """Ids of unknown words: those without white space inside in groups, others alone."""
+        known: dict[str, bytes] = {}
+        plain = [w for w in words if w.strip(" ") and not w[-1].isspace() and "\n" not in w] if len(self.mark) == 1 else []
+        for at in range(0, len(plain), 50 * together):
+            groups = [plain[k:k + together] for k in range(at, min(at + 50 * together, len(plain)), together)]
+            for group, ids in zip(groups, self._encode(["\n".join(g) for g in groups])):
+                row = np.frombuffer(ids, "<u4")
+                edges = [-1, *np.flatnonzero(row == self.mark[0]).tolist(), len(row)]
+                if len(edges) == len(group) + 1:
+                    known.update((w, ids[4 * lo + 4:4 * hi]) for w, lo, hi in zip(group, edges, edges[1:]))
+        alone = [w for w in words if w not in known]
+        known.update(zip(alone, self._encode(alone)))
+        return [known[w] for w in words]
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        cut = [space_pieces(t) for t in texts]
-        new = [p for p in set().union(*cut) - self.memory.keys() - self.memory.old.keys()]
-        for at in range(0, len(new), 1000):
-            part = new[at:at + 1000]
-            for piece, ids in zip(part, self._encode(part)):
-                if len(piece) <= self.memory.longest:
-                    self.memory.add(piece, ids)
-        return [b"".join(map(self.memory.__getitem__, pieces)) for pieces in cut]
+        cut = [latin_words(t) for t in texts]
+        ids = self.memory.resolve(set().union(*(c for c in cut if c is not None)), self._words)
+        other = iter(self._encode([t for t, c in zip(texts, cut) if c is None]))
+        return [next(other) if c is None else b"".join(map(ids.__getitem__, c)) for c in cut]
 
 
 @lru_cache(maxsize=2)
@@ -89,8 +105,14 @@ def deserialize(data: bytes, width: int) -> np.ndarray:
     return np.frombuffer(data, dtype="<u2" if width == 2 else "<u4").astype("<u4")
 
 
-def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
-    return zstandard.ZstdCompressionDict(data) if data else None
+def _dictionary(data: bytes, level: int | None = None) -> zstandard.ZstdCompressionDict | None:
+    """The dictionary, digested once for all frames if a ``level`` to compress with is given."""
+    if not data:
+        return None
+    found = zstandard.ZstdCompressionDict(data)
+    if level is not None:
+        found.precompute_compress(level=level)
+    return found
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int, width: int, sample_docs: int, dict_bytes: int) -> bytes:
@@ -125,8 +147,8 @@ def write_store(docs: DataFrame, folder: str, path: str, end_id: int, block_byte
 
     def compress(batches):
         enc = library_encoder(path)
-        packer = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary))
-        for b in small_slices(batches):
+        packer = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary, level))
+        for b in bounded_texts(batches, 4 << 20):
             ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(end_id))
                    for x in enc.encode_batch([t or "" for t in b.column("text").to_pylist()])]
             if width == 2 and any(int(x.max()) > 65_535 for x in ids):

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from adloom.llm import secrets as S
 from adloom.llm.mixing import cycle_weights, fill_targets, mix_sources
@@ -14,7 +15,7 @@ from adloom.llm.toxicity import SWAPS, fit_logistic, held_out, score_texts, trai
 
 from .conftest import WORDS
 
-ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS, KEY = "AKIA" + "B2" * 8, "aB3/" * 10
 SECRET_TEXTS = [
     None, "", "token=abc secret=abcdefg", "token=secret:abcdefgh token=token:abcdefghij", "é😀 PassWord : 'hunter22' x",
@@ -121,7 +122,7 @@ def test_mix_meets_targets_by_key_order(make_docs):
 def test_better_documents_come_earlier(make_docs):
     texts = ["good words only here"] * 200 + ["#### $$$$ %%%% &&&&"] * 200
     docs = make_docs(texts, sources=["a"] * 400)
-    from pyspark.sql import functions as F
+
     # one source is its own target: halve the mix with a second, empty one that can't take more
     rows = mix_sources(docs, weights=lambda n: [1.0] * n, cap=0.5).groupBy((F.col("doc_id") < 200).alias("good")).agg(F.sum("taken").alias("t")).collect()
     taken = {r.good: r.t for r in rows}
@@ -148,7 +149,7 @@ def labelled(llm_spark, make_docs, seed=3, n=600):
 def test_toxicity_on_held_out_rows_and_neutral_mentions(llm_spark, make_docs):
     docs, labels, texts, toxic = labelled(llm_spark, make_docs)
     fair, unfair = train_toxicity(docs, labels, fairness=20.0), train_toxicity(docs, labels, fairness=0.0)
-    rows = score_texts(docs, fair).select("doc_id", "score", held_out(docs["doc_id"]).alias("out")).collect()
+    rows = score_texts(docs, fair).select("doc_id", "score", held_out(F.col("doc_id")).alias("out")).collect()
     assert all(r.out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     out = [r for r in rows if r.out]
     assert np.mean([(r.score >= 0.5) == bool(toxic[r.doc_id]) for r in out]) > 0.93

@@ -11,7 +11,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from adloom.llm.bpe import ByteBpe, bpe_round_trip, merge_bytes
-from adloom.llm.common import PieceMemory, space_pieces
+from adloom.llm.common import WORD_PATTERN, PieceMemory, latin_words
 from adloom.llm.token_store import read_store, store_folder, write_store
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
@@ -48,9 +48,13 @@ def test_tree_per_word_equals_trees_of_many_words(own):
         assert list(memoryview(ids).cast("I")) == merge_bytes(w.encode(), own.ranks, own.longest), w
 
 
-def test_pieces_join_to_the_text():
-    for t in odd_strings(2000, 3):
-        assert "".join(space_pieces(t)) == t
+def test_latin_words_equal_the_pattern(own):
+    latin = 0
+    for t in odd_strings(4000, 3) + ["ÀÿĀſƿɏ ªº µ×÷ _a_ 1a 12 's'll'x don't  \t\n x"]:
+        words = latin_words(t)
+        latin += words is not None
+        assert words is None or words == own.pattern.findall(t), t
+    assert latin > 300 and P.PATTERN == WORD_PATTERN
 
 
 def test_memory_is_bounded_and_right():
