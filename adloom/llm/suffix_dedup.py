@@ -16,7 +16,7 @@ equal strings meet without bringing the corpus together:
    Sadakane refinement in numpy sorts the groups that are not single yet by the rank of
    the suffix h bytes on, doubling h up to ``span``.  Kasai's common prefixes follow in
    text order: where the predecessor of position i + 1 follows that of i, the common prefix is one
-   shorter; only other positions (and every 128th) compare bytes.  Starts with a common
+   shorter; only other positions, those after a prefix of 0 and every 128th compare bytes.  Starts with a common
    prefix of ``span`` or more are repeats.  An anchor whose segments fill several blocks
    has the sorted suffixes of each block looked up in the others by binary search.
 4. Covered intervals are merged by class and cut from the text.
@@ -137,7 +137,8 @@ def repeated_positions(data: np.ndarray, sa: np.ndarray, span: int, every: int =
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     direct = np.ones(n, bool)
-    direct[1:] = before[1:] != before[:-1] + 1
+    # the chain goes on where the position before and its predecessor share their first byte
+    direct[1:] = (before[1:] != before[:-1] + 1) | (before[:-1] < 0) | (data[:-1] != data[before[:-1]])
     direct[::every] = True
     direct |= before < 0
     at = np.flatnonzero(direct)

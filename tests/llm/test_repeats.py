@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 
 from adloom.llm import jaccard_join as J
-from adloom.llm.suffix_dedup import Block, resolve_segments, suffix_array, suffix_dedup
+from adloom.llm.suffix_dedup import Block, repeated_positions, resolve_segments, suffix_array, suffix_dedup
 
 from .conftest import WORDS
 
@@ -50,6 +50,13 @@ def test_suffix_array_sorts_by_depth():
     assert sorted(order.tolist()) == list(range(3000)) and keys == sorted(keys)
 
 
+def test_common_prefixes_start_anew_after_a_mismatch():
+    for raw in (b"1wxyzA\xff2wxyzB\xff", b"1wxyzA\xff2wxyzB\xff3wxyzC\xff"):
+        data = np.frombuffer(raw, np.uint8)
+        hit = repeated_positions(data, suffix_array(data, 4), 4)
+        assert [i for i in np.flatnonzero(hit)] == [i for i in range(len(raw) - 3) if raw.count(raw[i:i + 4]) > 1], raw
+
+
 def test_one_anchor_over_many_blocks_is_searched_across_them():
     rng = random.Random(9)
     passage = bytes(rng.randrange(97, 123) for _ in range(220))
