@@ -17,9 +17,12 @@ equal strings meet without bringing the corpus together:
    the suffix h bytes on, doubling h up to ``span``.  Kasai's common prefixes follow in
    text order: where the predecessor of position i + 1 follows that of i, the common prefix is one
    shorter; only other positions, those after a prefix of 0 and every 128th compare bytes.  Starts with a common
-   prefix of ``span`` or more are repeats.  An anchor whose segments fill several blocks
-   has the sorted suffixes of each block looked up in the others by binary search.
-4. Covered intervals are merged by class and cut from the text.
+   prefix of ``span`` or more are repeats.
+4. An anchor with more runs than surely fit one block (``crowd``, some 6,200) could bring
+   a segment of every document to one task.  Its starts are dealt again by the 128-bit
+   hash of their own string: equal strings still meet, as counts that combine before the
+   shuffle, and no task holds the group.  A segment a task has met before is a repeat.
+5. Covered intervals are merged by class and cut from the text.
 
 Segments are separated by 0xFF, which UTF-8 lacks, so no match crosses documents.
 
@@ -38,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adloom.llm.common import bounded_texts, join_few, mix64, power_tables, texts_of
+from adloom.llm.common import bounded_texts, join_few, mix64, power_tables, small_slices, texts_of
 from adloom.session import materialize
 
 BITS = 21                       # positions and ranks of a block
@@ -317,6 +320,82 @@ def _segments(span: int, window: int, remember: int = 300_000):
     return run
 
 
+def _crowded_starts(span: int, window: int, remember: int = 300_000, most: int = 100_000):
+    """The starts of the anchors marked in ``idx``: rows (c, lo, i, n, k1, k2) with the hash of
+    the string at lo + i, and rows without hash for n starts from lo that are repeats already
+    because this task has met their whole segment."""
+    def run(batches):
+        met: dict[bytes, tuple[int, int, int] | None] = {}     # the first of equal segments, until it is a repeat itself
+        columns: list[list] = [[], [], [], [], []]
+        digests: list[bytes] = []
+
+        def add(c, lo, i, n, known):
+            for column, x in zip(columns, (c, lo, i, n, known)):
+                column.append(x)
+
+        def batch_of():
+            c, lo, i, n, known = columns
+            found = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            nulls = np.array(known, bool)
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()), pa.array(lo, pa.int64()), pa.array(i, pa.int32()), pa.array(n, pa.int32()),
+                 *(pa.array(found[:, k], pa.int64(), mask=nulls) for k in (0, 1))], names=["c", "lo", "i", "n", "k1", "k2"])
+            for x in (*columns, digests):
+                x.clear()
+            return out
+
+        for b in bounded_texts(batches):
+            texts, cs = texts_of(b.column("text")), b.column("c").to_pylist()
+            text, los, his, _, _ = anchor_runs(texts, span, window)
+            ends = np.searchsorted(text, np.arange(len(texts) + 1))
+            for j, (t, c, idx) in enumerate(zip(texts, cs, b.column("idx"))):
+                at = idx.values.to_numpy() + ends[j]
+                for lo, hi in zip(los[at].tolist(), his[at].tolist()):
+                    owned, d = hi - lo + 1, xxhash.xxh3_128_digest(t[lo:hi + span])
+                    if d in met:
+                        for first in ((c, lo, owned), met[d]):
+                            if first is not None:
+                                add(first[0], first[1], 0, first[2], True)
+                                digests.append(bytes(16))
+                        met[d] = None
+                    else:
+                        if len(met) < remember:
+                            met[d] = (c, lo, owned)
+                        for i in range(owned):
+                            add(c, lo, i, 1, False)
+                            digests.append(xxhash.xxh3_128_digest(t[lo + i:lo + i + span]))
+                    if len(digests) >= most:
+                        yield batch_of()
+        if digests:
+            yield batch_of()
+    return run
+
+
+def _start_runs(span: int):
+    """Rows (c, lo, at), ``at`` the sorted offsets of repeated starts, to covered intervals."""
+    def run(batches):
+        for b in small_slices(batches, 10_000):
+            out: list[tuple[int, int, int]] = []
+            for c, lo, at in zip(b.column("c").to_pylist(), b.column("lo").to_pylist(), b.column("at")):
+                i = at.values.to_numpy()
+                edge = np.flatnonzero(np.diff(i) != 1)
+                out.extend((c, lo + f, lo + t + span) for f, t in zip(i[np.append(0, edge + 1)].tolist(), i[np.append(edge, -1)].tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["c", "s", "e"])
+    return run
+
+
+def crowded_covers(texts: DataFrame, span: int, window: int) -> DataFrame:
+    """Covered intervals (c, s, e) of the starts marked in ``texts`` (c, idx, text)."""
+    starts = materialize(texts.mapInArrow(_crowded_starts(span, window), "c long, lo long, i int, n int, k1 long, k2 long"), "starts")
+    hashed = starts.filter("k1 IS NOT NULL").select("c", "lo", "i", "k1", "k2")
+    often = materialize(hashed.groupBy(F.col("k1").alias("a1"), F.col("k2").alias("a2")).agg(F.count(F.lit(1)).alias("n"))
+                        .filter("n > 1").select("a1", "a2"), "often")
+    again = join_few(hashed, often, (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2")))
+    runs = again.groupBy("c", "lo").agg(F.sort_array(F.collect_list("i")).alias("at")).mapInArrow(_start_runs(span), "c long, s long, e long")
+    known = starts.filter("k1 IS NULL").select("c", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + span).alias("e"))
+    return runs.unionByName(known)
+
+
 SEGMENT_COLUMNS = ["anchor", "d1", "d2", "has", "c", "lo", "owned", "seg"]
 SEGMENTS = "anchor long, d1 long, d2 long, has int, c long, lo long, owned long, seg binary"
 
@@ -357,9 +436,12 @@ def _cut(with_text: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, span: int = 200, window: int = 64, few_intervals: int = 2_000_000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, span: int = 200, window: int = 64, few_intervals: int = 2_000_000,
+                 crowd: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of ``docs``."""
     spark = docs.sparkSession
+    if crowd is None:               # runs of an anchor that surely fit one block
+        crowd = BLOCK // (2 * span - window + 1)
     staged = materialize(_docs(docs).mapInArrow(
         _first_pass(span, window), "doc_id long, th long, sha binary, n_bytes long, anchors array<long>"), "anchors")
     rep = F.any_value(F.struct("doc_id", "th", "n_bytes", "anchors"))
@@ -368,18 +450,23 @@ def suffix_dedup(docs: DataFrame, span: int = 200, window: int = 64, few_interva
         F.monotonically_increasing_id().alias("c"), "sha", "copies", F.col("r.doc_id").alias("rep_doc"),
         F.col("r.th").alias("rep_th"), F.col("r.n_bytes").alias("n_bytes"), F.col("r.anchors").alias("anchors")), "classes")
     posted = classes.select("c", F.posexplode("anchors").alias("i", "key"))
-    counts = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    marked = posted.join(counts, "key").groupBy("c").agg(F.sort_array(F.collect_list("i")).alias("idx"))
+    counts = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    chosen = lambda which: F.sort_array(F.collect_list(F.when(which, F.col("i"))))
+    marked = posted.join(counts, "key").groupBy("c").agg(
+        chosen(F.col("n") <= crowd).alias("idx"), chosen(F.col("n") > crowd).alias("crowded"))
     wanted = materialize(classes.select("c", "rep_doc", "rep_th").join(marked, "c"), "marked")
 
     def at_text(table):
         """``table`` (c, rep_doc, rep_th, ...) with the text of each class."""
         return join_few(_docs(docs), table, (F.col("th") == F.col("rep_th")) & F.col("doc_id").eqNullSafe(F.col("rep_doc")))
 
-    segments = at_text(wanted).select("c", "idx", "text").mapInArrow(_segments(span, window), SEGMENTS)
+    segments = at_text(wanted.filter("size(idx) > 0")).select("c", "idx", "text").mapInArrow(_segments(span, window), SEGMENTS)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     covers = segments.repartition(n, "anchor").sortWithinPartitions("anchor", "d1", "d2", "has") \
         .mapInArrow(resolve_segments(span), "c long, s long, e long")
+    crowded = wanted.filter("size(crowded) > 0").select("c", "rep_doc", "rep_th", F.col("crowded").alias("idx"))
+    if not crowded.isEmpty():
+        covers = covers.unionByName(crowded_covers(at_text(crowded).select("c", "idx", "text"), span, window))
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= span)
     some = covers.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("cover")) \
         .mapInArrow(_merge, "c long, s array<long>, e array<long>")

@@ -77,6 +77,36 @@ def test_one_anchor_over_many_blocks_is_searched_across_them():
         assert len(out) == 60 and [gone[c] for c in range(60)] == [x[1] for x in brute_cut([s.decode() for s in segments], 200)], limit
 
 
+def test_no_task_holds_the_segments_of_a_crowded_anchor(make_docs, odd_texts, monkeypatch):
+    import adloom.llm.suffix_dedup as S
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    long, short = text(230), text(190)                    # only the first holds a whole span
+    texts = odd_texts + [text(rng.randint(0, 90)) + p + text(rng.randint(0, 90)) for p in (long, short) for _ in range(30)]
+    texts += [long[:150] + text(60) + long, long[20:], "lead" + short + texts[-1][-60:], text(40) + texts[-1] + text(40)]
+    want = dict(enumerate(brute_cut(texts, 200)))
+    resolve = S.resolve_segments
+    for crowd in (1, 5, 20):
+        def watched(span, crowd=crowd):
+            solve = resolve(span)
+
+            def run(batches):
+                held = Counter()
+
+                def counted():
+                    for b in batches:
+                        held.update(b.column("anchor").to_pylist())
+                        assert max(held.values(), default=0) <= crowd
+                        yield b
+                return solve(counted())
+            return run
+
+        monkeypatch.setattr(S, "resolve_segments", watched)
+        monkeypatch.setattr(S, "BLOCK", crowd * 337)      # segments have at most 336 bytes
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(make_docs(texts)).collect()}
+        assert got == want, crowd
+
+
 def test_blocks_mark_both_sides():
     seg = bytes(range(32, 122)) * 3
     x, y = Block([seg[:250]], [51], 200), Block([b"start" + seg[20:255]], [41], 200)
