@@ -328,6 +328,13 @@ def link_classes(docs: DataFrame, classes: DataFrame, postings: DataFrame, w: in
 def jaccard_classes(docs: DataFrame, w: int = 5, percent: int = 75, frequent: int = 64,
                     max_frequent: int = 500_000, star_rounds: int = 1) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs``."""
+    return jaccard_rows(docs, w, percent, frequent, max_frequent, star_rounds).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_rows(docs: DataFrame, w: int = 5, percent: int = 75, frequent: int = 64,
+                 max_frequent: int = 500_000, star_rounds: int = 1) -> DataFrame:
+    """The same with ``th``, the xxhash64 of the row's text, and ``component``, which tells
+    components apart where ids are repeated or null (null for empty sets)."""
     staged = materialize(document_sets(docs, w, percent), "sets-by-doc")
     # the smallest (id, text hash) of a class names its representative: narrow, so that a
     # group of copies combines before the shuffle and no prefix travels
@@ -341,13 +348,13 @@ def jaccard_classes(docs: DataFrame, w: int = 5, percent: int = 75, frequent: in
                       & F.col("doc_id").eqNullSafe(F.col("rep_doc")) & (F.col("th") == F.col("rep_th")))
     postings = chosen.select(F.explode("prefix").alias("key"), "c")
     roots = link_classes(docs, classes, postings, w, percent, frequent, max_frequent, star_rounds)
-    named = classes.select("key", "c", F.col("low").alias("component_id"))
+    named = classes.select("key", F.col("c").alias("component"), F.col("low").alias("component_id"))
     if roots is not None:
         lows = classes.select("c", "low").join(roots, "c").groupBy("root").agg(F.min("low").alias("least"))
-        by_class = roots.join(lows, "root").select(F.col("c").alias("__c"), "least")
+        by_class = roots.join(lows, "root").select(F.col("c").alias("__c"), "root", "least")
         named = classes.select("key", "c", "low").join(by_class, F.col("c") == F.col("__c"), "left") \
-            .select("key", F.coalesce("least", "low").alias("component_id"))
-    named = named.select(F.col("key").alias("__key"), "component_id")
-    return staged.select("doc_id", "n", "key").join(named, F.col("key") == F.col("__key"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
+            .select("key", F.coalesce("root", "c").alias("component"), F.coalesce("least", "low").alias("component_id"))
+    named = named.select(F.col("key").alias("__key"), "component", "component_id")
+    return staged.select("doc_id", "th", "n", "key").join(named, F.col("key") == F.col("__key"), "left").select(
+        "doc_id", "th", "component", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

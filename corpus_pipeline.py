@@ -5,13 +5,15 @@ as Parquet in the shared checkpoint folder and reads it again for the next stage
 the last return the columns of ``docs``, whatever they are.
 
 1. toxicity        trains on the labelled documents that came in; rows scored >= 0.5 go
-2. jaccard_join    of each class of near duplicates the row with the smallest doc_id stays
+2. jaccard_join    of each class of near duplicates the row with the smallest (doc_id, hash of
+                   the text) stays
 3. secret_scan     spans found are replaced by a mark; n_chars follows
 4. mixing          whole documents only: a document comes once for each time it is taken,
                    documents the mix leaves out go
 5. byte_bpe        ids of the remaining texts, decoded again
 
-Rows with a null doc_id can't be told apart by id: stage 2 keeps one of each text.
+Stage 2 decides by id and text, so different documents with one id stay.  Of the rows with a
+null doc_id it keeps one of each class, beside the class's row with an id.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from adloom.llm.bpe import bpe_round_trip
 from adloom.llm.common import join_few, ship
-from adloom.llm.jaccard_join import jaccard_classes
+from adloom.llm.jaccard_join import jaccard_rows
 from adloom.llm.mixing import mix_sources
 from adloom.llm.secrets import redact
 from adloom.llm.toxicity import score_texts, train_toxicity
@@ -39,20 +41,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    classes = materialize(jaccard_classes(docs), "components")
-    gone = materialize(classes.filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    kept = join_few(docs, gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    # an id that comes more than once, or none at all, says nothing about which row to keep
-    twice = materialize(classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__k"), F.max("n_shingles").alias("__s"))
-                        .filter("__s > 0 AND (__k > 1 OR doc_id IS NULL)").select(F.col("doc_id").alias("__id")), "twice")
+    rows = materialize(jaccard_rows(docs).filter("n_shingles > 0").select("doc_id", "th", "component"), "components")
+    best = rows.groupBy(F.col("component").alias("__c"), F.col("doc_id").isNull().alias("__none")) \
+        .agg(F.min(F.struct("doc_id", "th")).alias("__k"), F.max(F.struct("doc_id", "th")).alias("__last")).filter("__k <> __last")
+    lost = join_few(rows, best, (F.col("component") == F.col("__c")) & (F.col("doc_id").isNull() == F.col("__none"))) \
+        .filter(~F.col("doc_id").eqNullSafe(F.col("__k.doc_id")) | (F.col("th") != F.col("__k.th")))
+    row = lambda found: found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th"))
+    kept = join_few(docs, materialize(row(lost), "gone"), same, "left_anti")
+    # equal rows (id and text): one of them stands for all
+    twice = materialize(row(rows.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")), "twice")
     if twice.isEmpty():
         return kept
-    same = F.col("doc_id").eqNullSafe(F.col("__id"))
-    empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    often = join_few(kept, twice, same, "left_semi")
-    return join_few(kept, twice, same, "left_anti").unionByName(often.filter(empty)) \
-        .unionByName(often.filter(~empty & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])) \
-        .unionByName(often.filter(~empty & F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    return join_few(kept, twice, same, "left_anti") \
+        .unionByName(join_few(kept, twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,6 +98,20 @@ def test_near_duplicates_of_rows_without_or_with_equal_ids(llm_spark, make_docs)
         (-1, "another text of quite a few words"), (-1, t), (5, t), (9, "")]
 
 
+def test_near_duplicates_are_decided_by_id_and_text(llm_spark, make_docs):
+    words = [f"word{i}" for i in range(60)]
+    a, b, c = (" ".join(words[k:k + 20]) for k in (0, 20, 40))
+    near = [a + " tail", a + " end", c + " tail"]
+    # id 7: a copy of id 3, and two unrelated texts; without id: two near copies of a, and one class of its own
+    texts, ids = [a, near[0], b, c, near[0], near[1], "no " + b[::-1], "no " + b[::-1] + " x"], [3, 7, 7, 7, None, None, None, None]
+    rows = [(r.doc_id, r.text) for r in corpus_pipeline.jaccard_join(llm_spark, make_docs(texts, ids=ids), "").collect()]
+    with_id = sorted(r for r in rows if r[0] is not None)
+    assert with_id == sorted([(3, a), (7, b), (7, c)])
+    without = [t for i, t in rows if i is None]
+    assert len(without) == 2 and sum(t in near for t in without) == 1
+    assert near[2] not in without
+
+
 def test_all_queries_are_registered():
     names = entry.queries()
     assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
