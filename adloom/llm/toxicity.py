@@ -20,7 +20,7 @@ matter: only doc_id, text and toxic are read, and ``score_texts`` refuses to ove
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,7 +32,8 @@ from pyspark.sql import types as T
 from adloom.llm.common import small_slices
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Groups of identity terms that may stand for each other in a sentence.
+#: Groups of identity terms that may stand for each other in a sentence (lower-cased words);
+#: the default of ``groups`` in train_toxicity.
 IDENTITY_GROUPS = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -43,7 +44,22 @@ IDENTITY_GROUPS = (
     ("immigrants", "refugees", "foreigners", "natives"),
     ("frauen", "männer"), ("femmes", "hommes"), ("mujeres", "hombres"),
 )
-SWAPS = {t: [x for x in g if x != t] for g in IDENTITY_GROUPS for t in g}
+
+
+def swaps_of(groups: Iterable[Iterable[str]]) -> dict[str, list[str]]:
+    """term -> the terms that may stand for it, of all groups that hold it."""
+    out: dict[str, list[str]] = {}
+    for g in groups:
+        terms = list(dict.fromkeys(t.lower() for t in g))
+        if bad := [t for t in terms if not WORD.fullmatch(t)]:
+            raise ValueError(f"identity terms must be single words: {bad}")
+        for t in terms:
+            known = out.setdefault(t, [])
+            known.extend(x for x in terms if x != t and x not in known)
+    return out
+
+
+SWAPS = swaps_of(IDENTITY_GROUPS)
 
 
 def word_features(words: set[str]) -> set[str]:
@@ -87,7 +103,8 @@ def training_words(docs: DataFrame, labels: DataFrame, max_rows: int, seed: int)
     return rows.select("doc_id", "toxic", "text").mapInArrow(words, "doc_id long, toxic int, words array<string>")
 
 
-def informative_words(rows: DataFrame, n_pos: int, n_neg: int, max_words: int, least_docs: int, least_chi2: float) -> list[str]:
+def informative_words(rows: DataFrame, n_pos: int, n_neg: int, max_words: int, least_docs: int, least_chi2: float,
+                      terms: Iterable[str] = tuple(SWAPS)) -> list[str]:
     """Words whose presence depends on the label (chi-square), and the identity terms seen."""
     n = float(n_pos + n_neg)
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
@@ -97,7 +114,7 @@ def informative_words(rows: DataFrame, n_pos: int, n_neg: int, max_words: int, l
         F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     top = counts.withColumn("chi2", chi2).filter((a + b >= least_docs) & (F.col("chi2") >= least_chi2)) \
         .orderBy(F.col("chi2").desc(), "w").limit(max_words).select("w")
-    named = counts.filter(F.col("w").isin(sorted(word_features(set(SWAPS))))).select("w")
+    named = counts.filter(F.col("w").isin(sorted(word_features(set(terms))))).select("w")
     return sorted({r["w"] for r in top.collect()} | {r["w"] for r in named.collect()})
 
 
@@ -131,15 +148,19 @@ def fit_logistic(x: list[list[int]], y: np.ndarray, flips: list[tuple[list[int],
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_words: int = 4096,
                    least_docs: int = 3, least_chi2: float = 12.0, l2: float = 1e-4, fairness: float = 1.0,
-                   seed: int = 7) -> ToxicityModel:
+                   seed: int = 7, groups: Iterable[Iterable[str]] = IDENTITY_GROUPS) -> ToxicityModel:
+    """The model of the labelled rows.  ``groups``: the identity terms of the corpus, each group
+    holding words that may stand for each other; without any in the training texts the
+    counterfactual term is 0 and the model a plain logistic regression."""
     from adloom.session import materialize
+    swaps = swaps_of(groups)
     rows = materialize(training_words(docs, labels, max_rows, seed), "toxicity")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     if not n_pos or not n_neg:
         share = (n_pos + 0.5) / (n_pos + n_neg + 1.0)
         return ToxicityModel(bias=float(np.log(share / (1 - share))) if n_pos + n_neg else -5.0)
-    words = informative_words(rows, n_pos, n_neg, max_words, least_docs, least_chi2)
+    words = informative_words(rows, n_pos, n_neg, max_words, least_docs, least_chi2, swaps)
     at = {w: i for i, w in enumerate(words)}
     keep = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
     kept = rows.select("doc_id", "toxic", F.array_intersect("words", keep).alias("words")) \
@@ -149,7 +170,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, m
     flips = []
     for k, r in enumerate(kept):
         for term in r["words"]:
-            others = [o for o in SWAPS.get(term, ()) if o not in r["words"]]
+            others = [o for o in swaps.get(term, ()) if o not in r["words"]]
             if others:
                 other = others[k % len(others)]
                 leave, enter = word_features({term}), word_features({other})

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from adloom.llm import secrets as S
@@ -158,6 +159,17 @@ def test_toxicity_on_held_out_rows_and_neutral_mentions(llm_spark, make_docs):
     assert fair.score("the muslim reader") < unfair.score("the muslim reader")
 
 
+def test_identity_groups_are_a_parameter(llm_spark, make_docs):
+    docs, labels, texts, _ = labelled(llm_spark, make_docs)
+    other = make_docs([t.replace("muslim", "elf").replace("jewish", "dwarf") for t in texts])
+    groups = [("Elf", "dwarf", "hobbit")]
+    plain, fair = train_toxicity(other, labels, fairness=20.0), train_toxicity(other, labels, fairness=20.0, groups=groups)
+    change = lambda m: max(abs(m.score(f"a {x} b") - m.score("a hobbit b")) for x in ("elf", "dwarf"))
+    assert change(plain) > 2 * change(fair)
+    with pytest.raises(ValueError):
+        train_toxicity(other, labels, groups=[("two words", "one")])
+
+
 def test_toxicity_of_odd_rows(llm_spark, make_docs):
     docs, labels, _, _ = labelled(llm_spark, make_docs, n=80)
     model = train_toxicity(docs, labels)
