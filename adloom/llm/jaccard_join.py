@@ -229,6 +229,8 @@ def _reordered(frequent: np.ndarray, percent: int, most: int = 200_000):
         rare = x[~often][:size]
         usual = x[often][:size - len(rare)].view(np.uint64)
         yield mix64(rare.view(np.uint64) ^ _ODD)
+        if percent * max(2, len(x)) <= 100:              # so small that one token may be all that is shared
+            yield mix64(usual ^ _ODD)
         for i in range(len(usual) - 1):                  # 2-combinations of frequent tokens
             yield mix64(mix64(usual[i:i + 1]) + usual[i + 1:])
 
@@ -262,7 +264,7 @@ def candidate_lists(docs: DataFrame, classes: DataFrame, postings: DataFrame, w:
     (c, n, f): size and number of frequent prefix tokens of each class.
 
     A set is heavy if frequent tokens may fill what its prefix has beyond that of a
-    partner.  ``turn`` is 1 for a light set, 2 for a heavy one, and 3 for the members of
+    partner, which has percent * n / 100 tokens at least.  ``turn`` is 1 for a light set, 2 for a heavy one, and 3 for the members of
     index 2: pairs of index 1 need a member with turn 1."""
     shared = materialize(_shared_keys(postings), "shared")
     often = shared.filter(F.col("df") > frequent).select("key", "df").distinct()
@@ -276,7 +278,7 @@ def candidate_lists(docs: DataFrame, classes: DataFrame, postings: DataFrame, w:
     counts = shared.filter(F.col("df") > limit).groupBy("c").agg(F.count(F.lit(1)).alias("f"))
     sizes = materialize(classes.select("c", "n").join(counts, "c", "left")
                         .select("c", "n", F.coalesce("f", F.lit(0)).cast("int").alias("f")), "sizes")
-    heavy = materialize(sizes.filter(F.col("f") > F.floor(3 * F.col("n") / 64)).select("c"), "heavy")
+    heavy = materialize(sizes.filter(F.col("f") > F.floor(percent * F.col("n") / 1600)).select("c"), "heavy")
     wanted = classes.select("c", "rep_doc", "rep_th").join(heavy, "c", "left_semi")
     second = materialize(fetch_sets(docs, wanted, w).mapInArrow(_reordered(tokens, percent), "key long, c long"), "reordered")
     marked = heavy.select(F.col("c").alias("__c"), F.lit(2).alias("turn"))
@@ -313,7 +315,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, postings: DataFrame, w: in
         known = pairs.join(sizes.toDF("x", "xn", "xf"), "x").join(sizes.toDF("y", "yn", "yf"), "y") \
             .filter((100 * F.col("xn") >= percent * F.col("yn")) & (100 * F.col("yn") >= percent * F.col("xn")))
         if "met" in pairs.columns:  # linked sets share k prefix tokens, and no more frequent ones than either has
-            least = F.lit(2) + F.floor(F.least("xn", "yn") / 16) - F.least("xf", "yf")
+            overlap = F.ceil(percent * (F.col("xn") + F.col("yn")) / (100 + percent))
+            least = F.least(F.lit(2) + F.floor(F.least("xn", "yn") / 16), overlap) - F.least("xf", "yf")
             known = known.filter((F.col("mt") == 3) | (F.col("met") >= least))
         pairs = materialize(known.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
         if pairs.isEmpty():

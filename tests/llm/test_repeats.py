@@ -160,6 +160,22 @@ def test_jaccard_classes_match_brute_force(make_docs, odd_texts):
         assert got == want, options
 
 
+def test_jaccard_classes_of_a_smaller_percentage(make_docs, odd_texts):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(5))
+    shared = [word() for _ in range(24)]
+    texts = odd_texts + near_copies(3, groups=2, size=6, words=30)
+    for _ in range(12):                                       # half of the larger set's tokens, all of them frequent
+        texts += [" ".join(shared), " ".join(shared + [word() for _ in range(rng.choice([18, 20, 40]))])]
+    texts += [" ".join(shared[:5] + [w]) for w in ("x", "y", "z", "u", "v")] + [" ".join(shared[:5])]
+    texts += [" ".join([*"pqrst", w]) for w in ("x", "y", "z")] + ["p q r s t"]
+    for percent in (50, 40):
+        want = brute_components(texts, percent)
+        for options in ({"frequent": 2}, {"frequent": 1, "star_rounds": 0}, {}):
+            got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_classes(make_docs(texts), percent=percent, **options).collect()}
+            assert got == want, (percent, options)
+
+
 def test_jaccard_of_repeated_and_null_ids(make_docs):
     t = "one two three four five six seven"
     rows = J.jaccard_classes(make_docs([t, t, t, None, ""], ids=[5, 5, None, 9, None])).collect()
