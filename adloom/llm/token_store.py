@@ -56,13 +56,15 @@ class LibraryEncoder:
 
     A text of Latin script is cut into the tokenizer's words, and unknown words are encoded
     many at a time with line breaks between: a line break is a token of its own there, so
-    the ids between two of them are a word's.  Other texts go to the library as they are."""
+    the ids between two of them are a word's.  Other texts, and those that hold an added
+    token of the tokenizer (which the library turns into its one id), go to the library as
+    they are."""
 
     def __init__(self, path: str, remembered: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark runs one task per core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True      # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memory = PieceMemory(remembered)
         self.mark = np.frombuffer(self._encode(["\n"])[0], "<u4")
 
@@ -73,7 +75,7 @@ class LibraryEncoder:
     def _words(self, words: list[str], together: int = 40) -> list[bytes]:
         """Ids of unknown words: those without white space inside in groups, others alone."""
         known: dict[str, bytes] = {}
-        plain = [w for w in words if w.strip(" ") and not w[-1].isspace() and "\n" not in w] if len(self.mark) == 1 else []
+        plain = [w for w in words if w.strip(" ") and not w[-1].isspace() and "\n" not in w] if len(self.mark) == 1 and not any("\n" in a for a in self.added) else []
         for at in range(0, len(plain), 50 * together):
             groups = [plain[k:k + together] for k in range(at, min(at + 50 * together, len(plain)), together)]
             for group, ids in zip(groups, self._encode(["\n".join(g) for g in groups])):
@@ -86,7 +88,7 @@ class LibraryEncoder:
         return [known[w] for w in words]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        cut = [latin_words(t) for t in texts]
+        cut = [None if any(a in t for a in self.added) else latin_words(t) for t in texts]
         ids = self.memory.resolve(set().union(*(c for c in cut if c is not None)), self._words)
         other = iter(self._encode([t for t, c in zip(texts, cut) if c is None]))
         return [next(other) if c is None else b"".join(map(ids.__getitem__, c)) for c in cut]

@@ -108,6 +108,16 @@ def test_store_round_trip_and_short_access(llm_spark, make_docs, odd_texts, widt
     assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in few] == [w[:4] for w in want if w[0] in (3, 7)]
 
 
+def test_added_tokens_follow_the_library(llm_spark, make_docs):
+    texts = ["<|endoftext|>", "one<|endoftext|> two", "<|endoftext", "漢<|endoftext|><|endoftext|>", "plain words"] + odd_strings(300, 8)
+    untouched = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    folder = store_folder(llm_spark, "added")
+    write_store(make_docs(texts), folder, P.path("byte_bpe_50k.json"), 2)
+    rows = {r.doc_id: list(memoryview(bytes(r.ids)).cast("I")) for r in read_store(llm_spark, folder, with_ids=True).collect()}
+    assert rows == {i: untouched.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+    assert rows[0] == [50256, 2]
+
+
 def test_store_of_an_empty_table_and_of_repeated_rows(llm_spark, make_docs):
     empty, twice = store_folder(llm_spark, "empty"), store_folder(llm_spark, "twice")
     write_store(make_docs(["x"]).limit(0), empty, P.path("byte_bpe_50k.json"), 2)
