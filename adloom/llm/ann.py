@@ -4,14 +4,15 @@ Equal vectors form one node, so large groups of copies cost nothing; a node keep
 ``k + 1`` smallest ids of its copies, which is all that can reach a top k when ties go to
 the smaller id.  Nodes are dealt to shards of about ``shard_rows`` by a hash of the vector.
 
-A shard's graph is built in numpy, block after block of doubling size: greedy (beam)
+A shard's graph is built in numpy over the directions of its nodes (multiples of one vector
+are one, as float32 has them), block after block of doubling size: greedy (beam)
 searches on the graph so far propose neighbours of a block's nodes; robust pruning keeps
 the nearest candidate p and drops every candidate c with alpha * d(p, c) <= d(x, c), so the
 edges that stay are diverse; reverse edges are added and pruned alike.  Graphs are rows of
 a table in the shared folder (an index that can be searched again), one row per shard.
 
 A search sends blocks of queries to every shard; each (shard, block) is a beam search,
-and its best nodes are scored anew in double precision on the original vectors.  The best
+and all nodes of its beam are scored anew in double precision on the original vectors.  The best
 of all shards are merged by (score, id).
 
 Defined results: vectors that are null, zero, of another dimension than most, or hold a
@@ -51,6 +52,18 @@ def _scaled(x: np.ndarray) -> np.ndarray:
     return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
+def _directions(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each distinct unit vector, ascending, and the place there of every row's.
+
+    Multiples of one vector are one node of the graph, since pruning keeps no edge among them."""
+    rows = np.ascontiguousarray(unit + np.float32(0))             # no -0.0
+    _, first, of = np.unique(rows.view(np.dtype((np.void, rows.strides[0]))).ravel(), return_index=True, return_inverse=True)
+    by = np.argsort(first)
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    return first[by], place[of]
+
+
 def beam_search(unit: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarray, beam: int, steps: int = 400,
                 block: int = 512) -> np.ndarray:
     """The ``beam`` nearest nodes met by each query (-1 where fewer), nearest first.
@@ -169,11 +182,10 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     if sizes is None:
         return spark.createDataFrame([], GRAPH)
     dim = int(sizes["d"])
-    # the k + 1 smallest ids of equal vectors: ranks come from a salted pre-selection
-    salted = rows.filter(F.size("v") == dim).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-    few = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k + 1)
-    some = salted.groupBy("v", "salt").agg(few(F.collect_list("id")).alias("ids"))
-    nodes = materialize(some.groupBy("v").agg(few(F.flatten(F.collect_list("ids"))).alias("ids")), "nodes")
+    # the k + 1 smallest ids of equal vectors: Spark cuts the ranks before the shuffle as well
+    place = F.row_number().over(W.partitionBy("v").orderBy("id"))
+    some = rows.filter(F.size("v") == dim).withColumn("place", place).filter(F.col("place") <= k + 1)
+    nodes = materialize(some.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "nodes")
     shards = max(1, -(-nodes.count() // shard_rows))
 
     def build(key, table):
@@ -181,7 +193,8 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
         first = np.array([i[0] for i in table.column("ids").to_pylist()])
         by = np.argsort(first, kind="stable")                     # the same graph on every run
         x = x[by]
-        edges, entry = build_graph(_unit(x), degree, beam, alpha, seed)
+        unit = _unit(x)
+        edges, entry = build_graph(unit[_directions(unit)[0]], degree, beam, alpha, seed)
         return pa.table({
             "shard": pa.array([key[0].as_py()], pa.int32()), "dim": pa.array([dim], pa.int32()),
             "vectors": pa.array([x.tobytes()], pa.binary()), "edges": pa.array([edges.astype("<i4").tobytes()], pa.binary()),
@@ -213,12 +226,19 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 5, beam: int = 1
             q = np.array([vs[i] for i in fit]).reshape(-1, g["dim"])
             qid = qid[fit]
             if len(q):
-                met = beam_search(_unit(x), edges, g["entry"], _unit(q), beam)
+                unit = _unit(x)
+                heads, of = _directions(unit)
+                met = beam_search(unit[heads], edges, g["entry"], _unit(q), beam)
+                rows_of = np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of))[:-1])
                 x, q = _scaled(x), _scaled(q)
                 norm, qnorm = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
                 for i in range(len(q)):
-                    nodes = met[i][met[i] >= 0][:4 * (k + 1)]
+                    nodes = met[i][met[i] >= 0]
+                    nodes = nodes if len(heads) == len(x) else np.concatenate([rows_of[n] for n in nodes])
                     score = (x[nodes] * q[i]).sum(axis=1) / (norm[nodes] * qnorm[i])
+                    if len(nodes) > k + 1:          # a node has an id besides the query's, but for its own
+                        near = score >= np.partition(score, -k - 1)[-k - 1]
+                        nodes, score = nodes[near], score[near]
                     rows = [(-s, d) for s, n in zip(score.tolist(), nodes.tolist()) for d in g["ids"][n] if d != qid[i]]
                     for s, d in sorted(rows)[:k]:
                         found["query_id"].append(int(qid[i]))

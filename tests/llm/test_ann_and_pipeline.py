@@ -55,6 +55,15 @@ def test_recall_on_clusters_noise_and_copies(llm_spark, shards):
     assert [j for _, j in got[copies]] == [j for j in range(1000, 1007) if j != copies][:5]        # ties: smaller ids
 
 
+def test_ties_of_different_vectors_go_to_the_smaller_id(llm_spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=16)
+    rows = [(i, (v * 2.0 ** p).tolist()) for i, p in enumerate(rng.permutation(np.arange(-50, 50)))]   # 100 multiples: equal cosines
+    rows += [(1000 + i, rng.normal(size=16).tolist()) for i in range(400)]
+    got = search(llm_spark, rows)
+    assert [j for _, j in got[0]] == [1, 2, 3, 4, 5] and [j for _, j in got[50]] == [0, 1, 2, 3, 4]
+
+
 def test_odd_vectors_take_no_part(llm_spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [1.0, None]), (50, [float("inf"), 1.0]),
             (6, [1.0, 2.0, 3.0]), (100, [0.0, 1e-200]), (7, [-1.0, 0.0]), (0, [1.0, 0.0]), (None, [1.0, 1.0])]
