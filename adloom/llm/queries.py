@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from adloom.llm.ann import build_index, search_index, usable
 from adloom.llm.bpe import bpe_round_trip
 from adloom.llm.common import ship
+from adloom.llm.gnat_codes import vector_codes
 from adloom.llm.jaccard_join import jaccard_classes
 from adloom.llm.mixing import mix_sources
+from adloom.llm.pca_clusters import centroid_clusters
 from adloom.llm.quality_rules import quality_rules
 from adloom.llm.secrets import KINDS, secret_scan, span_text
+from adloom.llm.sentence_pieces import piece_round_trip
 from adloom.llm.suffix_dedup import suffix_dedup
 from adloom.llm.token_store import read_store, store_folder, write_store
 from adloom.llm.toxicity import held_out, score_texts, train_toxicity
@@ -82,5 +85,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_suffix_dedup, op3_url_filter, op4_token_store, op5_mixing, op6_byte_bpe, op7_nearest, op8_secret_scan, op9_jaccard_join, op10_toxicity)}
+    op1_quality_rules, op2_suffix_dedup, op3_url_filter, op4_token_store, op5_mixing, op6_byte_bpe, op7_nearest,
+    op8_secret_scan, op9_jaccard_join, op10_toxicity, op11_vector_codes, op12_centroid_clusters, op13_sentence_pieces)}
