@@ -19,8 +19,13 @@ TIER_LABELS = ["Poor", "Below Avg", "Above Avg", "Excellent"]
 SUSPICIOUS_CLICKS = 200
 
 
+def ref(name: str) -> Column:
+    """The column of exactly this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    return ref(c) if isinstance(c, str) else c
 
 
 def safe_den(c) -> Column:

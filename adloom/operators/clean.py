@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adloom.functions.exprs import is_numeric_type
+from adloom.functions.exprs import is_numeric_type, ref
 from adloom.operators.roles import COLUMN_ALIASES, has_date_keyword
 
 # ---- fixed values ----------------------------------------------------------
@@ -91,7 +91,7 @@ def column_modes(df: DataFrame, cols: list[str]) -> dict:
     """
     if not cols:
         return {}
-    kv = F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v"))
+    kv = F.explode(F.array(*[F.struct(F.lit(c).alias("k"), ref(c).cast("string").alias("v"))
                              for c in cols]))
     counts = (df.select(kv.alias("kv")).select("kv.k", "kv.v").where(F.col("v").isNotNull())
               .groupBy("k", "v").agg(F.count(F.lit(1)).alias("cnt")))
@@ -111,16 +111,16 @@ def fill_missing(df: DataFrame, *, numeric: list[str], categorical: list[str],
                  and null_counts.get(c, 0) < n_rows and (impute_dates or not has_date_keyword(c))]
     modes = column_modes(df, mode_cols)
     for c in df.columns:
-        e = F.col(c)
+        e = ref(c)
         nulls = null_counts.get(c, 0)
         if c in numeric and nulls > 0:
             if strategy_numeric == "mean":
                 m = means.get(c)
                 val = 0.0 if m is None else float(m)
-                e = F.coalesce(F.col(c).cast("double"), F.lit(val))
+                e = F.coalesce(ref(c).cast("double"), F.lit(val))
             else:
                 val = 0
-                e = F.coalesce(F.col(c), F.lit(0).cast(types[c]))
+                e = F.coalesce(ref(c), F.lit(0).cast(types[c]))
             filled[c] = val
         elif c in categorical and nulls > 0:
             if nulls >= n_rows or strategy_categorical == "constant":
@@ -130,7 +130,7 @@ def fill_missing(df: DataFrame, *, numeric: list[str], categorical: list[str],
             else:
                 val = None  # date-keyword text column: not imputed unless asked
             if val is not None:
-                e = F.coalesce(F.col(c), F.lit(val))
+                e = F.coalesce(ref(c), F.lit(val))
                 filled[c] = val
         exprs.append(e.alias(c))
     return df.select(*exprs), filled
@@ -143,11 +143,11 @@ def type_dates(df: DataFrame, convert: dict[str, int]) -> DataFrame:
     for f in df.schema.fields:
         c = f.name
         if c in convert:
-            out.append(date_layouts(F.col(c))[convert[c]].alias(c))
+            out.append(date_layouts(ref(c))[convert[c]].alias(c))
         elif isinstance(f.dataType, T.DateType):
-            out.append(F.col(c).cast("timestamp_ntz").alias(c))
+            out.append(ref(c).cast("timestamp_ntz").alias(c))
         else:
-            out.append(F.col(c))
+            out.append(ref(c))
     return df.select(*out)
 
 

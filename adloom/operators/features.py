@@ -35,7 +35,7 @@ class Columns(OrderedDict):
 
 
 def base_columns(df: DataFrame) -> Columns:
-    return Columns((c, F.col(c)) for c in df.columns)
+    return Columns((c, X.ref(c)) for c in df.columns)
 
 
 def add_funnel_basics(cols: Columns) -> None:
@@ -50,7 +50,7 @@ def add_funnel_basics(cols: Columns) -> None:
 
 def add_temporal(cols: Columns, dt_col: str, dt_type: T.DataType, min_micros: int | None) -> None:
     """F4-F9 from the first date/time column."""
-    d = F.col(dt_col)
+    d = X.ref(dt_col)
     cols["day_of_week"] = X.day_name(d)
     cols["is_weekend"] = X.is_weekend(d)
     cols["month"] = X.year_month(d)
@@ -74,7 +74,7 @@ def add_efficiency(cols: Columns, spend: str | None) -> None:
     """F10-F15 (roas, cpa, cpc, cpm, profit, profit_margin)."""
     if not spend:
         return
-    s = F.col(spend)
+    s = X.ref(spend)
     if "revenue" in cols:
         cols["roas"] = X.ratio(cols["revenue"], s)
     if "conversions" in cols:
@@ -102,10 +102,10 @@ def add_zscores(cols: Columns, zstats: dict) -> list[str]:
     names = []
     for c, (mean, std) in zstats.items():
         z = f"z_{c}"
-        cols[z] = X.pround((F.col(c).cast("double") - F.lit(mean)) / F.lit(std), 4)
+        cols[z] = X.pround((X.ref(c).cast("double") - F.lit(mean)) / F.lit(std), 4)
         names.append(z)
     if names:
-        absz = [F.abs(F.col(n)) for n in names]
+        absz = [F.abs(X.ref(n)) for n in names]
         top = absz[0] if len(absz) == 1 else F.greatest(*absz)
         cols["is_outlier"] = F.coalesce(top > 3, F.lit(False))
     return names
@@ -133,7 +133,7 @@ def add_engagement(cols: Columns, minmax: dict) -> None:
         elif hi - lo == 0:
             terms.append(F.lit(0.5))
         else:
-            terms.append((F.col(p) - F.lit(lo)) / F.lit(hi - lo))
+            terms.append((X.ref(p) - F.lit(lo)) / F.lit(hi - lo))
     total = terms[0]
     for t in terms[1:]:
         total = total + t
@@ -152,7 +152,7 @@ def add_campaign(cols: Columns, camp: str | None) -> None:
 def add_quality_score(cols: Columns) -> None:
     """non-null cells / columns x 100, one decimal (after imputation)."""
     names = list(cols.keys())
-    present = [F.col(n).isNotNull().cast("int") for n in names]
+    present = [X.ref(n).isNotNull().cast("int") for n in names]
     total = present[0]
     for p in present[1:]:
         total = total + p

@@ -12,6 +12,10 @@ partition.  The operators here keep the same results but split the work:
   bucket an offset; a window *partitioned by bucket* adds the offset to the
   running sum.  Integers add up in 64 bits, other numbers as doubles, whatever
   their magnitude; infinities stay.
+* **Groups.**  With ``partition_by`` the range runs over (groups, order); totals and halos
+  stop at a group's border, and only a group that goes on from an earlier bucket carries
+  anything: at most one carry per bucket.
+* **Rolling days.**  Calendar frames run over sums by (group, day), see ``rolling_days``.
 * **Rolling rows (W2).**  The last ``k-1`` rows before each bucket (its *halo*)
   are found with a per-bucket top-k (partial ``WindowGroupLimit``, tiny
   shuffle) and unioned into that bucket; the sliding frame then sees its true
@@ -37,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adloom.functions.exprs import pround
+from adloom.functions.exprs import pround, ref
 from adloom.session import materialize
 
 BUCKET = "_seq_b"
@@ -50,12 +54,16 @@ class OrderConfig:
     rows_per_bucket: int = 50_000      # target rows handled by one window task
 
 
+#: More range partitions than this slow the driver; beyond it they grow.
+MOST_BUCKETS = 20_000
+
+
 def n_buckets(n_rows: int, cfg: OrderConfig) -> int:
-    return max(1, math.ceil(n_rows / cfg.rows_per_bucket))
+    return min(MOST_BUCKETS, max(1, math.ceil(n_rows / cfg.rows_per_bucket)))
 
 
 def sort_orders(order_cols: list[str]) -> list[Column]:
-    return [F.col(c).asc_nulls_last() for c in order_cols]
+    return [ref(c).asc_nulls_last() for c in order_cols]
 
 
 def _is_integral(dt: T.DataType) -> bool:
@@ -63,7 +71,7 @@ def _is_integral(dt: T.DataType) -> bool:
 
 
 def _sum_expr(c: str, dt: T.DataType) -> Column:
-    return F.col(c).cast("long" if _is_integral(dt) else "double")
+    return ref(c).cast("long" if _is_integral(dt) else "double")
 
 
 def _finish_sum(e: Column, dt: T.DataType) -> Column:
@@ -73,89 +81,129 @@ def _finish_sum(e: Column, dt: T.DataType) -> Column:
 def sequence_ops(df: DataFrame, order_cols: list[str], *, n_rows: int,
                  cum_cols: list[str] = (), roll_cols: list[str] = (),
                  windows: tuple[int, ...] = (3, 7), row_number_col: str | None = None,
-                 cfg: OrderConfig | None = None, cum_names: dict | None = None) -> DataFrame:
+                 cfg: OrderConfig | None = None, cum_names: dict | None = None,
+                 partition_by: list[str] = ()) -> DataFrame:
     """Add running sums (``<c>_cumulative``), trailing row averages
-    (``<c>_ma<k>``) and optionally a global 1-based row number, all in the
-    declared order ``order_cols`` (ascending, nulls last).
+    (``<c>_ma<k>``) and optionally a 1-based row number, all in the
+    declared order ``order_cols`` (ascending, nulls last), within the groups of
+    ``partition_by`` (any columns of ``df``; null is a group) or over the whole table.
 
     Semantics: a null value gets a null running sum but the sum continues;
     rolling means ignore nulls inside the frame (min_periods = 1).
     """
     cfg = cfg or OrderConfig()
-    spark = df.sparkSession
+    groups = list(partition_by)
     types = {f.name: f.dataType for f in df.schema.fields}
     cum_names = cum_names or {}
+    order_cols = [c for c in order_cols if c not in groups]
     order = sort_orders(order_cols)
+    keys = [ref(g) for g in groups]
 
-    def roll_exprs(w_base):
-        # Trailing means over at most k values: plain double averages (a
-        # sliding frame re-aggregates its rows for every output row, so the
-        # cheap type matters; k <= 7 values cannot drift).
-        out = []
-        for c in roll_cols:
-            for k in windows:
-                wk = w_base.rowsBetween(-(k - 1), Window.currentRow)
-                out.append(F.avg(F.col(c).cast("double")).over(wk).alias(f"{c}_ma{k}"))
-        return out
-
+    # 1. Range-partition on (groups, total order) and pin bucket ids: a group with a third
+    #    of the rows spreads over a third of the buckets.
     nb = n_buckets(n_rows, cfg)
-
-    # 1. Range-partition on the total order and pin bucket ids.
-    staged = materialize(df.repartitionByRange(nb, *order)
+    staged = materialize(df.repartitionByRange(nb, *sort_orders(groups), *order)
                          .withColumn(BUCKET, F.spark_partition_id()), "sequenced")
 
-    # 2. Per-bucket totals -> offsets (one row per bucket).
+    # 2. Totals of each (bucket, group).  A group that goes on in a bucket carries the totals
+    #    of its earlier buckets; only the first group of a bucket can, so there is at most one
+    #    carry per bucket.
     tot = [F.count(F.lit(1)).alias("_cnt")]
     tot += [F.sum(_sum_expr(c, types[c])).alias(f"_tot{i}") for i, c in enumerate(cum_cols)]
-    stats = staged.groupBy(BUCKET).agg(*tot)
-    before = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    off_cols = [F.col(BUCKET), F.col("_cnt"),
-                F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off")]
-    off_cols += [F.coalesce(F.sum(f"_tot{i}").over(before), F.lit(0)).alias(f"_ooff{i}")
-                 for i in range(len(cum_cols))]
-    # one row per bucket: written once, read by the three joins below
-    offsets = materialize(stats.select(*off_cols), "offsets")
+    stats = staged.groupBy(BUCKET, *keys).agg(*tot)
+    before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    named = [ref(g).alias(f"_g{k}") for k, g in enumerate(groups)]
+    carries = stats.select(F.col(BUCKET).alias("_b"), *named, F.sum("_cnt").over(before).alias("_off"),
+                           *[F.coalesce(F.sum(f"_tot{i}").over(before), F.lit(0)).alias(f"_ooff{i}") for i in range(len(cum_cols))]) \
+        .filter("_off > 0")
+    carries = F.broadcast(materialize(carries, "carries"))     # at most MOST_BUCKETS rows
+
+    def same_group(row: DataFrame | None = None):
+        out = F.lit(True)
+        for k, g in enumerate(groups):
+            out = out & ref(g).eqNullSafe(F.col(f"_g{k}"))
+        return out
 
     body = staged.withColumn(HALO, F.lit(False))
     h = max(windows) - 1 if roll_cols else 0
     if h > 0:
-        # 3. Halo: the h rows just before each bucket.  Each bucket's last h
-        #    rows (partial top-k, so only <= h rows per bucket are shuffled)
+        # 3. Halo: the h rows of a group just before a bucket that goes on with it.  Each
+        #    bucket's last h rows (partial top-k, so only <= h rows per bucket are shuffled)
         #    contain every such row, even when buckets are tiny or empty.
-        desc = [F.col(c).desc_nulls_first() for c in order_cols]
-        keep = list(dict.fromkeys(list(order_cols) + list(roll_cols)))
-        tails = (staged.select(BUCKET, *keep)
+        desc = [ref(c).desc_nulls_first() for c in groups + order_cols]
+        keep = list(dict.fromkeys(groups + order_cols + list(roll_cols)))
+        tails = (staged.select(BUCKET, *[ref(c) for c in keep])
                  .withColumn("_r", F.row_number().over(Window.partitionBy(BUCKET).orderBy(*desc)))
-                 .filter(F.col("_r") <= h))
-        tails = (tails.join(offsets.select(BUCKET, "_cnt", "_off"), BUCKET)
-                 .withColumn("_pos", F.col("_off") + F.col("_cnt") - F.col("_r") + 1))
-        starts = (offsets.filter(F.col("_cnt") > 0)
-                  .select(F.col(BUCKET).alias("_tb"), (F.col("_off") + 1).alias("_start")))
-        halo = (tails.withColumn("_q", F.explode(F.sequence(F.col("_pos") + 1, F.col("_pos") + h)))
-                .join(starts, F.col("_q") == F.col("_start"))
-                .select(F.col("_tb").alias(BUCKET), *[F.col(c) for c in keep])
+                 .filter(F.col("_r") <= h)
+                 .withColumn("_r", F.row_number().over(Window.partitionBy(BUCKET, *keys).orderBy(*desc[len(groups):] or [F.lit(1)]))))
+        # places in the group, from its start: rows up to the end of the bucket less the rank from there
+        ends = stats.select(F.col(BUCKET).alias("_b"), *named, F.sum("_cnt").over(before.rowsBetween(Window.unboundedPreceding, 0)).alias("_end"))
+        last = F.broadcast(ends.join(carries.select(*[F.col(f"_g{k}").alias(f"_h{k}") for k in range(len(groups))],
+                                                    *([] if groups else [F.lit(1).alias("_one")])).distinct(),
+                                     _pairs("_g", "_h", len(groups)), "left_semi"))   # groups of several buckets only
+        placed = tails.join(last, (F.col(BUCKET) == F.col("_b")) & same_group()).drop("_b", *[f"_g{k}" for k in range(len(groups))]) \
+            .withColumn("_pos", F.col("_end") - F.col("_r") + 1)
+        starts = carries.select(F.col("_b").alias("_tb"), *[f"_g{k}" for k in range(len(groups))], (F.col("_off") + 1).alias("_start"))
+        halo = (placed.withColumn("_q", F.explode(F.sequence(F.col("_pos") + 1, F.col("_pos") + h)))
+                .join(F.broadcast(starts), (F.col("_q") == F.col("_start")) & same_group())
+                .select(F.col("_tb").alias(BUCKET), *[ref(c) for c in keep])
                 .withColumn(HALO, F.lit(True)))
         body = body.unionByName(halo, allowMissingColumns=True)
 
-    # 4. One window pass per bucket.
-    body = body.join(offsets.drop("_cnt"), BUCKET)
-    w = Window.partitionBy(BUCKET).orderBy(*order)
+    # 4. One window pass per (bucket, group).
+    body = body.join(carries, (F.col(BUCKET) == F.col("_b")) & same_group(), "left")
+    w = Window.partitionBy(BUCKET, *keys).orderBy(*order)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     real = ~F.col(HALO)
-    cols = [F.col(c) for c in df.columns]
+    cols = [ref(c) for c in df.columns]
     for i, c in enumerate(cum_cols):
         part = F.sum(F.when(real, _sum_expr(c, types[c]))).over(run)
-        cols.append(F.when(F.col(c).isNotNull(),
-                           _finish_sum(F.col(f"_ooff{i}") + F.coalesce(part, F.lit(0)), types[c]))
-                    .alias(cum_names.get(c, f"{c}_cumulative")))
-    cols += roll_exprs(w)
+        total = F.coalesce(F.col(f"_ooff{i}"), F.lit(0)) + F.coalesce(part, F.lit(0))
+        cols.append(F.when(ref(c).isNotNull(), _finish_sum(total, types[c])).alias(cum_names.get(c, f"{c}_cumulative")))
+    # Trailing means over at most k values: plain double averages (a sliding frame
+    # re-aggregates its rows for every output row, so the cheap type matters; k <= 7
+    # values cannot drift).
+    for c in roll_cols:
+        for k in windows:
+            cols.append(F.avg(ref(c).cast("double")).over(w.rowsBetween(-(k - 1), Window.currentRow)).alias(f"{c}_ma{k}"))
     if row_number_col:
-        rn = F.col("_off") + F.sum(F.when(real, F.lit(1)).otherwise(F.lit(0))).over(run)
+        rn = F.coalesce(F.col("_off"), F.lit(0)) + F.sum(F.when(real, F.lit(1)).otherwise(F.lit(0))).over(run)
         cols.append(rn.cast("long").alias(row_number_col))
     cols.append(F.col(HALO))
     return body.select(*cols).filter(~F.col(HALO)).drop(HALO)
 
 
+def _pairs(a: str, b: str, n: int) -> Column:
+    out = F.lit(True)
+    for k in range(n):
+        out = out & F.col(f"{a}{k}").eqNullSafe(F.col(f"{b}{k}"))
+    return out
+
+
+def rolling_days(df: DataFrame, date_col: str, cols: list[str], windows: tuple[int, ...] = (3, 7),
+                 partition_by: list[str] = ()) -> DataFrame:
+    """Add ``<c>_ma<k>d``: the mean of the rows of the last k calendar days, the row's own
+    day included, within the groups of ``partition_by``.
+
+    Days without rows count as days; all rows of a day have the same mean; nulls are
+    ignored; a row without a date gets none.  Rows are summed up by (group, day) before any
+    shuffle, so a hot day is one row per task, and the frames run over days, of which a
+    group has no more than the calendar; the means are then joined back by (group, day)."""
+    day = F.unix_date(F.to_date(ref(date_col)))
+    keys = [ref(g).alias(f"__g{k}") for k, g in enumerate(partition_by)]
+    sums = [x for i, c in enumerate(cols) for x in (F.sum(ref(c).cast("double")).alias(f"__s{i}"), F.count(ref(c)).alias(f"__n{i}"))]
+    days = df.groupBy(*keys, day.alias("__day")).agg(*sums).filter("__day IS NOT NULL")
+    names = [f"__g{k}" for k in range(len(keys))]
+    frame = Window.partitionBy(*names).orderBy("__day")
+    means = [F.try_divide(F.sum(f"__s{i}").over(frame.rangeBetween(-(k - 1), 0)), F.sum(f"__n{i}").over(frame.rangeBetween(-(k - 1), 0)))
+             .alias(f"{c}_ma{k}d") for i, c in enumerate(cols) for k in windows]
+    table = days.select(*names, "__day", *means)
+    same = day == F.col("__day")
+    for k, g in enumerate(partition_by):
+        same = same & ref(g).eqNullSafe(F.col(f"__g{k}"))
+    return df.join(table, same, "left").drop("__day", *names)
+
+
 def running_total(df: DataFrame, groups: list[str], order: list[str], value: str,
                   out: str, partitions: int | None = None) -> DataFrame:
     """``out`` = sum of ``value`` over the earlier rows of the group (exclusive).
@@ -189,7 +237,7 @@ def running_total(df: DataFrame, groups: list[str], order: list[str], value: str
 def rank_table(df: DataFrame, cols: list[str]) -> DataFrame:
     """(target, value, cnt, before) for the distinct non-null values of numeric columns:
     how often a value occurs and how many smaller ones there are.  Written once."""
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("target"), F.col(c).cast("double").alias("value"))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("target"), ref(c).cast("double").alias("value"))
                                 for c in cols])).alias("cell")
     counts = df.select(cells).select("cell.target", "cell.value").where(F.col("value").isNotNull()) \
         .groupBy("target", "value").agg(F.count(F.lit(1)).alias("cnt"))
@@ -227,9 +275,9 @@ def attach_percentiles(df: DataFrame, steps: dict[str, list[tuple[float, float]]
             # one foldable text instead of thousands of literals in the plan
             table = F.from_json(F.lit(json.dumps(finite)), "array<double>")
             e = F.element_at(table, F.col(f"__b_{c}").cast("int") + 1) if c in searched else F.lit(finite[0])
-            e = F.when(F.col(c).cast("double") == math.inf, F.lit(s[-1][1])).when(F.col(c).isNotNull(), e)
+            e = F.when(ref(c).cast("double") == math.inf, F.lit(s[-1][1])).when(ref(c).isNotNull(), e)
         out.append(e.alias(names[c]))
-    return df.select(*plain, *out)
+    return df.select(*map(ref, plain), *out)
 
 
 def _lerp(a: float, b: float, t: float) -> float:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adloom.functions.exprs import is_numeric_type
+from adloom.functions.exprs import is_numeric_type, ref
 from adloom.operators.ordered import exact_quantiles, rank_table
 
 
@@ -25,7 +25,7 @@ def _numeric(df: DataFrame) -> list[str]:
 
 def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, value, count) for every non-null cell, values as text."""
-    kv = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+    kv = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), ref(c).cast("string").alias("value"))
                              for c in cols]))
     return (df.select(kv.alias("kv")).select("kv.column", "kv.value").where(F.col("value").isNotNull())
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("count")))
@@ -33,7 +33,7 @@ def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def duplicate_rate(df: DataFrame) -> DataFrame:
     """V5: rows, duplicate rows (beyond the first copy), % of rows."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
+    groups = df.groupBy(*map(ref, df.columns)).agg(F.count(F.lit(1)).alias("_c"))
     agg = groups.agg(F.sum("_c").cast("long").alias("rows"),
                      F.sum(F.col("_c") - 1).cast("long").alias("duplicates"))
     return agg.select("rows", "duplicates",
@@ -48,12 +48,12 @@ def column_profile(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
     value-count shuffle."""
     spark = df.sparkSession
     numeric = _numeric(df)
-    aggs = [F.count(F.lit(1)).alias("__n")] + [F.count(F.col(c)).alias(f"nn__{c}") for c in df.columns]
+    aggs = [F.count(F.lit(1)).alias("__n")] + [F.count(ref(c)).alias(f"nn__{c}") for c in df.columns]
     for c in numeric:
-        aggs += [F.min(c).cast("double").alias(f"lo__{c}"), F.max(c).cast("double").alias(f"hi__{c}"),
-                 F.avg(c).alias(f"m__{c}"), F.stddev_samp(c).alias(f"s__{c}")]
+        aggs += [F.min(ref(c)).cast("double").alias(f"lo__{c}"), F.max(ref(c)).cast("double").alias(f"hi__{c}"),
+                 F.avg(ref(c)).alias(f"m__{c}"), F.stddev_samp(ref(c)).alias(f"s__{c}")]
     if not exact_distinct:
-        aggs += [F.approx_count_distinct(c).alias(f"ad__{c}") for c in df.columns]
+        aggs += [F.approx_count_distinct(ref(c)).alias(f"ad__{c}") for c in df.columns]
     wide = df.agg(*aggs).first().asDict()
     n = int(wide["__n"])
     # one rank table for the medians of all numeric columns: the number of jobs does not
@@ -102,20 +102,20 @@ def quality_snapshot(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = f.name
         if c in numeric:
-            stats = [F.coalesce(F.round(F.min(c).cast("double"), 4), F.lit(0.0)).alias("min"),
-                     F.coalesce(F.round(F.max(c).cast("double"), 4), F.lit(0.0)).alias("max"),
-                     F.coalesce(F.round(F.avg(c), 4), F.lit(0.0)).alias("mean"),
-                     F.coalesce(F.round(F.stddev_samp(c), 4), F.lit(0.0)).alias("std")]
+            stats = [F.coalesce(F.round(F.min(ref(c)).cast("double"), 4), F.lit(0.0)).alias("min"),
+                     F.coalesce(F.round(F.max(ref(c)).cast("double"), 4), F.lit(0.0)).alias("max"),
+                     F.coalesce(F.round(F.avg(ref(c)), 4), F.lit(0.0)).alias("mean"),
+                     F.coalesce(F.round(F.stddev_samp(ref(c)), 4), F.lit(0.0)).alias("std")]
         else:
             stats = [F.lit(None).cast("double").alias(x) for x in ("min", "max", "mean", "std")]
         parts.append(F.struct(F.lit(c).alias("column"),
-                              (F.count(F.lit(1)) - F.count(F.col(c))).cast("long").alias("nulls"), *stats))
+                              (F.count(F.lit(1)) - F.count(ref(c))).cast("long").alias("nulls"), *stats))
     return df.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("s")).select("s.*")
 
 
 def snapshot_totals(df: DataFrame) -> dict:
     """V11 header numbers: rows, columns, duplicates, total nulls, null %."""
-    aggs = [F.count(F.lit(1)).alias("rows")] + [(F.count(F.lit(1)) - F.count(F.col(c))).alias(c)
+    aggs = [F.count(F.lit(1)).alias("rows")] + [(F.count(F.lit(1)) - F.count(ref(c))).alias(c)
                                                   for c in df.columns]
     r = df.agg(*aggs).first().asDict()
     rows = int(r.pop("rows"))
@@ -136,20 +136,20 @@ def outlier_summary(df: DataFrame, threshold: float = 3.0, min_rows: int = 10) -
     their % of non-null values and min / max outlier value (2 dp)."""
     spark = df.sparkSession
     numeric = _numeric(df)
-    st = df.agg(*[x for c in numeric for x in (F.count(c).alias(f"n__{c}"), F.avg(c).alias(f"m__{c}"),
-                                                F.stddev_samp(c).alias(f"s__{c}"))]).first().asDict()
+    st = df.agg(*[x for c in numeric for x in (F.count(ref(c)).alias(f"n__{c}"), F.avg(ref(c)).alias(f"m__{c}"),
+                                                F.stddev_samp(ref(c)).alias(f"s__{c}"))]).first().asDict()
     live = [c for c in numeric if st[f"n__{c}"] >= min_rows and st[f"s__{c}"] not in (None, 0.0)]
     schema = "column string, count long, pct double, min_val double, max_val double"
     if not live:
         return spark.createDataFrame([], schema)
     parts = []
     for c in live:
-        z = F.abs((F.col(c) - F.lit(st[f"m__{c}"])) / F.lit(st[f"s__{c}"]))
+        z = F.abs((ref(c) - F.lit(st[f"m__{c}"])) / F.lit(st[f"s__{c}"]))
         hit = z > threshold
         parts.append(F.struct(F.lit(c).alias("column"), F.count_if(hit).cast("long").alias("count"),
                               F.round(F.count_if(hit) * 100.0 / F.lit(float(st[f"n__{c}"])), 2).alias("pct"),
-                              F.round(F.min(F.when(hit, F.col(c))).cast("double"), 2).alias("min_val"),
-                              F.round(F.max(F.when(hit, F.col(c))).cast("double"), 2).alias("max_val")))
+                              F.round(F.min(F.when(hit, ref(c))).cast("double"), 2).alias("min_val"),
+                              F.round(F.max(F.when(hit, ref(c))).cast("double"), 2).alias("max_val")))
     out = df.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("s")).select("s.*")
     return out.where(F.col("count") > 0)
 
@@ -181,10 +181,10 @@ def dataset_summary(df: DataFrame) -> DataFrame:
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     # one group-by over all columns (copies collapse map-side) answers rows,
     # duplicates and nulls together: a group's key carries its nulls
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
+    groups = df.groupBy(*map(ref, df.columns)).agg(F.count(F.lit(1)).alias("_c"))
     key_nulls = F.lit(0)
     for c in df.columns:
-        key_nulls = key_nulls + F.col(c).isNull().cast("long")
+        key_nulls = key_nulls + ref(c).isNull().cast("long")
     return groups.agg(
         F.sum("_c").cast("long").alias("total_rows"),
         F.lit(len(df.columns)).cast("long").alias("total_columns"),
@@ -197,10 +197,10 @@ def dataset_summary(df: DataFrame) -> DataFrame:
 def null_columns(df: DataFrame) -> DataFrame:
     """V3 + V4: per column null % with the all-null and >= 50 % flags."""
     parts = [F.struct(F.lit(c).alias("column"),
-                      (F.count(F.lit(1)) - F.count(F.col(c))).cast("long").alias("null_count"),
-                      F.round((F.count(F.lit(1)) - F.count(F.col(c))) * 100.0 / F.count(F.lit(1)), 1).alias("null_pct"),
-                      (F.count(F.col(c)) == 0).alias("all_null"),
-                      ((F.count(F.lit(1)) - F.count(F.col(c))) * 100.0 / F.count(F.lit(1)) >= 50).alias("high_null"))
+                      (F.count(F.lit(1)) - F.count(ref(c))).cast("long").alias("null_count"),
+                      F.round((F.count(F.lit(1)) - F.count(ref(c))) * 100.0 / F.count(F.lit(1)), 1).alias("null_pct"),
+                      (F.count(ref(c)) == 0).alias("all_null"),
+                      ((F.count(F.lit(1)) - F.count(ref(c))) * 100.0 / F.count(F.lit(1)) >= 50).alias("high_null"))
              for c in df.columns]
     return df.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("s")).select("s.*")
 
@@ -212,14 +212,14 @@ def validate_by_file(df: DataFrame, file_col: str = "_file_name") -> DataFrame:
     One group-by over (file, all columns) collapses copies map-side; a second
     group-by per file adds the group counts up."""
     cols = [c for c in df.columns if c != file_col]
-    groups = df.groupBy(file_col, *cols).agg(F.count(F.lit(1)).alias("_c"))
+    groups = df.groupBy(ref(file_col), *map(ref, cols)).agg(F.count(F.lit(1)).alias("_c"))
     key_nulls = F.lit(0)
     for c in cols:
-        key_nulls = key_nulls + F.col(c).isNull().cast("long")
+        key_nulls = key_nulls + ref(c).isNull().cast("long")
     per = groups.groupBy(file_col).agg(
         F.sum("_c").cast("long").alias("rows"), F.sum(F.col("_c") - 1).cast("long").alias("duplicates"),
         F.sum(F.col("_c") * key_nulls).cast("long").alias("nulls"),
-        *[F.sum(F.when(F.col(c).isNotNull(), F.col("_c")).otherwise(0)).alias(f"nn__{c}") for c in cols])
+        *[F.sum(F.when(ref(c).isNotNull(), F.col("_c")).otherwise(0)).alias(f"nn__{c}") for c in cols])
     all_null = F.filter(F.array(*[F.when(F.col(f"nn__{c}") == 0, F.lit(c)) for c in cols]), lambda x: x.isNotNull())
     return per.select(F.col(file_col).alias("file"), "rows", "duplicates", "nulls",
                       F.round(F.col("duplicates") * 100.0 / F.col("rows"), 1).alias("dup_pct"),

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adloom.functions.exprs import epoch_micros, is_datetime_type, is_numeric_type, nan_to_null, pround
+from adloom.functions.exprs import epoch_micros, is_datetime_type, is_numeric_type, nan_to_null, pround, ref
 from adloom.operators import clean as C
 from adloom.operators import features as FE
 from adloom.operators.ordered import (OrderConfig, attach_percentiles, exact_quantiles,
@@ -79,10 +79,10 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
     # Computed as Observation metrics while the deduplicated base is written to
     # its stage table, so they cost no extra pass over the data.
     aggs = [F.count(F.lit(1)).alias("__n")]
-    aggs += [F.count(F.col(c)).alias(f"nn__{c}") for c in base.columns]
-    aggs += [F.avg(F.col(c)).alias(f"mean__{c}") for c in numeric]
-    aggs += [x for c in numeric for x in (F.min(c).alias(f"lo__{c}"), F.max(c).alias(f"hi__{c}"))]
-    aggs += [F.count(e).alias(f"dt__{c}__{i}") for c in date_text for i, e in enumerate(C.date_layouts(F.col(c)))]
+    aggs += [F.count(ref(c)).alias(f"nn__{c}") for c in base.columns]
+    aggs += [F.avg(ref(c)).alias(f"mean__{c}") for c in numeric]
+    aggs += [x for c in numeric for x in (F.min(ref(c)).alias(f"lo__{c}"), F.max(ref(c)).alias(f"hi__{c}"))]
+    aggs += [F.count(e).alias(f"dt__{c}__{i}") for c in date_text for i, e in enumerate(C.date_layouts(ref(c)))]
     if opt.checkpoint_base:
         obs = Observation("adloom_base_stats")
         base = materialize(base.observe(obs, *aggs), "base")
@@ -141,24 +141,24 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
     zcand = [c for c in numeric_final if "zscore" in blocks and c not in later]
     inv_name = {v: k for k, v in final_name.items()}
     fresh = [c for c in zcand if c in cols.replaced]   # their range is not known yet
-    spans = planned.agg(*[x for c in fresh for x in (F.min(c).alias(f"lo__{c}"), F.max(c).alias(f"hi__{c}"))]) \
+    spans = planned.agg(*[x for c in fresh for x in (F.min(ref(c)).alias(f"lo__{c}"), F.max(ref(c)).alias(f"hi__{c}"))]) \
         .first().asDict() if fresh else {}
     for c in zcand:
-        st += [F.avg(c).alias(f"m__{c}"), F.stddev_samp(c).alias(f"s__{c}")]
+        st += [F.avg(ref(c)).alias(f"m__{c}"), F.stddev_samp(ref(c)).alias(f"s__{c}")]
         # ">= 3 distinct values" <=> some value strictly between min and max; the
         # filled min / max follow from the raw ones (zero fill adds 0, a mean
         # fill stays inside), so this needs no extra pass
         lo, hi = (spans[f"lo__{c}"], spans[f"hi__{c}"]) if c in fresh else \
             _filled_range(s1, inv_name[c], null_counts[inv_name[c]], strat_num)
         if lo is not None and hi is not None and lo < hi:
-            st.append(F.count_if((F.col(c) > F.lit(lo)) & (F.col(c) < F.lit(hi))).alias(f"mid__{c}"))
+            st.append(F.count_if((ref(c) > F.lit(lo)) & (ref(c) < F.lit(hi))).alias(f"mid__{c}"))
     eng = [p for p in FE.ENGAGEMENT_PARTS if p in cols] if "engagement" in blocks else []
     for p in eng:
-        st += [F.min(p).alias(f"elo__{p}"), F.max(p).alias(f"ehi__{p}")]
+        st += [F.min(ref(p)).alias(f"elo__{p}"), F.max(ref(p)).alias(f"ehi__{p}")]
     rank_cols = [c for c in RANK_TARGETS if c in cols and is_numeric_type(planned.schema[c].dataType)
                  and ("percentile" in blocks or (c == "roas" and "tier" in blocks))]
     for c in rank_cols:
-        st.append(F.count(c).alias(f"rn__{c}"))
+        st.append(F.count(ref(c)).alias(f"rn__{c}"))
     if date_col and "temporal" in blocks:
         st.append(F.min(epoch_micros(date_col, types[date_col])).alias("__dmin"))
     s2 = planned.agg(*st).first().asDict()
@@ -202,20 +202,20 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
             # expression over raw columns and is applied after the window pass,
             # so the range shuffle, sort and stage table stay narrow.
             need = [c for c in dict.fromkeys(roll + cum) if c not in raw_columns]
-            seq_in = typed.select(*raw_columns, *[cols[c].alias(c) for c in need])
+            seq_in = typed.select(*map(ref, raw_columns), *[cols[c].alias(c) for c in need])
             seq = sequence_ops(seq_in, order_cols, n_rows=n, cum_cols=cum, roll_cols=roll,
                                cfg=opt.order)
             ma_names = [f"{c}_ma{k}" for c in roll for k in (3, 7)]
             # reference order: moving averages (per column, 3 then 7) before cumulative sums
             seq_cols = ma_names + [c for c in seq.columns if c not in seq_in.columns and c not in ma_names]
-            frame = seq.select(*[F.col(nm) if nm in seq_in.columns else e.alias(nm) for nm, e in cols.items()
+            frame = seq.select(*[ref(nm) if nm in seq_in.columns else e.alias(nm) for nm, e in cols.items()
                                  if nm not in seq_cols],
-                               *[pround(F.col(c), 4).alias(c) if c in ma_names else F.col(c) for c in seq_cols])
+                               *[pround(ref(c), 4).alias(c) if c in ma_names else ref(c) for c in seq_cols])
     if ranked:
         steps = percentile_steps(ranks, {c: sizes[c] for c in ranked})
         frame = attach_percentiles(frame.drop(*pct_cols), steps, {c: f"{c}_percentile" for c in ranked})
     ordered = [c for c in frame.columns if c not in pct_cols and c not in seq_cols] + pct_cols + seq_cols
-    frame = frame.select(*ordered)
+    frame = frame.select(*map(ref, ordered))
 
     # ---- remaining narrow features -------------------------------------------
     cols = FE.base_columns(frame)
@@ -243,7 +243,7 @@ def _overwrite(cols: FE.Columns, typed: DataFrame):
     if names:
         typed = typed.select(*[cols[c].alias(c) for c in typed.columns])
         for c in names:
-            cols[c] = F.col(c)
+            cols[c] = ref(c)
     return typed, {f.name: f.dataType for f in typed.schema.fields}
 
 

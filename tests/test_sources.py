@@ -130,3 +130,64 @@ def test_cache_ends_with_time_and_versions(spark, tmpdir_path):
 def test_snapshots_hold_the_numeric_summary(spark):
     snap = snapshot_totals(spark.createDataFrame([(1.0, "a"), (3.0, None)], "x double, s string"))
     assert snap["numeric_summary"] == {"x": {"min": 1.0, "max": 3.0, "mean": 2.0, "std": 1.4142}} and snap["total_nulls"] == 1
+
+
+def test_columns_are_matched_by_name(spark, tmpdir_path):
+    f = f"{tmpdir_path}/mixed"
+    _write(f"{f}/a.csv", "clicks,price\n1,100.5\n2,200.5\n")
+    _write(f"{f}/b.csv", "price,clicks\n300.5,3\n400.5,4\n")
+    _write(f"{f}/c.csv", "Clicks ,price,extra\n5,500.5,x\n")
+    df, info = read_csv(spark, f)
+    assert info["layouts"] == 3 and info["types"] == {"Clicks ": "bigint", "price": "double", "extra": "string"}
+    got = sorted(tuple(r) for r in df.select("`Clicks `", "price", "extra").collect())
+    assert got == [(1, 100.5, None), (2, 200.5, None), (3, 300.5, None), (4, 400.5, None), (5, 500.5, "x")]
+
+
+def test_one_layout_reads_the_folder_and_no_file_names(spark, tmpdir_path):
+    from adloom.sources.csv import CsvOptions, layouts
+    for i in range(4):
+        _write(f"{tmpdir_path}/same/{i}.csv", f"a,b\n{i},x\n")
+    found = layouts(spark, f"{tmpdir_path}/same", CsvOptions())
+    assert len(found) == 1 and found[0].files is None and not found[0].breaks
+    df, _ = read_csv(spark, f"{tmpdir_path}/same", CsvOptions(with_file_name=True))
+    assert sorted((r["a"], r["_file_name"]) for r in df.collect()) == [(i, f"{i}.csv") for i in range(4)]
+
+
+def test_odd_headers(spark, tmpdir_path):
+    from adloom.sources.csv import header_names
+    assert header_names(["a", "a", "A", "", "a.1", "b c", "B_C", " "]) == ["a", "a.1", "A.2", "Unnamed: 3", "a.1.1", "b c", "B_C.1", "Unnamed: 7"]
+    _write(f"{tmpdir_path}/h/a.csv", "﻿a,a,\"x, y\",c.d\n1,2,3,4\n\n5,6,7,8\n")
+    _write(f"{tmpdir_path}/h/b.csv", "\"two\nlines\",a\n9,10\n")
+    _write(f"{tmpdir_path}/h/latin.csv", "größe,a\n11,12\n", encoding="latin-1")
+    df, info = read_csv(spark, f"{tmpdir_path}/h")
+    assert set(df.columns) == {"a", "a.1", "x, y", "c.d", "two\nlines", "größe"} and info["encoding"] == "ISO-8859-1, UTF-8"
+    assert sorted(r["a"] for r in df.collect()) == [1, 5, 10, 12]
+    assert [r["größe"] for r in df.where("`größe` IS NOT NULL").collect()] == [11]
+
+
+def test_names_with_dots_pass_validation_and_cleaning(spark, tmpdir_path):
+    from adloom.operators.profile import validate
+    from adloom.plans.pipeline import clean_dataset
+    _write(f"{tmpdir_path}/dots.csv", "date,cost.usd,cost.usd,a`b,clicks\n2024-01-01,1,2,x,5\n2024-01-02,,3,,6\n2024-01-03,4,9,y,9\n2024-01-04,4,9,y,9\n")
+    df, _ = read_csv(spark, f"{tmpdir_path}/dots.csv")
+    assert validate(df)["valid"]
+    rows = clean_dataset(df).df.orderBy("date").collect()
+    assert [r["cost.usd"] for r in rows] == [1, 0, 4, 4] and [r["a`b"] for r in rows] == ["x", "y", "y", "y"]
+    assert [r["clicks_cumulative"] for r in rows] == [5, 11, 20, 29] and "z_cost.usd.1" in rows[0]
+
+
+def test_files_without_quoted_breaks_are_split(spark, tmpdir_path):
+    from adloom.sources.csv import CsvOptions, layouts, read_layout
+    _write(f"{tmpdir_path}/big.csv", "a,b\n" + "1,xxxxxxxxxxxxxxxxxxxxxxxx\n" * 60_000)
+    _write(f"{tmpdir_path}/quoted.csv", 'a,b\n1,"x\ny"\n' + "1,xxxxxxxxxxxxxxxxxxxxxxxx\n" * 60_000)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        parts = {}
+        for name in ("big", "quoted"):
+            layout = layouts(spark, f"{tmpdir_path}/{name}.csv", CsvOptions())[0]
+            df = read_layout(spark, f"{tmpdir_path}/{name}.csv", layout, CsvOptions())
+            parts[name] = (df.rdd.getNumPartitions(), df.count())
+        assert parts["big"][0] > 3 and parts["big"][1] == 60_000 and parts["quoted"] == (1, 60_001)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
