@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from adloom.operators import profile as P
 from adloom.operators import reports as R
+from adloom.operators.ordered import rolling_days, sequence_ops
 from adloom.operators.roles import (CAMPAIGN_COLUMNS, SPEND_COLUMNS, first_in_column_order,
                                     metric_keyword_columns, roles_frame)
 from adloom.plans.pipeline import CleanOptions, CleanResult, clean_dataset
@@ -75,6 +76,27 @@ def q_moving_averages(spark, sf):
     return df.select(_day().alias("date_label"), "l_orderkey", "l_linenumber", *ma)
 
 
+def q_channel_running(spark, sf):
+    """W2 and W3 within each channel, a derived column."""
+    res = cleaned(spark, sf, "sales_facts")
+    cols = list(dict.fromkeys(res.order_cols + ["channel", "revenue", "clicks"]))
+    seq = sequence_ops(res.df.select(*cols), res.order_cols, n_rows=res.report["rows"], cum_cols=["revenue", "clicks"],
+                       roll_cols=["revenue", "clicks"], row_number_col="channel_row", partition_by=["channel"])
+    return seq.select(*ROW_KEYS, "channel", "channel_row", _r("revenue_cumulative", 2), "clicks_cumulative",
+                      *[_r(f"{c}_ma{k}", 4) for c in ("revenue", "clicks") for k in (3, 7)])
+
+
+def q_moving_averages_by_day(spark, sf):
+    """W2 over calendar days: the rows of the last 3 and 7 days, for all and by channel.
+
+    Revenue in whole cents, whose sums are exact in any order."""
+    cents = F.rint(F.col("revenue") * 100).cast("long")
+    df = _sales(spark, sf).select(*ROW_KEYS, "date", "channel", cents.alias("cents"), "clicks", cents.alias("in_channel"))
+    whole = rolling_days(df, "date", ["cents", "clicks"])
+    both = rolling_days(whole, "date", ["in_channel"], partition_by=["channel"])
+    return both.select(*ROW_KEYS, *[_r(f"{c}_ma{k}d", 3) for c in ("cents", "clicks", "in_channel") for k in (3, 7)])
+
+
 def q_percentile_ranks(spark, sf):
     df = _sales(spark, sf)
     return df.select(*ROW_KEYS, *[f"{c}_percentile" for c in ("revenue", "clicks", "conversions", "roas")])
@@ -285,6 +307,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cumulative_revenue": _trend(lambda: [pround("revenue_cumulative", 2).alias("revenue_cumulative")]),
     "cumulative_totals": q_cumulative_totals,
     "moving_averages": q_moving_averages,
+    "channel_running": q_channel_running,
+    "moving_averages_by_day": q_moving_averages_by_day,
     "percentile_ranks": q_percentile_ranks,
     "zscores": q_zscores,
     "flagged_rows": q_flagged_rows,

@@ -241,6 +241,21 @@ def oracle_queries() -> dict[str, str]:
     ma = ", ".join(f"{roll(c, k, SALES_ORDER)} AS {c}_ma{k}" for c in ("revenue", "clicks", "conversions", "roas")
                    for k in (3, 7))
     q["moving_averages"] = with_sales(f"SELECT {DAY} AS date_label, l_orderkey, l_linenumber, {ma} FROM f")
+    inside = f"PARTITION BY channel ORDER BY {SALES_ORDER}"
+    run = f"({inside} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    ma = ", ".join(f"{pr(f'AVG(CAST({c} AS DOUBLE)) OVER ({inside} ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)', 4)} AS {c}_ma{k}"
+                   for c in ("revenue", "clicks") for k in (3, 7))
+    q["channel_running"] = with_sales(
+        f"SELECT l_orderkey, l_linenumber, l_partkey, channel, ROW_NUMBER() OVER ({inside}) AS channel_row, "
+        f"{pr(f'CASE WHEN revenue IS NOT NULL THEN SUM(CAST(revenue AS DOUBLE)) OVER {run} END', 2)} AS revenue_cumulative, "
+        f"CAST(CASE WHEN clicks IS NOT NULL THEN SUM(clicks) OVER {run} END AS BIGINT) AS clicks_cumulative, {ma} FROM f")
+    cents = "CAST(ROUND(revenue * 100) AS BIGINT)"
+    within = "RANGE BETWEEN INTERVAL {} DAYS PRECEDING AND CURRENT ROW"
+    by_day = ", ".join(
+        pr(f"CASE WHEN date IS NOT NULL THEN AVG({c}) OVER ({group} ORDER BY CAST(date AS DATE) {within.format(k - 1)}) END", 3)
+        + f" AS {name}_ma{k}d" for c, name, group in ((cents, "cents", ""), ("clicks", "clicks", ""), (cents, "in_channel", "PARTITION BY channel"))
+        for k in (3, 7))
+    q["moving_averages_by_day"] = with_sales(f"SELECT l_orderkey, l_linenumber, l_partkey, {by_day} FROM f")
     prk = ", ".join(f"{pct_rank(c)} AS {c}_percentile" for c in ("revenue", "clicks", "conversions", "roas"))
     q["percentile_ranks"] = with_sales(f"SELECT l_orderkey, l_linenumber, l_partkey, {prk} FROM f")
     zc = ", ".join(f"z_{c}" for c in SALES_NUMERIC)

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from adloom.operators.ordered import (OrderConfig, attach_percentiles, exact_quantiles, percentile_steps,
-                                      rank_table, running_total, sequence_ops)
+                                      rank_table, rolling_days, running_total, sequence_ops)
 from adloom.plans.views import view
 from adloom.session import materialize
 from conftest import SF001
@@ -109,3 +109,64 @@ def test_no_single_partition_exchange(spark, facts):
     plan = out._jdf.queryExecution().executedPlan().toString()
     # the only un-keyed windows run over the per-bucket offset table (one row per bucket)
     assert "hashpartitioning(_seq_b" in plan
+
+
+@pytest.mark.parametrize("rows_per_bucket", [3, 41, 500, 10 ** 9])
+def test_windows_by_group_match_plain_windows(facts, rows_per_bucket):
+    """A third of the rows in one group, tiny groups, a null group, a derived column as the group."""
+    group = F.when(F.col("l_orderkey") % 3 == 0, "hot").when(F.col("l_orderkey") % 7 == 0, F.lit(None)).otherwise((F.col("l_orderkey") % 40).cast("string"))
+    df = facts.withColumn("grp", group)
+    if rows_per_bucket == 3:
+        df = df.where("l_orderkey < 400")
+    df = materialize(df)
+    n = df.count()
+    got = sequence_ops(df, ORDER, n_rows=n, cum_cols=["revenue", "clicks"], roll_cols=["revenue"], row_number_col="rn",
+                       cfg=OrderConfig(rows_per_bucket=rows_per_bucket), partition_by=["grp"])
+    w = Window.partitionBy("grp").orderBy(*[F.col(c).asc_nulls_last() for c in ORDER])
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    plain = df.select("*", F.row_number().over(w).alias("rn"),
+                      *[F.when(F.col(c).isNotNull(), F.sum(c).over(run)).alias(f"{c}_cumulative") for c in ("revenue", "clicks")],
+                      *[F.avg("revenue").over(w.rowsBetween(1 - k, 0)).alias(f"revenue_ma{k}") for k in (3, 7)])
+    cols = ["l_orderkey", "l_linenumber", "rn", "clicks_cumulative", "revenue_cumulative", "revenue_ma3", "revenue_ma7"]
+    a, b = _rows(plain, cols), _rows(got, cols)
+    assert len(a) == len(b) == n
+    for x, y in zip(a, b):
+        assert x[:4] == y[:4]
+        for u, v in zip(x[4:], y[4:]):
+            assert (u is None and v is None) or u == pytest.approx(v, rel=1e-9)
+
+
+def test_a_hot_group_spreads_over_buckets(facts):
+    df = facts.withColumn("grp", F.when(F.col("l_orderkey") % 3 == 0, "hot").otherwise(F.col("l_orderkey").cast("string")))
+    out = sequence_ops(df, ORDER, n_rows=facts.count(), cum_cols=["clicks"], cfg=OrderConfig(rows_per_bucket=300), partition_by=["grp"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_seq_b" in plan and "hashpartitioning(grp" not in plan
+    from adloom.session import checkpoint_dir
+    import glob
+    import os
+    root = checkpoint_dir(df.sparkSession).removeprefix("file:")
+    newest = max(glob.glob(f"{root}/adloom-tables/sequenced-*"), key=os.path.getmtime)
+    buckets = df.sparkSession.read.parquet(newest).where("grp = 'hot'").groupBy("_seq_b").count().collect()
+    assert len(buckets) >= 5 and max(r["count"] for r in buckets) < 700
+
+
+def test_bucket_count_is_bounded():
+    from adloom.operators.ordered import MOST_BUCKETS, n_buckets
+    assert n_buckets(10 ** 12, OrderConfig()) == MOST_BUCKETS and n_buckets(1, OrderConfig()) == 1
+
+
+def test_rolling_days_match_pandas(spark):
+    rng = np.random.default_rng(4)
+    day = np.where(rng.random(400) < 0.33, 7, rng.integers(0, 60, 400))       # a hot day, gaps
+    rows = [(i, None if i % 41 == 0 else f"2024-01-01 0{i % 9}:00:00", int(d), "a" if i % 3 else None, None if i % 13 == 0 else float(v))
+            for i, (d, v) in enumerate(zip(day, rng.normal(0, 100, 400)))]
+    df = spark.createDataFrame(rows, "i long, t string, d int, g string, x double") \
+        .select("i", (F.col("t").cast("timestamp_ntz") + F.make_dt_interval("d")).alias("date"), "d", "g", "x")
+    whole = {r["i"]: r for r in rolling_days(df, "date", ["x"]).collect()}
+    grouped = {r["i"]: r for r in rolling_days(df, "date", ["x"], (2,), ["g"]).collect()}
+    for i, t, d, g, x in rows:
+        for got, k, same in ((whole[i]["x_ma3d"], 3, lambda q: True), (whole[i]["x_ma7d"], 7, lambda q: True), (grouped[i]["x_ma2d"], 2, lambda q: q == g)):
+            near = [r[4] for r in rows if r[1] and d - k < r[2] <= d and r[4] is not None and same(r[3])]
+            want = sum(near) / len(near) if t and near else None
+            assert got == (None if want is None else pytest.approx(want, rel=1e-9)), (i, k)
+    assert rolling_days(df.limit(0), "date", ["x"]).collect() == []
