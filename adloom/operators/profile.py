@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adloom.functions.exprs import is_numeric_type, ref
-from adloom.operators.ordered import exact_quantiles, rank_table
+from adloom.operators.ordered import exact_quantiles, rank_table, running_total
+from adloom.session import materialize
 
 
 def _numeric(df: DataFrame) -> list[str]:
@@ -242,25 +243,118 @@ def validation_report(df: DataFrame) -> DataFrame:
     return out
 
 
+WORDING = {"empty_column": "{0}: no value at all", "half_empty": "{0}: {1:.1f} % of the cells are empty",
+           "duplicates": "{1:.1f} % of the rows repeat an earlier row", "outliers": "{0}: {1:.0f} outlier(s), |z| > 3"}
+
+
+def _cells(df: DataFrame, cols: list[str], numeric: list[str]) -> DataFrame:
+    """(file, i, value, num, cnt): how often each cell value of the i-th column occurs in a file."""
+    cell = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), ref(c).cast("string").alias("value"),
+                                        (ref(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("num"))
+                               for i, c in enumerate(cols)]))
+    return df.select("__f", cell.alias("c")).select("__f", "c.*").where(F.col("value").isNotNull()) \
+        .groupBy("__f", "i", "value", "num").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def reports_by_file(df: DataFrame, file_col: str, top: int = 3, threshold: float = 3.0, min_rows: int = 10) -> dict[str, dict]:
+    """V1-V10 of every file of a batch (V14): {file: report}, as ``validate`` makes one.
+
+    The number of jobs depends neither on the files nor on the columns.  Three tables, all
+    keyed by file, answer everything: one wide aggregate; the counts of equal rows; and one
+    table of (file, column, value, count, smaller ones), in which the running counts come
+    from range partitions, so a file with most of the rows is not one task.  A report per
+    file and column reaches the driver; files without rows are not in the result."""
+    cols = [c for c in df.columns if c != file_col]
+    if not cols:
+        return {}
+    numeric = [f.name for f in df.schema.fields if f.name in cols and is_numeric_type(f.dataType)]
+    dtypes = {f.name: f.dataType for f in df.schema.fields}
+    staged = materialize(df.select(ref(file_col).cast("string").alias("__f"), *[ref(c) for c in cols]), "validated")
+
+    rows = F.count(F.lit(1))
+    aggs = [rows.alias("rows")]
+    for i, c in enumerate(cols):
+        nulls = rows - F.count(ref(c))
+        aggs += [nulls.alias(f"nulls{i}"), F.round(nulls * 100.0 / rows, 1).alias(f"pct{i}"), (nulls * 100.0 / rows >= 50).alias(f"half{i}")]
+        if c in numeric:
+            aggs += [F.min(ref(c)).cast("double").alias(f"lo{i}"), F.max(ref(c)).cast("double").alias(f"hi{i}"),
+                     F.avg(ref(c)).alias(f"m{i}"), F.stddev_samp(ref(c)).alias(f"s{i}")]
+            aggs += [F.coalesce(F.round(e, 4), F.lit(0.0)).alias(f"{k}{i}") for k, e in (
+                ("min", F.min(ref(c)).cast("double")), ("max", F.max(ref(c)).cast("double")), ("mean", F.avg(ref(c))), ("std", F.stddev_samp(ref(c))))]
+    first = {r["__f"]: r.asDict() for r in staged.groupBy("__f").agg(*aggs).collect()}
+    groups = staged.groupBy("__f", *[ref(c) for c in cols]).agg(F.count(F.lit(1)).alias("__c"))
+    copies = {r["__f"]: r for r in groups.groupBy("__f").agg(F.sum(F.col("__c") - 1).cast("long").alias("duplicates"), F.sum("__c").alias("n"))
+              .withColumn("pct", F.round(F.col("duplicates") * 100.0 / F.col("n"), 1)).collect()}
+
+    ranked = materialize(running_total(_cells(staged, cols, numeric), ["__f", "i"], ["num", "value"], "cnt", "before"), "cells")
+    per = ranked.groupBy("__f", "i").agg(F.count(F.lit(1)).alias("distinct"))
+    found: dict[tuple, dict] = {}
+    if numeric:
+        stats = df.sparkSession.createDataFrame([(f, i, w["rows"] - w[f"nulls{i}"], w[f"m{i}"], w[f"s{i}"]) for f, w in first.items()
+                                                 for i, c in enumerate(cols) if c in numeric], "__g string, j int, n long, mean double, std double")
+        at = lambda p: F.max(F.when((F.col("before") <= p) & (p < F.col("before") + F.col("cnt")), F.col("num")))
+        hit = (F.col("n") >= min_rows) & (F.col("std") != 0) & (F.abs((F.col("num") - F.col("mean")) / F.col("std")) > threshold)
+        hits = F.coalesce(F.sum(F.when(hit, F.col("cnt"))), F.lit(0)).cast("long")
+        joined = ranked.join(stats, (F.col("__f") == F.col("__g")) & (F.col("i") == F.col("j")), "left")
+        per = joined.groupBy("__f", "i").agg(
+            F.count(F.lit(1)).alias("distinct"), at(F.floor((F.col("n") - 1) / 2)).alias("lower"), at(F.ceil((F.col("n") - 1) / 2)).alias("upper"),
+            hits.alias("hits"), F.round(hits * 100.0 / F.max("n"), 2).alias("hit_pct"),
+            F.round(F.min(F.when(hit, F.col("num"))), 2).alias("hit_min"), F.round(F.max(F.when(hit, F.col("num"))), 2).alias("hit_max"))
+    for r in per.collect():
+        found[r["__f"], r["i"]] = r.asDict()
+    best: dict[str, list] = {}
+    words = [i for i, c in enumerate(cols) if c not in numeric]
+    if words:
+        place = F.row_number().over(Window.partitionBy("__f", "i").orderBy(F.desc("cnt"), F.asc("value")))
+        for r in ranked.where(F.col("i").isin(words)).withColumn("rank", place).where(F.col("rank") <= top) \
+                .select("__f", "i", "value", "cnt", "rank").collect():
+            best.setdefault(r["__f"], []).append((r["i"], r["rank"], r["value"], r["cnt"]))
+        best = {f: [{"column": cols[i], "value": v, "count": n, "rank": k} for i, k, v, n in sorted(b, key=lambda x: x[:2])] for f, b in best.items()}
+    return {f: _report(f, w, copies[f], found, best.get(f, []), cols, numeric, dtypes) for f, w in first.items()}
+
+
+def _report(f, w: dict, copies, found: dict, best: list, cols: list[str], numeric: list[str], dtypes: dict) -> dict:
+    n, report = w["rows"], {"valid": False, "errors": [], "warnings": [], "summary": {}, "outliers": [], "profile": [], "top_values": []}
+    if len(cols) < 2:
+        report["errors"].append(f"{len(cols)} column(s); at least 2 are needed")
+        return report
+    r4 = lambda v: None if v is None else round(float(v), 4)
+    nulls = {c: int(w[f"nulls{i}"]) for i, c in enumerate(cols)}
+    for i, c in enumerate(cols):
+        got, num = found.get((f, i), {}), c in numeric
+        d = int(got.get("distinct", 0))
+        middle = None if not num or got.get("lower") is None else _middle(got["lower"], got["upper"])
+        report["profile"].append({
+            "column": c, "dtype": dtypes[c].simpleString(), "null_count": nulls[c], "null_pct": round(nulls[c] * 100.0 / n, 1),
+            "unique_count": d, "unique_pct": round(d * 100.0 / max(n, 1), 1), "min": r4(w[f"lo{i}"]) if num else None,
+            "max": r4(w[f"hi{i}"]) if num else None, "mean": r4(w[f"m{i}"]) if num else None, "median": r4(middle),
+            "std": r4(w[f"s{i}"]) if num else None})
+        if num and got.get("hits"):
+            report["outliers"].append({"column": c, "count": got["hits"], "pct": got["hit_pct"], "min_val": got["hit_min"], "max_val": got["hit_max"]})
+    say = [("empty_column", c, w[f"pct{i}"]) for i, c in enumerate(cols) if nulls[c] == n]
+    say += [("half_empty", c, w[f"pct{i}"]) for i, c in enumerate(cols) if w[f"half{i}"] and nulls[c] < n]
+    if copies["duplicates"] * 100.0 / n > 30:
+        say.append(("duplicates", "*", copies["pct"]))
+    say += [("outliers", o["column"], float(o["count"])) for o in report["outliers"]]
+    total, dups = sum(nulls.values()), int(copies["duplicates"])
+    summary = {"total_rows": n, "total_columns": len(cols), "numeric_columns": len(numeric),
+               "categorical_columns": sum(isinstance(dtypes[c], T.StringType) for c in cols), "total_nulls": total, "total_duplicates": dups}
+    snapshot = {"rows": n, "columns": len(cols), "column_names": cols, "duplicates": dups, "total_nulls": total,
+                "null_percentage": round(total / (n * len(cols)) * 100, 2), "null_per_column": nulls,
+                "dtypes": {c: dtypes[c].simpleString() for c in cols},
+                "numeric_summary": {c: {k: w[f"{k}{i}"] for k in ("min", "max", "mean", "std")} for i, c in enumerate(cols) if c in numeric}}
+    return {**report, "valid": True, "warnings": [WORDING[rule].format(c, m) for rule, c, m in say], "summary": summary,
+            "snapshot": snapshot, "top_values": best}
+
+
+def _middle(a: float, b: float) -> float:
+    return a if a == b else a + (b - a) * 0.5
+
+
 def validate(df: DataFrame) -> dict:
     """Is the table usable, what is odd about it, and its profile.
 
     Fatal: no rows, or fewer than two columns (rows are looked at first)."""
-    report: dict = {"valid": False, "errors": [], "warnings": [], "summary": {}, "outliers": [], "profile": [], "top_values": []}
-    if df.isEmpty():
-        report["errors"].append("no rows")
-    elif len(df.columns) < 2:
-        report["errors"].append(f"{len(df.columns)} column(s); at least 2 are needed")
-    if report["errors"]:
-        return report
-    report["valid"] = True
-    wording = {"empty_column": "{0}: no value at all", "half_empty": "{0}: {1:.1f} % of the cells are empty",
-               "duplicates": "{1:.1f} % of the rows repeat an earlier row", "outliers": "{0}: {1:.0f} outlier(s), |z| > 3"}
-    found = validation_report(df).collect()
-    report["warnings"] = [wording[r["rule"]].format(r["column"], r["measure"]) for r in found]
-    report["summary"] = dataset_summary(df).first().asDict()
-    report["snapshot"] = snapshot_totals(df)
-    report["outliers"] = [r.asDict() for r in outlier_summary(df).collect()]
-    report["profile"] = [r.asDict() for r in column_profile(df).collect()]
-    report["top_values"] = [r.asDict() for r in top_values(df).collect()]
-    return report
+    name = "__one"
+    found = reports_by_file(df.withColumn(name, F.lit("*")), name)
+    return found.get("*") or {"valid": False, "errors": ["no rows"], "warnings": [], "summary": {}, "outliers": [], "profile": [], "top_values": []}
