@@ -98,13 +98,18 @@ def epoch_micros(d, dt: T.DataType) -> Column:
             + (secs * F.lit(1_000_000)).cast("long"))
 
 
-def days_between(d, start_micros: int, dt: T.DataType) -> Column:
+def days_between(d, start_micros, dt: T.DataType) -> Column:
     """Whole days since ``start`` (floored), like a timedelta's ``.days``.
 
-    ``start`` is the column minimum, so the difference is never negative."""
+    ``start`` is the column minimum (a number, or a column of numbers), so the difference
+    is never negative."""
     if isinstance(dt, (T.TimestampNTZType, T.DateType)):
         # wall-clock arithmetic without any time zone: whole days elapsed
-        start = F.lit(micros_to_text(start_micros)).cast("timestamp_ntz")
+        if isinstance(start_micros, Column):
+            seconds = (start_micros.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+            start = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+        else:
+            start = F.lit(micros_to_text(start_micros)).cast("timestamp_ntz")
         return F.timestamp_diff("DAY", start, col(d).cast("timestamp_ntz")).cast("long")
     return F.floor((epoch_micros(d, dt) - F.lit(start_micros)) / F.lit(86_400_000_000)).cast("long")
 

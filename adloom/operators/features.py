@@ -121,14 +121,18 @@ def tier_expr(roas: Column, edges: list[float]) -> Column:
 
 
 def add_engagement(cols: Columns, minmax: dict) -> None:
-    """mean of min-max normalised ctr / conversion_rate / roas, 0-100."""
+    """mean of min-max normalised ctr / conversion_rate / roas, 0-100.
+
+    ``minmax``: column -> (min, max), numbers or columns."""
     parts = [p for p in ENGAGEMENT_PARTS if p in cols]
     if len(parts) < 2:
         return
     terms = []
     for p in parts:
         lo, hi = minmax.get(p, (None, None))
-        if lo is None or hi is None:
+        if isinstance(lo, Column):
+            terms.append(F.when(hi - lo == 0, F.when(lo.isNotNull(), F.lit(0.5))).otherwise((X.ref(p) - lo) / (hi - lo)))
+        elif lo is None or hi is None:
             terms.append(F.lit(None).cast("double"))
         elif hi - lo == 0:
             terms.append(F.lit(0.5))

@@ -234,14 +234,15 @@ def running_total(df: DataFrame, groups: list[str], order: list[str], value: str
 # Ranks of values: average rank percentile (W1), exact quantiles (F25), medians
 # ---------------------------------------------------------------------------
 
-def rank_table(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(target, value, cnt, before) for the distinct non-null values of numeric columns:
-    how often a value occurs and how many smaller ones there are.  Written once."""
+def rank_table(df: DataFrame, cols: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, target, value, cnt, before) for the distinct non-null values of numeric columns:
+    how often a value occurs and how many smaller ones there are, for each group of the
+    columns ``by``.  Written once."""
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("target"), ref(c).cast("double").alias("value"))
                                 for c in cols])).alias("cell")
-    counts = df.select(cells).select("cell.target", "cell.value").where(F.col("value").isNotNull()) \
-        .groupBy("target", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    return materialize(running_total(counts, ["target"], ["value"], "cnt", "before"), "ranks")
+    counts = df.select(*by, cells).select(*by, "cell.target", "cell.value").where(F.col("value").isNotNull()) \
+        .groupBy(*by, "target", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    return materialize(running_total(counts, [*by, "target"], ["value"], "cnt", "before"), "ranks")
 
 
 def percentile_steps(table: DataFrame, sizes: dict[str, int]) -> dict[str, list[tuple[float, float]]]:

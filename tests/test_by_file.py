@@ -59,3 +59,36 @@ def test_jobs_depend_neither_on_files_nor_on_columns(spark):
     large = jobs(batch(spark, 5))
     spark.sparkContext._jsc.clearJobGroup()
     assert large <= small and large <= 24, (small, large)   # a job is a query stage here
+
+
+def same(a, b):
+    if isinstance(a, float) and isinstance(b, float):
+        return a == pytest.approx(b, rel=1e-9, abs=1e-9, nan_ok=True)
+    return a == b
+
+
+@pytest.mark.parametrize("options", [{}, {"strategy_numeric": "mean", "strategy_categorical": "constant"}])
+def test_cleaning_equals_that_of_each_file(spark, options):
+    from adloom.operators.ordered import OrderConfig
+    from adloom.plans.batch import FILE, clean_files
+    from adloom.plans.pipeline import CleanOptions, clean_dataset
+    opt = CleanOptions(order=OrderConfig(rows_per_bucket=40), **options)
+    df = batch(spark).withColumn("spend", F.col("price") * 3).withColumn("conversions", (F.col("clicks") % 7).cast("long"))
+    # a file with dates day first, one without any date in its date column
+    df = df.withColumn("date", F.when(F.col("file") == "f3.csv", F.concat(F.substring("date", 9, 2), F.lit("/"), F.substring("date", 6, 2), F.lit("/2024")))
+                       .when(F.col("file") == "f4.csv", F.lit("soon")).otherwise(F.col("date"))).cache()
+    seen = set()
+    for got in clean_files(df, "file", opt):
+        rows = [r.asDict() for r in got.df.collect()]
+        for f, columns in got.columns.items():
+            seen.add(f)
+            want = clean_dataset(df.where(F.col("file") == f).drop("file"), opt)
+            assert columns == want.df.columns, f
+            assert {k: got.reports[f][k] for k in ("rows", "null_counts", "filled")} == {k: want.report[k] for k in ("rows", "null_counts", "filled")}
+            key = lambda r: [str(r[c]) for c in want.raw_columns]
+            a = sorted((r for r in rows if r[FILE] == f), key=key)
+            b = sorted((r.asDict() for r in want.df.collect()), key=key)
+            assert len(a) == len(b)
+            for x, y in zip(a, b):
+                assert all(same(x[c], y[c]) for c in columns), (f, [(c, x[c], y[c]) for c in columns if not same(x[c], y[c])])
+    assert seen == {f"f{k}.csv" for k in range(5)}
