@@ -23,6 +23,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adloom.functions.exprs import ref
+
+#: Beside a version written in a batch: the names of the table's columns.
+COLUMNS_FILE = "_columns"
 VERSION_RE = re.compile(r"^v=(\d{8}_\d{6}_\d{6})$")
 
 
@@ -87,6 +91,33 @@ class TableStore:
         df.write.mode("errorifexists").parquet(f"{self.table_path(name)}/v={v}")
         return v
 
+    def write_files(self, df: DataFrame, file_col: str, tables: dict[str, tuple[str, list[str]]]) -> dict[str, str]:
+        """S5 for the files of a batch in one job: {file: (table, its columns)} -> {file: version}.
+
+        Rows are written once, a folder per file, and the folders then moved to their tables
+        (on an object store, a copy); a version counts as soon as its marker is there.  Files of
+        one table become versions in the order given."""
+        folder = f"{self.ns_path()}/_batch-{uuid.uuid4().hex}"
+        places = self.spark.createDataFrame([(f, i) for i, f in enumerate(tables)], "__file string, _place int")
+        (df.join(F.broadcast(places), F.col(file_col) == F.col("__file")).drop("__file", file_col)     # a row per file
+         .hint("rebalance", "_place").write.partitionBy("_place").parquet(folder))
+        fs, out = self._fs(folder), {}
+        for i, (file, (table, columns)) in enumerate(tables.items()):
+            v = _stamp()
+            while self._fs(self.table_path(table)).exists(self._Path(f"{self.table_path(table)}/v={v}")):
+                v = _stamp()
+            target = f"{self.table_path(table)}/v={v}"
+            fs.mkdirs(self._Path(self.table_path(table)))
+            if not fs.rename(self._Path(f"{folder}/_place={i}"), self._Path(target)):
+                raise OSError(f"no rows of {file!r} to move to {target}")
+            for name, data in ((COLUMNS_FILE, json.dumps(columns)), ("_SUCCESS", "")):
+                stream = fs.create(self._Path(f"{target}/{name}"))
+                stream.write(bytearray(data.encode()))
+                stream.close()
+            out[file] = v
+        fs.delete(self._Path(folder), True)
+        return out
+
     def ensure(self, df: DataFrame, name: str) -> None:
         """Create an empty version with ``df``'s schema if the table is absent."""
         if not self.exists(name):
@@ -94,7 +125,15 @@ class TableStore:
 
     def read(self, name: str) -> DataFrame:
         """The current version (lazy; callers aggregate, never collect it)."""
-        return self.spark.read.parquet(self.current_path(name))
+        path = self.current_path(name)
+        listed, fs = self._Path(f"{path}/{COLUMNS_FILE}"), self._fs(path)
+        df = self.spark.read.parquet(path)
+        if not fs.exists(listed):
+            return df
+        stream = fs.open(listed)
+        columns = json.loads(bytes(stream.readAllBytes()).decode())
+        stream.close()
+        return df.select(*map(ref, columns))
 
     # ---- S8, S13, S15, S16 ---------------------------------------------------
     def version_counts(self, name: str) -> DataFrame:
@@ -145,6 +184,10 @@ class TableStore:
          .jdbc(url, table, properties=properties or {}))
 
 
+RUN_SCHEMA = ("run_key string, table_name string, source_file string, processed_at timestamp_ntz, "
+              "before_stats string, after_stats string, status string")
+
+
 class AuditLog:
     """Append-only run metadata and upload history."""
 
@@ -161,15 +204,18 @@ class AuditLog:
         except Exception:  # noqa: BLE001 - nothing written yet
             return None
 
+    def record_runs(self, runs: list[dict]) -> None:
+        """S9 for the files of a batch, in one write: keys as the arguments of ``record_run``."""
+        now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+        if runs:
+            self._append("etl_metadata", [(r.get("run_key") or uuid.uuid4().hex, r["table"], r["source_file"], now, json.dumps(r["before"], default=str),
+                                           json.dumps(r["after"], default=str), r["status"]) for r in runs], RUN_SCHEMA)
+
     def record_run(self, table: str, source_file: str, before: dict, after: dict,
                    status: str = "ok", run_key: str | None = None) -> None:
         """One row per processed file.  A later row with the same ``run_key`` (a replayed
         micro-batch) takes the place of an earlier one."""
-        self._append("etl_metadata", [(run_key or uuid.uuid4().hex, table, source_file,
-                                       _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None),
-                                       json.dumps(before, default=str), json.dumps(after, default=str), status)],
-                     "run_key string, table_name string, source_file string, processed_at timestamp_ntz, "
-                     "before_stats string, after_stats string, status string")
+        self.record_runs([{"table": table, "source_file": source_file, "before": before, "after": after, "status": status, "run_key": run_key}])
 
     def latest_run(self, table: str) -> DataFrame:
         """The newest run of a table, its figures before and after and their differences."""
