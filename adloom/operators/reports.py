@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adloom.functions import exprs as X
+from adloom.functions.exprs import ref
 from adloom.operators.clean import date_layouts
-from adloom.operators.ordered import sequence_ops
+from adloom.operators.ordered import BUCKET, OrderConfig, n_buckets, sequence_ops
 from adloom.operators.roles import detect_roles
+from adloom.session import materialize
 
 # ---- fixed values: columns hidden from the flagged-row table, flag columns ------
 DISPLAY_SKIP_PREFIXES = ("z_",)
@@ -391,30 +393,95 @@ def search(df: DataFrame, query: str) -> DataFrame:
     return df.where(cond)
 
 
+def _sort_keys(df: DataFrame, sort_col: str, tie_cols: list[str]) -> list[tuple]:
+    """(column of the key, key of a value, from empty) of a sorted page, the sort column first.
+
+    Text sorts by the Unicode collation (a A b e-acute Z), an empty cell as an empty text;
+    texts that collate alike by their characters.  Then come the declared ties."""
+    keys = []
+    if isinstance(df.schema[sort_col].dataType, T.StringType):
+        blank = lambda c: F.coalesce(c, F.lit(""))
+        keys += [(lambda c: F.collate(blank(c), "UNICODE"), sort_col, True), (blank, sort_col, True)]
+    else:
+        keys.append((lambda c: c, sort_col, True))
+    return keys + [(lambda c: c, c, False) for c in tie_cols if c != sort_col]
+
+
+def page_order(df: DataFrame, sort_col: str, ascending: bool, tie_cols: list[str]) -> list[Column]:
+    """Empty cells first, or last if descending; ties by ``tie_cols``, ascending, nulls last."""
+    out = []
+    for key, c, sorted_ in _sort_keys(df, sort_col, tie_cols):
+        e = key(ref(c))
+        out.append(e.asc_nulls_last() if not sorted_ else e.asc_nulls_first() if ascending else e.desc_nulls_last())
+    return out
+
+
 def page(df: DataFrame, sort_col: str, ascending: bool, page_no: int, tie_cols: list[str],
          page_size: int = 50) -> DataFrame:
-    """Sorted page n (1-based); ties broken by ``tie_cols`` for a stable order."""
-    first = F.col(sort_col).asc_nulls_last() if ascending else F.col(sort_col).desc_nulls_last()
-    order = [first] + [F.col(c).asc_nulls_last() for c in tie_cols if c != sort_col]
-    return df.orderBy(*order).offset((page_no - 1) * page_size).limit(page_size)
+    """Sorted page n (1-based); ties broken by ``tie_cols`` for a stable order.
+
+    For the first pages; ``Pages`` gives any page by number."""
+    return df.orderBy(*page_order(df, sort_col, ascending, tie_cols)).offset((page_no - 1) * page_size).limit(page_size)
 
 
 def page_after(df: DataFrame, sort_col: str, ascending: bool, tie_cols: list[str], last: dict,
                page_size: int = 50) -> DataFrame:
     """T10 for deep pages: the rows after the last row of the page before (its values of the
     order columns in ``last``).  No rows before it are carried, however deep the page."""
-    keys = [(sort_col, ascending)] + [(c, True) for c in tie_cols if c != sort_col]
     beyond, same = F.lit(False), F.lit(True)
-    for c, up in keys:
-        v = last[c]
-        if v is None:                       # nulls come last: nothing is beyond
-            further = F.lit(False)
+    for key, c, sorted_ in _sort_keys(df, sort_col, tie_cols):
+        e, v = key(ref(c)), key(F.lit(last[c]).cast(df.schema[c].dataType))
+        up, empty_first = ascending or not sorted_, sorted_ and ascending
+        further = (e > v) if up else (e < v)
+        if empty_first:
+            further = F.when(v.isNull(), e.isNotNull()).otherwise(F.coalesce(further, F.lit(False)))
         else:
-            further = ((F.col(c) > F.lit(v)) if up else (F.col(c) < F.lit(v))) | F.col(c).isNull()
+            further = F.when(v.isNull(), F.lit(False)).otherwise(F.coalesce(further, F.lit(True)))
         beyond = beyond | (same & further)
-        same = same & F.col(c).eqNullSafe(F.lit(v))
-    order = [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in keys]
-    return df.where(beyond).orderBy(*order).limit(page_size)
+        same = same & e.eqNullSafe(v)
+    return df.where(beyond).orderBy(*page_order(df, sort_col, ascending, tie_cols)).limit(page_size)
+
+
+class Pages:
+    """Any page of a sorted table by its number.
+
+    The table is range-partitioned once in its order and written, a folder per bucket; the
+    fences (rows and first key of each bucket, at most ``MOST_BUCKETS`` of them) say which
+    buckets hold a page, so that only these are read, and no task gets the rows before it."""
+
+    def __init__(self, df: DataFrame, sort_col: str, ascending: bool, tie_cols: list[str], page_size: int = 50,
+                 cfg: OrderConfig | None = None, n_rows: int | None = None):
+        self.size, self._order = page_size, page_order(df, sort_col, ascending, tie_cols)
+        n = df.count() if n_rows is None else n_rows
+        self._columns = df.columns
+        buckets = df.repartitionByRange(n_buckets(n, cfg or OrderConfig()), *self._order).withColumn(BUCKET, F.spark_partition_id())
+        self._table = materialize(buckets, "pages", by=BUCKET)
+        self.fences = materialize(self._table.groupBy(BUCKET).agg(
+            F.count(F.lit(1)).alias("rows"), (F.min(ref(sort_col)) if ascending else F.max(ref(sort_col))).alias("first")), "fences")
+        self._starts, self.rows = [], 0
+        for r in sorted(self.fences.select(BUCKET, "rows").collect()):
+            self._starts.append((self.rows, r[BUCKET], r["rows"]))
+            self.rows += r["rows"]
+
+    @property
+    def count(self) -> int:
+        return max(1, -(-self.rows // self.size))
+
+    def buckets_of(self, page_no: int) -> list[int]:
+        at = (page_no - 1) * self.size
+        return [b for start, b, n in self._starts if start < at + self.size and at < start + n]
+
+    def page(self, page_no: int) -> DataFrame:
+        """Page ``page_no`` (from 1); beyond the last one: no rows."""
+        found = self.buckets_of(page_no)
+        start = min((s for s, b, _ in self._starts if b in found), default=0)
+        part = self._table.where(F.col(BUCKET).isin(found) if found else F.lit(False)).select(*map(ref, self._columns))
+        return part.orderBy(*self._order).offset(max(0, (page_no - 1) * self.size - start) if found else 0).limit(self.size)
+
+
+def search_pages(df: DataFrame, query: str, sort_col: str, ascending: bool, tie_cols: list[str], page_size: int = 50) -> Pages:
+    """F28 + T9 + T10: the rows that match, in the chosen sort, by page number; ``rows`` and ``count`` beside them."""
+    return Pages(search(df, query), sort_col, ascending, tie_cols, page_size)
 
 
 def page_count(df: DataFrame, page_size: int = 50) -> DataFrame:

@@ -165,6 +165,13 @@ def q_page(spark, sf):
     return pg.select(*ROW_KEYS, pround("revenue", 2).alias("revenue"))
 
 
+def q_deep_page(spark, sf):
+    """A page far from the start, by its number; the least revenue last."""
+    res = cleaned(spark, sf, "sales_facts")
+    pages = R.Pages(res.df, "revenue", True, res.order_cols, n_rows=res.report["rows"])
+    return pages.page(pages.count // 2).select(*ROW_KEYS, pround("revenue", 2).alias("revenue"))
+
+
 def q_page_count(spark, sf):
     return R.page_count(_sales(spark, sf))
 
@@ -320,6 +327,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "suspicious_by_channel": q_suspicious_by_channel,
     "page_by_revenue": q_page,
     "page_count": q_page_count,
+    "deep_page": q_deep_page,
     "revenue_trend": _trend(lambda: [pround("revenue", 2).alias("revenue")]),
     "clicks_impressions_series": q_clicks_impressions_series,
     "dataset_summary": lambda s, sf: P.dataset_summary(_dirty(s, sf)),

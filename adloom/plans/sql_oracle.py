@@ -283,6 +283,9 @@ def oracle_queries() -> dict[str, str]:
     q["page_by_revenue"] = with_sales(
         f"SELECT l_orderkey, l_linenumber, l_partkey, {pr('revenue', 2)} AS revenue FROM f "
         f"ORDER BY revenue DESC NULLS LAST, {SALES_ORDER} LIMIT 50 OFFSET 100")
+    q["deep_page"] = with_sales(
+        f"SELECT l_orderkey, l_linenumber, l_partkey, {pr('f.revenue', 2)} AS revenue FROM f ORDER BY f.revenue ASC NULLS FIRST, {SALES_ORDER} "
+        "LIMIT 50 OFFSET (SELECT CAST((GREATEST(CEIL(COUNT(*) / 50), 1) // 2 - 1) * 50 AS BIGINT) FROM f)")
     q["revenue_trend"] = with_sales(f"SELECT CAST(ROW_NUMBER() OVER (ORDER BY {SALES_ORDER}) - 1 AS BIGINT) AS row_index, {DAY} AS date_label, {pr('revenue', 2)} AS revenue FROM f WHERE date IS NOT NULL")
     q["clicks_impressions_series"] = with_sales(
         f"SELECT CAST(ROW_NUMBER() OVER (ORDER BY {SALES_ORDER}) - 1 AS BIGINT) AS row_index, clicks, impressions FROM f")

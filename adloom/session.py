@@ -60,7 +60,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, label: str = "stage", by: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read
     it back: lineage is cut and the rows (including any partition ids taken
     before the write) are fixed for every later job, even if executors are
@@ -69,15 +69,17 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
 
     Used where a later step must see exactly the same rows and bucket ids as an
     earlier one (range-partition buckets), and to avoid recomputing an
-    expensive shuffle (dedup, joins) for several statistics passes.
+    expensive shuffle (dedup, joins) for several statistics passes.  ``by``: a folder for
+    each value of this column, so that a filter on it reads no other rows.
     """
     spark = df.sparkSession
     root = checkpoint_dir(spark).rstrip("/")
     path = f"{root}/adloom-tables/{label}-{uuid.uuid4().hex}"
     for scope in _SCOPES:
         scope.append(path)
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    return spark.read.schema(df.schema).parquet(path) if by else spark.read.parquet(path)
 
 
 _SCOPES: list[list[str]] = []

@@ -111,3 +111,51 @@ def test_deep_pages_follow_the_last_row(spark):
         assert R.page_after(df, "v", ascending, ["t", "id"], last, page_size=8).collect() == third
         tail = R.page(df, "v", ascending, 7, ["t", "id"], page_size=8).collect()[-1].asDict()
         assert len(R.page_after(df, "v", ascending, ["t", "id"], tail, page_size=8).collect()) == 4
+
+
+LOCALE_ORDER = ["a", "A", "b", "é", "Z"]
+
+
+def test_text_sorts_by_locale_and_empty_cells_come_first(spark):
+    cells = ["Z", None, "b", "A", "", "a", "é", "a"]
+    df = spark.createDataFrame([(c, i) for i, c in enumerate(cells)], "name string, id long")
+    up = [(r["name"], r["id"]) for r in R.page(df, "name", True, 1, ["id"]).collect()]
+    assert up == [(None, 1), ("", 4), ("a", 5), ("a", 7), ("A", 3), ("b", 2), ("é", 6), ("Z", 0)]
+    down = [r["name"] for r in R.page(df, "name", False, 1, ["id"]).collect()]
+    assert down == ["Z", "é", "b", "A", "a", "a", None, ""]
+    for ascending in (True, False):
+        order = [tuple(r) for r in R.page(df, "name", ascending, 1, ["id"]).collect()]
+        for k, (name, i) in enumerate(order[:-1]):
+            after = R.page_after(df, "name", ascending, ["id"], {"name": name, "id": i}, page_size=2).collect()
+            assert [tuple(r) for r in after] == order[k + 1:k + 3]
+
+
+def test_any_page_by_number(spark):
+    from adloom.operators.ordered import OrderConfig
+    rows = [(None if i % 11 == 0 else ["x", "É", "b"][i % 3] * (1 + i % 4), None if i % 5 == 0 else float(i % 7), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "name string, v double, id long")
+    for col, ascending in (("v", True), ("v", False), ("name", True), ("name", False)):
+        pages = R.Pages(df, col, ascending, ["id"], page_size=30, cfg=OrderConfig(rows_per_bucket=40))
+        assert (pages.rows, pages.count, pages.fences.count()) == (500, 17, len(pages._starts))
+        for n in (1, 2, 9, 16, 17):
+            assert pages.page(n).collect() == R.page(df, col, ascending, n, ["id"], 30).collect(), (col, ascending, n)
+            assert len(pages.buckets_of(n)) <= 3
+        assert pages.page(18).collect() == []
+    empty = R.Pages(df.limit(0), "v", True, ["id"])
+    assert (empty.rows, empty.count, empty.page(1).collect()) == (0, 1, [])
+
+
+def test_a_page_reads_only_its_buckets(spark):
+    from adloom.operators.ordered import OrderConfig
+    pages = R.Pages(spark.range(5000).withColumn("v", F.col("id") % 97), "v", True, ["id"], cfg=OrderConfig(rows_per_bucket=500))
+    page = pages.page(50)
+    assert page.count() == 50 and len(pages.buckets_of(50)) <= 2
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "_seq_b" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_pages_of_search_results(spark):
+    df = spark.createDataFrame([(i, "needle" if i % 3 == 0 else "hay", float(-i)) for i in range(400)], "id long, t string, v double")
+    found = R.search_pages(df, "NEEDLE", "v", True, ["id"], page_size=20)
+    assert (found.rows, found.count) == (134, 7)
+    assert [r["id"] for r in found.page(2).collect()] == [399 - 3 * k for k in range(20, 40)]
