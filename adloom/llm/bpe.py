@@ -11,7 +11,8 @@ Most words repeat, so ids are remembered per word, in a memory of two generation
 size is bounded.
 
 Defined results: null and empty texts have no ids; a text of any length is encoded whole;
-rows are independent, so repeated rows and empty tables need no care.
+rows are independent, so repeated rows and empty tables need no care.  Carried columns keep
+their names; one that clashes with an output column raises ValueError.
 """
 
 from __future__ import annotations
@@ -220,6 +221,9 @@ def shared_bpe(path: str, pattern: str) -> ByteBpe:
 def bpe_round_trip(docs: DataFrame, path: str, pattern: str, carry: tuple[str, ...] = ("doc_id",),
                    with_ids: bool = False) -> DataFrame:
     """The ``carry`` columns, n_tokens, ids_sha256, decoded_sha256 and, if asked, the ids."""
+    clash = sorted({"n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])} & set(carry))
+    if clash:
+        raise ValueError(f"carried columns {clash} clash with columns of the result")
     fields = [docs.schema[c] for c in carry]
     schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()),
                            T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),

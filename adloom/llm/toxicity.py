@@ -191,7 +191,8 @@ def score_texts(docs: DataFrame, model: ToxicityModel, carry: tuple[str, ...] =
         m = sent.value
         for b in small_slices(batches):
             columns = {c: b.column(i) for i, c in enumerate(carry)}
-            columns[name] = pa.array([m.score(t) for t in b.column(len(carry)).to_pylist()], pa.float64())
+            columns[name] = pa.array([m.score(t) for t in b.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(score, schema)
+    at = carry.index("text") if "text" in carry else len(carry)      # a carried text is sent once
+    return docs.select(*carry, *([] if "text" in carry else [F.col("text").alias("__text")])).mapInArrow(score, schema)

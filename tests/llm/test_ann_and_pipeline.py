@@ -123,5 +123,36 @@ def test_near_duplicates_are_decided_by_id_and_text(llm_spark, make_docs):
 
 def test_all_queries_are_registered():
     names = entry.queries()
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert set(QUERIES) <= set(names)
+
+
+@pytest.mark.parametrize("texts", [[], [None, None, None]])
+def test_stages_take_empty_and_null_tables(make_docs, texts):
+    docs = make_docs(texts) if texts else make_docs(["x"]).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(docs.sparkSession, docs, SF001)
+        if name != "byte_bpe":
+            assert out.columns == docs.columns
+            if name in ("toxicity", "jaccard_join", "secret_scan"):
+                assert out.count() == len(texts), name
+        else:
+            assert [r["n_tokens"] for r in out.collect()] == [0] * len(texts)
+
+
+def test_a_run_leaves_only_its_result(llm_spark):
+    import os
+
+    from adloom.session import checkpoint_dir
+    root = checkpoint_dir(llm_spark).removeprefix("file:") + "/adloom-tables"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    out = corpus_pipeline.run(llm_spark, SF001)
+    assert out.count() > 0 and len(set(os.listdir(root)) - before) == 1
+
+
+def test_rejected_rows_are_told_by_id_and_text(make_docs, monkeypatch):
+    from adloom.llm.toxicity import ToxicityModel
+    monkeypatch.setattr(corpus_pipeline, "train_toxicity", lambda *_: ToxicityModel(-1.0, {"bad": 9.0}))
+    docs = make_docs(["bad one", "fine", "fine", None, "bad one", None], ids=[1, 1, 2, None, None, 5])
+    out = corpus_pipeline.toxicity(docs.sparkSession, docs, SF001)
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in out.collect()) == [("1", "fine"), ("2", "fine"), ("5", "None"), ("None", "None")]
