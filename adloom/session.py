@@ -93,7 +93,7 @@ def stage_scope(spark: SparkSession):
     paths: list[str] = []
     _SCOPES.append(paths)
     try:
-        yield
+        yield paths
     finally:
         _SCOPES.remove(paths)
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
