@@ -12,6 +12,12 @@ the last return the columns of ``docs``, whatever they are.
                    documents the mix leaves out go
 5. byte_bpe        ids of the remaining texts, decoded again
 
+An empty table, or one of nulls only, passes every stage: texts that are null have a score,
+no shingles and no words, stay in stages 1 to 3 and are left out by the mix.  Columns beside
+doc_id, text, source and n_chars are carried, whatever their names; names that begin with two
+underscores are the stages' own.  Repeated rows: stage 2 keeps one, later stages treat a
+repeated row as it comes.
+
 Stage 2 decides by id and text, so different documents with one id stay.  Of the rows with a
 null doc_id it keeps one of each class, beside the class's row with an id.
 """
@@ -28,7 +34,7 @@ from adloom.llm.jaccard_join import jaccard_rows
 from adloom.llm.mixing import mix_sources
 from adloom.llm.secrets import redact
 from adloom.llm.toxicity import score_texts, train_toxicity
-from adloom.session import materialize
+from adloom.session import materialize, stage_scope
 
 ORACLE_SQL = None
 
@@ -36,7 +42,10 @@ ORACLE_SQL = None
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
     model = train_toxicity(docs, labels)
-    return score_texts(docs, model, carry=tuple(docs.columns), name="__score").filter("__score < 0.5").drop("__score")
+    scored = score_texts(docs.select("doc_id", F.xxhash64("text").alias("__th"), "text"), model, carry=("doc_id", "__th"), name="__score")
+    # only ids and text hashes come back from Python; equal rows have equal scores
+    gone = materialize(scored.filter("__score >= 0.5").select(F.col("doc_id").alias("__id"), "__th").distinct(), "toxic")
+    return join_few(docs, gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left_anti")
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,7 +92,10 @@ STAGES = [("toxicity", toxicity), ("jaccard_join", jaccard_join), ("secret_scan"
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return materialize(STAGES[-1][1](spark, docs, sf_dir), "pipeline-out")
+    docs, before = ship(spark).read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        with stage_scope(spark) as tables:           # what a stage wrote, and its input, go when its result is there
+            tables += [before] if before else []
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            before = tables.pop()
+    return docs
