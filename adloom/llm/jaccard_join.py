@@ -17,11 +17,19 @@ extended by k"; k grows with |x|, the smaller k of a pair counts); this holds fo
 Lists are not expanded into all pairs.  In a round, one member of each open list is
 compared with the others that are not in its component; then it leaves the list.  A list
 whose members lie in one component is closed: a group of n near copies costs about n
-comparisons.  In lists that stay open after ``star_rounds``, pairs in different components
-are counted (k common prefix tokens are needed, less the frequent ones) and the rest compared; the result is exact.
-
-A pair is first bounded by 16-bit marks of all its tokens (equal tokens have equal marks),
-then verified on the sets.  Sets are recomputed from the texts of the classes in question.
+comparisons.  Of the lists that stay open after ``star_rounds``, those of at most ``few`` members
+give their pairs in different components; the longer ones are put together by their least
+component: the members of such a crowd are compared inside tasks, each pair once however
+many lists it shares.  A crowd is cut into blocks of about ``block`` members and each pair of
+blocks, a tile, is a task's work of bounded size; an inverted index of the tile's tokens gives
+the overlaps of a member with all others.  Of the links it finds a tile returns only those that
+join components, so fewer than it has members; no pair is a row there.  Tiles get 32 bits of
+each token; the links are then verified on the sets, and should one fail, because different
+tokens look alike, the tiles are done again with all 64 bits.
+
+Elsewhere a pair is first bounded by 16-bit marks of all its tokens (equal tokens have
+equal marks), then verified on the sets.  Sets are recomputed from the texts of the classes
+in question.
 
 Components come from the star algorithm on edges in Spark; nothing but frequent tokens
 (at most ``max_frequent``, else the limit is raised, which moves work but no result) passes
@@ -97,9 +105,9 @@ def prefix_length(n: int, percent: int, k: int) -> int:
     return min(n, n - -(-percent * n // 100) + k)
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
+def _lists(arrays: list[np.ndarray], kind=np.int64) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    return pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *arrays]))
+    return pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, kind), *arrays]))
 
 
 def document_sets(docs: DataFrame, w: int, percent: int) -> DataFrame:
@@ -115,9 +123,10 @@ def document_sets(docs: DataFrame, w: int, percent: int) -> DataFrame:
         .mapInArrow(run, "doc_id long, th long, n long, key binary, prefix array<long>")
 
 
-def fetch_sets(docs: DataFrame, wanted: DataFrame, w: int, marks: bool = False) -> DataFrame:
+def fetch_sets(docs: DataFrame, wanted: DataFrame, w: int, marks: bool = False, short: bool = False) -> DataFrame:
     """(c, tokens), or (c, n, marks), of the classes in ``wanted`` (c, rep_doc, rep_th), from
-    their texts.  ``marks``: 16 bits of each token, 32 for large sets, sorted."""
+    their texts.  ``marks``: 16 bits of each token, 32 for large sets, sorted; ``short``: tokens
+    of 32 bits."""
     def run(batches):
         for b in bounded_texts(batches):
             sets = shingle_sets(texts_of(b.column("text")), w)
@@ -125,11 +134,12 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, w: int, marks: bool = False)
                 columns = {"n": pa.array([len(s) for s in sets], pa.int64()),
                            "marks": pa.array([_marks(s).tobytes() for s in sets], pa.binary())}
             else:
-                columns = {"tokens": _lists(sets)}
+                columns = {"tokens": _lists([x.astype(np.int32) for x in sets], np.int32) if short else _lists(sets)}
             yield pa.RecordBatch.from_pydict({"c": b.column("c"), **columns})
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     found = join_few(texts, wanted, (F.col("th") == F.col("rep_th")) & F.col("doc_id").eqNullSafe(F.col("rep_doc")))
-    return found.select("c", "text").mapInArrow(run, "c long, n long, marks binary" if marks else "c long, tokens array<long>")
+    return found.select("c", "text").mapInArrow(run, "c long, n long, marks binary" if marks else
+                                               f"c long, tokens array<{'int' if short else 'long'}>")
 
 
 def _marks(tokens: np.ndarray, small: int = 1500) -> np.ndarray:
@@ -219,6 +229,98 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, w: int, percen
     return sides(possible, False).select("a", "b", "at", "bt").mapInArrow(_linked(percent), "a long, b long")
 
 
+def tile_links(tokens: list[np.ndarray], roots: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs (x, y) of linked sets that join the components ``roots``; with two sides, pairs across.
+
+    Members of the commonest component are not compared with each other: for every other
+    member, counting the tokens' lists gives its overlap with all sets at once."""
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    owner = np.repeat(np.arange(len(tokens)), sizes)
+    _, token = np.unique(np.concatenate(tokens), return_inverse=True)
+    members = owner[np.argsort(token, kind="stable")]
+    ends = np.cumsum(np.bincount(token))
+    starts, after = ends - np.diff(np.concatenate(([0], ends))), np.cumsum(sizes)
+    names, named, often = np.unique(roots, return_inverse=True, return_counts=True)
+    parent = list(range(len(names)))
+
+    def find(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    out = []
+    two = bool((side != side[0]).any())
+    for x in np.flatnonzero(named != np.argmax(often)).tolist():
+        own = token[after[x] - sizes[x]:after[x]]
+        low, count = starts[own], ends[own] - starts[own]
+        shift = np.cumsum(count) - count
+        met = np.bincount(members[np.repeat(low - shift, count) + np.arange(count.sum())], minlength=len(tokens))
+        linked = (100 * met >= percent * (sizes + sizes[x] - met)) & (named != named[x])
+        if two:
+            linked &= side != side[x]
+        for y in np.flatnonzero(linked).tolist():
+            a, b = find(int(named[x])), find(int(named[y]))
+            if a != b:
+                parent[a] = b
+                out.append((x, y))
+    return out
+
+
+def _tiles(percent: int):
+    """Links of the tiles of a partition; its rows are sorted by tile."""
+    def run(batches):
+        rest: list[pa.RecordBatch] = []
+
+        def links(rows: pa.Table):
+            key = np.stack([rows.column(k).to_numpy() for k in ("lo", "i", "j")])
+            edges = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [rows.num_rows]))
+            c, root, side = (rows.column(k).to_numpy() for k in ("c", "root", "block"))
+            lists = rows.column("tokens").combine_chunks()
+            flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+            a, b = [], []
+            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if e - s > 1:
+                    sets = [flat[offsets[k]:offsets[k + 1]] for k in range(s, e)]
+                    for x, y in tile_links(sets, root[s:e], side[s:e], percent):
+                        a.append(min(c[s + x], c[s + y]))
+                        b.append(max(c[s + x], c[s + y]))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in small_slices(batches, 1000):
+            rest.append(batch)
+            rows = pa.Table.from_batches(rest)
+            key = np.stack([rows.column(k).to_numpy() for k in ("lo", "i", "j")])
+            other = np.flatnonzero((key != key[:, -1:]).any(axis=0))
+            last = int(other[-1]) + 1 if len(other) else 0   # the last tile may go on
+            if last:
+                yield links(rows.slice(0, last))
+            rest = rows.slice(last).to_batches()
+        if rest:
+            yield links(pa.Table.from_batches(rest))
+    return run
+
+
+def crowd_links(opened: DataFrame, docs: DataFrame, classes: DataFrame, w: int, percent: int, block: int) -> DataFrame | None:
+    """(a, b): links among the members of open lists that join all that are linked; None: there is no list."""
+    crowd = materialize(opened.select("lo", "c", "root").distinct(), "crowd")
+    blocks = crowd.groupBy("lo").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
+    if crowd.isEmpty():
+        return None
+    wanted = materialize(classes.select("c", "rep_doc", "rep_th").join(crowd.select("c").distinct(), "c", "left_semi"), "wanted")
+    dealt = crowd.join(blocks, "lo").withColumn("block", F.pmod(F.xxhash64("c"), F.col("nb")).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))) \
+        .select("lo", "c", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = materialize(dealt, "dealt")
+
+    def linked(short: bool) -> DataFrame:       # sets go to their tiles straight from the texts
+        tiles = join_few(fetch_sets(docs, wanted, w, short=short), dealt, "c").repartition("lo", "i", "j")
+        return tiles.sortWithinPartitions("lo", "i", "j", "c").mapInArrow(_tiles(percent), "a long, b long").distinct()
+
+    likely = materialize(linked(True), "likely")
+    sure = materialize(verify(likely, docs, classes, w, percent), "sure")
+    return sure if sure.count() == likely.count() else materialize(linked(False), "sure")
+
+
 def _reordered(frequent: np.ndarray, percent: int, most: int = 200_000):
     """Index 2 keys of each set: its prefix with frequent tokens last."""
     def keys_of(x: np.ndarray):
@@ -287,7 +389,7 @@ def candidate_lists(docs: DataFrame, classes: DataFrame, postings: DataFrame, w:
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, postings: DataFrame, w: int, percent: int, frequent: int, max_frequent: int,
-                 star_rounds: int) -> DataFrame | None:
+                 star_rounds: int, block: int = 1024, few: int = 256) -> DataFrame | None:
     """(c, root) for the classes that are linked with another, None if there is none."""
     lists, sizes = candidate_lists(docs, classes, postings, w, percent, frequent, max_frequent)
     lists = materialize(lists, "lists")
@@ -298,30 +400,35 @@ def link_classes(docs: DataFrame, classes: DataFrame, postings: DataFrame, w: in
             labelled = lists.join(roots, "c", "left").select("key", "c", "turn", F.coalesce("root", "c").alias("root"))
         # a list is open if it holds two components and, in index 1, a set without frequent tokens
         heads = labelled.groupBy("key").agg(
-            F.min(F.struct("turn", "c", "root")).alias("h"), F.min("root").alias("lo"), F.max("root").alias("hi")) \
-            .filter("lo <> hi AND h.turn <> 2").select("key", "h")
-        opened = materialize(labelled.join(heads, "key").select("key", "c", "turn", "root", "h"), "open")
+            F.min(F.struct("turn", "c", "root")).alias("h"), F.min("root").alias("lo"), F.max("root").alias("hi"),
+            F.count(F.lit(1)).alias("m")).filter("lo <> hi AND h.turn <> 2").select("key", "h", "lo", "m")
+        opened = materialize(labelled.join(heads, "key").select("key", "c", "turn", "root", "h", "lo", "m"), "open")
         if opened.isEmpty():
             break
+        tiled = None
         if turn < star_rounds:      # one member against the others
             pairs = opened.filter("c <> h.c AND root <> h.root").select("c", "h.c").toDF("x", "y").distinct()
             lists = opened.filter("c <> h.c").select("key", "c", "turn")
-        else:                       # what is still open: every pair in different components
-            x, y = (opened.select(F.col("key").alias(s + "k"), F.col("c").alias(s), F.col("root").alias(s + "r"),
-                                  F.col("turn").alias(s + "t")) for s in "xy")
-            met = x.join(y, (F.col("xk") == F.col("yk")) & (F.col("x") < F.col("y")) & (F.col("xr") != F.col("yr"))
-                         & ((F.col("xt") != 2) | (F.col("yt") != 2)))
-            pairs = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("met"), F.max("xt").alias("mt"))
+        else:                       # what is still open: long lists in tiles, of short ones the pairs in different components
+            tiled = crowd_links(opened.filter(F.col("m") > few), docs, classes, w, percent, block)
+            x, y = (opened.filter(F.col("m") <= few).select(F.col("key").alias(s + "k"), F.col("c").alias(s), F.col("root").alias(s + "r"),
+                                                            F.col("turn").alias(s + "t")) for s in "xy")
+            pairs = x.join(y, (F.col("xk") == F.col("yk")) & (F.col("x") < F.col("y")) & (F.col("xr") != F.col("yr"))
+                           & ((F.col("xt") != 2) | (F.col("yt") != 2))) \
+                .groupBy("x", "y").agg(F.count(F.lit(1)).alias("met"), F.max("xt").alias("mt"))
         known = pairs.join(sizes.toDF("x", "xn", "xf"), "x").join(sizes.toDF("y", "yn", "yf"), "y") \
             .filter((100 * F.col("xn") >= percent * F.col("yn")) & (100 * F.col("yn") >= percent * F.col("xn")))
-        if "met" in pairs.columns:  # linked sets share k prefix tokens, and no more frequent ones than either has
+        if "met" in pairs.columns:  # linked sets share k prefix tokens, no more frequent ones than either has; or a long list
             overlap = F.ceil(percent * (F.col("xn") + F.col("yn")) / (100 + percent))
             least = F.least(F.lit(2) + F.floor(F.least("xn", "yn") / 16), overlap) - F.least("xf", "yf")
             known = known.filter((F.col("mt") == 3) | (F.col("met") >= least))
         pairs = materialize(known.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-        if pairs.isEmpty():
+        found = tiled
+        if not pairs.isEmpty():
+            found = materialize(verify(pairs, docs, classes, w, percent), "links")
+            found = found if tiled is None else found.unionByName(tiled)
+        if found is None:
             continue
-        found = materialize(verify(pairs, docs, classes, w, percent), "links")
         if not found.isEmpty():
             edges = found if edges is None else edges.unionByName(found)
             roots = materialize(components(edges).select(F.col("node").alias("c"), "root"), "roots")
@@ -329,13 +436,13 @@ def link_classes(docs: DataFrame, classes: DataFrame, postings: DataFrame, w: in
 
 
 def jaccard_classes(docs: DataFrame, w: int = 5, percent: int = 75, frequent: int = 64,
-                    max_frequent: int = 500_000, star_rounds: int = 1) -> DataFrame:
+                    max_frequent: int = 500_000, star_rounds: int = 1, block: int = 1024, few: int = 256) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs``."""
-    return jaccard_rows(docs, w, percent, frequent, max_frequent, star_rounds).select("doc_id", "n_shingles", "component_id")
+    return jaccard_rows(docs, w, percent, frequent, max_frequent, star_rounds, block, few).select("doc_id", "n_shingles", "component_id")
 
 
 def jaccard_rows(docs: DataFrame, w: int = 5, percent: int = 75, frequent: int = 64,
-                 max_frequent: int = 500_000, star_rounds: int = 1) -> DataFrame:
+                 max_frequent: int = 500_000, star_rounds: int = 1, block: int = 1024, few: int = 256) -> DataFrame:
     """The same with ``th``, the xxhash64 of the row's text, and ``component``, which tells
     components apart where ids are repeated or null (null for empty sets)."""
     staged = materialize(document_sets(docs, w, percent), "sets-by-doc")
@@ -350,7 +457,7 @@ def jaccard_rows(docs: DataFrame, w: int = 5, percent: int = 75, frequent: int =
     chosen = join_few(staged.select("key", "doc_id", "th", "prefix"), named, (F.col("key") == F.col("__key"))
                       & F.col("doc_id").eqNullSafe(F.col("rep_doc")) & (F.col("th") == F.col("rep_th")))
     postings = chosen.select(F.explode("prefix").alias("key"), "c")
-    roots = link_classes(docs, classes, postings, w, percent, frequent, max_frequent, star_rounds)
+    roots = link_classes(docs, classes, postings, w, percent, frequent, max_frequent, star_rounds, block, few)
     named = classes.select("key", F.col("c").alias("component"), F.col("low").alias("component_id"))
     if roots is not None:
         lows = classes.select("c", "low").join(roots, "c").groupBy("root").agg(F.min("low").alias("least"))

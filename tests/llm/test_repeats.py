@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from adloom.llm import jaccard_join as J
 from adloom.llm.suffix_dedup import Block, repeated_positions, resolve_segments, suffix_array, suffix_dedup
@@ -198,3 +199,56 @@ def test_mark_bound_is_never_below_the_overlap():
         y = np.unique(np.concatenate((x[::2], rng.integers(-2**62, 2**62, n // 3 + 1))))
         shared = len(np.intersect1d(x, y))
         assert J._overlap_at_most(J._marks(x).tobytes(), len(x), J._marks(y).tobytes(), len(y)) >= shared
+
+
+def drifting_copies(n, words, seed):
+    """Texts of one origin with more and more of it replaced, so that similarities run from 0.3 to 0.95."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10 ** 6)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for _ in range(rng.randint(0, words // 9)):
+            own[rng.randrange(words)] = f"x{rng.randrange(10 ** 6)}"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("options", [{"star_rounds": 0, "block": 60, "few": 1}, {"star_rounds": 1, "few": 64}, {"star_rounds": 1, "block": 25, "frequent": 8, "few": 4}])
+def test_crowds_of_drifting_copies(make_docs, options):
+    texts = drifting_copies(220, 90, 1) + drifting_copies(60, 60, 2) + drifting_copies(3, 40, 3)
+    got = {r.doc_id: r.component_id for r in J.jaccard_classes(make_docs(texts), **options).collect()}
+    sets = [{tuple(t.split(" ")[i:i + 5]) for i in range(len(t.split(" ")) - 4)} for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i in range(len(sets)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if 100 * shared >= 75 * (len(sets[i]) + len(sets[j]) - shared):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    want = {k: find(k) for k in range(len(texts))}
+    assert len(set(want.values())) > 20 and got == want
+
+
+def test_tiles_are_done_again_if_a_link_fails(make_docs, monkeypatch):
+    texts = drifting_copies(40, 60, 5)
+    want = {r.doc_id: r.component_id for r in J.jaccard_classes(make_docs(texts)).collect()}
+    monkeypatch.setattr(J, "verify", lambda pairs, *_: pairs.limit(1))
+    assert {r.doc_id: r.component_id for r in J.jaccard_classes(make_docs(texts), star_rounds=0, few=0).collect()} == want
+
+
+def test_tiles_return_fewer_links_than_members():
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 1 << 60, 100)
+    sets = [np.unique(np.concatenate((base[rng.random(100) < 0.93], rng.integers(1, 1 << 60, 4)))) for _ in range(150)]
+    links = J.tile_links(sets, np.arange(150), np.zeros(150, int), 75)
+    assert 100 < len(links) < 150
+    assert J.tile_links(sets, np.zeros(150, int), np.zeros(150, int), 75) == []
+    side = np.arange(150) % 2
+    assert all(side[x] != side[y] for x, y in J.tile_links(sets, np.arange(150), side, 75))
