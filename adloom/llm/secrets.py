@@ -6,13 +6,16 @@ points.  Three kinds stand alone (``assign``, ``access``, ``hex``).  Two weak ki
 bare 40-character key (``key``) and an endpoint URL (``endpoint``), are candidates that
 count only where complementary parts co-occur: an interval join within the document
 links each access identifier to keys and endpoints at most ``scope`` characters away,
-and each assigned secret to endpoints.  Linked candidates are reported as spans.
+and each assigned secret to endpoints.  Linked candidates are reported as spans.  The
+distance is the gap between the two spans, however long they are.
 
-The join is an equi-join on (document, cell of ``scope`` characters) where each anchor
-part is copied to its own and both neighbouring cells; a cell holds at most
-``scope`` / 6 parts, so no group grows with the data.
+The join is an equi-join on (document, side, cell of ``scope`` characters): a candidate
+after its anchor part is met by its start and the part's end, one before it by its end
+and the part's start, and the part is copied to the neighbouring cell of that side.  A
+cell holds at most ``scope`` / 6 parts, so no group grows with the data.
 
-Defined results: null and empty texts have no spans; repeated rows are scanned and
+Defined results: null and empty texts have no spans; a text of any length is scanned whole,
+and its parts are spread by their cells; repeated rows are scanned and
 returned row by row; an empty table gives an empty result.  Only ``doc_id``, ``text``
 and the ``carry`` columns are read; internal columns start with two underscores.
 """
@@ -74,21 +77,26 @@ def part_spans(scanned: DataFrame) -> DataFrame:
 
 
 def link_parts(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """(anchor, weak candidate) pairs at most ``scope`` characters apart in one document.
+    """(anchor, weak candidate) pairs with at most ``scope`` characters between them in one document.
 
     Keys need an access identifier, endpoints an access identifier or an assigned secret."""
-    cell = (F.col("start") / scope).cast("long")
+    def cell(x: str) -> Column:
+        return (F.col(x) / scope).cast("long")
+
+    def at(after: bool, c: Column) -> Column:
+        return F.struct(F.lit(after).alias("__after"), c.alias("__cell"))
+
     assign, access, key, endpoint = 0, 1, 3, 4
     anchors = spans.filter(F.col("kind").isin(assign, access)).select(
-        F.col("__row").alias("__arow"), F.col("kind").alias("a_kind"), F.col("start").alias("a_start"),
-        F.col("end").alias("a_end"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("__acell"))
-    weak = spans.filter(F.col("kind").isin(key, endpoint)).withColumn("__cell", cell)
-    near = (F.col("start") < F.col("a_end") + scope) & (F.col("a_start") < F.col("end") + scope) \
-        & (F.abs(F.col("start") - F.col("a_start")) <= scope)
-    apart = (F.col("start") >= F.col("a_end")) | (F.col("a_start") >= F.col("end"))
+        F.col("__row").alias("__arow"), F.col("kind").alias("a_kind"), F.col("start").alias("a_start"), F.col("end").alias("a_end"),
+        F.explode(F.array(at(True, cell("end")), at(True, cell("end") + 1),
+                          at(False, cell("start")), at(False, cell("start") - 1))).alias("__at"))
+    weak = spans.filter(F.col("kind").isin(key, endpoint)).select(
+        "*", F.explode(F.array(at(True, cell("start")), at(False, cell("end")))).alias("__w"))
+    gap = F.when(F.col("__w.__after"), F.col("start") - F.col("a_end")).otherwise(F.col("a_start") - F.col("end"))
     fits = (F.col("a_kind") == access) | (F.col("kind") == endpoint)
-    return weak.join(anchors, (F.col("__row") == F.col("__arow")) & (F.col("__cell") == F.col("__acell"))
-                     & near & apart & fits) \
+    return weak.join(anchors, (F.col("__row") == F.col("__arow")) & (F.col("__w.__after") == F.col("__at.__after"))
+                     & (F.col("__w.__cell") == F.col("__at.__cell")) & gap.between(0, scope) & fits) \
                .select("__row", "kind", "start", "end", "a_kind", "a_start", "a_end")
 
 

@@ -36,8 +36,8 @@ def all_spans(t):
     """Base spans, and weak ones near a part that completes them."""
     base = base_spans(t)
     weak = [(m.start(), k, m.end()) for k in (3, 4) for m in re.finditer(S.ALL[k][1], t)]
-    linked = [w for w in weak for a in base if (a[1] == 1 or a[1] == 0 and w[1] == 4) and abs(w[0] - a[0]) <= S.SCOPE
-              and (w[0] >= a[2] or a[0] >= w[2]) and w[2] - w[0] >= S.ALL[w[1]][3]]
+    linked = [w for w in weak for a in base if (a[1] == 1 or a[1] == 0 and w[1] == 4)
+              and (0 <= w[0] - a[2] <= S.SCOPE or 0 <= a[0] - w[2] <= S.SCOPE) and w[2] - w[0] >= S.ALL[w[1]][3]]
     return sorted(set(base + linked))
 
 
@@ -61,6 +61,20 @@ def test_secret_spans_match_plain_python(llm_spark, make_docs, tmp_path):
     assert rows_by(rows, 6).spans == ""          # weak parts alone stay silent
 
 
+def test_the_gap_between_parts_decides_not_their_starts(llm_spark, make_docs, tmp_path):
+    long = "https://example.org/" + "p" * 1500
+    texts = [f"{long} {ACCESS}", f"{ACCESS} {long}", f"token={'t' * 700} {long} end", f"{long} token={'t' * 700}"]
+    for gap in (S.SCOPE - 1, S.SCOPE, S.SCOPE + 1, 2 * S.SCOPE):
+        for lead in (0, 1, S.SCOPE - 1, S.SCOPE, 700):
+            fill = " " * lead
+            texts += [fill + ACCESS + " " * gap + long, fill + long + " " * gap + ACCESS, fill + ACCESS + " " * gap + KEY + " x",
+                      fill + KEY + " " * gap + ACCESS]
+    make_docs(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    for r in op8_secret_scan(llm_spark, str(tmp_path)).collect():
+        assert r.spans == written(all_spans(texts[r.doc_id])), texts[r.doc_id]
+    assert all("endpoint" in written(all_spans(t)) for t in texts[:4])
+
+
 def rows_by(rows, i):
     return next(r for r in rows if r.doc_id == i)
 
