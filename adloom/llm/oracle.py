@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from adloom.llm.quality_rules import STOP_WORDS
+from adloom.llm.quality_rules import EDGE, LOWER, STOP_WORDS, UPPER
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_BARE = f"trim(translate(x, '{UPPER}', '{LOWER}'), '{EDGE.replace(chr(39), 2 * chr(39))}')"
 
 OP1 = rf"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
@@ -18,12 +19,12 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::
              (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines,
              len(list_distinct(flatten(list_transform(list_filter(range(1, len(w) - 1), lambda i: list_contains(again, g[i])),
                                                       lambda i: [i, i + 1, i + 2]))))::BIGINT AS n_repeat_words,
-             len(list_intersect(w, [{_STOPS}])) AS stops FROM r),
+             len(list_filter(w, lambda x: {_BARE} IN ({_STOPS}))) AS stops FROM r),
 b AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
              greatest(n_words, 1) AS one FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        (NOT base_failed AND word_chars / one BETWEEN 2 AND 12 AND n_symbols / one <= 0.1 AND bangs / one <= 0.3
-        AND stops >= 1 AND n_dup_lines / greatest(n_lines, 1) <= 0.5) AS kept FROM b"""
+        AND stops / one >= 0.02 AND n_dup_lines / greatest(n_lines, 1) <= 0.5) AS kept FROM b"""
 
 OP3 = """
 WITH p AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0

@@ -5,7 +5,8 @@ projection; no user function runs.  ``THRESHOLDS`` is data: each row names a met
 the closed range it must lie in.  Metrics are ordinary columns over the whole text.
 
 Defined results: a null or empty text has no words, hence all counts 0, ``base_failed``
-true and ``kept`` false.  Repeated rows are judged row by row; an empty table gives an
+true and ``kept`` false.  A text of any length is judged whole, in its row's memory.  Stop words are found whatever their case (A-Z) and the punctuation
+around them.  Repeated rows are judged row by row; an empty table gives an
 empty result.  Only ``doc_id`` and ``text`` are read, so columns of the same names as the
 metrics cannot clash.
 """
@@ -27,6 +28,9 @@ STOP_WORDS = (
     "der", "die", "das", "und", "von", "den", "ist", "ein", "zu", "nicht",
     "el", "los", "las", "en", "y", "por", "del", "se", "con", "una",
 )
+#: What a word loses at both ends, and the case it is read in, before it is looked up there.
+EDGE = """.,;:!?"'()[]{}<>*_-#"""
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass(frozen=True)
@@ -43,7 +47,7 @@ THRESHOLDS: tuple[Threshold, ...] = (
     Threshold("length", "mean_word_chars", 2.0, 12.0),
     Threshold("symbol", "symbols_per_word", None, 0.1),
     Threshold("symbol", "exclamations_per_word", None, 0.3),
-    Threshold("stop_word", "stop_word_kinds", 1.0, None),
+    Threshold("stop_word", "stop_word_share", 0.02, None),
     Threshold("line", "dup_line_share", None, 0.5),
 )
 
@@ -97,12 +101,14 @@ def _line_counts(text: Column) -> Column:
 def base_metrics(docs: DataFrame) -> DataFrame:
     """doc_id and all metrics of each row, as plain columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    stops = F.array(*[F.lit(w) for w in STOP_WORDS])
+
+    def is_stop(w: Column) -> Column:
+        return F.btrim(F.translate(w, UPPER, LOWER), F.lit(EDGE)).isin(*STOP_WORDS)
 
     def by_words(w: Column) -> Column:
         return F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).alias("n_repeat_words"),
                         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-                        F.size(F.array_intersect(w, stops)).cast("double").alias("stop_word_kinds"))
+                        F.size(F.filter(w, is_stop)).cast("long").alias("n_stop_words"))
 
     flat = docs.select("doc_id", text.alias("__t")).select(
         "doc_id",
@@ -116,7 +122,7 @@ def base_metrics(docs: DataFrame) -> DataFrame:
         "__w.n_repeat_words", (F.col("__w.word_chars") / one).alias("mean_word_chars"),
         (F.col("n_symbols") / one).alias("symbols_per_word"),
         (F.col("n_exclamations") / one).alias("exclamations_per_word"),
-        F.col("__w.stop_word_kinds"),
+        (F.col("__w.n_stop_words") / one).alias("stop_word_share"),
         (F.col("__l.dup") / F.greatest(F.col("__l.lines"), F.lit(1))).alias("dup_line_share"))
 
 

@@ -2,12 +2,16 @@
 from collections import Counter
 
 from adloom.llm.queries import URL_RULES
-from adloom.llm.quality_rules import STOP_WORDS, quality_rules
+from adloom.llm.quality_rules import EDGE, STOP_WORDS, quality_rules
 from adloom.llm.url_filter import url_filter, write_index
 
 from .conftest import WORDS
 
 
+def bare(word):
+    return "".join(c.lower() if c.isascii() else c for c in word).strip(EDGE)
+
+
 def expected(text):
     t = text or ""
     w = WORDS.findall(t)
@@ -20,7 +24,7 @@ def expected(text):
     failed = n < 50 or 100 * len(cover) > 50 * n
     one = max(n, 1)
     kept = (not failed and 2 <= chars / one <= 12 and symbols / one <= 0.1 and bangs / one <= 0.3
-            and len(set(w) & set(STOP_WORDS)) >= 1 and dup / max(len(lines), 1) <= 0.5)
+            and sum(bare(x) in STOP_WORDS for x in w) / one >= 0.02 and dup / max(len(lines), 1) <= 0.5)
     return n, chars, symbols, dup, len(cover), failed, kept
 
 
@@ -36,6 +40,16 @@ def test_many_repeated_windows(make_docs):
     assert row.n_repeat_words == expected(text)[4] == 2000
 
 
+def test_stop_words_count_by_share_in_any_case_and_punctuation(make_docs):
+    plain = [f"word{i}" for i in range(200)]
+    texts = [" ".join(plain + stops) for stops in (["The", "OF,", "(and)", "To."], ["the", "of", "and", "to", "in"], ["\u2019the"] * 5,
+                                                    ["\u212a"] * 9, ["the"])]
+    texts += [" ".join(plain[:n] + ["the"]) for n in (49, 50)]
+    rows = {r.doc_id: r for r in quality_rules(make_docs(texts)).collect()}
+    assert {i: rows[i].kept for i in rows} == {i: expected(t)[6] for i, t in enumerate(texts)}
+    assert rows[1].kept and rows[5].kept and not rows[2].kept and not rows[4].kept and not rows[6].kept
+
+
 def test_quality_rules_of_an_empty_table(make_docs):
     assert quality_rules(make_docs(["x"]).limit(0)).count() == 0
 
