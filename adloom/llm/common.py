@@ -20,9 +20,19 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
+#: Arrow batches as Spark would cut them, and as the operators here ask for them: a batch is held
+#: by the JVM and by Python, several times over, and texts are long.
+BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"),
+           ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"))
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Give the executors' Python this package, once per session, however Spark was started."""
+    """Give the executors' Python this package, once per session, however Spark was started, and
+    ask for small Arrow batches unless the session's owner has chosen a size."""
     sc = spark.sparkContext
+    for name, usual, ours in BATCHES:
+        if spark.conf.get(name) == usual:
+            spark.conf.set(name, ours)
     if getattr(sc, "_adloom_shipped", None) is None:
         root = Path(adloom.__file__).parent
         path = Path(tempfile.mkdtemp(prefix="adloom-")) / "adloom.zip"   # the driver's own; Spark hands it out
