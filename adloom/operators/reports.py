@@ -447,14 +447,17 @@ class Pages:
 
     The table is range-partitioned once in its order and written, a folder per bucket; the
     fences (rows and first key of each bucket, at most ``MOST_BUCKETS`` of them) say which
-    buckets hold a page, so that only these are read, and no task gets the rows before it."""
+    buckets hold a page, so that only these are read, and no task gets the rows before it.
+    ``columns`` (default: all) are those a page shows: only they and the columns of the order
+    are shuffled and stored."""
 
     def __init__(self, df: DataFrame, sort_col: str, ascending: bool, tie_cols: list[str], page_size: int = 50,
-                 cfg: OrderConfig | None = None, n_rows: int | None = None):
+                 cfg: OrderConfig | None = None, n_rows: int | None = None, columns: list[str] | None = None):
         self.size, self._order = page_size, page_order(df, sort_col, ascending, tie_cols)
         n = df.count() if n_rows is None else n_rows
-        self._columns = df.columns
-        buckets = df.repartitionByRange(n_buckets(n, cfg or OrderConfig()), *self._order).withColumn(BUCKET, F.spark_partition_id())
+        self._columns = df.columns if columns is None else list(columns)
+        kept = df.select(*[ref(c) for c in dict.fromkeys([*self._columns, sort_col, *tie_cols])])
+        buckets = kept.repartitionByRange(n_buckets(n, cfg or OrderConfig()), *self._order).withColumn(BUCKET, F.spark_partition_id())
         self._table = materialize(buckets, "pages", by=BUCKET)
         self.fences = materialize(self._table.groupBy(BUCKET).agg(
             F.count(F.lit(1)).alias("rows"), (F.min(ref(sort_col)) if ascending else F.max(ref(sort_col))).alias("first")), "fences")

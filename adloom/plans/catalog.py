@@ -20,7 +20,7 @@ from adloom.operators.roles import (CAMPAIGN_COLUMNS, SPEND_COLUMNS, first_in_co
 from adloom.plans.pipeline import CleanOptions, CleanResult, clean_dataset
 from adloom.plans.views import AD_ORDER, SALES_ORDER, source_state, view
 from adloom.functions.exprs import pround
-from adloom.session import materialize
+from adloom.session import materialize, stage_scope
 
 _CACHE: dict = {}
 
@@ -34,8 +34,10 @@ def cleaned(spark: SparkSession, sf_dir: str, name: str) -> CleanResult:
     key = (spark.sparkContext.applicationId, name, source_state(spark, sf_dir, name))
     if key not in _CACHE:
         order = {"ad_facts": AD_ORDER}.get(name, SALES_ORDER)
-        res = clean_dataset(view(spark, sf_dir, name), CleanOptions(order_keys=[c for c in order if c != "date"]))
-        res.df = materialize(res.df)
+        with stage_scope(spark) as stages:     # its stage tables go once the cleaned table is written
+            res = clean_dataset(view(spark, sf_dir, name), CleanOptions(order_keys=[c for c in order if c != "date"]))
+            res.df = materialize(res.df)
+            stages.pop()                       # the cleaned table itself, the last one written
         _CACHE[key] = res
     return _CACHE[key]
 
@@ -168,7 +170,7 @@ def q_page(spark, sf):
 def q_deep_page(spark, sf):
     """A page far from the start, by its number; the least revenue last."""
     res = cleaned(spark, sf, "sales_facts")
-    pages = R.Pages(res.df, "revenue", True, res.order_cols, n_rows=res.report["rows"])
+    pages = R.Pages(res.df, "revenue", True, res.order_cols, n_rows=res.report["rows"], columns=[*ROW_KEYS, "revenue"])
     return pages.page(pages.count // 2).select(*ROW_KEYS, pround("revenue", 2).alias("revenue"))
 
 

@@ -159,3 +159,26 @@ def test_pages_of_search_results(spark):
     found = R.search_pages(df, "NEEDLE", "v", True, ["id"], page_size=20)
     assert (found.rows, found.count) == (134, 7)
     assert [r["id"] for r in found.page(2).collect()] == [399 - 3 * k for k in range(20, 40)]
+
+
+def test_pages_store_only_what_they_show_and_their_order(spark):
+    rows = [(i % 7, i, f"wide {i}", -i) for i in range(300)]
+    df = spark.createDataFrame(rows, "v long, id long, t string, w long")
+    pages = R.Pages(df, "v", True, ["id"], page_size=20, cfg=OrderConfig(rows_per_bucket=50), columns=["w", "v"])
+    assert set(pages._table.columns) == {"w", "v", "id", BUCKET}
+    for n in (1, 8, 15):
+        assert pages.page(n).collect() == R.page(df, "v", True, n, ["id"], 20).select("w", "v").collect()
+
+
+def test_stage_tables_go_once_the_cleaned_table_is_written(spark, tmp_path):
+    import glob
+    import shutil
+    from adloom.plans.catalog import q_deep_page
+    from adloom.session import checkpoint_dir
+    for name in ("lineitem", "part"):
+        shutil.copy(f"{SF001}/{name}.parquet", tmp_path)
+    root = checkpoint_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{root}/adloom-tables/*"))
+    assert q_deep_page(spark, str(tmp_path)).count() == 50
+    left = {p.split("/")[-1].split("-")[0] for p in set(glob.glob(f"{root}/adloom-tables/*")) - before}
+    assert left == {"stage", "pages", "fences"}
