@@ -170,3 +170,31 @@ def test_rolling_days_match_pandas(spark):
             want = sum(near) / len(near) if t and near else None
             assert got == (None if want is None else pytest.approx(want, rel=1e-9)), (i, k)
     assert rolling_days(df.limit(0), "date", ["x"]).collect() == []
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_windows_order_by_stored_places_only(spark, facts):
+    """Sorted once, before the stage table: later steps carry and compare one number, not the keys."""
+    out = sequence_ops(facts, ORDER, n_rows=facts.count(), cum_cols=["clicks"], roll_cols=["clicks"],
+                       cfg=OrderConfig(rows_per_bucket=500)).select("clicks_cumulative", "clicks_ma7")
+    plan = _plan(out)
+    assert "_seq_p" in plan and "l_partkey" not in plan and "WindowGroupLimit" not in plan
+
+
+@pytest.mark.parametrize("rows_per_bucket", [97, 10 ** 9])
+def test_row_numbers_alone_need_no_window(facts, rows_per_bucket):
+    n = facts.count()
+    out = sequence_ops(facts, ORDER, n_rows=n, row_number_col="rn", cfg=OrderConfig(rows_per_bucket=rows_per_bucket))
+    assert "Window" not in _plan(out) and "hashpartitioning" not in _plan(out)
+    w = Window.orderBy(*[F.col(c).asc_nulls_last() for c in ORDER])
+    cols = ["rn", "l_orderkey", "l_linenumber", "l_partkey"]
+    assert _rows(out, cols) == _rows(facts.withColumn("rn", F.row_number().over(w)), cols)
+
+
+def test_rolling_days_leave_the_rows_in_place(spark):
+    df = spark.range(3000).select("id", (F.lit("2024-01-01").cast("date") + (F.col("id") % 90).cast("int")).alias("date"), "id")
+    plan = _plan(rolling_days(df.toDF("id", "date", "x"), "date", ["x"]))
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
