@@ -56,6 +56,10 @@ class OrderConfig:
     rows_per_bucket: int = 50_000      # target rows handled by one window task
 
 
+#: A table of more buckets than ``MANY_BUCKETS`` gets larger ones first, up to ``GROWN`` times the
+#: target: the blocks of a shuffle are map tasks times buckets, and both grow with the table.
+MANY_BUCKETS, GROWN = 240, 5
+
 #: More range partitions than this slow the driver; beyond it they grow.
 MOST_BUCKETS = 20_000
 
@@ -65,7 +69,8 @@ FEW_ROWS = 500_000
 
 
 def n_buckets(n_rows: int, cfg: OrderConfig) -> int:
-    return min(MOST_BUCKETS, max(1, math.ceil(n_rows / cfg.rows_per_bucket)))
+    wanted = math.ceil(n_rows / cfg.rows_per_bucket)
+    return min(MOST_BUCKETS, max(1, min(wanted, MANY_BUCKETS), math.ceil(wanted / GROWN)))
 
 
 def sort_orders(order_cols: list[str]) -> list[Column]:
@@ -88,11 +93,13 @@ def sequence_ops(df: DataFrame, order_cols: list[str], *, n_rows: int,
                  cum_cols: list[str] = (), roll_cols: list[str] = (),
                  windows: tuple[int, ...] = (3, 7), row_number_col: str | None = None,
                  cfg: OrderConfig | None = None, cum_names: dict | None = None,
-                 partition_by: list[str] = ()) -> DataFrame:
+                 partition_by: list[str] = (), place_col: str | None = None) -> DataFrame:
     """Add running sums (``<c>_cumulative``), trailing row averages
     (``<c>_ma<k>``) and optionally a 1-based row number, all in the
     declared order ``order_cols`` (ascending, nulls last), within the groups of
     ``partition_by`` (any columns of ``df``; null is a group) or over the whole table.
+    ``place_col`` adds a number that grows with the order (with gaps): once stored, a later
+    step sorts by it alone.
 
     Semantics: a null value gets a null running sum but the sum continues;
     rolling means ignore nulls inside the frame (min_periods = 1).
@@ -136,7 +143,7 @@ def sequence_ops(df: DataFrame, order_cols: list[str], *, n_rows: int,
         # the low 33 bits of a place count the rows of its bucket from 0: no window, no shuffle
         rn = F.coalesce(F.col("_off"), F.lit(0)) + F.col(PLACE).bitwiseAND(F.lit((1 << 33) - 1)) + F.lit(1)
         return staged.join(carries, F.col(BUCKET) == F.col("_b"), "left") \
-            .select(*[ref(c) for c in df.columns], rn.cast("long").alias(row_number_col))
+            .select(*[ref(c) for c in df.columns], rn.cast("long").alias(row_number_col), *([F.col(PLACE).alias(place_col)] if place_col else []))
 
     body = staged.withColumn(HALO, F.lit(False))
     h = max(windows) - 1 if roll_cols else 0
@@ -179,6 +186,8 @@ def sequence_ops(df: DataFrame, order_cols: list[str], *, n_rows: int,
     if row_number_col:
         rn = F.coalesce(F.col("_off"), F.lit(0)) + F.sum(F.when(real, F.lit(1)).otherwise(F.lit(0))).over(run)
         cols.append(rn.cast("long").alias(row_number_col))
+    if place_col:
+        cols.append(F.col(PLACE).alias(place_col))
     cols.append(F.col(HALO))
     return body.select(*cols).filter(~F.col(HALO)).drop(HALO)
 

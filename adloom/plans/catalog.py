@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from adloom.operators import profile as P
 from adloom.operators import reports as R
-from adloom.operators.ordered import rolling_days, sequence_ops
+from adloom.operators.ordered import PLACE, rolling_days, sequence_ops
 from adloom.operators.roles import (CAMPAIGN_COLUMNS, SPEND_COLUMNS, first_in_column_order,
                                     metric_keyword_columns, roles_frame)
 from adloom.plans.pipeline import CleanOptions, CleanResult, clean_dataset
 from adloom.plans.views import AD_ORDER, SALES_ORDER, source_state, view
-from adloom.functions.exprs import pround
+from adloom.functions.exprs import pround, ref
 from adloom.session import materialize, stage_scope
 
 _CACHE: dict = {}
@@ -36,12 +36,21 @@ def cleaned(spark: SparkSession, sf_dir: str, name: str) -> CleanResult:
         order = {"ad_facts": AD_ORDER}.get(name, SALES_ORDER)
         with stage_scope(spark) as stages:     # its stage tables go once the cleaned table is written
             res = clean_dataset(view(spark, sf_dir, name), CleanOptions(order_keys=[c for c in order if c != "date"]))
-            res.df = materialize(res.df)
+            stored = materialize(res.df if res.placed is None else res.placed)
+            if res.placed is not None:
+                res.placed = stored
+            res.df = stored.select(*map(ref, res.df.columns))
             stages.pop()                       # the cleaned table itself, the last one written
         _CACHE[key] = res
     return _CACHE[key]
 
 
+def _in_order(res: CleanResult) -> tuple[DataFrame, list[str]]:
+    """The cleaned table and the columns of its declared order: where it stores the place of each
+    row in that order, the place alone, so that no report compares the keys again."""
+    return (res.df, res.order_cols) if res.placed is None else (res.placed, [PLACE])
+
+
 def _sales(spark, sf):
     return cleaned(spark, sf, "sales_facts").df
 
@@ -62,7 +71,8 @@ def _trend(values, drop_null=()):
     """A sales series in date order, rows of a day in the declared order."""
     def run(spark, sf):
         res = cleaned(spark, sf, "sales_facts")
-        return R.trend(res.df, values(), list(drop_null), order_cols=res.order_cols, n_rows=res.report["rows"])
+        df, order = _in_order(res)
+        return R.trend(df, values(), list(drop_null), order_cols=order, n_rows=res.report["rows"])
     return run
 
 
@@ -81,8 +91,9 @@ def q_moving_averages(spark, sf):
 def q_channel_running(spark, sf):
     """W2 and W3 within each channel, a derived column."""
     res = cleaned(spark, sf, "sales_facts")
-    cols = list(dict.fromkeys(res.order_cols + ["channel", "revenue", "clicks"]))
-    seq = sequence_ops(res.df.select(*cols), res.order_cols, n_rows=res.report["rows"], cum_cols=["revenue", "clicks"],
+    df, order = _in_order(res)
+    cols = list(dict.fromkeys(order + ROW_KEYS + ["channel", "revenue", "clicks"]))
+    seq = sequence_ops(df.select(*cols), order, n_rows=res.report["rows"], cum_cols=["revenue", "clicks"],
                        roll_cols=["revenue", "clicks"], row_number_col="channel_row", partition_by=["channel"])
     return seq.select(*ROW_KEYS, "channel", "channel_row", _r("revenue_cumulative", 2), "clicks_cumulative",
                       *[_r(f"{c}_ma{k}", 4) for c in ("revenue", "clicks") for k in (3, 7)])
@@ -151,7 +162,8 @@ def q_suspicious_by_channel(spark, sf):
 def q_clicks_impressions_series(spark, sf):
     """T3 + W4: per-row series labelled by 0-based position in the declared order."""
     res = cleaned(spark, sf, "sales_facts")
-    return R.position_series(res.df, res.order_cols, ["clicks", "impressions"], res.report["rows"])
+    df, order = _in_order(res)
+    return R.position_series(df, order, ["clicks", "impressions"], res.report["rows"])
 
 
 def q_digest_sample(spark, sf):

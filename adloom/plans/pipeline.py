@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from adloom.functions.exprs import epoch_micros, is_datetime_type, is_numeric_type, nan_to_null, pround, ref
 from adloom.operators import clean as C
 from adloom.operators import features as FE
-from adloom.operators.ordered import (OrderConfig, attach_percentiles, exact_quantiles,
+from adloom.operators.ordered import (PLACE, OrderConfig, attach_percentiles, exact_quantiles,
                                       percentile_steps, rank_table, sequence_ops)
 from adloom.operators.roles import (CUMULATIVE_TARGETS, RANK_TARGETS, has_date_keyword,
                                     metric_keyword_columns)
@@ -54,6 +54,7 @@ class CleanResult:
     raw_columns: list[str]
     date_col: str | None
     order_cols: list[str]
+    placed: DataFrame | None = None     # ``df`` with the place of each row in the order (column PLACE), if it was sequenced
 
 
 def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanResult:
@@ -189,6 +190,7 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
     # checkpointed base); the percentile joins are attached afterwards.
     order_cols: list[str] = []
     seq_cols: list[str] = []
+    place: list = []
     if date_col:
         keys = opt.order_keys if opt.order_keys is not None else [c for c in raw_columns if c != date_col]
         order_cols = [date_col] + [k for k in keys if k != date_col]
@@ -204,21 +206,22 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
             need = [c for c in dict.fromkeys(roll + cum) if c not in raw_columns]
             seq_in = typed.select(*map(ref, raw_columns), *[cols[c].alias(c) for c in need])
             seq = sequence_ops(seq_in, order_cols, n_rows=n, cum_cols=cum, roll_cols=roll,
-                               cfg=opt.order)
+                               cfg=opt.order, place_col=PLACE)
             ma_names = [f"{c}_ma{k}" for c in roll for k in (3, 7)]
             # reference order: moving averages (per column, 3 then 7) before cumulative sums
-            seq_cols = ma_names + [c for c in seq.columns if c not in seq_in.columns and c not in ma_names]
+            seq_cols = ma_names + [c for c in seq.columns if c not in seq_in.columns and c not in ma_names and c != PLACE]
+            place = [F.col(PLACE)]
             frame = seq.select(*[ref(nm) if nm in seq_in.columns else e.alias(nm) for nm, e in cols.items()
                                  if nm not in seq_cols],
-                               *[pround(ref(c), 4).alias(c) if c in ma_names else ref(c) for c in seq_cols])
+                               *[pround(ref(c), 4).alias(c) if c in ma_names else ref(c) for c in seq_cols], *place)
     if ranked:
         steps = percentile_steps(ranks, {c: sizes[c] for c in ranked})
         frame = attach_percentiles(frame.drop(*pct_cols), steps, {c: f"{c}_percentile" for c in ranked})
-    ordered = [c for c in frame.columns if c not in pct_cols and c not in seq_cols] + pct_cols + seq_cols
-    frame = frame.select(*map(ref, ordered))
+    ordered = [c for c in frame.columns if c not in pct_cols and c not in seq_cols and not (place and c == PLACE)] + pct_cols + seq_cols
+    frame = frame.select(*map(ref, ordered), *place)
 
     # ---- remaining narrow features -------------------------------------------
-    cols = FE.base_columns(frame)
+    cols = FE.Columns((c, ref(c)) for c in ordered)
     if "tier" in blocks and "roas" in sizes and n >= 4:
         edges = exact_quantiles(ranks, {"roas": sizes["roas"]}, [0.0, 0.25, 0.5, 0.75, 1.0]).get("roas")
         if edges is not None and len(set(edges)) == 5:
@@ -232,9 +235,10 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
         FE.add_campaign(cols, FE.campaign_column(list(cols.keys())))
     if "quality" in blocks:
         FE.add_quality_score(cols)
-    out = cols.frame(frame)
+    placed = frame.select(*[e.alias(name) for name, e in cols.items()], *place)
+    out = placed.select(*map(ref, cols)) if place else placed
     report["columns_after"] = out.columns
-    return CleanResult(out, report, raw_columns, date_col, order_cols)
+    return CleanResult(out, report, raw_columns, date_col, order_cols, placed if place else None)
 
 
 def _overwrite(cols: FE.Columns, typed: DataFrame):

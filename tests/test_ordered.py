@@ -155,6 +155,22 @@ def test_bucket_count_is_bounded():
     assert n_buckets(10 ** 12, OrderConfig()) == MOST_BUCKETS and n_buckets(1, OrderConfig()) == 1
 
 
+def test_large_tables_get_larger_buckets():
+    from adloom.operators.ordered import GROWN, n_buckets
+    cfg = OrderConfig()
+    assert n_buckets(600_000, cfg) == 12 and n_buckets(12_000_000, cfg) == 240
+    for n in (36_000_000, 216_000_000):
+        assert n_buckets(n, cfg) < n / cfg.rows_per_bucket / 2 and n / n_buckets(n, cfg) <= GROWN * cfg.rows_per_bucket
+
+
+@pytest.mark.parametrize("rows_per_bucket", [97, 10 ** 9])
+def test_places_grow_with_the_order(facts, rows_per_bucket):
+    out = sequence_ops(facts, ORDER, n_rows=facts.count(), cum_cols=["clicks"], roll_cols=["revenue"], row_number_col="rn",
+                       place_col="place", cfg=OrderConfig(rows_per_bucket=rows_per_bucket)).select("rn", "place").orderBy("rn").collect()
+    places = [r["place"] for r in out]
+    assert len(places) == facts.count() and all(a < b for a, b in zip(places, places[1:]))
+
+
 def test_rolling_days_match_pandas(spark):
     rng = np.random.default_rng(4)
     day = np.where(rng.random(400) < 0.33, 7, rng.integers(0, 60, 400))       # a hot day, gaps

@@ -49,6 +49,28 @@ def test_hot_date_is_split_across_buckets(spark):
     assert out.agg(F.max("clicks_cumulative")).first()[0] == hot.agg(F.sum("clicks")).first()[0]
 
 
+def test_series_sort_by_the_stored_place(spark, monkeypatch):
+    """The cleaned table keeps the place of each row; no series compares the keys of the order again."""
+    import adloom.plans.catalog as C
+    from adloom.operators.ordered import PLACE
+    res = cleaned(spark, SF001, "sales_facts")
+    assert PLACE not in res.df.columns and res.placed.columns == [*res.df.columns, PLACE]
+    names = ["revenue_trend", "cumulative_revenue", "channel_running", "clicks_impressions_series"]
+    seen = []
+
+    def watched(df, order, **options):
+        seen.append((df, order))
+        return sequence_ops(df, order, **options)
+
+    monkeypatch.setattr(C, "sequence_ops", watched)
+    monkeypatch.setattr(R, "sequence_ops", watched)
+    rows = lambda: {k: sorted(map(str, C.QUERIES[k](spark, SF001).collect())) for k in names}
+    got = rows()
+    assert len(seen) == len(names) and all("campaign_name" not in df.columns and len(order) <= 2 for df, order in seen)
+    monkeypatch.setattr(C, "_in_order", lambda r: (r.df, r.order_cols))
+    assert got == rows()
+
+
 def test_report_scan_is_pruned(spark):
     res = cleaned(spark, SF001, "sales_facts")
     plan = R.revenue_by_date(res.df)._jdf.queryExecution().executedPlan().toString()
