@@ -19,9 +19,12 @@ equal strings meet without bringing the corpus together:
    shorter; only other positions, those after a prefix of 0 and every 128th compare bytes.  Starts with a common
    prefix of ``span`` or more are repeats.
 4. An anchor with more runs than surely fit one block (``crowd``, some 6,200) could bring
-   a segment of every document to one task.  Its starts are dealt again by the 128-bit
-   hash of their own string: equal strings still meet, as counts that combine before the
-   shuffle, and no task holds the group.  A segment a task has met before is a repeat.
+   a segment of every document to one task.  Its segments are cut again at the anchors of
+   wider windows (166 bytes, then 192), which fewer strings share; those that are not crowded
+   go to the shards of step 2.  Only the few starts whose widest window is crowded still are
+   dealt one by one, by the 128-bit hash of their own string: equal strings still meet, as
+   counts that combine before the shuffle, and no task holds the group.  A segment a task has
+   met before is a repeat.
 5. Covered intervals are merged by class and cut from the text.
 
 Segments are separated by 0xFF, which UTF-8 lacks, so no match crosses documents.
@@ -34,6 +37,7 @@ equal texts of at least ``span`` bytes remove each other whole; a text shorter t
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -320,54 +324,87 @@ def _segments(span: int, window: int, remember: int = 300_000):
     return run
 
 
-def _crowded_starts(span: int, window: int, remember: int = 300_000, most: int = 100_000):
-    """The starts of the anchors marked in ``idx``: rows (c, lo, i, n, k1, k2) with the hash of
-    the string at lo + i, and rows without hash for n starts from lo that are repeats already
-    because this task has met their whole segment."""
+def _marked_parts(span: int, window: int):
+    """The segments (c, first start, bytes) of the anchors marked in ``idx``."""
+    def parts(b):
+        texts, cs = texts_of(b.column("text")), b.column("c").to_pylist()
+        text, los, his, _, _ = anchor_runs(texts, span, window)
+        ends = np.searchsorted(text, np.arange(len(texts) + 1))
+        for j, (t, c, idx) in enumerate(zip(texts, cs, b.column("idx"))):
+            at = idx.values.to_numpy() + ends[j]
+            for lo, hi in zip(los[at].tolist(), his[at].tolist()):
+                yield c, lo, t[lo:hi + span]
+    return parts
+
+
+def _whole_parts(b):
+    """The segments (c, first start, bytes) that are rows already."""
+    return zip(b.column("c").to_pylist(), b.column("lo").to_pylist(), texts_of(b.column("text")))
+
+
+def _unmet(span: int, parts, remember: int = 300_000):
+    """Cuts ``parts`` into those that a task has not met, and the runs (c, first start, number of
+    starts) that are repeats already because it has met their whole segment.  Runs of a class
+    whose bytes touch are one: a string that a text repeats again and again makes no row each time."""
+    met: dict[bytes, tuple[int, int, int] | None] = {}         # the first of equal segments, until it is a repeat itself
+
+    def of(b):
+        fresh, known = [], []
+        for c, lo, seg in parts(b):
+            run, d = (c, lo, len(seg) - span + 1), xxhash.xxh3_128_digest(seg)
+            if d in met:
+                known += [x for x in (run, met[d]) if x is not None]
+                met[d] = None
+            else:
+                if len(met) < remember:
+                    met[d] = run
+                fresh.append((c, lo, seg))
+        touching: list[list[int]] = []
+        for c, lo, n in sorted(known):
+            if touching and touching[-1][0] == c and lo <= touching[-1][2]:
+                touching[-1][2] = max(touching[-1][2], lo + n - 1 + span)
+            else:
+                touching.append([c, lo, lo + n - 1 + span])
+        return fresh, [(c, s, e - s - span + 1) for c, s, e in touching]
+    return of
+
+
+def _finer(span: int, window: int, parts, most: int = 10_000):
+    """The segments of ``parts`` cut at the anchors of a wider ``window``: rows (anchor, d1, d2, c, lo,
+    owned, seg).  Rows without anchor are runs that are repeats already."""
     def run(batches):
-        met: dict[bytes, tuple[int, int, int] | None] = {}     # the first of equal segments, until it is a repeat itself
-        columns: list[list] = [[], [], [], [], []]
-        digests: list[bytes] = []
-
-        def add(c, lo, i, n, known):
-            for column, x in zip(columns, (c, lo, i, n, known)):
-                column.append(x)
+        unmet = _unmet(span, parts)
+        for b in bounded_texts(batches):
+            fresh, known = unmet(b)
+            rows: list[tuple] = [(None, None, None, *x, None) for x in known]
+            part, los, his, _, h = anchor_runs([x[2] for x in fresh], span, window)
+            for p, s, e, key in zip(part.tolist(), los.tolist(), his.tolist(), h.view(np.int64).tolist()):
+                c, lo, seg = fresh[p]
+                d = xxhash.xxh3_128_digest(seg[s:e + span])
+                rows.append((key, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True),
+                             c, lo + s, e - s + 1, seg[s:e + span]))
+            for at in range(0, len(rows), most):
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows[at:at + most]), (*[pa.int64()] * 6, pa.binary()))],
+                                                 names=["anchor", "d1", "d2", "c", "lo", "owned", "seg"])
+    return run
 
-        def batch_of():
-            c, lo, i, n, known = columns
-            found = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            nulls = np.array(known, bool)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()), pa.array(lo, pa.int64()), pa.array(i, pa.int32()), pa.array(n, pa.int32()),
-                 *(pa.array(found[:, k], pa.int64(), mask=nulls) for k in (0, 1))], names=["c", "lo", "i", "n", "k1", "k2"])
-            for x in (*columns, digests):
-                x.clear()
-            return out
 
+def _crowded_starts(span: int, parts, most: int = 100_000):
+    """The starts of the segments of ``parts``: rows (c, lo, i, n, k1, k2) with the hash of the string
+    at lo + i, and rows without hash for n starts from lo that are repeats already."""
+    def run(batches):
+        unmet = _unmet(span, parts)
         for b in bounded_texts(batches):
-            texts, cs = texts_of(b.column("text")), b.column("c").to_pylist()
-            text, los, his, _, _ = anchor_runs(texts, span, window)
-            ends = np.searchsorted(text, np.arange(len(texts) + 1))
-            for j, (t, c, idx) in enumerate(zip(texts, cs, b.column("idx"))):
-                at = idx.values.to_numpy() + ends[j]
-                for lo, hi in zip(los[at].tolist(), his[at].tolist()):
-                    owned, d = hi - lo + 1, xxhash.xxh3_128_digest(t[lo:hi + span])
-                    if d in met:
-                        for first in ((c, lo, owned), met[d]):
-                            if first is not None:
-                                add(first[0], first[1], 0, first[2], True)
-                                digests.append(bytes(16))
-                        met[d] = None
-                    else:
-                        if len(met) < remember:
-                            met[d] = (c, lo, owned)
-                        for i in range(owned):
-                            add(c, lo, i, 1, False)
-                            digests.append(xxhash.xxh3_128_digest(t[lo + i:lo + i + span]))
-                    if len(digests) >= most:
-                        yield batch_of()
-        if digests:
-            yield batch_of()
+            fresh, known = unmet(b)
+            rows = [(c, lo, 0, n, None, None) for c, lo, n in known]
+            for c, lo, seg in fresh:
+                for i in range(len(seg) - span + 1):
+                    d = xxhash.xxh3_128_digest(seg[i:i + span])
+                    rows.append((c, lo, i, 1, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            for at in range(0, len(rows), most):
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows[at:at + most]), kinds)],
+                                                 names=["c", "lo", "i", "n", "k1", "k2"])
     return run
 
 
@@ -384,16 +421,29 @@ def _start_runs(span: int):
     return run
 
 
-def crowded_covers(texts: DataFrame, span: int, window: int) -> DataFrame:
-    """Covered intervals (c, s, e) of the starts marked in ``texts`` (c, idx, text)."""
-    starts = materialize(texts.mapInArrow(_crowded_starts(span, window), "c long, lo long, i int, n int, k1 long, k2 long"), "starts")
+def crowded_covers(texts: DataFrame, span: int, window: int, crowd: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Of the anchors marked in ``texts`` (c, idx, text): segments of finer anchors that are not
+    crowded, and covered intervals (c, s, e) of the rest."""
+    segments, covers, parts, gap = [], [], _marked_parts(span, window), (span - window) // 4
+    whole = lambda rows, n: rows.select("c", F.col("lo").alias("s"), (F.col("lo") + F.col(n) - 1 + span).alias("e"))
+    while gap >= 8:                 # a wider window: some four or five finer segments of each
+        cut = materialize(texts.mapInArrow(_finer(span, span - gap, parts), "anchor long, d1 long, d2 long, c long, lo long, owned long, seg binary"),
+                          "finer")
+        covers.append(whole(cut.filter("anchor IS NULL"), "owned"))
+        counts = materialize(cut.filter("anchor IS NOT NULL").groupBy(F.col("anchor").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+                             .filter("n > 1"), "finer-counts")
+        rows = join_few(cut, counts, F.col("anchor") == F.col("key"))
+        segments.append(rows.filter(F.col("n") <= crowd).withColumn("has", F.lit(0)).select(SEGMENT_COLUMNS))
+        if counts.filter(F.col("n") > crowd).isEmpty():
+            return segments, covers
+        texts, parts, gap = rows.filter(F.col("n") > crowd).select("c", "lo", F.col("seg").alias("text")), _whole_parts, gap // 4
+    starts = materialize(texts.mapInArrow(_crowded_starts(span, parts), "c long, lo long, i int, n int, k1 long, k2 long"), "starts")
     hashed = starts.filter("k1 IS NOT NULL").select("c", "lo", "i", "k1", "k2")
     often = materialize(hashed.groupBy(F.col("k1").alias("a1"), F.col("k2").alias("a2")).agg(F.count(F.lit(1)).alias("n"))
                         .filter("n > 1").select("a1", "a2"), "often")
     again = join_few(hashed, often, (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2")))
     runs = again.groupBy("c", "lo").agg(F.sort_array(F.collect_list("i")).alias("at")).mapInArrow(_start_runs(span), "c long, s long, e long")
-    known = starts.filter("k1 IS NULL").select("c", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + span).alias("e"))
-    return runs.unionByName(known)
+    return segments, [*covers, runs, whole(starts.filter("k1 IS NULL"), "n")]
 
 
 SEGMENT_COLUMNS = ["anchor", "d1", "d2", "has", "c", "lo", "owned", "seg"]
@@ -450,9 +500,10 @@ def suffix_dedup(docs: DataFrame, span: int = 200, window: int = 64, few_interva
         F.monotonically_increasing_id().alias("c"), "sha", "copies", F.col("r.doc_id").alias("rep_doc"),
         F.col("r.th").alias("rep_th"), F.col("r.n_bytes").alias("n_bytes"), F.col("r.anchors").alias("anchors")), "classes")
     posted = classes.select("c", F.posexplode("anchors").alias("i", "key"))
-    counts = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # written, so that the join can split a crowded key's postings, or needs no shuffle
+    counts = materialize(posted.groupBy(F.col("key").alias("often")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated")
     chosen = lambda which: F.sort_array(F.collect_list(F.when(which, F.col("i"))))
-    marked = posted.join(counts, "key").groupBy("c").agg(
+    marked = join_few(posted, counts, F.col("key") == F.col("often")).groupBy("c").agg(
         chosen(F.col("n") <= crowd).alias("idx"), chosen(F.col("n") > crowd).alias("crowded"))
     wanted = materialize(classes.select("c", "rep_doc", "rep_th").join(marked, "c"), "marked")
 
@@ -462,11 +513,14 @@ def suffix_dedup(docs: DataFrame, span: int = 200, window: int = 64, few_interva
 
     segments = at_text(wanted.filter("size(idx) > 0")).select("c", "idx", "text").mapInArrow(_segments(span, window), SEGMENTS)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    covers = segments.repartition(n, "anchor").sortWithinPartitions("anchor", "d1", "d2", "has") \
-        .mapInArrow(resolve_segments(span), "c long, s long, e long")
     crowded = wanted.filter("size(crowded) > 0").select("c", "rep_doc", "rep_th", F.col("crowded").alias("idx"))
+    others: list[DataFrame] = []
     if not crowded.isEmpty():
-        covers = covers.unionByName(crowded_covers(at_text(crowded).select("c", "idx", "text"), span, window))
+        finer, others = crowded_covers(at_text(crowded).select("c", "idx", "text"), span, window, crowd)
+        segments = reduce(DataFrame.unionByName, finer, segments)
+    covers = segments.repartition(n, "anchor").sortWithinPartitions("anchor", "d1", "d2", "has") \
+        .mapInArrow(resolve_segments(span), "c long, s long, e long")
+    covers = reduce(DataFrame.unionByName, others, covers)
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= span)
     some = covers.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("cover")) \
         .mapInArrow(_merge, "c long, s array<long>, e array<long>")

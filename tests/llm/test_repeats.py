@@ -108,6 +108,47 @@ def test_no_task_holds_the_segments_of_a_crowded_anchor(make_docs, odd_texts, mo
         assert got == want, crowd
 
 
+def test_a_crowded_anchor_is_cut_finer_before_its_starts_are_dealt(make_docs, monkeypatch):
+    import adloom.llm.suffix_dedup as S
+    rng = random.Random(13)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(120)                                   # in every text, but no 200 bytes repeat
+    texts = [text(300) + passage + text(300) for _ in range(40)]
+    texts += [texts[0][200:] + text(90), text(50) + texts[1][:600]]
+    starts = S._crowded_starts
+
+    def watched(span, parts):
+        solve = starts(span, parts)
+
+        def run(batches):
+            for b in solve(batches):
+                assert b.num_rows <= 50, "a row for each start of a crowded anchor"
+                yield b
+        return run
+
+    monkeypatch.setattr(S, "_crowded_starts", watched)
+    monkeypatch.setattr(S, "BLOCK", 5 * 337)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(make_docs(texts)).collect()}
+    assert got == dict(enumerate(brute_cut(texts, 200)))
+
+
+def test_known_repeats_that_touch_are_one_row():
+    import pyarrow as pa
+    import adloom.llm.suffix_dedup as S
+    rng = random.Random(14)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(90)) + "\n"
+    texts = ["lead" + line * 20 + "tail", line * 30]
+    runs = [len(S.anchor_runs([t.encode()], 200, 64)[0]) for t in texts]
+    batch = pa.RecordBatch.from_pydict({"c": pa.array([0, 1], pa.int64()), "text": texts,
+                                        "idx": pa.array([list(range(n)) for n in runs], pa.list_(pa.int32()))})
+    rows = [r for b in S._finer(200, 166, S._marked_parts(200, 64))([batch]) for r in b.to_pylist()]
+    known = [r for r in rows if r["anchor"] is None]
+    assert sum(runs) > 40 and len(known) <= 4
+    for c, t in enumerate(texts):                         # what they cover is what the runs with a twin cover
+        n = max((r["lo"] + r["owned"] - 1 + 200 for r in known if r["c"] == c), default=0)
+        assert n >= len(t) - 200 and all(r["owned"] > 0 for r in known)
+
+
 def test_blocks_mark_both_sides():
     seg = bytes(range(32, 122)) * 3
     x, y = Block([seg[:250]], [51], 200), Block([b"start" + seg[20:255]], [41], 200)
