@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adloom.llm.common import bounded_texts, join_few, mix64, power_tables, small_slices, texts_of
-from adloom.session import materialize
+from adloom.session import materialize, materialize_narrow
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -151,18 +151,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for all nodes of the edges (a, b): alternating large and small stars.
 
     Minima are combined before the shuffle and neighbours are never gathered in a row."""
-    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    e = materialize_narrow(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                     .filter("u <> v").distinct(), "edges")
     before = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
         large = both.join(low, F.col("u") == F.col("x")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.filter("u <> v").distinct(), "large")
+        large = materialize_narrow(large.filter("u <> v").distinct(), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low.withColumnRenamed("u", "x"), F.col("u") == F.col("x")) \
             .select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).filter("u <> v")
-        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
+        e = materialize_narrow(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -217,7 +217,7 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, w: int, percen
     """The linked pairs among the candidate pairs (a, b)."""
     def sides(found, marks):
         nodes = found.select(F.col("a").alias("c")).union(found.select(F.col("b").alias("c"))).distinct()
-        wanted = materialize(classes.select("c", "rep_doc", "rep_th").join(nodes, "c", "left_semi"), "wanted")
+        wanted = materialize_narrow(classes.select("c", "rep_doc", "rep_th").join(nodes, "c", "left_semi"), "wanted")
         sets = materialize(fetch_sets(docs, wanted, w, marks), "sets")
         both = found
         for x in "ab":
@@ -302,15 +302,15 @@ def _tiles(percent: int):
 
 def crowd_links(opened: DataFrame, docs: DataFrame, classes: DataFrame, w: int, percent: int, block: int) -> DataFrame | None:
     """(a, b): links among the members of open lists that join all that are linked; None: there is no list."""
-    crowd = materialize(opened.select("lo", "c", "root").distinct(), "crowd")
+    crowd = materialize_narrow(opened.select("lo", "c", "root").distinct(), "crowd")
     blocks = crowd.groupBy("lo").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
     if crowd.isEmpty():
         return None
-    wanted = materialize(classes.select("c", "rep_doc", "rep_th").join(crowd.select("c").distinct(), "c", "left_semi"), "wanted")
+    wanted = materialize_narrow(classes.select("c", "rep_doc", "rep_th").join(crowd.select("c").distinct(), "c", "left_semi"), "wanted")
     dealt = crowd.join(blocks, "lo").withColumn("block", F.pmod(F.xxhash64("c"), F.col("nb")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))) \
         .select("lo", "c", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    dealt = materialize(dealt, "dealt")
+    dealt = materialize_narrow(dealt, "dealt")
 
     def linked(short: bool) -> DataFrame:       # sets go to their tiles straight from the texts
         tiles = join_few(fetch_sets(docs, wanted, w, short=short), dealt, "c").repartition("lo", "i", "j")
@@ -378,9 +378,9 @@ def candidate_lists(docs: DataFrame, classes: DataFrame, postings: DataFrame, w:
     if not len(tokens):
         return first.withColumn("turn", F.lit(1)), classes.select("c", "n", F.lit(0).alias("f"))
     counts = shared.filter(F.col("df") > limit).groupBy("c").agg(F.count(F.lit(1)).alias("f"))
-    sizes = materialize(classes.select("c", "n").join(counts, "c", "left")
+    sizes = materialize_narrow(classes.select("c", "n").join(counts, "c", "left")
                         .select("c", "n", F.coalesce("f", F.lit(0)).cast("int").alias("f")), "sizes")
-    heavy = materialize(sizes.filter(F.col("f") > F.floor(percent * F.col("n") / 1600)).select("c"), "heavy")
+    heavy = materialize_narrow(sizes.filter(F.col("f") > F.floor(percent * F.col("n") / 1600)).select("c"), "heavy")
     wanted = classes.select("c", "rep_doc", "rep_th").join(heavy, "c", "left_semi")
     second = materialize(fetch_sets(docs, wanted, w).mapInArrow(_reordered(tokens, percent), "key long, c long"), "reordered")
     marked = heavy.select(F.col("c").alias("__c"), F.lit(2).alias("turn"))
@@ -431,7 +431,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, postings: DataFrame, w: in
             continue
         if not found.isEmpty():
             edges = found if edges is None else edges.unionByName(found)
-            roots = materialize(components(edges).select(F.col("node").alias("c"), "root"), "roots")
+            roots = materialize_narrow(components(edges).select(F.col("node").alias("c"), "root"), "roots")
     return roots
 
 

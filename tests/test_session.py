@@ -18,3 +18,11 @@ def test_stage_tables_are_written_with_methods_the_jvm_compiles(spark, monkeypat
     monkeypatch.setattr(session, "compiled_methods", watched)
     assert session.materialize(spark.range(3)).count() == 3
     assert inside == [str(session.COMPILED_BYTES)] and spark.conf.get(KEY) == before
+
+
+def test_narrow_tables_have_some_files_for_each_core(spark):
+    rows = spark.range(0, 5000, 1, 400).toDF("c")           # a file for each of 400 partitions otherwise
+    table = session.materialize_narrow(rows)
+    most = session.FILES_PER_CORE * max(2, spark.sparkContext.defaultParallelism)
+    assert len(table.inputFiles()) <= most < 400
+    assert sorted(r.c for r in table.collect()) == list(range(5000))
