@@ -26,3 +26,15 @@ def test_narrow_tables_have_some_files_for_each_core(spark):
     most = session.FILES_PER_CORE * max(2, spark.sparkContext.defaultParallelism)
     assert len(table.inputFiles()) <= most < 400
     assert sorted(r.c for r in table.collect()) == list(range(5000))
+
+
+def test_local_stage_tables_have_no_checksum_files(spark):
+    """Each would be a file more, and its rights are set by a process of its own."""
+    from pathlib import Path
+    rows = spark.range(0, 100, 1, 5).selectExpr("id AS c", "id % 3 AS part")
+    for table in (session.materialize(rows), session.materialize(rows, by="part")):
+        files = [Path(f.removeprefix("file://")) for f in table.inputFiles()]
+        assert files and all(f.exists() for f in files)
+        assert [x for f in files for x in f.parent.iterdir() if x.name.endswith(".crc")] == []
+        assert sorted(r.c for r in table.collect()) == list(range(100))
+    assert spark.conf.get("fs.file.impl", None) is None     # the session's own writes are as before
