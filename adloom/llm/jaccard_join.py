@@ -123,10 +123,12 @@ def document_sets(docs: DataFrame, w: int, percent: int) -> DataFrame:
         .mapInArrow(run, "doc_id long, th long, n long, key binary, prefix array<long>")
 
 
-def fetch_sets(docs: DataFrame, wanted: DataFrame, w: int, marks: bool = False, short: bool = False) -> DataFrame:
+def fetch_sets(docs: DataFrame, wanted: DataFrame, w: int, marks: bool = False, short: bool = False, then=None,
+               schema: str = "") -> DataFrame:
     """(c, tokens), or (c, n, marks), of the classes in ``wanted`` (c, rep_doc, rep_th), from
     their texts.  ``marks``: 16 bits of each token, 32 for large sets, sorted; ``short``: tokens
-    of 32 bits."""
+    of 32 bits.  ``then``: goes over the batches in the same Python worker and makes rows of ``schema``;
+    a second mapInArrow would give every task a second worker, whose memory stays."""
     def run(batches):
         for b in bounded_texts(batches):
             sets = shingle_sets(texts_of(b.column("text")), w)
@@ -138,6 +140,8 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, w: int, marks: bool = False,
             yield pa.RecordBatch.from_pydict({"c": b.column("c"), **columns})
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     found = join_few(texts, wanted, (F.col("th") == F.col("rep_th")) & F.col("doc_id").eqNullSafe(F.col("rep_doc")))
+    if then:
+        return found.select("c", "text").mapInArrow(lambda batches: then(run(batches)), schema)
     return found.select("c", "text").mapInArrow(run, "c long, n long, marks binary" if marks else
                                                f"c long, tokens array<{'int' if short else 'long'}>")
 
@@ -382,7 +386,7 @@ def candidate_lists(docs: DataFrame, classes: DataFrame, postings: DataFrame, w:
                         .select("c", "n", F.coalesce("f", F.lit(0)).cast("int").alias("f")), "sizes")
     heavy = materialize_narrow(sizes.filter(F.col("f") > F.floor(percent * F.col("n") / 1600)).select("c"), "heavy")
     wanted = classes.select("c", "rep_doc", "rep_th").join(heavy, "c", "left_semi")
-    second = materialize(fetch_sets(docs, wanted, w).mapInArrow(_reordered(tokens, percent), "key long, c long"), "reordered")
+    second = materialize(fetch_sets(docs, wanted, w, then=_reordered(tokens, percent), schema="key long, c long"), "reordered")
     marked = heavy.select(F.col("c").alias("__c"), F.lit(2).alias("turn"))
     first = first.join(marked, F.col("c") == F.col("__c"), "left").select("key", "c", F.coalesce("turn", F.lit(1)).alias("turn"))
     return first.unionByName(_shared_keys(second).select("key", "c", F.lit(3).alias("turn"))), sizes

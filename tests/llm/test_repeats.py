@@ -277,6 +277,22 @@ def test_crowds_of_drifting_copies(make_docs, options):
     assert len(set(want.values())) > 20 and got == want
 
 
+def test_sets_of_index_2_are_made_and_reordered_in_one_worker(make_docs, monkeypatch):
+    """Two mapInArrow in a row give every task two Python workers, which keep their memory."""
+    plain, plans = J.materialize, {}
+
+    def watched(df, label="stage", **other):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, label, **other)
+
+    monkeypatch.setattr(J, "materialize", watched)
+    passage = " ".join(f"common{i}" for i in range(30))
+    texts = [f"{passage} own{k} words{k} of{k} text{k}" for k in range(12)] + ["five words that stand alone"]
+    got = {r.doc_id: r.component_id for r in J.jaccard_classes(make_docs(texts), frequent=4).collect()}
+    assert got == {**dict.fromkeys(range(12), 0), 12: 12}
+    assert plans["reordered"].count("MapInArrow") == 1
+
+
 def test_tiles_are_done_again_if_a_link_fails(make_docs, monkeypatch):
     texts = drifting_copies(40, 60, 5)
     want = {r.doc_id: r.component_id for r in J.jaccard_classes(make_docs(texts)).collect()}
