@@ -72,6 +72,34 @@ def effective_strategies(fill_strategy: str | None, strategy_numeric: str | None
     return ("mean" if num == "mean" else "zero"), ("constant" if cat == "constant" else "mode")
 
 
+def _hashes_alike(dt: T.DataType) -> bool:
+    """Whether equal values of this type surely have one hash: not so for texts that a collation compares."""
+    return isinstance(dt, T.AtomicType) and (not isinstance(dt, T.StringType) or type(dt) is T.StringType and dt.isUTF8BinaryCollation())
+
+
+def digest(df: DataFrame) -> Column | None:
+    """A hash of the whole row, the same for equal rows; none if a type does not give it.
+
+    ``df`` holds no ``-0.0`` (``exprs.nan_to_null`` and ``plain_zero``)."""
+    return F.xxhash64(*map(ref, df.columns)) if all(_hashes_alike(f.dataType) for f in df.schema.fields) else None
+
+
+def may_repeat(df: DataFrame) -> bool:
+    """Whether a row may occur twice.  Only hashes are shuffled, so a table without copies, the usual
+    one, need not be: equal rows have equal hashes.  Two different rows of one hash (about one chance
+    in 800 for 216 million rows) give true as well."""
+    mark = digest(df)
+    return mark is None or not df.groupBy(mark.alias("d")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
+def drop_copies(df: DataFrame, k: int) -> list[DataFrame]:
+    """``dropDuplicates`` in ``k`` parts: copies have one hash, so they are in one part."""
+    mark = digest(df)
+    if k == 1 or mark is None:
+        return [df.dropDuplicates()]
+    return [df.where(F.pmod(mark, F.lit(k)) == i).dropDuplicates() for i in range(k)]
+
+
 #: ISO text first, then the fixed layouts.
 N_LAYOUTS = 1 + len(DATE_FORMATS)
 

@@ -9,6 +9,8 @@ partition.  The operators here keep the same results but split the work:
   bucket id (``spark_partition_id()``) and the row's place are fixed by a
   reliable checkpoint, so every later job sees the same buckets and orders by
   one number.  A row number alone follows from the places without a window.
+* **Slices.**  A shuffle lies on the disks until it is read.  Beyond ``OrderConfig.cells_per_range``
+  the order is cut into slices that are shuffled and written one after the other.
 * **Prefix sums (W3).**  Per-bucket totals (one row per bucket) give each
   bucket an offset; a window *partitioned by bucket* adds the offset to the
   running sum.  Integers add up in 64 bits, other numbers as doubles, whatever
@@ -28,7 +30,7 @@ partition.  The operators here keep the same results but split the work:
   grows with the value: the least value of each step is all a row needs, looked
   up by binary search in the row's own task.  The wide frame is not shuffled.
 
-There is one code path for every size; a small table is one bucket.
+There is one code path for every size; a small table is one slice and one bucket.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adloom.functions.exprs import pround, ref
-from adloom.session import materialize
+from adloom.session import brief_shuffles, materialize, materialize_parts
 
 BUCKET = "_seq_b"
 PLACE = "_seq_p"
@@ -54,6 +56,9 @@ HALO = "_seq_halo"
 class OrderConfig:
     """Sizing of the distributed ordered operators."""
     rows_per_bucket: int = 50_000      # target rows handled by one window task
+    # rows times columns that are shuffled at a time, as a shuffle lies on the disks until it is read:
+    cells_per_range: int = 2_000_000_000    # by the range shuffle; a slice costs two scans of its input
+    cells_per_part: int = 800_000_000       # by the windows of a part of a cleaned table, by dropping copies
 
 
 #: A table of more buckets than ``MANY_BUCKETS`` gets larger ones first, up to ``GROWN`` times the
@@ -73,10 +78,54 @@ def n_buckets(n_rows: int, cfg: OrderConfig) -> int:
     return min(MOST_BUCKETS, max(1, min(wanted, MANY_BUCKETS), math.ceil(wanted / GROWN)))
 
 
+def n_parts(n_rows: int, n_columns: int, cells: int) -> int:
+    return max(1, math.ceil(n_rows * n_columns / cells))
+
+
 def sort_orders(order_cols: list[str]) -> list[Column]:
     return [ref(c).asc_nulls_last() for c in order_cols]
 
 
+#: Keys drawn for each slice to find its border; as in a range partitioning, they decide how
+#: even the slices are, never which rows there are.
+DRAWN_PER_SLICE = 1000
+
+
+def order_slices(df: DataFrame, order_cols: list[str], k: int, n_rows: int) -> list[DataFrame]:
+    """``df`` cut into at most ``k`` slices that follow one another in the order (ascending, nulls last).
+
+    A slice holds the rows from its border up to the next one, so every row is in exactly one."""
+    if k == 1:
+        return [df]
+    order, names = sort_orders(order_cols), [f"_k{i}" for i in range(len(order_cols))]
+    drawn = df.select(*map(ref, order_cols)).sample(min(1.0, DRAWN_PER_SLICE * k / max(1, n_rows)), seed=7)
+    tiles = drawn.withColumn("_tile", F.ntile(k).over(Window.orderBy(*order)))      # of some thousand keys
+    first = F.row_number().over(Window.partitionBy("_tile").orderBy(*order))
+    with brief_shuffles(df.sparkSession):
+        borders = materialize(tiles.withColumn("_first", first).where("_first = 1 AND _tile > 1")
+                              .select("_tile", *[ref(c).alias(x) for c, x in zip(order_cols, names)]), "borders")
+    at = sorted(r["_tile"] for r in borders.select("_tile").collect())
+    reached = _reached(order_cols, names)
+
+    def slice_of(lower: int | None, upper: int | None) -> DataFrame:
+        out = df
+        for tile, inside in ((lower, reached), (upper, ~reached)):
+            if tile is not None:
+                out = out.join(F.broadcast(borders.where(F.col("_tile") == tile)), inside).select(*map(ref, df.columns))
+        return out
+
+    return [slice_of(a, b) for a, b in zip([None, *at], [*at, None])]
+
+
+def _reached(order_cols: list[str], border: list[str]) -> Column:
+    """Whether a row is at the border or after it, nulls last."""
+    out = F.lit(True)
+    for c, b in reversed(list(zip(order_cols, border))):
+        after = F.when(F.col(b).isNull(), F.lit(False)).otherwise(F.coalesce(ref(c) > F.col(b), F.lit(True)))
+        out = after | (ref(c).eqNullSafe(F.col(b)) & out)
+    return out
+
+
 def _is_integral(dt: T.DataType) -> bool:
     return isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
 
@@ -93,21 +142,23 @@ def sequence_ops(df: DataFrame, order_cols: list[str], *, n_rows: int,
                  cum_cols: list[str] = (), roll_cols: list[str] = (),
                  windows: tuple[int, ...] = (3, 7), row_number_col: str | None = None,
                  cfg: OrderConfig | None = None, cum_names: dict | None = None,
-                 partition_by: list[str] = (), place_col: str | None = None) -> DataFrame:
+                 partition_by: list[str] = (), place_col: str | None = None, bucket_col: str | None = None,
+                 derived: dict[str, Column] | None = None) -> DataFrame:
     """Add running sums (``<c>_cumulative``), trailing row averages
     (``<c>_ma<k>``) and optionally a 1-based row number, all in the
     declared order ``order_cols`` (ascending, nulls last), within the groups of
     ``partition_by`` (any columns of ``df``; null is a group) or over the whole table.
     ``place_col`` adds a number that grows with the order (with gaps): once stored, a later
-    step sorts by it alone.
+    step sorts by it alone.  ``bucket_col`` adds the bucket, 0 and up in the order: a filter on it
+    reaches the stage table.  ``derived``: columns that follow from those of ``df``, and are
+    as good as its own but for the order; they are made after the shuffle.
 
     Semantics: a null value gets a null running sum but the sum continues;
     rolling means ignore nulls inside the frame (min_periods = 1).
     """
     cfg = cfg or OrderConfig()
     groups = list(partition_by)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    cum_names = cum_names or {}
+    cum_names, derived = cum_names or {}, derived or {}
     order_cols = [c for c in order_cols if c not in groups]
     order = sort_orders(order_cols)
     keys = [ref(g) for g in groups]
@@ -115,10 +166,19 @@ def sequence_ops(df: DataFrame, order_cols: list[str], *, n_rows: int,
     # 1. Range-partition on (groups, total order), sort once and pin bucket ids and places: a
     #    group with a third of the rows spreads over a third of the buckets.  Places grow with the
     #    order over all buckets, without gaps inside one, so that no later step compares the keys.
-    nb = n_buckets(n_rows, cfg)
-    staged = materialize(df.repartitionByRange(nb, *sort_orders(groups), *order)
-                         .sortWithinPartitions(*sort_orders(groups), *order)
-                         .withColumns({BUCKET: F.spark_partition_id(), PLACE: F.monotonically_increasing_id()}), "sequenced")
+    #    What is derived is made after the shuffle.  A very large table is shuffled slice by slice.
+    slices = order_slices(df, groups + order_cols, n_parts(n_rows, len(df.columns), cfg.cells_per_range), n_rows)
+    nb = math.ceil(n_buckets(n_rows, cfg) / len(slices))
+    plain = list(dict.fromkeys([*df.columns, *derived]))
+
+    def placed(rows: DataFrame, start: int) -> DataFrame:
+        return rows.repartitionByRange(nb, *sort_orders(groups), *order) \
+            .sortWithinPartitions(*sort_orders(groups), *order) \
+            .withColumns({**derived, BUCKET: F.spark_partition_id() + F.lit(start),
+                          PLACE: F.monotonically_increasing_id() + F.lit(start << 33)})
+
+    staged = materialize_parts((placed(rows, i * nb) for i, rows in enumerate(slices)), "sequenced")
+    types = {f.name: f.dataType for f in staged.schema.fields}
 
     # 2. Totals of each (bucket, group).  A group that goes on in a bucket carries the totals
     #    of its earlier buckets; only the first group of a bucket can, so there is at most one
@@ -131,7 +191,8 @@ def sequence_ops(df: DataFrame, order_cols: list[str], *, n_rows: int,
     carries = stats.select(F.col(BUCKET).alias("_b"), *named, F.sum("_cnt").over(before).alias("_off"),
                            *[F.coalesce(F.sum(f"_tot{i}").over(before), F.lit(0)).alias(f"_ooff{i}") for i in range(len(cum_cols))]) \
         .filter("_off > 0")
-    carries = F.broadcast(materialize(carries, "carries"))     # at most MOST_BUCKETS rows
+    with brief_shuffles(df.sparkSession):
+        carries = F.broadcast(materialize(carries, "carries"))     # at most MOST_BUCKETS rows
 
     def same_group(row: DataFrame | None = None):
         out = F.lit(True)
@@ -143,7 +204,8 @@ def sequence_ops(df: DataFrame, order_cols: list[str], *, n_rows: int,
         # the low 33 bits of a place count the rows of its bucket from 0: no window, no shuffle
         rn = F.coalesce(F.col("_off"), F.lit(0)) + F.col(PLACE).bitwiseAND(F.lit((1 << 33) - 1)) + F.lit(1)
         return staged.join(carries, F.col(BUCKET) == F.col("_b"), "left") \
-            .select(*[ref(c) for c in df.columns], rn.cast("long").alias(row_number_col), *([F.col(PLACE).alias(place_col)] if place_col else []))
+            .select(*[ref(c) for c in plain], rn.cast("long").alias(row_number_col), *([F.col(PLACE).alias(place_col)] if place_col else []),
+                    *([F.col(BUCKET).alias(bucket_col)] if bucket_col else []))
 
     body = staged.withColumn(HALO, F.lit(False))
     h = max(windows) - 1 if roll_cols else 0
@@ -167,29 +229,32 @@ def sequence_ops(df: DataFrame, order_cols: list[str], *, n_rows: int,
                 .withColumn(HALO, F.lit(True)))
         body = body.unionByName(halo, allowMissingColumns=True)
 
-    # 4. One window pass per (bucket, group).
-    body = body.join(carries, (F.col(BUCKET) == F.col("_b")) & same_group(), "left")
+    # 4. One window pass per (bucket, group); what is carried is looked up after its shuffle.
     w = Window.partitionBy(BUCKET, *keys).orderBy(PLACE)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     real = ~F.col(HALO)
-    cols = [ref(c) for c in df.columns]
-    for i, c in enumerate(cum_cols):
-        part = F.sum(F.when(real, _sum_expr(c, types[c]))).over(run)
-        total = F.coalesce(F.col(f"_ooff{i}"), F.lit(0)) + F.coalesce(part, F.lit(0))
-        cols.append(F.when(ref(c).isNotNull(), _finish_sum(total, types[c])).alias(cum_names.get(c, f"{c}_cumulative")))
+    own = [F.sum(F.when(real, _sum_expr(c, types[c]))).over(run).alias(f"_part{i}") for i, c in enumerate(cum_cols)]
     # Trailing means over at most k values: plain double averages (a sliding frame
     # re-aggregates its rows for every output row, so the cheap type matters; k <= 7
     # values cannot drift).
-    for c in roll_cols:
-        for k in windows:
-            cols.append(F.avg(ref(c).cast("double")).over(w.rowsBetween(-(k - 1), Window.currentRow)).alias(f"{c}_ma{k}"))
+    means = {f"{c}_ma{k}": F.avg(ref(c).cast("double")).over(w.rowsBetween(-(k - 1), Window.currentRow)) for c in roll_cols for k in windows}
+    own += [e.alias(f"_mean{i}") for i, e in enumerate(means.values())]
+    if row_number_col:
+        own.append(F.sum(F.when(real, F.lit(1)).otherwise(F.lit(0))).over(run).alias("_nth"))
+    body = body.select(*map(ref, dict.fromkeys([BUCKET, PLACE, HALO, *plain])), *own).filter(real) \
+        .join(carries, (F.col(BUCKET) == F.col("_b")) & same_group(), "left")
+    cols = [ref(c) for c in plain]
+    for i, c in enumerate(cum_cols):
+        total = F.coalesce(F.col(f"_ooff{i}"), F.lit(0)) + F.coalesce(F.col(f"_part{i}"), F.lit(0))
+        cols.append(F.when(ref(c).isNotNull(), _finish_sum(total, types[c])).alias(cum_names.get(c, f"{c}_cumulative")))
+    cols += [F.col(f"_mean{i}").alias(name) for i, name in enumerate(means)]
     if row_number_col:
-        rn = F.coalesce(F.col("_off"), F.lit(0)) + F.sum(F.when(real, F.lit(1)).otherwise(F.lit(0))).over(run)
-        cols.append(rn.cast("long").alias(row_number_col))
+        cols.append((F.coalesce(F.col("_off"), F.lit(0)) + F.col("_nth")).cast("long").alias(row_number_col))
     if place_col:
         cols.append(F.col(PLACE).alias(place_col))
-    cols.append(F.col(HALO))
-    return body.select(*cols).filter(~F.col(HALO)).drop(HALO)
+    if bucket_col:
+        cols.append(F.col(BUCKET).alias(bucket_col))
+    return body.select(*cols)
 
 
 def _pairs(a: str, b: str, n: int) -> Column:
@@ -216,7 +281,8 @@ def rolling_days(df: DataFrame, date_col: str, cols: list[str], windows: tuple[i
     frame = Window.partitionBy(*names).orderBy("__day")
     means = [F.try_divide(F.sum(f"__s{i}").over(frame.rangeBetween(-(k - 1), 0)), F.sum(f"__n{i}").over(frame.rangeBetween(-(k - 1), 0)))
              .alias(f"{c}_ma{k}d") for i, c in enumerate(cols) for k in windows]
-    table = materialize(days.select(*names, "__day", *means), "days")
+    with brief_shuffles(df.sparkSession):
+        table = materialize(days.select(*names, "__day", *means), "days")
     if table.count() <= FEW_ROWS:          # then the rows stay where they are
         table = F.broadcast(table)
     same = day == F.col("__day")

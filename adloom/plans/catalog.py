@@ -20,7 +20,7 @@ from adloom.operators.roles import (CAMPAIGN_COLUMNS, SPEND_COLUMNS, first_in_co
 from adloom.plans.pipeline import CleanOptions, CleanResult, clean_dataset
 from adloom.plans.views import AD_ORDER, SALES_ORDER, source_state, view
 from adloom.functions.exprs import pround, ref
-from adloom.session import materialize, stage_scope
+from adloom.session import materialize_parts, stage_scope
 
 _CACHE: dict = {}
 
@@ -36,7 +36,7 @@ def cleaned(spark: SparkSession, sf_dir: str, name: str) -> CleanResult:
         order = {"ad_facts": AD_ORDER}.get(name, SALES_ORDER)
         with stage_scope(spark) as stages:     # its stage tables go once the cleaned table is written
             res = clean_dataset(view(spark, sf_dir, name), CleanOptions(order_keys=[c for c in order if c != "date"]))
-            stored = materialize(res.df if res.placed is None else res.placed)
+            stored = materialize_parts(res.parts or [res.df])
             if res.placed is not None:
                 res.placed = stored
             res.df = stored.select(*map(ref, res.df.columns))

@@ -1,10 +1,9 @@
 """clean_dataset: load -> validate -> clean -> features -> ordered features.
 
 Spark jobs, in order (everything else is lazy):
-  1. dedup + stage table of the base (one shuffle, hash aggregate with
-     map-side combine, so a group of identical copies collapses early); null
-     counts, means, min / max and date parse counts are Observation metrics of
-     that same write;
+  1. stage table of the rows; null counts, means, min / max and date parse counts
+     are Observation metrics of that same write.  Hashes tell whether rows have
+     copies; if so, they are dropped (hash aggregate) in parts;
   2. (no separate pass for those statistics);
   3. one wide aggregate for the feature statistics (+ one cheap pass deciding
      which columns have >= 3 distinct values);
@@ -16,20 +15,21 @@ The result is a lazy DataFrame; nothing is collected except one-row stats.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adloom.functions.exprs import epoch_micros, is_datetime_type, is_numeric_type, nan_to_null, pround, ref
+from adloom.functions.exprs import epoch_micros, is_datetime_type, is_numeric_type, nan_to_null, plain_zero, pround, ref
 from adloom.operators import clean as C
 from adloom.operators import features as FE
-from adloom.operators.ordered import (PLACE, OrderConfig, attach_percentiles, exact_quantiles,
-                                      percentile_steps, rank_table, sequence_ops)
+from adloom.operators.ordered import (BUCKET, PLACE, OrderConfig, attach_percentiles, exact_quantiles, n_buckets,
+                                      n_parts, percentile_steps, rank_table, sequence_ops)
 from adloom.operators.roles import (CUMULATIVE_TARGETS, RANK_TARGETS, has_date_keyword,
                                     metric_keyword_columns)
-from adloom.session import materialize
+from adloom.session import brief_shuffles, discard, materialize_parts
 
 ALL_BLOCKS = frozenset({"funnel", "temporal", "efficiency", "flags", "zscore", "percentile",
                         "rolling", "cumulative", "tier", "engagement", "campaign", "quality"})
@@ -55,10 +55,15 @@ class CleanResult:
     date_col: str | None
     order_cols: list[str]
     placed: DataFrame | None = None     # ``df`` with the place of each row in the order (column PLACE), if it was sequenced
+    parts: list[DataFrame] | None = None    # ``placed`` in parts that follow the order, for writing one after the other
 
 
 def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanResult:
-    opt = options or CleanOptions()
+    with brief_shuffles(df.sparkSession):
+        return _clean(df, options or CleanOptions())
+
+
+def _clean(df: DataFrame, opt: CleanOptions) -> CleanResult:
     blocks = opt.blocks
     report: dict = {"warnings": []}
     strat_num, strat_cat = C.effective_strategies(opt.fill_strategy, opt.strategy_numeric,
@@ -67,7 +72,7 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
 
     # ---- names, NaN -> null, dedup ----------------------------------------
     df = C.normalize_headers(df)
-    df = df.select(*[nan_to_null(f.name, f.dataType).alias(f.name) for f in df.schema.fields])
+    df = df.select(*[plain_zero(nan_to_null(ref(f.name), f.dataType), f.dataType).alias(f.name) for f in df.schema.fields])
     base = df.dropDuplicates()
     numeric = C.numeric_of(base.schema)
     categorical = [f.name for f in base.schema.fields if isinstance(f.dataType, T.StringType)]
@@ -77,8 +82,8 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
     date_text = [c for c in categorical if has_date_keyword(final_name[c])]
 
     # ---- null counts, means, min / max, date parse counts -------------------
-    # Computed as Observation metrics while the deduplicated base is written to
-    # its stage table, so they cost no extra pass over the data.
+    # Computed as Observation metrics while the base is written to its stage table,
+    # so they cost no extra pass over the data, unless rows have copies.
     aggs = [F.count(F.lit(1)).alias("__n")]
     aggs += [F.count(ref(c)).alias(f"nn__{c}") for c in base.columns]
     aggs += [F.avg(ref(c)).alias(f"mean__{c}") for c in numeric]
@@ -86,8 +91,13 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
     aggs += [F.count(e).alias(f"dt__{c}__{i}") for c in date_text for i, e in enumerate(C.date_layouts(ref(c)))]
     if opt.checkpoint_base:
         obs = Observation("adloom_base_stats")
-        base = materialize(base.observe(obs, *aggs), "base")
+        base = materialize_parts([df.observe(obs, *aggs)], "base")
         s1 = dict(obs.get)
+        if C.may_repeat(base):
+            rows = base
+            base = materialize_parts(C.drop_copies(rows, n_parts(int(s1["__n"]), len(rows.columns), opt.order.cells_per_part)), "base")
+            discard(rows)
+            s1 = base.agg(*aggs).first().asDict()
     else:
         s1 = base.agg(*aggs).first().asDict()
     n = int(s1["__n"])
@@ -191,6 +201,7 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
     order_cols: list[str] = []
     seq_cols: list[str] = []
     place: list = []
+    k = nb = 1
     if date_col:
         keys = opt.order_keys if opt.order_keys is not None else [c for c in raw_columns if c != date_col]
         order_cols = [date_col] + [k for k in keys if k != date_col]
@@ -204,20 +215,25 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
             # expression over raw columns and is applied after the window pass,
             # so the range shuffle, sort and stage table stay narrow.
             need = [c for c in dict.fromkeys(roll + cum) if c not in raw_columns]
-            seq_in = typed.select(*map(ref, raw_columns), *[cols[c].alias(c) for c in need])
-            seq = sequence_ops(seq_in, order_cols, n_rows=n, cum_cols=cum, roll_cols=roll,
-                               cfg=opt.order, place_col=PLACE)
+            seq_in = typed.select(*map(ref, raw_columns))
+            seq = sequence_ops(seq_in, order_cols, n_rows=n, cum_cols=cum, roll_cols=roll, cfg=opt.order,
+                               place_col=PLACE, bucket_col=BUCKET, derived={c: cols[c] for c in need})
+            if opt.checkpoint_base:
+                discard(base)       # every row is in the sequenced table now
+            k = n_parts(n, len(raw_columns), opt.order.cells_per_part)
+            nb = math.ceil(n_buckets(n, opt.order) / k)
             ma_names = [f"{c}_ma{k}" for c in roll for k in (3, 7)]
             # reference order: moving averages (per column, 3 then 7) before cumulative sums
-            seq_cols = ma_names + [c for c in seq.columns if c not in seq_in.columns and c not in ma_names and c != PLACE]
-            place = [F.col(PLACE)]
-            frame = seq.select(*[ref(nm) if nm in seq_in.columns else e.alias(nm) for nm, e in cols.items()
+            known = [*raw_columns, *need]
+            seq_cols = ma_names + [c for c in seq.columns if c not in known and c not in ma_names and c not in (PLACE, BUCKET)]
+            place = [F.col(PLACE), F.col(BUCKET)]
+            frame = seq.select(*[ref(nm) if nm in known else e.alias(nm) for nm, e in cols.items()
                                  if nm not in seq_cols],
                                *[pround(ref(c), 4).alias(c) if c in ma_names else ref(c) for c in seq_cols], *place)
     if ranked:
         steps = percentile_steps(ranks, {c: sizes[c] for c in ranked})
         frame = attach_percentiles(frame.drop(*pct_cols), steps, {c: f"{c}_percentile" for c in ranked})
-    ordered = [c for c in frame.columns if c not in pct_cols and c not in seq_cols and not (place and c == PLACE)] + pct_cols + seq_cols
+    ordered = [c for c in frame.columns if c not in pct_cols and c not in seq_cols and not (place and c in (PLACE, BUCKET))] + pct_cols + seq_cols
     frame = frame.select(*map(ref, ordered), *place)
 
     # ---- remaining narrow features -------------------------------------------
@@ -238,7 +254,11 @@ def clean_dataset(df: DataFrame, options: CleanOptions | None = None) -> CleanRe
     placed = frame.select(*[e.alias(name) for name, e in cols.items()], *place)
     out = placed.select(*map(ref, cols)) if place else placed
     report["columns_after"] = out.columns
-    return CleanResult(out, report, raw_columns, date_col, order_cols, placed if place else None)
+    if not place:
+        return CleanResult(out, report, raw_columns, date_col, order_cols)
+    bucket = F.col(BUCKET)          # the first part and the last are open: whatever the number of buckets, no row is left out
+    parts = [placed.where((bucket >= (i * nb if i else 0)) & ((bucket < (i + 1) * nb) if i < k - 1 else F.lit(True))).drop(BUCKET) for i in range(k)]
+    return CleanResult(out, report, raw_columns, date_col, order_cols, placed.drop(BUCKET), parts)
 
 
 def _overwrite(cols: FE.Columns, typed: DataFrame):

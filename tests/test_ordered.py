@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from adloom.operators.ordered import (OrderConfig, attach_percentiles, exact_quantiles, percentile_steps,
+from adloom.operators.ordered import (OrderConfig, attach_percentiles, exact_quantiles, order_slices, percentile_steps,
                                       rank_table, rolling_days, running_total, sequence_ops)
 from adloom.plans.views import view
 from adloom.session import materialize
@@ -214,3 +214,44 @@ def test_rolling_days_leave_the_rows_in_place(spark):
     df = spark.range(3000).select("id", (F.lit("2024-01-01").cast("date") + (F.col("id") % 90).cast("int")).alias("date"), "id")
     plan = _plan(rolling_days(df.toDF("id", "date", "x"), "date", ["x"]))
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_slices_follow_the_order(spark, k):
+    """Nulls, a hot first key and equal keys: every row in one slice, no slice begins before the last one ends."""
+    rng = np.random.default_rng(8)
+    rows = [(i, None if i % 11 == 0 else 5 if i % 3 else int(rng.integers(0, 40)), None if i % 13 == 0 else float(rng.integers(0, 9)),
+             None if i % 7 == 0 else "xyz"[i % 3]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "i long, a int, b double, c string")
+    slices = order_slices(df, ["a", "b", "c"], k, 1500)
+    got = [s.collect() for s in slices]
+    assert 1 < len(got) <= k and sorted(r["i"] for s in got for r in s) == list(range(1500))
+    key = lambda r: [(x is None, x or type(x)()) if x is not None else (True,) for x in r[1:]]
+    full = [s for s in got if s]
+    assert all(max(map(key, x)) < min(map(key, y)) for x, y in zip(full, full[1:]))
+    assert max(len(s) for s in got) < 1500 * 0.8
+
+
+def test_windows_over_slices_match_plain_windows(facts):
+    n = facts.count()
+    cfg = OrderConfig(rows_per_bucket=300, cells_per_range=n * len(facts.columns) // 3)
+    got = sequence_ops(facts.drop("revenue"), ORDER, n_rows=n, cum_cols=["revenue", "clicks"], roll_cols=["revenue", "clicks"], row_number_col="rn",
+                       cfg=cfg, place_col="place", bucket_col="bucket",
+                       derived={"revenue": F.when(F.col("l_linenumber") != 3, F.col("price") * F.col("quantity"))})
+    plain = sequence_ops(facts, ORDER, n_rows=n, cum_cols=["revenue", "clicks"], roll_cols=["revenue", "clicks"], row_number_col="rn")
+    cols = ["rn", "l_orderkey", "l_linenumber", "clicks_cumulative", "clicks_ma3", "clicks_ma7", "revenue_ma3", "revenue_ma7", "revenue_cumulative"]
+    for x, y in zip(_rows(got, cols), _rows(plain, cols), strict=True):
+        none = [[math.nan if v is None else v for v in r[6:]] for r in (x, y)]
+        assert x[:6] == y[:6] and none[0] == pytest.approx(none[1], rel=1e-12, nan_ok=True)
+    at = [tuple(r) for r in got.orderBy("rn").select("place", "bucket").collect()]
+    assert len(at) == n and all(a[0] < b[0] and a[1] <= b[1] for a, b in zip(at, at[1:]))
+    assert len({b for _, b in at}) > 10
+
+
+def test_channel_running_carries_no_totals_through_its_shuffle(facts):
+    """What earlier buckets carry is joined after the windows; it went through their shuffle and sort with each row."""
+    out = sequence_ops(facts, ORDER, n_rows=facts.count(), cum_cols=["clicks"], roll_cols=["revenue"], row_number_col="rn",
+                       cfg=OrderConfig(rows_per_bucket=500), partition_by=["l_returnflag"])
+    plan = _plan(out)
+    below = plan[plan.index("hashpartitioning(_seq_b"):]
+    assert "_ooff" in plan[:plan.index("hashpartitioning(_seq_b")] and "_ooff0#" not in below.split("Union")[0]

@@ -38,3 +38,28 @@ def test_local_stage_tables_have_no_checksum_files(spark):
         assert [x for f in files for x in f.parent.iterdir() if x.name.endswith(".crc")] == []
         assert sorted(r.c for r in table.collect()) == list(range(100))
     assert spark.conf.get("fs.file.impl", None) is None     # the session's own writes are as before
+
+
+def _shuffle_files(root):
+    return [f for f in root.rglob("shuffle_*") if f.is_file()]
+
+
+def test_parts_are_one_table_and_leave_no_shuffle_files(spark):
+    """Shuffle files otherwise stay until the driver's JVM collects garbage: all shuffles of a job lie on the disks at once."""
+    import time
+    from pathlib import Path
+    root = Path(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()[0].getPath()).parent
+    before = set(_shuffle_files(root))
+    rows = spark.range(0, 20000, 1, 4).selectExpr("id", "cast(id % 7 AS string) AS t")
+    parts = [rows.where(f"id % 3 = {i}").repartition(5, "id") for i in range(3)]
+    table = session.materialize_parts(iter(parts), "parts")
+    until = time.time() + 20
+    while set(_shuffle_files(root)) - before and time.time() < until:       # they go in the background
+        time.sleep(0.2)
+    assert set(_shuffle_files(root)) - before == set()
+    assert sorted(map(tuple, table.collect())) == [(i, str(i % 7)) for i in range(20000)]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    path = Path(table.stage_path.removeprefix("file:"))
+    assert path.exists()
+    session.discard(table)
+    assert not path.exists()
